@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op10_token_counts
+from . import op1_fingerprint, op2_packing, op4_pii, op5_html, op8_simhash, op9_line_dedup, op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_document_fingerprints": op1_fingerprint.query,
         "op2_best_fit_packing": op2_packing.query,
+        "op4_pii": op4_pii.query,
+        "op5_html_extraction": op5_html.query,
+        "op8_simhash_near_dedup": op8_simhash.query,
+        "op9_line_dedup": op9_line_dedup.query,
         "op10_token_counts": op10_token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": op9_line_dedup.ORACLE_SQL}
