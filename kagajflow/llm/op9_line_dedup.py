@@ -30,6 +30,11 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells apart the texts of rows with one id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def line_key(line: Column) -> Column:
     """Only A-Z are lower-cased; lower() does just that where all is ASCII, and faster."""
     lower = F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, string.ascii_uppercase, string.ascii_lowercase))
@@ -37,19 +42,19 @@ def line_key(line: Column) -> Column:
 
 
 def line_index(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, lines): hash (h1, h2) and position of each line whose key is long enough."""
+    """(id, h, lines): the text's hash, and hash (h1, h2) and position of each line whose key is long enough."""
 
     def hashed(line: Column, i: Column) -> Column:
         key = line_key(line)
         return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), i.alias("position")))
 
-    return df.select(F.col(id_col).alias("id"), F.filter(F.transform(split_lines(F.col(text_col)), hashed), lambda x: x.isNotNull()).alias("lines"))
+    return df.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.filter(F.transform(split_lines(F.col(text_col)), hashed), lambda x: x.isNotNull()).alias("lines"))
 
 
 def repeated_keys(index: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, last): the keys in at least min_docs documents, and the document that keeps them."""
     partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = index.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("h")).select("id", "h.*")
+    once = index.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("x")).select("id", "x.*")
     once = once.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
     slices = once.groupBy("h1", "h2", "slice").agg(F.count("*").alias("n"), F.max("id").alias("last"))
     streamed = slices.repartitionByRange(partitions, "h1", "h2").sortWithinPartitions("h1", "h2", F.desc("last"))
@@ -57,12 +62,12 @@ def repeated_keys(index: DataFrame, min_docs: int) -> DataFrame:
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, dropped): the positions of the lines to drop, for each document that has any."""
+    """(id, h, dropped): the positions of the lines to drop, for each document that has any."""
     index = common.stored(line_index(df, id_col, text_col, min_chars), "lines")
     repeated = common.stored(repeated_keys(index, min_docs), "repeated")
-    lines = index.select("id", F.explode("lines").alias("x")).select("id", "x.*")
+    lines = index.select("id", "h", F.explode("lines").alias("x")).select("id", "h", "x.*")
     lost = lines.join(repeated, ["h1", "h2"]).where(F.coalesce(F.col("id") < F.col("last"), F.col("last").isNotNull()))
-    return lost.groupBy("id").agg(F.collect_set("position").alias("dropped"))
+    return lost.groupBy("id", "h").agg(F.collect_set("position").alias("dropped"))
 
 
 def keep_runs(n_lines: Column, dropped: Column) -> Column:
@@ -74,10 +79,10 @@ def keep_runs(n_lines: Column, dropped: Column) -> Column:
 
 
 def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """id, n_lines, n_dropped, runs, and the lines themselves for who wants the text (lines, dropped)."""
+    """id, n_lines, n_dropped, runs, and for who wants the text lines and dropped."""
     lost = dropped_lines(df, id_col, text_col, min_chars, min_docs)
-    docs = df.select(F.col(id_col).alias("id"), split_lines(F.col(text_col)).alias("lines"))
-    joined = docs.join(lost, docs["id"].eqNullSafe(lost["id"]), "left").select(docs["id"], "lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    docs = df.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), split_lines(F.col(text_col)).alias("lines"))
+    joined = docs.join(lost, docs["id"].eqNullSafe(lost["id"]) & (docs["h"] == lost["h"]), "left").select(docs["id"], "lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
     return joined.select(
         F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), keep_runs(F.size("lines"), F.col("dropped")).alias("runs"), "lines", "dropped"
     )
@@ -113,3 +118,14 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256, keep_runs
 FROM marked JOIN runs USING (doc_id) GROUP BY doc_id, keep_runs
 """
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, all rows and columns, with only the kept lines in text, and n_chars to match where there is such a column."""
+    lost = dropped_lines(docs, "doc_id", "text", min_chars, min_docs).withColumnsRenamed({"id": "_id", "h": "_hash", "dropped": "_dropped"})
+    split = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), text_hash(F.col("text")).alias("_h"), split_lines(F.col("text")).alias("_lines"))
+    joined = split.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    joined = joined.withColumn("text", F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(kept_text(F.col("_lines"), F.col("_dropped"))))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
