@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,14 @@ def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, min(to, n)
         at = min(to, n)
+
+
+def row_key() -> Column:
+    """What a row of documents is known by: its id and, as ids may repeat, its text's hash."""
+    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but for the rows that have one of the keys (doc_id, h)."""
+    gone = keys.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (row_key()["h"] == F.col("_h")), "left_anti")

@@ -82,21 +82,30 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def pairs_within(keys: np.ndarray, depth: int, starts: list[tuple[int, int, int, int]], budget: int, leaf: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of sorted keys that differ in at most `budget` bits, by traversing node pairs of their trie together.
+    """Pairs (i, j) of sorted keys (rows of 64-bit words) that differ in at most `budget` bits, by traversing node pairs of their trie together.
 
     A node is a range of keys that agree in their first `depth` bits; starts are pairs of such ranges. Where a pair has few
     keys on both sides its keys are compared at once.
     """
+    words = keys.shape[1]
+    ones: dict[int, np.ndarray] = {}  # by depth: how many of the first i keys have that bit set
+
+    def split(d: int, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+        """In each range, where the keys with the bit begin."""
+        if d not in ones:
+            ones[d] = np.concatenate([[0], np.cumsum(keys[:, d // 64] >> np.uint64(63 - d % 64) & np.uint64(1), dtype=np.int64)])
+        return x1 - (ones[d][x1] - ones[d][x0])
+
     rows = np.array(starts, np.int64).reshape(-1, 4)
-    prefix_bits = np.bitwise_count((keys[rows[:, 0]] ^ keys[rows[:, 2]]) >> np.uint64(64 - depth)) if depth else np.zeros(len(rows), np.int64)
-    stack = [(depth, *rows.T, prefix_bits.astype(np.int64))]
+    bits = np.bitwise_count((keys[rows[:, 0], 0] ^ keys[rows[:, 2], 0]) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(rows), np.int64)
+    stack = [(depth, *rows.T, bits)]
     while stack:
         depth, a0, a1, b0, b1, bits = stack.pop()
-        if len(a0) > CHUNK:
+        if len(a0) > CHUNK // 8:
             half = len(a0) // 2
             stack += [(depth, *(x[:half] for x in (a0, a1, b0, b1, bits))), (depth, *(x[half:] for x in (a0, a1, b0, b1, bits)))]
             continue
-        small = ((a1 - a0) * (b1 - b0) <= leaf) | (depth == 64)
+        small = ((a1 - a0) * (b1 - b0) <= leaf) | (depth == 64 * words)
         if small.any():
             s0, s1, t0, t1 = a0[small], a1[small], b0[small], b1[small]
             wide = t1 - t0
@@ -104,15 +113,13 @@ def pairs_within(keys: np.ndarray, depth: int, starts: list[tuple[int, int, int,
             row = np.repeat(np.arange(len(size)), size)
             k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             i, j = s0[row] + k // wide[row], t0[row] + k % wide[row]
-            near = ((s0[row] != t0[row]) | (i < j)) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+            near = ((s0[row] != t0[row]) | (i < j)) & (sum(np.bitwise_count(keys[i, w] ^ keys[j, w]).astype(np.int64) for w in range(words)) <= budget)
             if near.any():
                 yield i[near], j[near]
         if small.all():
             continue
         a0, a1, b0, b1, bits = (x[~small] for x in (a0, a1, b0, b1, bits))
-        low = np.uint64(63 - depth)
-        split = lambda x0: np.searchsorted(keys, ((keys[x0] >> low) | np.uint64(1)) << low)  # noqa: E731  where the next bit is set
-        am, bm = np.clip(split(a0), a0, a1), np.clip(split(b0), b0, b1)
+        am, bm = split(depth, a0, a1), split(depth, b0, b1)
         same = a0 == b0
         children = [(a0, am, b0, bm, bits, None), (am, a1, bm, b1, bits, None), (a0, am, bm, b1, bits + 1, None), (am, a1, b0, bm, bits + 1, ~same)]
         parts = []
@@ -162,7 +169,7 @@ def trie_links(prints: DataFrame, budget: int = BITS) -> DataFrame:
         if hosts < len(cuts) - 1 and prefix[cuts[hosts]] == group.column("host")[0].as_py():
             h0, h1 = int(cuts[hosts]), int(cuts[hosts + 1])
             starts = [(h0, h1, int(x), int(y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            root = roots_of(len(keys), pairs_within(keys, depth, starts, budget))
+            root = roots_of(len(keys), pairs_within(keys[:, None], depth, starts, budget))
             hung = np.flatnonzero(root != np.arange(len(keys)))
             links_a, links_b = nodes[root[hung]], nodes[hung]
         return pa.table({"a": links_a, "b": links_b})

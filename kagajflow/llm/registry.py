@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_packing, op4_pii, op5_html, op8_simhash, op9_line_dedup, op10_token_counts
+from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": op1_fingerprint.query,
         "op2_best_fit_packing": op2_packing.query,
+        "op3_language_id": op3_language.query,
         "op4_pii": op4_pii.query,
         "op5_html_extraction": op5_html.query,
+        "op6_decontamination": op6_decontamination.query,
+        "op7_warc_fixity": op7_warc_fixity.query,
         "op8_simhash_near_dedup": op8_simhash.query,
         "op9_line_dedup": op9_line_dedup.query,
         "op10_token_counts": op10_token_counts.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": op9_line_dedup.ORACLE_SQL}
+    return {"op7_warc_fixity": op7_warc_fixity.ORACLE_SQL, "op9_line_dedup": op9_line_dedup.ORACLE_SQL}
