@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import finance, retrieval, sections
+from . import finance, portal, retrieval, sections, texts
 
-MODULES = (retrieval, sections, finance)
+MODULES = (retrieval, sections, finance, portal, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
