@@ -54,12 +54,23 @@ def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def row_key() -> Column:
     """What a row of documents is known by: its id and, as ids may repeat, its text's hash."""
-    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    return F.struct(F.col("doc_id").alias("doc_id"), text_hash(F.col("text")).alias("h"))
 
 
 def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs but for the rows that have one of the keys (doc_id, h)."""
-    gone = keys.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (row_key()["h"] == F.col("_h")), "left_anti")
+    gone = keys.select("doc_id", "h").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (text_hash(docs["text"]) == gone["h"]), "left_anti")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name

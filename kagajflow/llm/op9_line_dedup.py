@@ -30,11 +30,6 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
-def text_hash(text: Column) -> Column:
-    """Tells apart the texts of rows with one id."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def line_key(line: Column) -> Column:
     """Only A-Z are lower-cased; lower() does just that where all is ASCII, and faster."""
     lower = F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, string.ascii_uppercase, string.ascii_lowercase))
@@ -48,7 +43,7 @@ def line_index(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
         key = line_key(line)
         return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), i.alias("position")))
 
-    return df.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.filter(F.transform(split_lines(F.col(text_col)), hashed), lambda x: x.isNotNull()).alias("lines"))
+    return df.select(F.col(id_col).alias("id"), common.text_hash(F.col(text_col)).alias("h"), F.filter(F.transform(split_lines(F.col(text_col)), hashed), lambda x: x.isNotNull()).alias("lines"))
 
 
 def repeated_keys(index: DataFrame, min_docs: int) -> DataFrame:
@@ -81,7 +76,7 @@ def keep_runs(n_lines: Column, dropped: Column) -> Column:
 def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """id, n_lines, n_dropped, runs, and for who wants the text lines and dropped."""
     lost = dropped_lines(df, id_col, text_col, min_chars, min_docs)
-    docs = df.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), split_lines(F.col(text_col)).alias("lines"))
+    docs = df.select(F.col(id_col).alias("id"), common.text_hash(F.col(text_col)).alias("h"), split_lines(F.col(text_col)).alias("lines"))
     joined = docs.join(lost, docs["id"].eqNullSafe(lost["id"]) & (docs["h"] == lost["h"]), "left").select(docs["id"], "lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
     return joined.select(
         F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), keep_runs(F.size("lines"), F.col("dropped")).alias("runs"), "lines", "dropped"
@@ -122,10 +117,13 @@ FROM marked JOIN runs USING (doc_id) GROUP BY doc_id, keep_runs
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs, all rows and columns, with only the kept lines in text, and n_chars to match where there is such a column."""
-    lost = dropped_lines(docs, "doc_id", "text", min_chars, min_docs).withColumnsRenamed({"id": "_id", "h": "_hash", "dropped": "_dropped"})
-    split = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), text_hash(F.col("text")).alias("_h"), split_lines(F.col("text")).alias("_lines"))
-    joined = split.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
-    joined = joined.withColumn("text", F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(kept_text(F.col("_lines"), F.col("_dropped"))))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+    lost = dropped_lines(docs, "doc_id", "text", min_chars, min_docs)
+    others = [c for c in docs.columns if c != "text"]
+    key, lines = common.fresh(docs, "text_hash"), common.fresh(docs, "lines")
+    split = docs.select(*(docs[f"`{c}`"] for c in others), common.text_hash(docs["text"]).alias(key), split_lines(docs["text"]).alias(lines))
+    joined = split.join(lost, split["doc_id"].eqNullSafe(lost["id"]) & (split[key] == lost["h"]), "left")
+    text = F.when(lost["dropped"].isNull(), F.array_join(split[lines], "\n")).otherwise(kept_text(split[lines], lost["dropped"]))
+    out = joined.select(*(split[f"`{c}`"] for c in others), text.alias("text"))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
