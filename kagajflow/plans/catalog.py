@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, finance, portal, retrieval, sections, texts
+from . import documents, finance, portal, retrieval, routes, sections, texts
 
-MODULES = (retrieval, sections, finance, portal, texts, documents)
+MODULES = (retrieval, sections, routes, finance, portal, texts, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
