@@ -37,7 +37,7 @@ def marker_kind(path_end: Column) -> Column:
 
 def path_of(content: Column) -> Column:
     """The marks of a chunk's context, `[...]: title -> (१) -> (क) body`, in order."""
-    return F.regexp_extract_all(F.regexp_extract(content, r"^\[[^\]]*\]:[^>]*((?:\s*->\s*\([^)]+\))*)", 1), F.lit(r"->\s*(\([^)]+\))"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_extract(content, r"^\[[^\]]*\]:(?:(?!->).)*((?:\s*->\s*\([^)]+\))+)", 1), F.lit(r"->\s*(\([^)]+\))"), F.lit(1))
 
 
 def part_order(path: Column) -> Column:

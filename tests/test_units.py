@@ -6,8 +6,8 @@ import json
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from kagajflow.functions import finance, scores, text
-from kagajflow.operators import calendar, chunking, glossary, ingest, search, usage
+from kagajflow.functions import cleaning, finance, scores, text
+from kagajflow.operators import calendar, chunking, glossary, ingest, outline, routing, search, usage
 from kagajflow.sources import tables
 from kagajflow.streaming import usage as stream_usage
 
@@ -153,3 +153,32 @@ def test_answers_are_checked(spark):
     cases = spark.createDataFrame([("दफा १", ["दफा"], ["x"], 2, 1), ("y", ["दफा"], ["y"], 0, 1)], "answer string, must array<string>, must_not array<string>, sources int, min_sources int")
     found = usage.check_answers(cases).orderBy("answer").collect()
     assert [r["passed"] for r in found] == [False, True] and found[0]["failures"] == ["missing दफा", "has y", "too few sources"]
+
+
+def test_cleaning(spark):
+    assert one(spark, cleaning.cleaned(F.lit("कानू न र  म ा छ "), [(r"छ\s*$", "छन्")])) == "कानून र मा छन्"
+    assert one(spark, cleaning.to_devanagari(F.lit("Nepal Ko kanun xyz"), [("nepal ko", "नेपालको")], {"kanun": "कानून"})) == "नेपालको कानून xyz"
+    assert one(spark, cleaning.quality_ok(F.lit("क (१) ख ।"), F.lit("का (१) ख ।"))) and not one(spark, cleaning.quality_ok(F.lit("क ।"), F.lit("क")))
+    assert one(spark, cleaning.legal_numerals(F.lit("see dafa 12 and 7"))) == "see दफा १२ and 7"
+    assert one(spark, cleaning.less_latin(F.lit("a क"), F.lit("क"))) == "क"
+
+
+def test_references_and_paths(spark):
+    assert tuple(one(spark, routing.reference_in(F.lit("दफा १७५ को उपदफा (२)")))) == (175, 2, None, None)
+    assert one(spark, routing.reference_in(F.lit("show dafa_12_upadafa_3")))["chunk_id"] == "dafa_12_upadafa_3"
+    content = F.lit("[भाग-१, दफा १३]: परिभाषाः -> (२) -> (ख) पाठ (३)")
+    assert one(spark, outline.path_of(content)) == ["(२)", "(ख)"] and one(spark, outline.part_order(outline.path_of(content))) == 20_002
+    assert one(spark, outline.part_order(outline.path_of(F.lit("[दफा १]: शीर्षक")))) == 999_999
+
+
+def test_reconciling_prefers_the_numbered_section(spark):
+    taxonomy = spark.createDataFrame([("civil", 13, "करारको परिभाषा"), ("civil", 14, "करारको परिणाम"), ("penal", 13, "कसूर")], "book_id string, root int, title string")
+    names = spark.createDataFrame([(1, "दफा १४ करारको परि", "civil"), (1, "कसूर", "penal"), (2, "zzz", "civil")], "query_id int, name string, book_id string")
+    found = {r["name"]: r["root"] for r in routing.reconcile(names, taxonomy).collect()}
+    assert found == {"दफा १४ करारको परि": 14, "कसूर": 13}
+
+
+def test_cascade_takes_the_first_stage_with_rows(spark):
+    first = spark.createDataFrame([(1, 10, 1.0)], "query_id int, id int, similarity double")
+    second = spark.createDataFrame([(1, 11, 0.5), (2, 12, 0.4)], "query_id int, id int, similarity double")
+    assert rows(routing.cascade(first, second).select("query_id", "id"), "query_id") == [(1, 10), (2, 12)]
