@@ -15,6 +15,8 @@ from ..functions.text import tokens
 from ..functions.vectors import cosine
 
 DIGITS, BATCH = 6, 1000
+#: Added before sums are rounded, so that a half rounds up whatever its last binary digit.
+NUDGE = 1e-9
 RRF_K = 60
 
 
@@ -105,7 +107,7 @@ def cross_book(queries: DataFrame, corpus: DataFrame, books: list[str], k: int,
         score = F.greatest("vector", F.coalesce("keyword", F.lit(0.0)))
     else:
         score = F.when(F.col("keyword") >= 0.15, 0.4 * F.col("vector") + 0.6 * F.col("keyword")).otherwise(0.7 * F.col("vector"))
-    return ranked(kept.select("query_id", "id", F.round(score, DIGITS).alias("similarity")), "similarity", most=k)
+    return ranked(kept.select("query_id", "id", F.round(score + NUDGE, DIGITS).alias("similarity")), "similarity", most=k)
 
 
 #: Boosts of the scored hybrid search by version: pool, act, chapter, range, exact section, keyword.
@@ -133,5 +135,5 @@ def boosted(queries: DataFrame, corpus: DataFrame, k: int, version: int = 3) ->
         + boost(is_exact, exact)
         + keyword * F.coalesce("keyword", F.lit(0.0))
     )
-    final = placed.join(hits, ["query_id", "id"], "left").select("query_id", "id", F.round(total, DIGITS).alias("similarity"))
+    final = placed.join(hits, ["query_id", "id"], "left").select("query_id", "id", F.round(total + NUDGE, DIGITS).alias("similarity"))
     return ranked(final, "similarity", most=k)

@@ -134,9 +134,9 @@ _CROSS = f"""{WITH}, matched AS (SELECT query_id, id, least(1.0, 8.0 * hits / (h
   SELECT query_id, id, coalesce(vector, 0) AS vector, keyword FROM near LEFT JOIN matched USING (query_id, id)
   WHERE book_id IN ('en', 'de') AND (parichhed_no = 1 OR coalesce(vector, 0) > 0.60 OR keyword IS NOT NULL)
 )"""
-CROSS_BOOK_V2 = f"""{_CROSS}, scored AS (SELECT query_id, id, round(CASE WHEN keyword >= 0.15 THEN 0.4::DOUBLE * vector + 0.6::DOUBLE * keyword ELSE 0.7::DOUBLE * vector END, 6) AS similarity FROM pool)
+CROSS_BOOK_V2 = f"""{_CROSS}, scored AS (SELECT query_id, id, round(CASE WHEN keyword >= 0.15 THEN 0.4::DOUBLE * vector + 0.6::DOUBLE * keyword ELSE 0.7::DOUBLE * vector END + 1e-9::DOUBLE, 6) AS similarity FROM pool)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored QUALIFY rank <= 24"""
-CROSS_BOOK_V1 = f"""{_CROSS}, scored AS (SELECT query_id, id, round(greatest(vector, coalesce(keyword, 0)), 6)::DOUBLE AS similarity FROM pool)
+CROSS_BOOK_V1 = f"""{_CROSS}, scored AS (SELECT query_id, id, round(greatest(vector, coalesce(keyword, 0))::DOUBLE + 1e-9::DOUBLE, 6) AS similarity FROM pool)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored QUALIFY rank <= 24"""
 
 
@@ -160,7 +160,7 @@ def _boosted_sql(version: int) -> str:
 ), matched AS (SELECT query_id, id, least(1.0, 8.0 * hits / (hits + 1))::DOUBLE AS keyword FROM hits WHERE found = n_terms), scored AS (
   SELECT query_id, id, round(vector + CASE WHEN query_id % 2 = 0 AND book_id = 'fr' THEN {act}::DOUBLE ELSE 0 END + CASE WHEN query_id % 3 = 0 AND parichhed_no = query_id + 1 THEN {chapter}::DOUBLE ELSE 0 END
     + CASE WHEN root BETWEEN query_id * 2 AND query_id * 2 + 5 THEN {in_range}::DOUBLE ELSE 0 END + CASE WHEN root IN (query_id, query_id + 20) THEN {exact}::DOUBLE ELSE 0 END
-    + {keyword}::DOUBLE * coalesce(keyword, 0), 6) AS similarity FROM placed LEFT JOIN matched USING (query_id, id)
+    + {keyword}::DOUBLE * coalesce(keyword, 0) + 1e-9::DOUBLE, 6) AS similarity FROM placed LEFT JOIN matched USING (query_id, id)
 ) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored QUALIFY rank <= 24"""
 
 

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def duck(folder):
@@ -18,10 +19,10 @@ def plain(frame):
     frame = frame[sorted(frame.columns)]
 
     def value(x):
-        if x is None or x != x:
-            return None
         if hasattr(x, "tolist") and getattr(x, "shape", ()) != ():
             return tuple(x.tolist())
+        if pd.isna(x):
+            return None
         if isinstance(x, float):
             return round(x, 6)
         return x.item() if hasattr(x, "item") else x
