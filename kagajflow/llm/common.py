@@ -63,9 +63,11 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").alias("doc_id"), text_hash(F.col("text")).alias("h"))
 
 
-def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs but for the rows that have one of the keys (doc_id, h)."""
+def without_rows(docs: DataFrame, keys: DataFrame, many: bool = False) -> DataFrame:
+    """docs but for the rows that have one of the keys (doc_id, h). Many keys, a share of the rows, are never broadcast."""
     gone = keys.select("doc_id", "h").distinct()
+    if many:
+        gone = gone.hint("merge")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (text_hash(docs["text"]) == gone["h"]), "left_anti")
 
 

@@ -133,7 +133,7 @@ def surplus(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, bool]:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of near duplicates (five words, similarity 0.8)."""
     gone, repeats = surplus(docs)
-    kept = common.without_rows(docs, gone)
+    kept = common.without_rows(docs, gone, many=True)
     if repeats:  # equal rows: one stays
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
     return kept
