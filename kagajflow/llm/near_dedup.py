@@ -2,7 +2,7 @@
 
 SimHash bits of two texts differ in proportion to the angle between their shingles. A similarity of 0.8 lets 15 % of the bits
 differ, too many for pruning over a whole corpus; so rows first meet in blocks: each document in those of its ANCHORS smallest
-shingle hashes, of which texts with that similarity share nearly all. In a block the trie of 256-bit fingerprints is joined with
+shingle hashes, of which texts with that similarity share nearly all. In a block the trie of 512-bit fingerprints is joined with
 itself within the error budget. A block beyond SLICE documents is dealt in slices, every pair of slices to a task of its own, so
 all its pairs are looked at whatever its size. Equal texts are one node from the start; tasks return connecting links only.
 """
@@ -20,7 +20,7 @@ from . import common
 from .components import components
 from .op8_simhash import pairs_within, roots_of, shingle_hashes
 
-SHINGLE, WORDS, BUDGET = 5, 4, 42
+SHINGLE, WORDS, BUDGET = 5, 8, 88
 ANCHORS, SLICE = 8, 4096
 CHUNK = 1 << 14
 
