@@ -12,6 +12,7 @@ rows; only the id and text columns are read. A text is tokenized whole, whatever
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from . import common, tokens
 
 CAPACITY = 2048
 BLOCK = 2 << 20
-#: Hash groups for numbering: this many pieces of one length in a group, on average, at most.
-GROUP = 20_000
+#: Hash groups for numbering have this many pieces of one length, or the square root of the commonest length's count if that is more.
+GROUP = 256
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -132,7 +133,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     """id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     cut = common.stored(pieces(df, id_col, text_col, tokenizer, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    groups = max(1, -(-max(counts.values(), default=0) // GROUP))
+    most = max(counts.values(), default=0)
+    groups = max(1, -(-most // max(GROUP, math.isqrt(most))))
     place = df.sparkSession.sparkContext.broadcast(slots(recipes(counts, capacity)))
     grouped = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).cast("int"))
     first = grouped.groupBy("length", "_group").agg(F.count("*").alias("_n"))
