@@ -1,15 +1,20 @@
-"""Near-dedup of documents by operator 8's trie join on wide fingerprints, for similarities well below equality.
+"""Near-dedup of documents: operator 8's trie join on wide fingerprints proposes pairs, their shingle sets decide.
 
-SimHash bits of two texts differ in proportion to the angle between their shingles. A similarity of 0.8 lets 15 % of the bits
+SimHash bits of two texts differ in proportion to the angle between their shingle sets. A similarity of 0.8 lets 15 % of the bits
 differ, too many for pruning over a whole corpus; so rows first meet in blocks: each document in those of its ANCHORS smallest
 shingle hashes, of which texts with that similarity share nearly all. In a block the trie of 512-bit fingerprints is joined with
-itself within the error budget. A block beyond SLICE documents is dealt in slices, every pair of slices to a task of its own, so
-all its pairs are looked at whatever its size. Equal texts are one node from the start; tasks return connecting links only.
+itself within BUDGET, six standard deviations beyond what a similarity of 0.8 lets differ on average (sets of four and five
+shingles, whose bits differ most: three and a half).
+
+What is connected so far is a group of candidates. Their texts are read again, and two of a group are linked only where they are
+within BUDGET and their sets of shingles (64-bit hashes) have a similarity of SIMILARITY or more. A block or group beyond SLICE
+documents (a group also beyond WEIGHT shingles) is dealt in slices, every pair of slices to a task of its own, so all its pairs
+are looked at whatever its size. Equal texts are one node from the start; tasks return connecting links only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +25,8 @@ from . import common
 from .components import components
 from .op8_simhash import pairs_within, roots_of, shingle_hashes
 
-SHINGLE, WORDS, BUDGET = 5, 8, 88
-ANCHORS, SLICE = 8, 4096
+SHINGLE, WORDS, BUDGET, SIMILARITY = 5, 8, 128, 0.8
+ANCHORS, SLICE, WEIGHT = 8, 4096, 1 << 21
 CHUNK = 1 << 14
 
 
@@ -33,33 +38,39 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(the fingerprint's words, the smallest shingle hashes) of a text."""
-    votes, n, least = np.zeros((WORDS, 64), np.int64), 0, np.zeros(0, np.uint64)
+def shingle_set(data: bytes) -> np.ndarray:
+    """The different shingles' hashes, in order."""
+    found = np.zeros(0, np.uint64)
     for hashes in shingle_hashes(data, SHINGLE):
-        least = np.unique(np.concatenate([least, hashes]))[:ANCHORS]
-        for at in range(0, len(hashes), CHUNK):
-            part = hashes[at : at + CHUNK]
-            for k in range(WORDS):
-                votes[k] += np.unpackbits(mixed(part, k + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(hashes)
-    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8").ravel(), least
+        found = np.unique(np.concatenate([found, hashes]))
+    return found
+
+
+def sketch(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(the fingerprint's words, the smallest shingle hashes, the number of shingles) of a text; each shingle counts once."""
+    found = shingle_set(data)
+    votes = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(found), CHUNK):
+        part = found[at : at + CHUNK]
+        for k in range(WORDS):
+            votes[k] += np.unpackbits(mixed(part, k + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(found), axis=1, bitorder="little").view("<u8").ravel(), found[:ANCHORS], len(found)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h, bits, anchors of each row."""
+    """doc_id, h, bits, anchors, size of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = common.utf8_of(batch.column(2))
             at = at.tolist()
             found = [sketch(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            bits, anchors = ([x[k].view(np.int64) for x in found] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64())), pa.array(anchors, pa.list_(pa.int64()))], names=["doc_id", "h", "bits", "anchors"])
+            bits, anchors = (pa.array([x[k].view(np.int64) for x in found], pa.list_(pa.int64())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, anchors, pa.array([x[2] for x in found], pa.int64())], names=["doc_id", "h", "bits", "anchors", "size"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(common.row_key().alias("k"), F.col("text").cast("string").alias("text")).select("k.doc_id", "k.h", "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, bits array<long>, anchors array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, bits array<long>, anchors array<long>, size long")
 
 
 def group_links(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,34 +94,101 @@ def group_links(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, budget:
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def block_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Links (a, b) between nodes (node, bits, anchors) that share an anchor and differ in at most `budget` bits."""
-    rows = nodes.select("node", "bits", F.explode("anchors").alias("anchor"))
-    large = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SLICE).select("anchor", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-    rows = rows.join(large, "anchor", "left").withColumn("slice", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))).cast("int"))
+def alike_links(keys: np.ndarray, nodes: np.ndarray, shingles: np.ndarray, at: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect, of one group, the nodes whose keys are near and whose sets, shingles[at[i]:at[i + 1]], are alike."""
+    order = np.lexsort(keys.T[::-1])
+    keys, nodes, first, size = keys[order], nodes[order], at[:-1][order], np.diff(at)[order]
+    names = np.unique(shingles, return_inverse=True)[1]
+    marked, root = np.zeros(len(names), bool), np.arange(len(nodes))
+    for i, j in pairs_within(keys, 0, [(0, len(nodes), 0, len(nodes))], budget, leaf=1024):
+        # sets whose sizes differ by more can't be so alike
+        maybe = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        by = np.argsort(i[maybe], kind="stable")
+        i, j = i[maybe][by], j[maybe][by]
+        cuts = np.flatnonzero(np.diff(i, prepend=-1))
+        for x, others in zip(i[cuts].tolist(), np.split(j, cuts[1:]), strict=False):
+            others = others[root[others] != root[x]]
+            if not len(others):
+                continue
+            own, n = names[first[x] : first[x] + size[x]], size[others]
+            ends = np.cumsum(n)
+            places = np.arange(ends[-1]) + np.repeat(first[others] - (ends - n), n)
+            marked[own] = True
+            shared = np.add.reduceat(marked[names[places]], ends - n, dtype=np.int64)
+            marked[own] = False
+            alike = others[shared * (1 + similarity) >= similarity * (size[x] + n) - 1e-9]
+            if len(alike):
+                joined = np.unique(root[np.append(alike, x)])
+                root[np.isin(root, joined)] = joined[0]
+    hung = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[hung]], nodes[hung]
+
+
+def dealt(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with i and j: a group of the key is dealt in slices of about SLICE rows and WEIGHT of size, each row to every pair of slices that its own is in."""
+    slices = F.ceil(F.greatest(F.count("*") / SLICE, F.sum(size) / WEIGHT)).cast("int")
+    large = rows.groupBy(key).agg(slices.alias("slices")).where("slices > 1")
+    rows = rows.join(large, key, "left").withColumn("slice", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    rows = rows.select("anchor", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "node", "bits")
+    return rows.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).drop("slices", "slice", "other")
+
+
+def linked(rows: DataFrame, key: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The links (a, b) that `links` finds in the groups (key, i, j), given rows and where their groups begin and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(part: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-            bits = part.column("bits").combine_chunks()
-            keys = bits.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-            a, b = group_links(keys, part.column("node").to_numpy(), bounds, budget)
+        def found(part: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            a, b = links(part, bounds)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held = None  # the rows of the last group, which may go on
         for batch in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            anchor, i, j = (held.column(k).to_numpy() for k in ("anchor", "i", "j"))
-            cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            group, i, j = (held.column(k).to_numpy() for k in (key, "i", "j"))
+            cuts = np.flatnonzero((group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             if len(cuts):
-                yield links(held.slice(0, int(cuts[-1])).combine_chunks(), np.concatenate([[0], cuts]))
+                yield found(held.slice(0, int(cuts[-1])).combine_chunks(), np.concatenate([[0], cuts]))
                 held = held.slice(int(cuts[-1])).combine_chunks()
         if held is not None and len(held):
-            yield links(held.combine_chunks(), np.array([0, len(held)]))
+            yield found(held.combine_chunks(), np.array([0, len(held)]))
+
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j").mapInArrow(run, "a long, b long")
+
+
+def bits_of(part: pa.Table) -> np.ndarray:
+    return part.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def block_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Links (a, b) between nodes (node, bits, anchors) that share an anchor and differ in at most `budget` bits."""
+    rows = nodes.select("node", "bits", F.explode("anchors").alias("anchor"), F.lit(0).alias("none"))
+
+    def links(part: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return group_links(bits_of(part), part.column("node").to_numpy(), bounds, budget)
+
+    return linked(dealt(rows, "anchor", "none").drop("none"), "anchor", links)
+
+
+def set_links(texts: DataFrame, budget: int = BUDGET, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of the same group of candidates (node, grp, i, j, bits, text) whose shingle sets are alike."""
 
-    key = ["anchor", "i", "j"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = common.utf8_of(batch.column(0))
+            at = at.tolist()
+            found = [shingle_set(data[a:b].tobytes()).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int64()))], names=["grp", "places", "node", "bits", "shingles"])
+
+    def links(part: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, nodes, column = bits_of(part), part.column("node").to_numpy(), part.column("shingles").combine_chunks()
+        at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        shingles = column.flatten().to_numpy()
+        found = [alike_links(keys[a:b], nodes[a:b], shingles[at[a] : at[b]], at[a : b + 1] - at[a], budget, similarity) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    rows = texts.select("text", "grp", "places", "node", "bits").mapInArrow(sets, "grp long, places array<struct<i:int,j:int>>, node long, bits array<long>, shingles array<long>")
+    rows = rows.select("grp", F.explode("places").alias("p"), "node", "bits", "shingles").select("grp", "p.i", "p.j", "node", "bits", "shingles")
+    return linked(rows, "grp", links)
 
 
 def surplus(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, bool]:
@@ -119,14 +197,21 @@ def surplus(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, bool]:
     Of a class its smallest id stays (of rows with that id the smallest hash). Rows without id stay where all equal ones have none.
     """
     rows = common.stored(sketches(docs), "sketches")
-    nodes = common.stored(rows.groupBy("h", "bits").agg(F.min("doc_id").cast("long").alias("node"), F.first("anchors").alias("anchors")).where("node is not null"), "texts")
+    nodes = common.stored(rows.groupBy("h", "bits").agg(F.min("doc_id").cast("long").alias("node"), F.first("anchors").alias("anchors"), F.first("size").alias("size")).where("node is not null"), "texts")
     # Texts that share their smallest id are told apart by nothing else: they are one node, with the anchors of all.
-    roots = components(block_links(nodes.select("node", "bits", "anchors"), budget))
+    groups = components(block_links(nodes.select("node", "bits", "anchors"), budget)).withColumnRenamed("root", "grp")
+    places = dealt(nodes.join(groups, "node").select("grp", "node", "h", "bits", "size"), "grp", "size")
+    places = places.groupBy("node", "h").agg(F.first("grp").alias("grp"), F.first("bits").alias("bits"), F.collect_list(F.struct("i", "j")).alias("places"))
+    repeats = not rows.where("doc_id is not null").groupBy("doc_id", "h").count().where("count > 1").isEmpty()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), common.text_hash(F.col("text")).alias("h"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(common.stored(places, "candidates").hint("merge"), ["node", "h"])
+    if repeats:
+        texts = texts.dropDuplicates(["node", "h"])
+    roots = components(set_links(texts, budget))
     classes = nodes.join(roots, "node", "left").select(F.col("h").alias("_h"), F.col("bits").alias("_bits"), F.coalesce("root", "node").alias("component"))
     placed = common.stored(rows.join(classes, (F.col("h") == F.col("_h")) & (F.col("bits") == F.col("_bits"))).select("doc_id", "h", "component"), "classes")
     stays = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m")).select("component", F.col("m.doc_id").alias("keep_id"), F.col("m.h").alias("keep_h"))
     gone = placed.join(stays, "component").where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")))).select("doc_id", "h")
-    repeats = not rows.where("doc_id is not null").groupBy("doc_id", "h").count().where("count > 1").isEmpty()
     return common.stored(gone, "surplus"), repeats
 
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kagajflow.llm import common, op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op10_token_counts, registry, tokens
+from kagajflow.llm import common, near_dedup, op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op10_token_counts, registry, tokens
 
 
 @pytest.fixture(scope="module")
@@ -265,6 +265,36 @@ def test_near_duplicates_of_five_words(spark, data, texts):
     assert all(max(alike(i, j) for j in texts if j != i) > 0.55 for i in set(texts) - kept)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Isolated pairs on either side of 0.8, whole sets and pairs with a repeated passage: each is judged by its sets alone."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+
+    def pair(shared, own):  # `own` words before and behind a common run give each text so many shingles of its own
+        middle = [word() for _ in range(shared + 4)]
+        return [*(word() for _ in range(own)), *middle], [*middle, *(word() for _ in range(own))]
+
+    rows, one, both = [], set(), set()
+    for n in range(300):
+        a, b = pair(80, 10)  # 80 of 100
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        one.add(2 * n)
+    for n in range(300, 400):
+        a, b = pair(79, 11)  # 79 of 101
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        both |= {2 * n, 2 * n + 1}
+    for n in range(400, 440):  # one of the two repeats 40 words fourteen times
+        a, b = pair(160, 5)
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join([*b, *(b[20:60] * 14)]))]
+        one.add(2 * n)
+    for n in range(440, 640):  # four of five
+        a, b = pair(4, 1)
+        rows += [(2 * n, " ".join(a[1:])), (2 * n + 1, " ".join(b))]
+        one.add(2 * n)
+    kept = {r["doc_id"] for r in near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == one | both
+
+
 # 7 and 9
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, data, name):
