@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as their lower-cased words (letters and digits). An item of m words may differ from a passage in k words, a
-fifth of m: cut into k + 1 pieces, at least one piece then occurs in the passage as it is. All pieces of a block of items are
-searched in a text at once (an Aho-Corasick automaton); around each hit Myers' bit-parallel algorithm gives the smallest edit
-distance of the item to any passage there, in words. What is within the budget contaminates the document.
+Texts are compared as their lower-cased words (letters and digits; each character of a script that is written without blanks is a
+word). An item of m words may differ from a passage in k words, a fifth of m: cut into k + 1 pieces, at least one piece then occurs
+in the passage as it is. All pieces of a block of items are searched in a text at once (an Aho-Corasick automaton); around each hit
+Myers' bit-parallel algorithm gives the smallest edit distance of the item to any passage there, in words. What is within the
+budget contaminates the document. An item of fewer than MIN_WORDS words must occur as it is: its budget is 0.
 
 Items come in blocks of bounded size, each block in one pass over all documents, so the benchmark may be of any size and texts are
-never shuffled. Items of fewer than MIN_WORDS words say too little to be searched. Null and empty texts hit nothing; repeated
-documents and items are each reported; an empty benchmark contaminates nothing. Only id and text columns are read.
+never shuffled. Items without a word aren't searched. Null and empty texts hit nothing; repeated documents and items are each
+reported; an empty benchmark contaminates nothing. Only id and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from . import common
 
 SHARE, MIN_WORDS, BLOCK_BYTES = 0.2, 5, 2_000_000
 NOT_WORD = re.compile(r"[\W_]+")
+#: Thai, Lao, Myanmar, Khmer; kana, bopomofo, Chinese characters and their extensions; half-width kana.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 
 
 def words_of(text: str) -> str:
     """The words with one blank before, between and after them."""
-    return f" {NOT_WORD.sub(' ', text.lower()).strip()} "
+    low = text.lower()
+    return f" {NOT_WORD.sub(' ', low if low.isascii() else UNSPACED.sub(r' \1 ', low)).strip()} "
 
 
 def pieces_of(words: list[str], budget: int) -> list[tuple[int, int]]:
@@ -68,9 +72,9 @@ class Searcher:
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text or "").split()
-            if len(words) < min_words:
+            if not words:
                 continue
-            budget = int(share * len(words) + 1e-9)
+            budget = int(share * len(words) + 1e-9) if len(words) >= min_words else 0
             for a, b in pieces_of(words, budget):
                 places.setdefault(f" {' '.join(words[a:b])} ", []).append((len(self.items), a))
             self.items.append((item_id, words, budget))

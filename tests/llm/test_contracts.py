@@ -205,6 +205,13 @@ def test_decontamination_like_brute_force(spark, data, texts):
     assert all(whole[10_000 + i] for i in range(12))
 
 
+def test_short_items_and_texts_without_blanks(spark):
+    items = [(1, "Tie"), (2, "two words"), (3, "今天的天气非常好，我们去公园。"), (4, "วันนี้อากาศดีมาก"), (5, "東京"), (6, "?!"), (7, None)]
+    texts = [(1, "a tie."), (2, "ties, two-words"), (3, "two other words"), (4, "他说：今天的天气非常好，我们去公园。好。"), (5, "今天天气非常好我们去公园"), (6, "เธอบอกว่าวันนี้อากาศดีมากจริงๆ"), (7, "新東京駅"), (8, "東西京")]
+    found = op6_decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_ids"] for r in found.collect()} == {1: [1], 2: [2], 3: [], 4: [3], 5: [3], 6: [4], 7: [5], 8: []}
+
+
 # 7
 def test_fixity(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
