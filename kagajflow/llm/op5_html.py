@@ -2,7 +2,9 @@
 
 Markup is stripped into lines, one for each block. Lines of menus, headers, footers, sidebars, notices, adverts, forms, scripts
 and reader comments count as empty. The length of a line and of the next two are summed; where the sums surge the main text
-begins, where they dive to nothing it ends, and all lines between are kept. Where the page marks an article, only its lines count.
+begins, where they dive to nothing it ends, and all lines between are kept. Where the page marks an article, the line blocks inside
+and outside of the mark are compared: if the largest stands inside, the mark bounds the text and all its lines are kept; if it
+stands outside (teasers marked as articles beside an unmarked body), the mark is ignored.
 
 Null and empty html give an empty text. Repeated rows are kept, an empty table gives none, only the named columns are read.
 Broken markup is read as browsers do in the main: unclosed tags end with their parents, a raw element without end takes the rest.
@@ -139,19 +141,30 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
+def blocks_of(lengths: list[int]) -> tuple[list[bool], int]:
+    """Which lines stand in a line block, from a surge to the dive behind it, and the length of the largest block."""
+    padded = lengths + [0] * WINDOW
+    keep, inside, size, largest = [False] * len(lengths), False, 0, 0
+    for i, n in enumerate(lengths):
+        total = sum(padded[i : i + WINDOW])
+        inside = total > SURGE or inside and total > 0
+        keep[i] = inside
+        size = size + n if inside else 0
+        largest = max(largest, size)
+    return keep, largest
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
+    lengths = [free if not aside and 2 * free >= len(line) else 0 for line, aside, _, free in lines]
     marked = any(main and not aside for _, aside, main, _ in lines)
-    body = [(line, free if not aside and (main or not marked) and 2 * free >= len(line) else 0, not aside and (main or not marked)) for line, aside, main, free in lines]
-    lengths = [n for _, n, _ in body] + [0] * WINDOW
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(body))]
-    keep, inside = [False] * len(body), False
-    for i, total in enumerate(sums):
-        inside = total > SURGE or inside and total > 0
-        keep[i] = inside
+    if marked:  # the mark bounds the text, unless the largest block stands outside
+        within, outside = (blocks_of([n if main == side else 0 for n, (_, _, main, _) in zip(lengths, lines, strict=True)])[1] for side in (True, False))
+        marked = within >= outside
+    keep, _ = blocks_of(lengths)
     if marked or not any(keep):  # the article's own bounds are surge and dive, or all is too short for a surge
-        keep = [True] * len(body)
-    return "\n".join(line for (line, _, own), kept in zip(body, keep, strict=True) if own and kept)
+        keep = [main or not marked for _, _, main, _ in lines]
+    return "\n".join(line for (line, aside, _, _), kept in zip(lines, keep, strict=True) if kept and not aside)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

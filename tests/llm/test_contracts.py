@@ -162,6 +162,15 @@ def test_line_blocks_without_an_article():
     assert op5_html.main_text("<article><p>x<p>y<aside>z</aside><div class=ad>buy</div></article>") == "x\ny"
 
 
+def test_body_beside_marked_teasers():
+    cards = "".join(f"<article><h3><a href=x>card {i}</a></h3><p>read this too</p></article>" for i in range(4))
+    body = "".join(f"<p>{'words of the story go on ' * 5}{i}</p>" for i in range(5))
+    found = op5_html.main_text(f"<body><div class=body>{body}</div>{'<p><a href=y>more of it</a></p>' * 4}{cards}</body>").split("\n")
+    assert [x for x in found if x.startswith("words of the story")] == [f"{'words of the story go on ' * 5}{i}" for i in range(5)]
+    assert not any("read this" in x for x in found)
+    assert op5_html.main_text(f"<body>{'<p>a short line</p>' * 3}<article>{body}<p>short</p></article></body>").split("\n")[-1] == "short"
+
+
 # 6
 def plain_distance(pattern, text):
     row = [0] * (len(text) + 1)
