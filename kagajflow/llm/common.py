@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a new temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine (tests) a new temporary one is set if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -63,14 +65,18 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").alias("doc_id"), text_hash(F.col("text")).alias("h"))
 
 
-def without_rows(docs: DataFrame, keys: DataFrame, many: bool = False) -> DataFrame:
-    """docs but for the rows that have one of the keys (doc_id, h). Many keys, a share of the rows, are never broadcast."""
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but for the rows that have one of the keys (doc_id, h)."""
     gone = keys.select("doc_id", "h").distinct()
-    if many:
-        gone = gone.hint("merge")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (text_hash(docs["text"]) == gone["h"]), "left_anti")
 
 
+def with_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs that have one of the keys (doc_id, h): a share of all rows, so never broadcast."""
+    kept = keys.select("doc_id", "h").hint("merge")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (text_hash(docs["text"]) == kept["h"]), "left_semi")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:

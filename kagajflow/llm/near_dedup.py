@@ -7,26 +7,33 @@ itself within BUDGET, six standard deviations beyond what a similarity of 0.8 le
 shingles, whose bits differ most: three and a half).
 
 What is connected so far is a group of candidates. Their texts are read again, and two of a group are linked only where they are
-within BUDGET and their sets of shingles (64-bit hashes) have a similarity of SIMILARITY or more. A block or group beyond SLICE
+within BUDGET and their sets of shingles (64-bit hashes) have a similarity of SIMILARITY or more. Texts so alike have set sizes
+within that ratio: a block of many texts (a shingle of boilerplate) falls apart by bands of sizes. A block or group beyond SLICE
 documents (a group also beyond WEIGHT shingles) is dealt in slices, every pair of slices to a task of its own, so all its pairs
 are looked at whatever its size. Equal texts are one node from the start; tasks return connecting links only.
+
+Nodes are texts, not ids: texts that share an id are told apart. Of a class the row with the smallest id stays, a row without id
+only where no other has one; of different texts with that id the one with the smallest hash; of equal rows one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 from .components import components
 from .op8_simhash import pairs_within, roots_of, shingle_hashes
 
 SHINGLE, WORDS, BUDGET, SIMILARITY = 5, 8, 128, 0.8
-ANCHORS, SLICE, WEIGHT = 8, 4096, 1 << 21
+ANCHORS, WEIGHT = 8, 1 << 21
+#: Sizes of sets that are so alike are in one band or in neighbouring ones.
+BAND = math.log(1 / (SIMILARITY - 0.01))
 CHUNK = 1 << 14
 
 
@@ -73,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, h long, bits array<long>, anchors array<long>, size long")
 
 
-def group_links(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def group_links(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, budget: int) -> blocks.Links:
     """Links that connect, within each group of rows, nodes whose keys are near."""
     out_a, out_b = [], []
     size = np.diff(bounds)
@@ -91,10 +98,10 @@ def group_links(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, budget:
         hung = np.flatnonzero(root != np.arange(len(own)))
         out_a.append(own[root[hung]])
         out_b.append(own[hung])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else blocks.NONE
 
 
-def alike_links(keys: np.ndarray, nodes: np.ndarray, shingles: np.ndarray, at: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def alike_links(keys: np.ndarray, nodes: np.ndarray, shingles: np.ndarray, at: np.ndarray, budget: int, similarity: float) -> blocks.Links:
     """Links that connect, of one group, the nodes whose keys are near and whose sets, shingles[at[i]:at[i + 1]], are alike."""
     order = np.lexsort(keys.T[::-1])
     keys, nodes, first, size = keys[order], nodes[order], at[:-1][order], np.diff(at)[order]
@@ -124,49 +131,21 @@ def alike_links(keys: np.ndarray, nodes: np.ndarray, shingles: np.ndarray, at: n
     return nodes[root[hung]], nodes[hung]
 
 
-def dealt(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """rows with i and j: a group of the key is dealt in slices of about SLICE rows and WEIGHT of size, each row to every pair of slices that its own is in."""
-    slices = F.ceil(F.greatest(F.count("*") / SLICE, F.sum(size) / WEIGHT)).cast("int")
-    large = rows.groupBy(key).agg(slices.alias("slices")).where("slices > 1")
-    rows = rows.join(large, key, "left").withColumn("slice", F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    return rows.withColumns({"i": F.least("slice", "other"), "j": F.greatest("slice", "other")}).drop("slices", "slice", "other")
-
-
-def linked(rows: DataFrame, key: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """The links (a, b) that `links` finds in the groups (key, i, j), given rows and where their groups begin and end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-            a, b = links(part, bounds)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        held = None  # the rows of the last group, which may go on
-        for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            group, i, j = (held.column(k).to_numpy() for k in (key, "i", "j"))
-            cuts = np.flatnonzero((group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            if len(cuts):
-                yield found(held.slice(0, int(cuts[-1])).combine_chunks(), np.concatenate([[0], cuts]))
-                held = held.slice(int(cuts[-1])).combine_chunks()
-        if held is not None and len(held):
-            yield found(held.combine_chunks(), np.array([0, len(held)]))
-
-    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j").mapInArrow(run, "a long, b long")
-
-
 def bits_of(part: pa.Table) -> np.ndarray:
     return part.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
 
 
 def block_links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Links (a, b) between nodes (node, bits, anchors) that share an anchor and differ in at most `budget` bits."""
-    rows = nodes.select("node", "bits", F.explode("anchors").alias("anchor"), F.lit(0).alias("none"))
+    """Links (a, b) between nodes (node, bits, anchors, size) that share an anchor and differ in at most `budget` bits, of sizes that allow SIMILARITY."""
+    rows = nodes.select("node", "bits", F.explode("anchors").alias("anchor"), F.floor(F.log(F.greatest("size", F.lit(1))) / BAND).cast("int").alias("band"))
+    hot = rows.groupBy("anchor").count().where(F.col("count") > blocks.SLICE).select("anchor", F.lit(True).alias("hot"))
+    bands = F.when(F.col("hot"), F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))
+    rows = rows.join(hot, "anchor", "left").select("node", "bits", "anchor", F.explode(bands).alias("band"))
 
-    def links(part: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(part: pa.Table, bounds: np.ndarray) -> blocks.Links:
         return group_links(bits_of(part), part.column("node").to_numpy(), bounds, budget)
 
-    return linked(dealt(rows, "anchor", "none").drop("none"), "anchor", links)
+    return blocks.linked(blocks.dealt(rows, ["anchor", "band"]), ["anchor", "band"], links)
 
 
 def set_links(texts: DataFrame, budget: int = BUDGET, similarity: float = SIMILARITY) -> DataFrame:
@@ -179,46 +158,45 @@ def set_links(texts: DataFrame, budget: int = BUDGET, similarity: float = SIMILA
             found = [shingle_set(data[a:b].tobytes()).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int64()))], names=["grp", "places", "node", "bits", "shingles"])
 
-    def links(part: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(part: pa.Table, bounds: np.ndarray) -> blocks.Links:
         keys, nodes, column = bits_of(part), part.column("node").to_numpy(), part.column("shingles").combine_chunks()
         at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
         shingles = column.flatten().to_numpy()
         found = [alike_links(keys[a:b], nodes[a:b], shingles[at[a] : at[b]], at[a : b + 1] - at[a], budget, similarity) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else blocks.NONE
 
     rows = texts.select("text", "grp", "places", "node", "bits").mapInArrow(sets, "grp long, places array<struct<i:int,j:int>>, node long, bits array<long>, shingles array<long>")
     rows = rows.select("grp", F.explode("places").alias("p"), "node", "bits", "shingles").select("grp", "p.i", "p.j", "node", "bits", "shingles")
-    return linked(rows, "grp", links)
+    return blocks.linked(rows, ["grp"], links)
 
 
-def surplus(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, bool]:
-    """(doc_id, h) of the rows that a class of near duplicates can spare, and whether equal rows repeat.
+def keepers(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, bool]:
+    """(doc_id, h) of the row that stays of each class of near duplicates, and whether equal rows repeat.
 
-    Of a class its smallest id stays (of rows with that id the smallest hash). Rows without id stay where all equal ones have none.
+    Classes are found and reduced on different texts, each known by one of its rows, so copies are never dealt by their class.
     """
     rows = common.stored(sketches(docs), "sketches")
-    nodes = common.stored(rows.groupBy("h", "bits").agg(F.min("doc_id").cast("long").alias("node"), F.first("anchors").alias("anchors"), F.first("size").alias("size")).where("node is not null"), "texts")
-    # Texts that share their smallest id are told apart by nothing else: they are one node, with the anchors of all.
-    groups = components(block_links(nodes.select("node", "bits", "anchors"), budget)).withColumnRenamed("root", "grp")
-    places = dealt(nodes.join(groups, "node").select("grp", "node", "h", "bits", "size"), "grp", "size")
-    places = places.groupBy("node", "h").agg(F.first("grp").alias("grp"), F.first("bits").alias("bits"), F.collect_list(F.struct("i", "j")).alias("places"))
-    repeats = not rows.where("doc_id is not null").groupBy("doc_id", "h").count().where("count > 1").isEmpty()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), common.text_hash(F.col("text")).alias("h"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(common.stored(places, "candidates").hint("merge"), ["node", "h"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m")
+    nodes = rows.groupBy("h", "bits").agg(first, F.first("anchors").alias("anchors"), F.first("size").alias("size"))
+    nodes = common.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "h", "m.doc_id", "bits", "anchors", "size"), "texts")
+    groups = components(block_links(nodes.select("node", "bits", "anchors", "size"), budget)).withColumnRenamed("root", "grp")
+    places = blocks.dealt(nodes.join(groups, "node").select("grp", "node", "doc_id", "h", "bits", "size"), ["grp"], "size", WEIGHT)
+    places = places.groupBy("node").agg(*(F.first(c).alias(c) for c in ("doc_id", "h", "grp", "bits")), F.collect_list(F.struct("i", "j")).alias("places"))
+    repeats = not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
+    texts = docs.select(common.row_key().alias("k"), F.col("text").cast("string").alias("text")).select("k.doc_id", "k.h", "text")
     if repeats:
-        texts = texts.dropDuplicates(["node", "h"])
+        texts = texts.dropDuplicates()
+    places = common.stored(places, "candidates").withColumnsRenamed({"doc_id": "_id", "h": "_h"}).hint("merge")
+    texts = texts.join(places, texts["doc_id"].eqNullSafe(places["_id"]) & (texts["h"] == places["_h"]))
     roots = components(set_links(texts, budget))
-    classes = nodes.join(roots, "node", "left").select(F.col("h").alias("_h"), F.col("bits").alias("_bits"), F.coalesce("root", "node").alias("component"))
-    placed = common.stored(rows.join(classes, (F.col("h") == F.col("_h")) & (F.col("bits") == F.col("_bits"))).select("doc_id", "h", "component"), "classes")
-    stays = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m")).select("component", F.col("m.doc_id").alias("keep_id"), F.col("m.h").alias("keep_h"))
-    gone = placed.join(stays, "component").where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")))).select("doc_id", "h")
-    return common.stored(gone, "surplus"), repeats
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min(order).alias("m"))
+    return common.stored(kept.select("m.doc_id", "m.h"), "keepers"), repeats
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of near duplicates (five words, similarity 0.8)."""
-    gone, repeats = surplus(docs)
-    kept = common.without_rows(docs, gone, many=True)
-    if repeats:  # equal rows: one stays
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    kept, repeats = keepers(docs)
+    if repeats:  # of rows with the same id and text one stays
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return common.with_rows(docs, kept)

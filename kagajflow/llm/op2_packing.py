@@ -30,11 +30,11 @@ GROUP = 256
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """id, piece, start, length, ids_crc32: the pieces of every document's ids with the end id."""
+    """id, piece, start, length, ids_crc32, nth: the pieces of every document's ids with the end id, counted in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = tokens.vocabulary(tokenizer), tokens.id_cache(tokenizer)
-        last = np.array([end_id], "<u4").tobytes()
+        last, done = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             data, offsets = common.utf8_of(batch.column(1))
             rows: list[tuple[int, int, int, int, int]] = []
@@ -47,11 +47,12 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     rows += [(a + i, k, x, y - x, zlib.crc32(stream[4 * x : 4 * y])) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
             row, *values = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(values[0].astype(np.int32)), *map(pa.array, values[1:])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(values[0].astype(np.int32)), *map(pa.array, values[1:]), pa.array(np.arange(done, done + len(row)))], names=names)
+            done += len(row)
 
-    names = [id_col, "piece", "start", "length", "ids_crc32"]
+    names = [id_col, "piece", "start", "length", "ids_crc32", "nth"]
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def exact_fill(gap: int, left: np.ndarray) -> list[int] | None:
@@ -136,10 +137,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     most = max(counts.values(), default=0)
     groups = max(1, -(-most // max(GROUP, math.isqrt(most))))
     place = df.sparkSession.sparkContext.broadcast(slots(recipes(counts, capacity)))
-    grouped = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).cast("int"))
+    grouped = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "nth"), F.lit(groups)).cast("int"))  # equal rows differ in nth
     first = grouped.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     first = first.withColumn("_first", F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")).drop("_n")
-    in_group = F.row_number().over(Window.partitionBy("length", "_group").orderBy(id_col, "piece"))
+    in_group = F.row_number().over(Window.partitionBy("length", "_group").orderBy(id_col, "piece", "nth"))
     numbered = grouped.withColumn("_in", in_group).join(first, ["length", "_group"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_in") - 1).alias("_number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

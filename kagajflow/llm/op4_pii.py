@@ -23,11 +23,14 @@ from . import common
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
 CONTEXT = {
-    "email": re.compile(r"mail|contact|write|kontakt|correo|courriel", re.I),
-    "ip": re.compile(r"\bip\b|address|server|host|login", re.I),
-    "card": re.compile(r"card|visa|credit|debit|karte|tarjeta|carte", re.I),
-    "phone": re.compile(r"phone|tel|call|fax|mobile|anruf|llam|appel", re.I),
-    "iban": re.compile(r"iban|bank|account|konto|cuenta|compte", re.I),
+    kind: re.compile(rf"\b(?:{words})\b", re.I)
+    for kind, words in {
+        "email": r"e?-?mails?|contact\w*|write|kontakt\w*|correo|courriel",
+        "ip": r"ip|address\w*|server|host|login",
+        "card": r"cards?|visa|mastercard|credit|debit|\w*karte|tarjeta|carte",
+        "phone": r"(?:tele)?phone|tel|call|fax|mobile|anruf\w*|llam\w*|appel\w*",
+        "iban": r"iban|bank|account|konto|cuenta|compte",
+    }.items()
 }
 #: Code points on each side in which a context word counts, and what it and a confirming checksum add to the score.
 NEAR, PRIOR, BY_CONTEXT, BY_CHECKSUM = 40, 0.5, 0.2, 0.3

@@ -1,19 +1,22 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped into lines, one for each block. Lines of menus, headers, footers, sidebars, notices, adverts, forms, scripts
-and reader comments count as empty. The length of a line and of the next two are summed; where the sums surge the main text
-begins, where they dive to nothing it ends, and all lines between are kept. Where the page marks an article, the line blocks inside
-and outside of the mark are compared: if the largest stands inside, the mark bounds the text and all its lines are kept; if it
-stands outside (teasers marked as articles beside an unmarked body), the mark is ignored.
+and reader comments count as empty, and so do those that are links for the most part. The length of a line and of the next two are
+summed; at a line with text where the sum surges the main text begins, where the sums dive to nothing it ends, and all lines between
+are kept. This decides on every page. Where a page marks an article, the mark weighs the lines: if the largest line block stands
+inside, each marked line surges by itself and lines outside count as empty; if it stands outside (teasers marked as articles beside
+an unmarked body), the mark weighs nothing. A page without any surge gives all lines that count.
 
 Null and empty html give an empty text. Repeated rows are kept, an empty table gives none, only the named columns are read.
-Broken markup is read as browsers do in the main: unclosed tags end with their parents, a raw element without end takes the rest.
+Broken markup is read as browsers do in the main: unclosed tags end with their parents, a raw element without end takes the rest,
+a tag without end drops it; where quotes don't close, they no longer count. Reading is linear in the page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +38,9 @@ WORDS = frozenset(
     "share sharing social related recommended comments comment commentlist respond reply replies disqus discussion pagination pager copyright".split()
 )
 MAIN_WORDS = frozenset("article content entry post story main body text page".split())
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]+))?""", re.I)
 BLANK = re.compile(r"\s+")
 CLOSES = {k: frozenset((k,)) for k in ("li", "option", "p", "dd", "dt", "tr", "td", "th")} | {"dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 
@@ -61,110 +64,140 @@ def is_aside(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+class Lines:
+    """The blocks of a page: (text, aside, in an article, length outside links) of each line."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[str, bool, bool, int]] = []
+        self.open_tags: list[tuple[str, bool]] = []  # with whether it starts what isn't main text
+        self.opened: Counter[str] = Counter()
+        self.asides = self.linked = 0
+        self.parts: list[str] = []
+
+    @property
+    def in_main(self) -> bool:
+        return self.opened["article"] + self.opened["main"] > 0
+
+    def text(self, part: str) -> None:
+        self.parts.append(part)
+        if self.opened["a"]:
+            self.linked += len(part)
+
+    def end_line(self) -> None:
+        line = BLANK.sub(" ", html.unescape("".join(self.parts))).strip()
+        if line:
+            self.out.append((line, self.asides > 0, self.in_main, max(0, len(line) - self.linked)))
+        self.parts.clear()
+        self.linked = 0
+
+    def pop(self) -> str:
+        name, aside = self.open_tags.pop()
+        self.asides -= aside
+        self.opened[name] -= 1
+        return name
+
+    def open(self, name: str, attributes: str) -> None:
+        tags = self.open_tags
+        if name in CLOSES and tags and tags[-1][0] in CLOSES[name]:
+            self.pop()
+        elif name not in INLINE:  # a block ends the paragraph that it stands in
+            nearest = next((x for x, _ in reversed(tags[-4:]) if x not in INLINE), None)
+            while nearest == "p" and self.pop() != "p":
+                pass
+        aside = is_aside(name, attributes, self.in_main)
+        tags.append((name, aside))
+        self.asides += aside
+        self.opened[name] += 1
+
+    def close(self, name: str) -> None:
+        if self.opened[name]:
+            while self.pop() != name:
+                pass
+
+
+def raw_end(page: str, name: str, at: int) -> int:
+    """Behind the end tag of a raw element."""
+    m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+    end = page.find(">", m.end()) if m else -1
+    return end + 1 if end >= 0 else len(page)
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, aside, in an article, length outside links) of each block."""
-    out: list[tuple[str, bool, bool, int]] = []
-    open_tags: list[tuple[str, bool]] = []  # with whether it starts what isn't main text
-    asides = mains = links = 0
-    text: list[str] = []
-    linked = 0
-
-    def close_block() -> None:
-        nonlocal linked
-        if text:
-            line = BLANK.sub(" ", html.unescape("".join(text))).strip()
-            if line:
-                out.append((line, asides > 0, mains > 0, max(0, len(line) - linked)))
-            text.clear()
-            linked = 0
-
-    def pop() -> None:
-        nonlocal asides, mains, links
-        name, aside = open_tags.pop()
-        asides -= aside
-        mains -= name in ("article", "main")
-        links -= name == "a"
-
-    at, n = 0, len(page)
+    """(text, aside, in an article, length outside links) of each block, in one pass over the page."""
+    lines, tag = Lines(), TAG
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         lt = page.find("<", at)
+        if lt != at:
+            lines.text(page[at : lt if lt >= 0 else n])
         if lt < 0:
-            lt = n
-        if lt > at:
-            text.append(page[at:lt])
-            if links:
-                linked += lt - at
-        if lt == n:
             break
-        if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            continue
         if page.startswith(("<!", "<?"), lt):
-            end = page.find(">", lt)
-            at = n if end < 0 else end + 1
+            stop = "-->" if page.startswith("<!--", lt) else ">"
+            end = page.find(stop, lt + len(stop) + 1 if stop != ">" else lt)
+            at = end + len(stop) if end >= 0 else n
             continue
-        m = TAG.match(page, lt) or LOOSE_TAG.match(page, lt)
-        if not m:
-            text.append("<")
+        if not (page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] == "/" and page[lt + 2 : lt + 3].isalpha()):
+            lines.text("<")
+            at = lt + 1
+            continue
+        if lt > last:  # a tag without end
+            break
+        m = tag.match(page, lt)
+        if not m and tag is TAG:
+            tag = LOOSE_TAG
+            m = tag.match(page, lt)
+        if not m:  # no letter of ASCII begins it
+            lines.text("<")
             at = lt + 1
             continue
         at, name = m.end(), m[2].lower()
         if name == "br":
-            text.append(" ")
+            lines.text(" ")
         elif name not in INLINE:
-            close_block()
+            lines.end_line()
         if m[1]:
-            if any(x == name for x, _ in reversed(open_tags)):
-                while open_tags[-1][0] != name:
-                    pop()
-                pop()
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name in VOID:
-            continue
-        if name in CLOSES and open_tags and open_tags[-1][0] in CLOSES[name]:
-            pop()
-        elif name not in INLINE and any(x == "p" for x, _ in open_tags[-4:]) and all(x == "p" or x in INLINE for x, _ in open_tags[-1 - next(i for i, (x, _) in enumerate(reversed(open_tags)) if x == "p") :]):
-            while open_tags[-1][0] != "p":  # a block ends the paragraph that it stands in
-                pop()
-            pop()
-        aside = is_aside(name, m[3], mains > 0)
-        open_tags.append((name, aside))
-        asides += aside
-        mains += name in ("article", "main")
-        links += name == "a"
-    close_block()
-    return out
-
-
-def blocks_of(lengths: list[int]) -> tuple[list[bool], int]:
-    """Which lines stand in a line block, from a surge to the dive behind it, and the length of the largest block."""
-    padded = lengths + [0] * WINDOW
-    keep, inside, size, largest = [False] * len(lengths), False, 0, 0
+            lines.close(name)
+        elif name in RAW:
+            at = raw_end(page, name, at)
+        elif name not in VOID:
+            lines.open(name, m[3])
+    lines.end_line()
+    return lines.out
+
+
+def blocks_of(lengths: list[int]) -> list[tuple[int, int]]:
+    """The line blocks: ranges of lines from a surge, or the lines with text right before it, to behind the last one before the sums dive to nothing."""
+    padded, out = lengths + [0] * WINDOW, []
+    start = -1
     for i, n in enumerate(lengths):
         total = sum(padded[i : i + WINDOW])
-        inside = total > SURGE or inside and total > 0
-        keep[i] = inside
-        size = size + n if inside else 0
-        largest = max(largest, size)
-    return keep, largest
+        if start < 0 and n and total > SURGE:
+            start = i
+            while start > max(0, i - WINDOW) and lengths[start - 1]:
+                start -= 1
+        elif start >= 0 and not total:
+            out.append((start, i))
+            start = -1
+    if start >= 0:
+        out.append((start, len(lengths)))
+    return [(a, next(i for i in range(b, a, -1) if lengths[i - 1])) for a, b in out]
+
+
+def largest(lengths: list[int]) -> int:
+    return max((sum(lengths[a:b]) for a, b in blocks_of(lengths)), default=0)
 
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
     lengths = [free if not aside and 2 * free >= len(line) else 0 for line, aside, _, free in lines]
-    marked = any(main and not aside for _, aside, main, _ in lines)
-    if marked:  # the mark bounds the text, unless the largest block stands outside
-        within, outside = (blocks_of([n if main == side else 0 for n, (_, _, main, _) in zip(lengths, lines, strict=True)])[1] for side in (True, False))
-        marked = within >= outside
-    keep, _ = blocks_of(lengths)
-    if marked or not any(keep):  # the article's own bounds are surge and dive, or all is too short for a surge
-        keep = [main or not marked for _, _, main, _ in lines]
-    return "\n".join(line for (line, aside, _, _), kept in zip(lines, keep, strict=True) if kept and not aside)
+    marked = [main and not aside for _, aside, main, _ in lines]
+    if any(marked):
+        inside, outside = ([n if main == side else 0 for n, main in zip(lengths, marked, strict=True)] for side in (True, False))
+        if largest(inside) >= largest(outside):
+            lengths = [(SURGE + len(line)) * main for (line, *_), main in zip(lines, marked, strict=True)]
+    kept = [i for a, b in blocks_of(lengths) for i in range(a, b)] or [i for i, n in enumerate(lengths) if n]
+    return "\n".join(lines[i][0] for i in kept if not lines[i][1])
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

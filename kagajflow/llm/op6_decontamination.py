@@ -6,15 +6,17 @@ in the passage as it is. All pieces of a block of items are searched in a text a
 Myers' bit-parallel algorithm gives the smallest edit distance of the item to any passage there, in words. What is within the
 budget contaminates the document. An item of fewer than MIN_WORDS words must occur as it is: its budget is 0.
 
-Items come in blocks of bounded size, each block in one pass over all documents, so the benchmark may be of any size and texts are
-never shuffled. Items without a word aren't searched. Null and empty texts hit nothing; repeated documents and items are each
-reported; an empty benchmark contaminates nothing. Only id and text columns are read.
+Items come in blocks of bounded size, each block broadcast by itself. The documents are read once: a task takes them in groups of
+bounded size and searches each group for one block after the other, so it holds one automaton at a time, and texts are never
+shuffled. Each row is judged by itself: rows that share an id are each reported by what they hold, whatever the number of blocks.
+Items without a word aren't searched. Null and empty texts hit nothing; items that share an id are reported under it; an empty
+benchmark contaminates nothing. Only id and text columns are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARE, MIN_WORDS, BLOCK_BYTES = 0.2, 5, 2_000_000
+#: Bytes of text that a task holds while it goes through several blocks.
+HELD = 64 << 20
 NOT_WORD = re.compile(r"[\W_]+")
 #: Thai, Lao, Myanmar, Khmer; kana, bopomofo, Chinese characters and their extensions; half-width kana.
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
@@ -114,16 +118,37 @@ class Searcher:
         return sorted(out)
 
 
-def hits_of(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str, share: float, min_words: int) -> DataFrame:
-    """id and hits, an array of (item_id, likeness), of every document against one block of items."""
-    block = docs.sparkSession.sparkContext.broadcast(items)
+def groups_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about `limit` bytes."""
+    group: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def hits_of(docs: DataFrame, blocks: Iterable[list[tuple[int, str]]], id_col: str, text_col: str, share: float, min_words: int) -> DataFrame:
+    """id and hits, an array of (item_id, likeness), of every document."""
+    shared = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks]
     hit = pa.struct([("item_id", pa.int64()), ("likeness", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Searcher(block.value, share, min_words)
-        for batch in batches:
-            found = [[{"item_id": i, "likeness": s} for i, s in own.find(t)] if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(hit))], names=[id_col, "hits"])
+        only = Searcher(shared[0].value, share, min_words) if len(shared) == 1 else None
+        for group in groups_of(batches, HELD if len(shared) > 1 else 1):
+            found: list[list[list[tuple[int, float]]]] = [[[] for _ in range(len(batch))] for batch in group]
+            for block in shared:
+                searcher = only or Searcher(block.value, share, min_words)
+                for batch, rows in zip(group, found, strict=True):
+                    for row, text in zip(rows, batch.column(1), strict=True):
+                        row += searcher.find(text.as_py() or "")
+            for batch, rows in zip(group, found, strict=True):
+                hits = [[{"item_id": i, "likeness": s} for i, s in row] for row in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(hit))], names=[id_col, "hits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, hits array<struct<item_id:long,likeness:double>>")
@@ -143,14 +168,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """id, contaminated, item_ids (sorted) and likeness (the largest): one row per document."""
-    parts = [hits_of(docs, items, id_col, text_col, share, min_words) for items in item_blocks(benchmark, block_bytes)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:  # a row per document and block; repeated documents have the same hits
-        found = parts[0]
-        for other in parts[1:]:
-            found = found.unionByName(other)
-        found = found.groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    found = hits_of(docs, item_blocks(benchmark, block_bytes), id_col, text_col, share, min_words)
     item_ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     return found.select(id_col, (F.size("hits") > 0).alias("contaminated"), item_ids.alias("item_ids"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["likeness"])), F.lit(0.0)).alias("likeness"))
 

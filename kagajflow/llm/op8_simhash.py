@@ -1,9 +1,10 @@
 """SimHash near-dedup by a self-join of the binary trie of fingerprints.
 
-Equal fingerprints are one node from the start. The trie is split below a few levels: the subtrees, each with those whose prefix
-differs in at most the budget's bits, go to tasks. There pairs of nodes are traversed together, level by level; differing bits
-add up, and a pair that exceeds the budget is pruned with all that hangs below it. A task returns links that connect what it
-found (at most one for each fingerprint), never all pairs, and the components of all links give the classes.
+Equal fingerprints are one node from the start. Two that differ in at most `budget` bits agree in one of budget + 1 runs of bits.
+For each run there is a trie with that run's bits first; its subtrees below the run are dealt to tasks, so a fingerprint goes to
+budget + 1 of them whatever the table's size, and large subtrees in pairs of slices (`blocks`). There pairs of nodes are traversed
+together, level by level; differing bits add up, and a pair that exceeds the budget is pruned with all that hangs below it. A task
+returns links that connect what it found, never all pairs, and the components of all links give the classes.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows are rows of one class; a row without id takes
 part, and a class without any id has none. An empty table gives no rows. Only the id and text columns are read. Texts are whole.
@@ -11,9 +12,7 @@ part, and a class without any id has none. An empty table gives no rows. Only th
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -146,35 +145,44 @@ def roots_of(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
+def runs_of(budget: int) -> list[tuple[int, int]]:
+    """(first bit from the top, number of bits) of budget + 1 runs that cover the fingerprint."""
+    cuts = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def subtree_links(keys: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, run: tuple[int, int], budget: int) -> blocks.Links:
+    """Links that connect, within each group of fingerprints that agree in the run, those that are near."""
+    first, depth = run
+    if first:
+        keys = keys << np.uint64(first) | keys >> np.uint64(64 - first)
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort([keys, group])
+    keys, nodes = keys[order], nodes[order]
+    starts = [(a, b, a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
+    if not starts:
+        return blocks.NONE
+    root = roots_of(len(keys), pairs_within(keys[:, None], depth, starts, budget))
+    hung = np.flatnonzero(root != np.arange(len(keys)))
+    return nodes[root[hung]], nodes[hung]
+
+
 def trie_links(prints: DataFrame, budget: int = BITS) -> DataFrame:
     """Links (a, b) between the nodes of prints (node, fp; each fp once) that connect all whose fp differ in at most `budget` bits."""
-    n = prints.count()
-    depth = min(16, max(6, math.ceil(math.log2(n / 1024 + 1))))
-    near = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
-    own = F.shiftrightunsigned("fp", 64 - depth)
-    other = F.col("own").bitwiseXOR(F.col("flip"))
-    low, high = F.least("own", other), F.greatest("own", other)
-    host = F.when(F.pmod(F.xxhash64(low, high), F.lit(2)) == 0, low).otherwise(high)  # of two subtrees one is host to the other
-    dealt = prints.select("node", "fp", own.alias("own")).withColumn("flip", F.explode(F.array(*(F.lit(x).cast("long") for x in near))))
-    dealt = dealt.where((F.col("flip") == 0) | (host == other)).select(other.alias("host"), "node", "fp")
-
-    def run(group: pa.Table) -> pa.Table:
-        keys = group.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, nodes = keys[order], group.column("node").to_numpy()[order]
-        prefix = keys >> np.uint64(64 - depth)
-        cuts = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])), len(keys))
-        hosts = np.searchsorted(prefix[cuts[:-1]], np.uint64(group.column("host")[0].as_py()))
-        links_a, links_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if hosts < len(cuts) - 1 and prefix[cuts[hosts]] == group.column("host")[0].as_py():
-            h0, h1 = int(cuts[hosts]), int(cuts[hosts + 1])
-            starts = [(h0, h1, int(x), int(y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            root = roots_of(len(keys), pairs_within(keys[:, None], depth, starts, budget))
-            hung = np.flatnonzero(root != np.arange(len(keys)))
-            links_a, links_b = nodes[root[hung]], nodes[hung]
-        return pa.table({"a": links_a, "b": links_b})
-
-    return dealt.groupBy("host").applyInArrow(run, "a long, b long")
+    runs = runs_of(budget)
+    subtree = [F.struct(F.lit(k).alias("run"), F.shiftrightunsigned(F.shiftleft("fp", a), 64 - n).alias("top")) for k, (a, n) in enumerate(runs)]
+    rows = prints.select("node", "fp", F.explode(F.array(*subtree)).alias("s")).select("node", "fp", "s.run", "s.top")
+
+    def links(part: pa.Table, bounds: np.ndarray) -> blocks.Links:
+        keys, nodes, run = part.column("fp").to_numpy().view(np.uint64), part.column("node").to_numpy(), part.column("run").to_numpy()[bounds[:-1]]
+        found = []
+        for k in np.unique(run).tolist():  # groups come in order of their run
+            low, high = np.searchsorted(run, k), np.searchsorted(run, k, "right")
+            a, b = bounds[low], bounds[high]
+            found.append(subtree_links(keys[a:b], nodes[a:b], bounds[low : high + 1] - a, runs[k], budget))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return blocks.linked(blocks.dealt(rows, ["run", "top"]), ["run", "top"], links)
 
 
 def classes(prints: DataFrame, budget: int = BITS, id_col: str = "doc_id") -> DataFrame:

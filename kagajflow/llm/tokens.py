@@ -218,17 +218,19 @@ class Pieces:
 
 
 class WordCache:
-    """What `of` gives for a word, for each different word once; forgets all when it holds more than `limit`."""
+    """What `of` gives for a word, for each different word once; forgets all beyond `limit` words or `limit_bytes` of their bytes."""
 
-    def __init__(self, of: Callable[[list[bytes]], list], limit: int = 400_000) -> None:
-        self.of, self.limit, self.known = of, limit, {}
+    def __init__(self, of: Callable[[list[bytes]], list], limit: int = 400_000, limit_bytes: int = 16 << 20) -> None:
+        self.of, self.limit, self.limit_bytes, self.size, self.known = of, limit, limit_bytes, 0, {}
 
     def get(self, words: list[bytes]) -> list:
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.size > self.limit_bytes:
             self.known.clear()
+            self.size = 0
         known = self.known
         new = [w for w in words if w not in known]
         known.update(zip(new, self.of(new), strict=True))
+        self.size += sum(map(len, new))
         return [known[w] for w in words]
 
 
