@@ -3,10 +3,13 @@
 A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of at least `min_chars` code points found
 in at least `min_docs` documents lose all their lines but those of the largest document id that holds them.
 
-Keys are 128-bit hashes. Their counts are combined before each shuffle (by hash and a slice of the documents), then range-partitioned
-by hash with the last document first, so that one pass over a key's few rows sees its document count and its surviving document. A
-line that a third of all documents hold is at most SLICES rows there. The bitmap of a document is the lengths of its runs of kept and
-dropped lines in turn, kept first. DataFrame functions only.
+Keys are 128-bit hashes, each with its first position in a document. They are combined before the shuffle (by hash and a slice of the
+documents: how many hold it, the last of them and the position there), then range-partitioned by hash and sorted within partitions
+by document, the last first, and position. A window streams over each key's rows in that order: its first row is the occurrence that
+stays, its sum of documents says whether the key is repeated. A line that a third of all documents hold is at most SLICES rows there.
+Lines meet the repeated keys in two ways: the few held by more than a share HOT of all lines are broadcast (at most 1 / HOT keys,
+whatever the corpus), the others are joined by hash. The bitmap of a document is the lengths of its runs of kept and dropped lines in
+turn, kept first. DataFrame functions only.
 
 A null or empty text is one empty line. Repeated rows count as documents of their own; those with the surviving id all keep the line.
 A row without id survives for no key while another holds it. An empty table gives no rows; other columns aren't read.
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,6 +27,8 @@ from . import common
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
 SLICES = 64
+#: Keys that hold a larger share of all lines are broadcast: at most 1 / HOT of them.
+HOT = 1 / 4096
 
 
 def split_lines(text: Column) -> Column:
@@ -46,22 +51,37 @@ def line_index(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return df.select(F.col(id_col).alias("id"), common.text_hash(F.col(text_col)).alias("h"), F.filter(F.transform(split_lines(F.col(text_col)), hashed), lambda x: x.isNotNull()).alias("lines"))
 
 
+def first_occurrences(index: DataFrame) -> DataFrame:
+    """(id, h1, h2, position): each key of each document once, at its first line."""
+    by_key = F.sort_array(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["position"].alias("position"))))
+
+    def is_first(all_of: Column) -> Column:
+        return F.filter(all_of, lambda x, i: (i == 0) | (x["h1"] != F.get(all_of, i - 1)["h1"]) | (x["h2"] != F.get(all_of, i - 1)["h2"]))
+
+    return index.select("id", by_key.alias("sorted")).select("id", F.explode(is_first(F.col("sorted"))).alias("x")).select("id", "x.*")
+
+
 def repeated_keys(index: DataFrame, min_docs: int) -> DataFrame:
-    """(h1, h2, last): the keys in at least min_docs documents, and the document that keeps them."""
+    """(h1, h2, n, last, position): the keys in at least min_docs documents, how many, the document that keeps them and where it first does."""
     partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = index.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("x")).select("id", "x.*")
-    once = once.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
-    slices = once.groupBy("h1", "h2", "slice").agg(F.count("*").alias("n"), F.max("id").alias("last"))
-    streamed = slices.repartitionByRange(partitions, "h1", "h2").sortWithinPartitions("h1", "h2", F.desc("last"))
-    return streamed.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    once = first_occurrences(index).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
+    slices = once.groupBy("h1", "h2", "slice").agg(F.count("*").alias("n"), F.max("id").alias("last"), F.max_by("position", "id").alias("position"))
+    ranged = slices.repartitionByRange(partitions, "h1", "h2")
+    stream = Window.partitionBy("h1", "h2").orderBy(F.desc_nulls_last("last"), "position")
+    docs = F.sum("n").over(stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranged.select("h1", "h2", F.row_number().over(stream).alias("nth"), docs.alias("n"), "last", "position").where((F.col("nth") == 1) & (F.col("n") >= min_docs)).drop("nth")
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, h, dropped): the positions of the lines to drop, for each document that has any."""
     index = common.stored(line_index(df, id_col, text_col, min_chars), "lines")
     repeated = common.stored(repeated_keys(index, min_docs), "repeated")
+    total = index.agg(F.sum(F.size("lines"))).first()[0] or 0
     lines = index.select("id", "h", F.explode("lines").alias("x")).select("id", "h", "x.*")
-    lost = lines.join(repeated, ["h1", "h2"]).where(F.coalesce(F.col("id") < F.col("last"), F.col("last").isNotNull()))
+    hot, cold = (repeated.where(F.col("n") > HOT * total).drop("n", "position"), repeated.where(F.col("n") <= HOT * total).drop("n", "position"))
+    hot = F.broadcast(hot)
+    found = lines.join(hot, ["h1", "h2"]).unionByName(lines.join(hot, ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+    lost = found.where(F.coalesce(F.col("id") < F.col("last"), F.col("last").isNotNull()))
     return lost.groupBy("id", "h").agg(F.collect_set("position").alias("dropped"))
 
 
