@@ -1,14 +1,18 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraph digests.
 
-A text is cut at line ends and, within long lines, behind sentences; the pieces' 64-bit digests (each once) go into CELLS cells
-in three tables: a count, the xor of the digests and the xor of their checks. Sketches of two versions subtract cell by cell, and
-peeling recovers the digests in which they differ: a cell with one digest gives it away, it leaves its other cells, and so on.
-Where the small sketch is too full to be peeled, larger ones are made from the digests: these are dealt by hash into shards of
-about eight, each with a sketch of its own, and a shard that still can't be peeled is tried in two larger sizes (the count of
-differing digests then stands in after the last, a chance of far less than one in a million). So work grows in proportion to the text.
+A text is cut at line ends and, within long lines, behind sentences. The pieces' 64-bit digests (each once) are dealt by hash into
+shards of about SHARD, a power of two of them, and each shard is a sketch: cells in three tables, each with a count, the xor of its
+digests and the xor of their checks. So a fingerprint grows in proportion to its text and work does too.
 
-The likeness of two texts is what they share of all their digests: (|A| + |B| - d) / (|A| + |B| + d) for d recovered digests; 1 for
-two texts without any. DataFrame functions only.
+Sketches of two versions subtract cell by cell, and peeling recovers the digests in which they differ: a cell with one digest gives
+it away, it leaves its other cells, and so on. Where a shard is too full to be peeled it is tried again with larger tables, whose
+cells are hashed afresh; behind the largest stands a plain comparison of the two shards' digests. A fingerprint is made the same way:
+each of its shards has the smallest tables from which all of its own digests can be peeled. Thus a fingerprint by itself gives back
+its digests, any two of them can be brought to a common size, and what is returned as likeness follows from the two strings alone:
+(|A| + |B| - d) / (|A| + |B| + d) for d recovered digests, the share of the digests that both have; 1 for two texts without any.
+
+The string has the number of digests, then each shard's table width and cells (the count, then digest and check of 8 and 4 bytes in
+base 64; empty ones blank); a shard that no size could hold has width 0 and a cell for each digest. DataFrame functions only.
 
 Null text is empty. Documents follow each other by id, then by text hash; a repeated row is one document and returned as often as
 it occurs. Null ids come first. An empty table gives no rows; a single document is its own next. Other columns aren't read.
@@ -16,8 +20,6 @@ it occurs. Null ids come first. An empty table gives no rows; a single document
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,100 +27,115 @@ from . import common
 
 #: A piece: 32 characters of a line or what it has, and on to the end of the sentence, 160 more at most.
 PIECE = r"[^\n]{1,32}[^\n.!?]{0,160}[.!?]*"
-TABLES = 3
-WIDTH = 5  # cells in each table of the fingerprint
-SHARD, SHARD_WIDTHS, ROUNDS = 8, (8, 32, 128), 12
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+TABLES, SHARD = 3, 12
+#: Cells in each table, by attempt.
+WIDTHS = (8, 16, 32, 64, 128, 256)
+ROUNDS, LEVEL = 16, 64
 
 
 def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def cell_of(digest: Column, table: Column, width: int) -> Column:
-    return F.pmod(F.call_function("shiftrightunsigned", digest, table * 20), F.lit(width))
+def check_of(digest: Column) -> Column:
+    return F.xxhash64(digest).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def xor(values: Column, of: Callable[[Column], Column]) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(of(x)))
+def entry(n: Column, digest: Column, width: int) -> Column:
+    """A digest with its check and its cells, one in each table; every width hashes them afresh."""
+    at = F.array(*(F.pmod(F.xxhash64(digest, F.lit(width * TABLES + t)), F.lit(width)).cast("int") + t * width for t in range(TABLES)))
+    return F.struct(n.alias("n"), digest.alias("key"), check_of(digest).alias("check"), at.alias("at"))
 
 
-def cells_of(entries: Column, width: int) -> Column:
-    """Cells (n, key, check) of entries (sign, digest, check); adding an entry with sign -1 is subtracting it."""
-    index = F.sequence(F.lit(0), F.lit(TABLES * width - 1))
-    parts = F.transform(index, lambda c: F.filter(entries, lambda e: cell_of(e["digest"], F.floor(c / width).cast("int"), width) == F.pmod(c, F.lit(width))))
-    return F.transform(
-        parts,
-        lambda part: F.struct(
-            F.aggregate(part, F.lit(0), lambda acc, e: acc + e["sign"]).alias("n"), xor(part, lambda e: e["digest"]).alias("key"), xor(part, lambda e: e["check"]).alias("check")
-        ),
-    )
+def cell(n: Column, key: Column, check: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
 
 
-def signed(values: Column, sign: int) -> Column:
-    return F.transform(values, lambda d: F.struct(F.lit(sign).alias("sign"), d.alias("digest"), F.xxhash64(d).alias("check")))
+def minus(a: Column, b: Column) -> Column:
+    return cell(a["n"] - b["n"], a["key"].bitwiseXOR(b["key"]), a["check"].bitwiseXOR(b["check"]))
 
 
-def sketch(values: Column, width: int = WIDTH) -> Column:
-    return cells_of(signed(values, 1), width)
+def sketch(values: Column, width: int) -> Column:
+    """The cells of digests."""
+    entries = F.transform(values, lambda d: entry(F.lit(-1), d, width))
+
+    def fill(cells: Column, e: Column) -> Column:
+        return F.transform(cells, lambda c, i: F.when(F.array_contains(e["at"], i), minus(c, e)).otherwise(c))
+
+    return F.aggregate(entries, F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), TABLES * width), fill)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
+    return F.zip_with(a, b, minus)
 
 
 def peel(cells: Column, width: int) -> Column:
     """How many digests the cells hold, found by peeling; null if they are too full."""
 
-    def entries(state: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"]))
-        return F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("sign"), c["key"].alias("digest"), c["check"].alias("check"))))
+    def pure(state: Column) -> Column:
+        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check_of(c["key"]) == c["check"]))
+        return F.array_distinct(F.transform(single, lambda c: entry(c["n"], c["key"], width)))
 
-    def without(state: Column, gone: Column) -> Column:
-        def rest(c: Column, i: Column) -> Column:
-            here = F.filter(gone, lambda e: cell_of(e["digest"], F.floor(i / width).cast("int"), width) == F.pmod(i, F.lit(width)))
-            return F.aggregate(here, c, lambda acc, e: F.struct((acc["n"] - e["sign"]).alias("n"), acc["key"].bitwiseXOR(e["digest"]).alias("key"), acc["check"].bitwiseXOR(e["check"]).alias("check")))
-
-        return F.struct(F.transform(state["cells"], rest).alias("cells"), (state["found"] + F.size(gone)).alias("found"))
+    def without(cells: Column, gone: Column) -> Column:
+        return F.transform(cells, lambda c, i: F.aggregate(gone, c, lambda rest, e: F.when(F.array_contains(e["at"], i), minus(rest, e)).otherwise(rest)))
 
     def step(state: Column, _: Column) -> Column:
-        return let(entries(state), lambda gone: F.when(F.size(gone) == 0, state).otherwise(without(state, gone)))
+        """Takes away what the step before found, then looks again."""
+        rest = F.struct(without(state["cells"], state["gone"]).alias("cells"), (state["found"] + F.size(state["gone"])).alias("found"), state["gone"].alias("gone"))
+        return F.when(F.size(state["gone"]) == 0, state).otherwise(F.get(F.transform(F.array(rest), lambda s: F.struct(s["cells"], s["found"], pure(s).alias("gone"))), F.lit(0)))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), pure(F.struct(cells.alias("cells"))).alias("gone"))
     empty = lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["cells"], empty), s["found"]))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """How many digests are in one of two arrays only, by larger sketches over shards."""
+def peeled(rows: DataFrame) -> DataFrame:
+    """rows (left, right: digests of a shard in two versions) with width and cells of the smallest sketches whose difference can be peeled, and found, how many digests differ."""
+    found = F.lit(None).cast("int")
+    cells = F.array().cast("array<struct<n:int,key:bigint,check:bigint>>")
+    rows = rows.withColumns({"found": found, "cells": cells, "width": F.lit(0)})
+    gap = F.abs(F.size("left") - F.size("right"))  # tables with fewer cells can't be peeled
+    for width in WIDTHS:
+        due = F.col("found").isNull() & (gap <= TABLES * width)
+        rows = rows.withColumn("cells", F.when(due, subtract(sketch(F.col("left"), width), sketch(F.col("right"), width))).otherwise(F.col("cells")))
+        rows = rows.withColumns({"found": F.when(due, peel(F.col("cells"), width)).otherwise(F.col("found")), "width": F.when(due, width).otherwise(F.col("width"))})
+    either = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
+    listed = F.transform(either, lambda d: cell(F.lit(1), d, check_of(d)))
+    return rows.withColumns({"cells": F.coalesce(F.when(F.col("found").isNotNull(), F.col("cells")), listed), "width": F.when(F.col("found").isNotNull(), F.col("width")).otherwise(0), "found": F.coalesce("found", F.size(either))})
+
 
-    def counted(entries: Column) -> Column:
-        tries = [peel(cells_of(entries, width), width) for width in SHARD_WIDTHS]
-        return F.when(F.size(entries) == 0, F.lit(0)).otherwise(F.coalesce(*tries, F.size(F.array_distinct(F.transform(entries, lambda e: e["digest"])))))
+def shards_for(values: Column) -> Column:
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)) / SHARD)))).cast("int")
 
-    def shards(entries: Column, n: Column, bits: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.filter(entries, lambda e: F.pmod(F.call_function("shiftrightunsigned", e["check"], F.lit(bits)), n) == s))
 
-    groups = lambda entries: shards(entries, F.ceil(F.size(entries) / 512).cast("int"), 0)  # noqa: E731  two levels keep this linear
-    within = lambda group: shards(group, F.greatest(F.lit(1), F.ceil(F.size(group) / SHARD)).cast("int"), 32)
-    total = lambda group: F.aggregate(within(group), F.lit(0), lambda acc, s: acc + counted(s))
-    return let(F.concat(signed(a, 1), signed(b, -1)), lambda entries: F.aggregate(groups(entries), F.lit(0), lambda acc, g: acc + let(g, total)))
+def split(values: Column, shards: Column) -> Column:
+    """The digests by shard, in two levels of LEVEL and more: work stays in proportion to their number."""
+    shard = lambda d: F.pmod(F.xxhash64(d, F.lit("shard")), shards)
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(shards / LEVEL), F.lit(1)).cast("int") - 1), lambda g: F.filter(values, lambda d: F.floor(shard(d) / LEVEL) == g))
+    inside = F.sequence(F.lit(0), F.least(shards, F.lit(LEVEL)) - 1)
+    return F.flatten(F.transform(groups, lambda group: F.transform(inside, lambda s: F.filter(group, lambda d: F.pmod(shard(d), F.lit(LEVEL)) == s))))
 
 
-def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    found = F.coalesce(peel(subtract(cells_a, cells_b), WIDTH), differing(a, b))
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(let(found, lambda d: (both - d) / (both + d)))
+def sharded(kind: str, left: str, right: str | None) -> Column:
+    """The shards of one or two columns of digests, as (kind, shard, left, right)."""
+    shards = F.greatest(shards_for(F.col(left)), shards_for(F.col(right))) if right else shards_for(F.col(left))
+    other = split(F.col(right), shards) if right else F.array_repeat(F.array().cast("array<bigint>"), shards)
+    pairs = F.zip_with(split(F.col(left), shards), other, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    return F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("shard"), p["left"].alias("left"), p["right"].alias("right")))
 
 
-def encoded(values: Column, cells: Column) -> Column:
-    """The sketch as text: the number of digests, then each cell's count, key and the low half of its check in hex."""
-    cell = lambda c: F.concat_ws(".", c["n"].cast("string"), F.lower(F.hex(c["key"])), F.lower(F.hex(c["check"].bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.concat_ws(":", F.size(values).cast("string"), F.array_join(F.transform(cells, cell), ","))
+def encoded(n: str, kind: str) -> Column:
+    packed = lambda c: F.base64(F.unhex(F.concat(F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["check"]), 8, "0"))))
+    one = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat(c["n"].cast("string"), F.lit("."), packed(c)))
+    shard = F.concat(F.col("width").cast("string"), F.lit("="), F.array_join(F.transform("cells", one), ","))
+    each = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("shard", shard.alias("text")))))
+    return F.concat_ws(":", F.first(n).cast("string"), F.array_join(F.transform(each, lambda s: s["text"]), ";"))
+
+
+def likeness(a: str, b: str, kind: str) -> Column:
+    both = F.first(a) + F.first(b)
+    d = F.sum(F.when(F.col("kind") == kind, F.col("found")).otherwise(0))
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -137,8 +154,14 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return ranged.withColumn("inside", inside).join(lasts, "part").select("id", "h", F.coalesce("inside", "earlier").alias("before"))
 
 
+def key_of(id_col: str, h: str) -> Column:
+    """A row's id and hash as one string, never null."""
+    return F.concat_ws(":", F.hex(h), F.col(id_col).cast("string"))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     keys = common.stored(docs.select("id", "h", F.length("text").alias("n")), "keys")
@@ -146,28 +169,31 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeats = not keys.groupBy("id", "h").count().where("count > 1").isEmpty()
     if repeats:
         docs = docs.groupBy("id", "text", "h").agg(F.count("*").cast("int").alias("copies"))
-    before = neighbours(single if repeats else keys)
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
-    given = docs.join(before, same(docs, before)).select(
-        F.col("before.id").alias("id"), F.col("before.h").alias("h"), F.substring("text", F.lit(1), F.floor(F.col("before.n") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next")
-    )
-    both = docs.join(given, same(docs, given)).select(docs["id"], "text", *(["copies"] if repeats else []), "head", "next")
+    before = neighbours(single if repeats else keys).select(key_of("id", "h").alias("key"), "before")
+    # The number of partitions is given, as little data means much work here.
+    docs = docs.withColumn("key", key_of("id", "h")).drop("h").repartition(partitions, "key")
+    head = F.substring("text", F.lit(1), F.floor(F.col("before.n") / 2).cast("int")).alias("head")
+    given = docs.join(before, "key").select(key_of("before.id", "before.h").alias("key"), head, digests(F.col("text")).alias("next"))
+    both = docs.join(given.repartition(partitions, "key"), "key")
     n = F.length("text")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head"))
-
-    def compared(a: Column, b: Column, c: Column) -> Column:
-        def of(x: Column, y: Column, z: Column) -> Column:
-            return F.struct(
-                encoded(a, x).alias("fingerprint"), encoded(b, y).alias("edited_fingerprint"), likeness(a, b, x, y).alias("near_edited"), likeness(a, c, x, z).alias("near_next")
-            )
-
-        return let(sketch(a), lambda x: let(sketch(b), lambda y: let(sketch(c), lambda z: of(x, y, z))))
-
-    result = let(digests(F.col("text")), lambda a: let(digests(F.col("edited")), lambda b: compared(a, b, F.col("next"))))
-    out = both.select(F.col("id").alias(id_col), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(result)).alias("r"), *(["copies"] if repeats else []))
+    facts = [n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), F.col("next")]
+    carried = ["key", "id", *(["copies"] if repeats else [])]
+    both = both.select(*carried, F.explode(F.array(F.struct(*facts))).alias("x")).select(*carried, "x.*")
+    kinds = (("own", "own", None), ("changed", "changed", None), ("edited", "own", "changed"), ("next", "own", "next"))
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("own", "changed", "next")]
+    kept = ["key", "id", "n_chars", "sha", *(["copies"] if repeats else [])]
+    rows = both.select(*kept, *sizes, F.explode(F.concat(*(sharded(*k) for k in kinds))).alias("s")).select(*kept, "n_own", "n_changed", "n_next", "s.*")
+    out = (
+        peeled(rows).groupBy("key")  # all rows of a key come from one row in one partition
+        .agg(
+            *(F.first(c).alias(c) for c in kept[1:]), encoded("n_own", "own").alias("fingerprint"), encoded("n_changed", "changed").alias("edited_fingerprint"),
+            likeness("n_own", "n_changed", "edited").alias("near_edited"), likeness("n_own", "n_next", "next").alias("near_next"),
+        )
+    )
     if repeats:
-        out = out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
-    return out.select(id_col, "n_chars", "edited_sha256", "r.*")
+        out = out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
