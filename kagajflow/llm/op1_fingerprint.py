@@ -1,18 +1,19 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraph digests.
 
 A text is cut at line ends and, within long lines, behind sentences. The pieces' 64-bit digests (each once) are dealt by hash into
-shards of about SHARD, a power of two of them, and each shard is a sketch: cells in three tables, each with a count, the xor of its
-digests and the xor of their checks. So a fingerprint grows in proportion to its text and work does too.
+shards of at most about SHARD, a power of two of them (most texts are one), and each shard is a sketch: cells in three tables, each
+with a count and the xor of its digests, of which 16 bits check the other 48. Only filled cells are kept, so a fingerprint grows in proportion to
+its text and work does too, whatever the tables' width.
 
 Sketches of two versions subtract cell by cell, and peeling recovers the digests in which they differ: a cell with one digest gives
 it away, it leaves its other cells, and so on. Where a shard is too full to be peeled it is tried again with larger tables, whose
-cells are hashed afresh; behind the largest stands a plain comparison of the two shards' digests. A fingerprint is made the same way:
-each of its shards has the smallest tables from which all of its own digests can be peeled. Thus a fingerprint by itself gives back
-its digests, any two of them can be brought to a common size, and what is returned as likeness follows from the two strings alone:
-(|A| + |B| - d) / (|A| + |B| + d) for d recovered digests, the share of the digests that both have; 1 for two texts without any.
+cells are hashed afresh; behind the largest stands a plain comparison of the two shards' digests. A fingerprint is made the same way,
+as a difference from nothing: each of its shards has the smallest tables from which all of its own digests can be peeled. Thus a
+fingerprint by itself gives back its digests, any two of them can be brought to a common size, and what is returned as likeness
+follows from the two strings alone: (|A| + |B| - d) / (|A| + |B| + d) for d recovered digests, the share of the digests that both
+have; 1 for two texts without any.
 
-The string has the number of digests, then each shard's table width and cells (the count, then digest and check of 8 and 4 bytes in
-base 64; empty ones blank); a shard that no size could hold has width 0 and a cell for each digest. DataFrame functions only.
+The string has the number of digests, then each shard's table width and cells (place, count, and xor in base 64); a shard that no size could hold has width 0 and a cell for each digest. DataFrame functions only.
 
 Null text is empty. Documents follow each other by id, then by text hash; a repeated row is one document and returned as often as
 it occurs. Null ids come first. An empty table gives no rows; a single document is its own next. Other columns aren't read.
@@ -25,83 +26,100 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A piece: 32 characters of a line or what it has, and on to the end of the sentence, 160 more at most.
-PIECE = r"[^\n]{1,32}[^\n.!?]{0,160}[.!?]*"
-TABLES, SHARD = 3, 12
-#: Cells in each table, by attempt.
-WIDTHS = (8, 16, 32, 64, 128, 256)
-ROUNDS, LEVEL = 16, 64
+#: A piece: 48 characters of a line or what it has, and on to the end of the sentence, 240 more at most.
+PIECE = r"[^\n]{1,48}[^\n.!?]{0,240}[.!?]*"
+TABLES, SHARD = 3, 64
+#: Tables are powers of two wide, this at least, and half as wide as digests are likely to differ; every further attempt doubles them.
+LEAST, ATTEMPTS = 8, 3
+ROUNDS, LEVEL = 24, 64
+CELLS = "array<struct<at:int,n:int,key:bigint>>"
+CHECK = 16  # low bits of a digest that check the others
 
 
 def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
+    """The pieces' digests: 48 bits of hash, and 16 of a hash of those."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: checked(F.xxhash64(p))))
 
 
-def check_of(digest: Column) -> Column:
-    return F.xxhash64(digest).bitwiseAND(F.lit(0xFFFFFFFF))
+def checked(digest: Column) -> Column:
+    high = F.shiftleft(F.shiftright(digest, CHECK), CHECK)
+    return high.bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK) - 1)))
 
 
-def entry(n: Column, digest: Column, width: int) -> Column:
-    """A digest with its check and its cells, one in each table; every width hashes them afresh."""
-    at = F.array(*(F.pmod(F.xxhash64(digest, F.lit(width * TABLES + t)), F.lit(width)).cast("int") + t * width for t in range(TABLES)))
-    return F.struct(n.alias("n"), digest.alias("key"), check_of(digest).alias("check"), at.alias("at"))
+def cell(at: Column, n: Column, key: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"), key.cast("long").alias("key"))
 
 
-def cell(n: Column, key: Column, check: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
+def cells_of(n: Column, digest: Column, width: Column) -> Column:
+    """The cells of one digest, one in each table; every width hashes them afresh."""
+    return F.array(*(cell(F.pmod(F.xxhash64(digest, width, F.lit(t)), width) + F.lit(t) * width, n, digest) for t in range(TABLES)))
 
 
-def minus(a: Column, b: Column) -> Column:
-    return cell(a["n"] - b["n"], a["key"].bitwiseXOR(b["key"]), a["check"].bitwiseXOR(b["check"]))
+def added(cells: Column) -> Column:
+    """Cells at the same place added up; empty ones left out."""
 
+    def sums(sorted_cells: Column, starts: Column) -> Column:
+        def total(i: Column, j: Column) -> Column:
+            more = F.coalesce(F.get(starts, j + 1), F.size(sorted_cells)) - i - 1
+            first = F.get(sorted_cells, i)
+            both = F.aggregate(F.slice(sorted_cells, i + 2, more), first, lambda a, c: cell(a["at"], a["n"] + c["n"], a["key"].bitwiseXOR(c["key"])))
+            return F.when(more == 0, first).otherwise(both)
 
-def sketch(values: Column, width: int) -> Column:
-    """The cells of digests."""
-    entries = F.transform(values, lambda d: entry(F.lit(-1), d, width))
+        return F.filter(F.transform(starts, total), lambda c: (c["n"] != 0) | (c["key"] != 0))
 
-    def fill(cells: Column, e: Column) -> Column:
-        return F.transform(cells, lambda c, i: F.when(F.array_contains(e["at"], i), minus(c, e)).otherwise(c))
+    def runs(sorted_cells: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_cells) - 1), lambda i: (i == 0) | (F.get(sorted_cells, i)["at"] != F.get(sorted_cells, i - 1)["at"]))
+        return F.get(F.transform(F.array(starts), lambda s: sums(sorted_cells, s)), F.lit(0))
 
-    return F.aggregate(entries, F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), TABLES * width), fill)
+    return F.when(F.size(cells) == 0, F.array().cast(CELLS)).otherwise(F.get(F.transform(F.array(F.sort_array(cells)), runs), F.lit(0)))
+
+
+def sketch(values: Column, width: Column) -> Column:
+    """The filled cells of digests, in order."""
+    return added(F.flatten(F.transform(values, lambda d: cells_of(F.lit(1), d, width))))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, minus)
+    return F.when(F.size(b) == 0, a).otherwise(added(F.concat(a, F.transform(b, lambda c: cell(c["at"], -c["n"], c["key"])))))
 
 
-def peel(cells: Column, width: int) -> Column:
+def peel(cells: Column, width: Column) -> Column:
     """How many digests the cells hold, found by peeling; null if they are too full."""
 
-    def pure(state: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check_of(c["key"]) == c["check"]))
-        return F.array_distinct(F.transform(single, lambda c: entry(c["n"], c["key"], width)))
+    def pure(left: Column) -> Column:
+        single = F.filter(left, lambda c: (F.abs(c["n"]) == 1) & (checked(c["key"]) == c["key"]))
+        return F.array_distinct(F.transform(single, lambda c: F.struct(c["n"], c["key"])))
 
-    def without(cells: Column, gone: Column) -> Column:
-        return F.transform(cells, lambda c, i: F.aggregate(gone, c, lambda rest, e: F.when(F.array_contains(e["at"], i), minus(rest, e)).otherwise(rest)))
+    def without(state: Column, gone: Column) -> Column:
+        rest = F.concat(state["cells"], F.flatten(F.transform(gone, lambda e: cells_of(-e["n"], e["key"], width))))
+        found = F.concat(state["found"], F.transform(gone, lambda e: e["key"]))
+        return F.struct(added(rest).alias("cells"), found.alias("found"), (F.size(gone) == 0).alias("done"))
 
     def step(state: Column, _: Column) -> Column:
-        """Takes away what the step before found, then looks again."""
-        rest = F.struct(without(state["cells"], state["gone"]).alias("cells"), (state["found"] + F.size(state["gone"])).alias("found"), state["gone"].alias("gone"))
-        return F.when(F.size(state["gone"]) == 0, state).otherwise(F.get(F.transform(F.array(rest), lambda s: F.struct(s["cells"], s["found"], pure(s).alias("gone"))), F.lit(0)))
+        return F.when(state["done"] | (F.size(state["cells"]) == 0), state).otherwise(F.get(F.transform(F.array(pure(state["cells"])), lambda gone: without(state, gone)), F.lit(0)))
+
+    def whole(state: Column) -> Column:
+        """What isn't a digest but passed for one had to be taken back, so it was found twice."""
+        return F.when((F.size(state["cells"]) == 0) & (F.size(F.array_distinct(state["found"])) == F.size(state["found"])), F.size(state["found"]))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), pure(F.struct(cells.alias("cells"))).alias("gone"))
-    empty = lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.forall(s["cells"], empty), s["found"]))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, whole)
 
 
 def peeled(rows: DataFrame) -> DataFrame:
-    """rows (left, right: digests of a shard in two versions) with width and cells of the smallest sketches whose difference can be peeled, and found, how many digests differ."""
-    found = F.lit(None).cast("int")
-    cells = F.array().cast("array<struct<n:int,key:bigint,check:bigint>>")
-    rows = rows.withColumns({"found": found, "cells": cells, "width": F.lit(0)})
-    gap = F.abs(F.size("left") - F.size("right"))  # tables with fewer cells can't be peeled
-    for width in WIDTHS:
-        due = F.col("found").isNull() & (gap <= TABLES * width)
-        rows = rows.withColumn("cells", F.when(due, subtract(sketch(F.col("left"), width), sketch(F.col("right"), width))).otherwise(F.col("cells")))
-        rows = rows.withColumns({"found": F.when(due, peel(F.col("cells"), width)).otherwise(F.col("found")), "width": F.when(due, width).otherwise(F.col("width"))})
+    """rows (left, right: digests of a shard in two versions; likely: how many differ) with width and cells of the first sketches whose difference can be peeled, and found, how many digests differ."""
+    first = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("likely"), F.lit(1)) / 2))).cast("int"))
+    rows = rows.withColumns({"found": F.lit(None).cast("int"), "cells": F.array().cast(CELLS), "width": first / 2})
+    for _ in range(ATTEMPTS):
+        due = F.col("found").isNull()
+        rows = rows.withColumn("width", F.when(due, F.col("width") * 2).otherwise(F.col("width")).cast("int"))
+        tables = subtract(sketch(F.col("left"), F.col("width")), sketch(F.col("right"), F.col("width")))
+        rows = rows.withColumn("cells", F.when(due, tables).otherwise(F.col("cells")))
+        rows = rows.withColumn("found", F.when(due, peel(F.col("cells"), F.col("width"))).otherwise(F.col("found")))
     either = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
-    listed = F.transform(either, lambda d: cell(F.lit(1), d, check_of(d)))
-    return rows.withColumns({"cells": F.coalesce(F.when(F.col("found").isNotNull(), F.col("cells")), listed), "width": F.when(F.col("found").isNotNull(), F.col("width")).otherwise(0), "found": F.coalesce("found", F.size(either))})
+    listed = F.transform(either, lambda d, i: cell(i, F.lit(1), d))
+    known = F.col("found").isNotNull()
+    return rows.withColumns({"cells": F.when(known, F.col("cells")).otherwise(listed), "width": F.when(known, F.col("width")).otherwise(0), "found": F.coalesce("found", F.size(either))})
 
 
 def shards_for(values: Column) -> Column:
@@ -117,16 +135,21 @@ def split(values: Column, shards: Column) -> Column:
 
 
 def sharded(kind: str, left: str, right: str | None) -> Column:
-    """The shards of one or two columns of digests, as (kind, shard, left, right)."""
+    """The shards of one or two columns of digests, as (kind, shard, left, right, likely). An edit is likely to change half, a next document shares nothing as a rule."""
     shards = F.greatest(shards_for(F.col(left)), shards_for(F.col(right))) if right else shards_for(F.col(left))
     other = split(F.col(right), shards) if right else F.array_repeat(F.array().cast("array<bigint>"), shards)
     pairs = F.zip_with(split(F.col(left), shards), other, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    return F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("shard"), p["left"].alias("left"), p["right"].alias("right")))
+
+    def row(p: Column, i: Column) -> Column:
+        of_left, of_right = F.size(p["left"]), F.size(p["right"])
+        likely = of_left + of_right if kind == "next" else F.greatest(of_left, of_right)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("shard"), p["left"].alias("left"), p["right"].alias("right"), likely.alias("likely"))
+
+    return F.transform(pairs, row)
 
 
 def encoded(n: str, kind: str) -> Column:
-    packed = lambda c: F.base64(F.unhex(F.concat(F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["check"]), 8, "0"))))
-    one = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat(c["n"].cast("string"), F.lit("."), packed(c)))
+    one = lambda c: F.concat_ws(".", c["at"].cast("string"), c["n"].cast("string"), F.base64(F.unhex(F.lpad(F.hex(c["key"]), 16, "0"))))
     shard = F.concat(F.col("width").cast("string"), F.lit("="), F.array_join(F.transform("cells", one), ","))
     each = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("shard", shard.alias("text")))))
     return F.concat_ws(":", F.first(n).cast("string"), F.array_join(F.transform(each, lambda s: s["text"]), ";"))
