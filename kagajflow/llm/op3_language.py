@@ -5,8 +5,11 @@ texts). To that come three pieces of evidence whose weight the corpus itself tel
 say: the language that the markup declares, the address suffix, and the host's prior, smoothed towards its domain's and that
 towards the whole corpus'. A row's own vote is taken out of the counts that it is judged by.
 
-A row is accepted if its text has letters and one language is at least as probable as MIN_CONFIDENCE; without letters its
-language is 'und'. Without any labelled text there are no languages: all rows are 'und' and those with letters are accepted.
+A row is accepted if its text has letters, one language is at least as probable as MIN_CONFIDENCE, and the text is typical of that
+language: its mean log likelihood per trigram, with TYPICAL_OF more trigrams of the usual likelihood, is not more than FAR below what
+labelled texts of the language have. So texts in a language that nothing is labelled with, and noise, are rejected, and short texts
+aren't for a rare word. Without letters the language is 'und'. Without any labelled text there are no languages: all rows are 'und'
+and those with letters are accepted. All labels are fitted, whatever their number; a worker holds 256 KB for each.
 
 Null and empty texts are 'und'. Null evidence says nothing. Repeated rows are judged alike, an empty table gives no rows, other
 columns aren't read. Texts are scored whole. Counts are combined before they are shuffled; a host with a third of all rows is one
@@ -34,6 +37,10 @@ OVERLAP, MOST = 3.0, 3000
 #: Rows that a prior from above counts as.
 SMOOTH = 4.0
 MIN_CONFIDENCE = 0.5
+#: In nats; labelled texts stay within 2.5, texts of another language are 3 to 5 below, random letters 8.
+FAR, TYPICAL_OF = 2.75, 20
+#: Languages that one array of weights holds.
+PART = 256
 BLOCK = 1 << 20
 
 
@@ -58,46 +65,58 @@ def grams(data: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # log probability of each trigram, by language
+    parts: list[np.ndarray]  # log probability of each trigram, by language, PART languages each
+    usual: list[float]  # the mean log probability of a trigram in texts of the language
+
+
+def weights_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probabilities, their usual mean) of trigram counts by language; for the mean each trigram is judged by the others."""
+    total = sums.sum(1, keepdims=True) + 0.5 * GRAMS
+    without = np.log(np.maximum(sums - 1, 0) + 0.5) - np.log(total - 1)
+    usual = (sums * without).sum(1) / np.maximum(sums.sum(1), 1)
+    return np.log((sums + 0.5) / total).astype(np.float32), usual
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the languages that label rows; of each, about `sample` rows are chosen by a hash of their id."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(256).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Model([], np.zeros((0, GRAMS), np.float32))
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, sample / sizes[k]) * (1 << 20)))))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("label")])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), GRAMS), np.int64)
-        for batch in batches:
-            data, at = common.utf8_of(batch.column(0))
-            label = pc.index_in(batch.column(1), pa.array(languages)).to_pylist()
-            for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), label, strict=True):
-                if b - a >= 3:
-                    sums[k] += np.bincount(grams(data[a:b]), minlength=GRAMS)
-        k, gram = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(sums[k, gram])], names=["k", "gram", "n"])
-
-    counts = chosen.select("text", "label").mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()  # GRAMS rows a language at most
-    sums = np.full((len(languages), GRAMS), 0.5)
-    sums[counts["k"], counts["gram"]] += counts["n"]
-    return Model(languages, np.log(sums / sums.sum(1, keepdims=True)).astype(np.float32))
+    sizes = common.stored(rows.groupBy("label").agg(F.count("*").alias("n")), "labels")
+    languages = [r["label"] for r in sizes.orderBy("label").collect()]
+    chosen = rows.join(sizes, "label").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.least(F.lit(1.0), sample / F.col("n")) * (1 << 20))
+    model = Model(languages, [], [])
+    for at in range(0, len(languages), PART):
+        some = languages[at : at + PART]
+
+        def count(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(some), GRAMS), np.int32)
+            for batch in batches:
+                data, at = common.utf8_of(batch.column(0))
+                label = pc.index_in(batch.column(1), pa.array(some)).to_pylist()
+                for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), label, strict=True):
+                    if k is not None and b - a >= 3:
+                        sums[k] += np.bincount(grams(data[a:b]), minlength=GRAMS).astype(np.int32)
+            k, gram = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(sums[k, gram].astype(np.int64))], names=["k", "gram", "n"])
+
+        counts = chosen.select("text", "label").mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()  # PART * GRAMS rows at most
+        sums = np.zeros((len(some), GRAMS))
+        sums[counts["k"], counts["gram"]] = counts["n"]
+        weights, usual = weights_of(sums)
+        model.parts.append(weights)
+        model.usual += usual.tolist()
+    return model
 
 
 def scores(df: DataFrame, model: Model) -> DataFrame:
-    """df (text, other columns) with letters, whether the text has any, and logs, its tempered log likelihoods, in place of the text."""
+    """df (text, other columns) with letters, whether the text has any, logs, its tempered log likelihoods, and grams, of how many trigrams, in place of the text."""
     others = [c for c in df.columns if c != "text"]
-    shared = df.sparkSession.sparkContext.broadcast(model.weights)  # GRAMS numbers a language
+    shared = [df.sparkSession.sparkContext.broadcast(part) for part in model.parts]  # 64 MB each at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
+        weights = [row for part in shared for row in part.value]
         for batch in batches:
             data, at = common.utf8_of(batch.column(0))
-            logs, letters = np.zeros((len(batch), len(weights))), np.zeros(len(batch), bool)
+            logs, letters, counted = np.zeros((len(batch), len(weights))), np.zeros(len(batch), bool), np.zeros(len(batch))
             for a, b in common.blocks(at, BLOCK):
                 part = data[at[a] : at[b]]
                 low, high = at[a:b] - at[a], at[a + 1 : b + 1] - at[a]
@@ -108,15 +127,16 @@ def scores(df: DataFrame, model: Model) -> DataFrame:
                 code, last = grams(part), np.clip(high - 2, 0, max(0, len(part) - 2))
                 first = np.minimum(low, last)
                 n = last - first
-                temper = np.minimum(n, MOST) / np.maximum(n, 1) / OVERLAP
+                counted[a:b] = np.minimum(n, MOST)
+                temper = counted[a:b] / np.maximum(n, 1) / OVERLAP
                 for k, weight in enumerate(weights):
                     running = np.concatenate([[0.0], np.cumsum(weight[code], dtype=np.float64)])
                     logs[a:b, k] = (running[last] - running[first]) * temper
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(weights), pa.int32()), pa.array(logs.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(letters), lists], names=[*others, "letters", "logs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(letters), lists, pa.array(counted)], names=[*others, "letters", "logs", "grams"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
-    return df.select(F.col("text").cast("string"), *others).mapInArrow(run, f"{schema}, letters boolean, logs array<double>")
+    return df.select(F.col("text").cast("string"), *others).mapInArrow(run, f"{schema}, letters boolean, logs array<double>, grams double")
 
 
 def normal(weights: Column) -> Column:
@@ -124,10 +144,11 @@ def normal(weights: Column) -> Column:
     return F.transform(weights, lambda x: x / total)
 
 
-def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """scored (declared, suffix, host, domain, letters, logs, other columns) with lang, confidence, text_lang and accepted."""
+def fuse(scored: DataFrame, model: Model) -> DataFrame:
+    """scored (declared, suffix, host, domain, letters, logs, grams, other columns) with lang, confidence, text_lang and accepted."""
+    languages = model.languages
     if not languages:
-        return scored.select("*", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.col("letters").alias("accepted")).drop("logs")
+        return scored.select("*", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.col("letters").alias("accepted")).drop("logs", "grams")
     names = F.array(*map(F.lit, languages))
     zero = F.array(*(F.lit(0.0) for _ in languages))
     vote = F.when(F.col("letters"), F.array_position("logs", F.array_max("logs")).cast("int") - 1)
@@ -156,11 +177,13 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
         logs = F.zip_with(logs, part, lambda a, b: a + b)
     rows = rows.withColumn("fused", logs).withColumn("top", F.array_max("fused"))
     confidence = 1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    best = F.get(names, (F.array_position("fused", F.col("top")) - 1).cast("int"))
-    known = F.col("letters")
+    place = (F.array_position("fused", F.col("top")) - 1).cast("int")
+    best, usual = F.get(names, place), F.get(F.array(*map(F.lit, model.usual)), place)
+    behind = usual * F.col("grams") - F.get("logs", place) * OVERLAP
+    known, typical = F.col("letters"), behind <= FAR * (F.col("grams") + TYPICAL_OF)
     out = rows.withColumn("lang", F.when(known, best).otherwise("und")).withColumn("confidence", F.when(known, confidence).otherwise(0.0))
-    out = out.withColumn("text_lang", F.coalesce(F.get(names, F.col("vote")), F.lit("und"))).withColumn("accepted", known & (F.col("confidence") >= MIN_CONFIDENCE))
-    return out.drop("logs", "fused", "top", "vote", *(f"n_{k}" for k in ("declared", "suffix", "host", "domain")))
+    out = out.withColumn("text_lang", F.coalesce(F.get(names, F.col("vote")), F.lit("und"))).withColumn("accepted", known & typical & (F.col("confidence") >= MIN_CONFIDENCE))
+    return out.drop("logs", "grams", "fused", "top", "vote", *(f"n_{k}" for k in ("declared", "suffix", "host", "domain")))
 
 
 def domain_of(host: Column) -> Column:
@@ -183,7 +206,7 @@ def markup_language(html: Column) -> Column:
 
 def identify(df: DataFrame, model: Model) -> DataFrame:
     """df (text, declared, suffix, host, domain, other columns) without text, with lang, confidence, text_lang and accepted."""
-    return fuse(common.stored(scores(df, model), "language"), model.languages)
+    return fuse(common.stored(scores(df, model), "language"), model)
 
 
 def of_documents(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
