@@ -1,12 +1,13 @@
 """Retrieval for batches of queries: exact nearest neighbours, full-text matches, and rank fusion.
 
-Ranks are per query and totally ordered: similarity rounded to DIGITS, then id. The queries of a batch are few and broadcast
-when their number is within BATCH (a larger batch is a join that Spark plans itself); each row of the corpus is scored where it is.
+Ranks are per query and totally ordered: similarity rounded to DIGITS, then id. A stated set of queries is taken against all rows in
+blocks of at most BATCH queries, each broadcast; every row of the corpus is scored where it is. Words meet query terms by equi-joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ def batch_side(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(BATCH + 1).count() <= BATCH else queries
 
 
+def in_blocks(queries: DataFrame, per_block: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What per_block gives for the queries (query_id, ...), at most about BATCH of them at a time, broadcast."""
+    n = -(-queries.count() // BATCH)
+    if n <= 1:
+        return per_block(F.broadcast(queries))
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == k) for k in range(2 * n)]  # half full, so that none is too large
+    return reduce(DataFrame.unionByName, (per_block(F.broadcast(part)) for part in parts))
+
+
 def ranked(df: DataFrame, score: str, ties: tuple[str, ...] = ("id",), by: str = "query_id", most: int | None = None) -> DataFrame:
     """df with rank from 1 within each query; only the first `most` of each."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), *ties)))
@@ -33,33 +43,65 @@ def ranked(df: DataFrame, score: str, ties: tuple[str, ...] = ("id",), by: str =
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, id, similarity, rank): each query's k rows of corpus (id, embedding) with the largest cosine."""
-    pairs = corpus.where("embedding is not null").crossJoin(batch_side(queries.select("query_id", F.col("embedding").alias("_query"))))  # a stated set of queries against all rows
-    scored = pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_query"), DIGITS).alias("similarity"))
-    return ranked(scored, "similarity", most=k)
+
+    def block(some: DataFrame) -> DataFrame:
+        pairs = corpus.where("embedding is not null").crossJoin(some)  # a stated set of queries against all rows
+        scored = pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_query"), DIGITS).alias("similarity"))
+        return ranked(scored, "similarity", most=k)
+
+    return in_blocks(queries.select("query_id", F.col("embedding").alias("_query")), block)
+
+
+def term_places(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, id, term, pos, n_terms): where the words of a corpus row (id, content) are terms of a query."""
+    terms = queries.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
+    words = corpus.select("id", F.posexplode(tokens(F.col("content"))).alias("pos", "term"))
+    return words.join(batch_side(terms), "term")
 
 
 def term_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, id, n_terms, hits, terms): how many different terms of a query a row of corpus (id, content) has, and how often."""
-    terms = queries.select("query_id", F.explode("terms").alias("term"))
-    words = corpus.select("id", F.explode(tokens(F.col("content"))).alias("term"))
-    wanted = queries.select("query_id", F.size("terms").alias("n_terms"))
-    found = words.join(batch_side(terms), "term").groupBy("query_id", "id").agg(F.count_distinct("term").alias("found"), F.count("*").alias("hits"))
-    return found.join(batch_side(wanted), "query_id")
+    """(query_id, id, n_terms, found, hits): how many different terms of a query a row of corpus (id, content) has, and how often."""
+    places = term_places(queries, corpus)
+    return places.groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count_distinct("term").alias("found"), F.count("*").alias("hits"))
+
+
+def rank_of(weight: Column) -> Column:
+    """A weight of covers as a similarity: eight times w / (w + 1), one at most."""
+    return F.round(F.least(F.lit(1.0), 8 * weight / (weight + 1)) + NUDGE, DIGITS)
+
+
+def covers(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, id, similarity) of the rows that have all terms, by cover density.
+
+    A cover is a stretch of words with all terms and none shorter within; it weighs 0.1, divided by one more than the words in it
+    that are no terms. Each occurrence is where a stretch may end: it begins at the earliest of the terms' last occurrences.
+    """
+    places = term_places(queries, corpus)
+    row = Window.partitionBy("query_id", "id")
+    places = places.withColumn("k", F.row_number().over(row.orderBy("pos")))
+    each = places.join(batch_side(queries.select("query_id", F.explode("terms").alias("wanted"))), "query_id")
+    so_far = Window.partitionBy("query_id", "id", "wanted").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("wanted") == F.col("term"), F.struct("pos", "k"))).over(so_far)
+    ends = each.withColumn("last", last).groupBy("query_id", "id", "pos", "k").agg(F.min("last").alias("begin"), F.count("last").alias("seen"), F.first("n_terms").alias("n_terms"))
+    shortest = ends.where("seen = n_terms").groupBy("query_id", "id", "begin").agg(F.min(F.struct("pos", "k")).alias("end"))
+    noise = (F.col("end.pos") - F.col("begin.pos")) - (F.col("end.k") - F.col("begin.k"))
+    return shortest.groupBy("query_id", "id").agg(F.sum(0.1 / (1 + noise)).alias("weight")).select("query_id", "id", rank_of(F.col("weight")).alias("similarity"))
 
 
 def full_text(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "and") -> DataFrame:
-    """(query_id, id, similarity, rank) of rows that have all terms (and) or any (or); hits h rank as h / (h + 1)."""
-    found = term_hits(queries, corpus)
+    """(query_id, id, similarity, rank) of rows that have all terms (and) or any (or: each hit is a cover), by cover density."""
     if mode == "and":
-        found = found.where("found = n_terms")
-    return ranked(found.select("query_id", "id", F.round(F.col("hits") / (F.col("hits") + 1), DIGITS).alias("similarity")), "similarity", most=k)
+        found = covers(queries, corpus)
+    else:
+        found = term_hits(queries, corpus).select("query_id", "id", rank_of(0.1 * F.col("hits")).alias("similarity"))
+    return ranked(found, "similarity", most=k)
 
 
 def full_text_or_fallback(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Rows with all terms; for a query without any, rows with one of its terms of two or more letters. One plan for the batch."""
-    found = term_hits(queries, corpus).withColumn("stage", F.when(F.col("found") == F.col("n_terms"), 1).otherwise(2))
-    first = found.withColumn("least", F.min("stage").over(Window.partitionBy("query_id"))).where("stage = least")
-    return ranked(first.select("query_id", "id", "stage", F.round(F.col("hits") / (F.col("hits") + 1), DIGITS).alias("similarity")), "similarity", most=k)
+    whole = covers(queries, corpus).withColumn("stage", F.lit(1))
+    rest = queries.join(whole.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.filter("terms", lambda t: F.length(t) > 1).alias("terms"))
+    return whole.transform(lambda df: ranked(df, "similarity", most=k)).unionByName(full_text(rest, corpus, k, mode="or").withColumn("stage", F.lit(2)))
 
 
 def fuse_ranks(lists: Mapping[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
@@ -87,45 +129,54 @@ def hybrid(vector_queries: DataFrame, term_queries: DataFrame, corpus: DataFrame
     return fuse_ranks(lists).where(F.col("rank") <= k)
 
 
-def keyword_score(hits: Column) -> Column:
-    """A match's share of the keyword boost: eight times h / (h + 1), one at most."""
-    return F.least(F.lit(1.0), F.coalesce(hits / (hits + 1) * 8, F.lit(0.0)))
-
-
 def cross_book(queries: DataFrame, corpus: DataFrame, books: list[str], k: int, version: int = 2) -> DataFrame:
-    """Scored search in some books: rows near the query, matching its terms, or of a first chapter.
+    """Scored search in some books (none: in all): rows near the query, matching its terms, or of a first chapter.
 
-    Version 2 weighs vector 0.4 and keyword 0.6 where keywords match, else vector 0.7; version 1 takes the greater of the two.
+    Version 2 weighs vector 0.4 and keyword 0.6 where keywords match well, else vector 0.7; version 1 takes the greater of the two.
+    A query without an embedding has vector similarity 0 everywhere.
     """
-    scoped = corpus.where(F.col("book_id").isin(books))
-    hits = term_hits(queries, scoped).where("found = n_terms").select("query_id", "id", keyword_score(F.col("hits")).alias("keyword"))
-    pairs = scoped.select("id", "parichhed_no", "embedding").crossJoin(batch_side(queries.select("query_id", F.col("embedding").alias("_query"))))
-    near = pairs.select("query_id", "id", "parichhed_no", F.coalesce(cosine(F.col("embedding"), F.col("_query"), DIGITS), F.lit(0.0)).alias("vector"))
-    both = near.join(hits, ["query_id", "id"], "left")
-    kept = both.where((F.col("parichhed_no") == 1) | (F.col("vector") > 0.60) | F.col("keyword").isNotNull())
-    if version == 1:
-        score = F.greatest("vector", F.coalesce("keyword", F.lit(0.0)))
-    else:
-        score = F.when(F.col("keyword") >= 0.15, 0.4 * F.col("vector") + 0.6 * F.col("keyword")).otherwise(0.7 * F.col("vector"))
-    return ranked(kept.select("query_id", "id", F.round(score + NUDGE, DIGITS).alias("similarity")), "similarity", most=k)
+    scoped = corpus.where(F.col("book_id").isin(books)) if books else corpus
+    hits = covers(queries, scoped).withColumnRenamed("similarity", "keyword")
+
+    def block(some: DataFrame) -> DataFrame:
+        pairs = scoped.select("id", "parichhed_no", "embedding").crossJoin(some)
+        near = pairs.select("query_id", "id", "parichhed_no", F.coalesce(cosine(F.col("embedding"), F.col("_query"), DIGITS), F.lit(0.0)).alias("vector"))
+        both = near.join(hits, ["query_id", "id"], "left")
+        kept = both.where((F.col("parichhed_no") == 1) | (F.col("vector") > 0.60) | F.col("keyword").isNotNull())
+        if version == 1:
+            score = F.greatest("vector", F.coalesce("keyword", F.lit(0.0)))
+        else:
+            score = F.when(F.col("keyword") >= 0.15, 0.4 * F.col("vector") + 0.6 * F.col("keyword")).otherwise(0.7 * F.col("vector"))
+        return ranked(kept.select("query_id", "id", F.round(score + NUDGE, DIGITS).alias("similarity")), "similarity", most=k)
+
+    return in_blocks(queries.select("query_id", F.col("embedding").alias("_query")), block)
 
 
 #: Boosts of the scored hybrid search by version: pool, act, chapter, range, exact section, keyword.
-BOOSTS = {1: (50, 3.0, 1.5, 2.0, 2.5, 1.0), 3: (120, 2.5, 0.8, 0.5, 1.0, 1.5)}
+BOOSTS = {1: (50, 3.0, 1.5, 2.0, 2.5, 1.0), 2: (120, 2.5, 0.8, 0.5, 1.0, 1.5), 3: (120, 2.5, 0.8, 0.5, 1.0, 1.5)}
 
 
 def boosted(queries: DataFrame, corpus: DataFrame, k: int, version: int = 3) -> DataFrame:
     """Two phases: each query's pool of nearest rows in its books (and, from version 3, its exact sections), then added boosts.
 
-    queries: query_id, embedding, terms, books (array), act, chapter, low, high, sections (array; null or empty: none).
+    queries: query_id, embedding, terms, books (array; empty: all), act, chapter_no, low, high, sections (array; null or empty: none).
     """
     pool, act, chapter, in_range, exact, keyword = BOOSTS[version]
-    wanted = queries.withColumnsRenamed({"embedding": "_query"})
-    pairs = corpus.where("embedding is not null").crossJoin(batch_side(wanted)).where(F.array_contains("books", F.col("book_id")))
-    scored = pairs.withColumn("vector", cosine(F.col("embedding"), F.col("_query"), DIGITS)).drop("embedding", "_query")
+    in_scope = (F.size("books") == 0) | F.array_contains("books", F.col("book_id"))
     is_exact = F.coalesce(F.array_contains("sections", F.col("root")), F.lit(False))
-    placed = ranked(scored, "vector").where((F.col("rank") <= max(pool, k)) | (is_exact if version >= 3 else F.lit(False)))
-    hits = term_hits(queries, corpus).where("found = n_terms").select("query_id", "id", keyword_score(F.col("hits")).alias("keyword"))
+    vectors = corpus.where("embedding is not null")
+
+    def block(some: DataFrame) -> DataFrame:
+        scored = vectors.crossJoin(some).where(in_scope).withColumn("vector", cosine(F.col("embedding"), F.col("_query"), DIGITS)).drop("embedding", "_query")
+        return ranked(scored, "vector", most=max(pool, k)).drop("rank")
+
+    wanted = queries.withColumnRenamed("embedding", "_query")
+    placed = in_blocks(wanted, block)
+    if version >= 3:  # exact sections are looked up by number, whatever their rank
+        named = wanted.withColumn("root", F.explode("sections")).join(vectors, "root").where(in_scope)
+        named = named.withColumn("vector", cosine(F.col("embedding"), F.col("_query"), DIGITS)).drop("embedding", "_query")
+        placed = placed.unionByName(named.select(placed.columns)).dropDuplicates(["query_id", "id"])
+    hits = covers(queries, corpus).withColumnRenamed("similarity", "keyword")
     boost = lambda test, by: F.when(test, F.lit(float(by))).otherwise(0.0)
     total = (
         F.col("vector")

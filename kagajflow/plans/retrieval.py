@@ -9,35 +9,48 @@ from ..functions.text import tokens
 from ..operators import search
 from ..sources.tables import CHUNKS_SQL, fixture_chunks, table
 
-N_QUERIES = 8
-
-
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first embeddings, as queries."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every embedding whose id is divisible by 100, as a query."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def term_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two different words of the first benchmark items, as queries."""
-    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") < N_QUERIES)
-    return items.select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 2).alias("terms"))
+    """The first two different words of every document whose id is divisible by 100, as queries."""
+    asked = table(spark, sf_dir, "documents").where(F.col("doc_id") % 100 == 0)
+    return asked.select(F.col("doc_id").alias("query_id"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 2).alias("terms"))
 
 
 def both_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_queries(spark, sf_dir).join(term_queries(spark, sf_dir), "query_id")
 
 
+def covers_sql(terms: str, words: str, name: str) -> str:
+    """Cover density of the rows of words (id, term, pos) that have all terms (query_id, term)."""
+    return f"""{name}_met AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS k FROM {words} JOIN {terms} USING (term)
+), {name}_last AS (
+  SELECT m.*, max(CASE WHEN w.term = m.term THEN pos END) OVER e AS p, max(CASE WHEN w.term = m.term THEN k END) OVER e AS pk FROM {name}_met m JOIN (SELECT query_id, term FROM {terms}) w USING (query_id)
+  WINDOW e AS (PARTITION BY query_id, id, w.term ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), {name}_ends AS (
+  SELECT query_id, id, pos, k, min(p) AS b, min(pk) AS bk FROM {name}_last GROUP BY ALL HAVING count(p) = count(*)
+), {name}_covers AS (
+  SELECT query_id, id, b, bk, min(pos) AS e, min(k) AS ek FROM {name}_ends GROUP BY ALL
+), {name} AS (
+  SELECT query_id, id, round(least(1.0::DOUBLE, 8 * w / (w + 1)) + 1e-9::DOUBLE, 6) AS similarity FROM (SELECT query_id, id, sum(0.1::DOUBLE / (1 + e - b - ek + bk)) AS w FROM {name}_covers GROUP BY 1, 2)
+)"""
+
+
+SPLIT_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '')"
 TERMS_SQL = f"""item_words AS (
-  SELECT item_id AS query_id, w, min(i) AS i FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '')) AS w,
-    generate_subscripts(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != ''), 1) AS i FROM benchmark WHERE item_id < {N_QUERIES}) GROUP BY ALL
+  SELECT doc_id AS query_id, w, min(i) AS i FROM (SELECT doc_id, unnest({SPLIT_SQL.format("text")}) AS w, generate_subscripts({SPLIT_SQL.format("text")}, 1) AS i FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL
 ), terms AS (
   SELECT query_id, w AS term FROM item_words QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 2
 ), vectors AS (
-  SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {N_QUERIES}
+  SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0
 ), words AS (
-  SELECT id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM chunks
-), hits AS (
-  SELECT query_id, id, count(DISTINCT term) AS found, count(*) AS hits, any_value(n) AS n_terms FROM words JOIN terms USING (term) JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY 1) USING (query_id) GROUP BY 1, 2
+  SELECT id, unnest({SPLIT_SQL.format("content")}) AS term, generate_subscripts({SPLIT_SQL.format("content")}, 1) AS pos FROM chunks
+), {covers_sql("terms", "words", "whole")}, any_term AS (
+  SELECT query_id, id, round(least(1.0::DOUBLE, 8 * (0.1::DOUBLE * count(*)) / (0.1::DOUBLE * count(*) + 1)) + 1e-9::DOUBLE, 6) AS similarity FROM words JOIN terms USING (term) WHERE length(term) > 1 GROUP BY 1, 2
 ), near AS (
   SELECT query_id, id, book_id, parichhed_no, root, round(list_cosine_similarity(embedding, q), 6) AS vector FROM chunks, vectors
 )"""
@@ -56,17 +69,15 @@ def full_text_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full_text(term_queries(spark, sf_dir), fixture_chunks(spark, sf_dir), 24).withColumn("rank", F.col("rank").cast("long"))
 
 
-FULL_TEXT_AND = f"""{WITH} SELECT query_id, id, round(hits / (hits + 1), 6) AS similarity, row_number() OVER w AS rank FROM hits WHERE found = n_terms
-WINDOW w AS (PARTITION BY query_id ORDER BY round(hits / (hits + 1), 6) DESC, id) QUALIFY rank <= 24"""
+FULL_TEXT_AND = f"""{WITH} SELECT query_id, id, similarity, row_number() OVER w AS rank FROM whole WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, id) QUALIFY rank <= 24"""
 
 
 def full_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full_text_or_fallback(term_queries(spark, sf_dir), fixture_chunks(spark, sf_dir), 24).select("query_id", "id", "similarity", F.col("rank").cast("long").alias("rank"), F.col("stage").cast("long").alias("stage"))
 
 
-FULL_TEXT_FALLBACK = f"""{WITH}, staged AS (SELECT *, CASE WHEN found = n_terms THEN 1 ELSE 2 END::BIGINT AS stage FROM hits), first AS (SELECT * FROM staged QUALIFY stage = min(stage) OVER (PARTITION BY query_id))
-SELECT query_id, id, round(hits / (hits + 1), 6) AS similarity, row_number() OVER w AS rank, stage FROM first
-WINDOW w AS (PARTITION BY query_id ORDER BY round(hits / (hits + 1), 6) DESC, id) QUALIFY rank <= 24"""
+FULL_TEXT_FALLBACK = f"""{WITH}, first AS (SELECT *, 1::BIGINT AS stage FROM whole UNION ALL SELECT *, 2 FROM any_term WHERE query_id NOT IN (SELECT query_id FROM whole))
+SELECT query_id, id, similarity, row_number() OVER w AS rank, stage FROM first WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, id) QUALIFY rank <= 24"""
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +88,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTS = """vector AS (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, id) AS rank, vector AS similarity FROM near WHERE vector IS NOT NULL QUALIFY rank <= 24
 ), keyword AS (
-  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(hits / (hits + 1), 6) DESC, id) AS rank, round(hits / (hits + 1), 6) AS similarity FROM hits WHERE found = n_terms QUALIFY rank <= 24
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, similarity FROM whole QUALIFY rank <= 24
 )"""
 HYBRID_RRF = f"""{WITH}, {_LISTS}, fused AS (
   SELECT query_id, id, max(v) AS vector_rank, max(k) AS keyword_rank, round(sum(s), 9) AS score
@@ -111,10 +122,10 @@ def chapter_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAPTER_RRF = f"""{WITH}, inside AS (SELECT id FROM chunks WHERE parichhed_no = 1), title_words AS (
   SELECT id, unnest(regexp_split_to_array(lower(section_title), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM chunks WHERE parichhed_no = 1
-), title_hits AS (SELECT query_id, id, round(count(*) / (count(*) + 1), 6) AS s FROM title_words JOIN terms USING (term) GROUP BY 1, 2
+), title_hits AS (SELECT query_id, id, round(least(1.0::DOUBLE, 8 * (0.1::DOUBLE * count(*)) / (0.1::DOUBLE * count(*) + 1)) + 1e-9::DOUBLE, 6) AS s FROM title_words JOIN terms USING (term) GROUP BY 1, 2
 ), lists AS (
   SELECT query_id, id, 'v' AS list, 0.4::DOUBLE AS weight, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, id) AS rank FROM near SEMI JOIN inside USING (id) WHERE vector IS NOT NULL
-  UNION ALL SELECT query_id, id, 'k', 0.6, row_number() OVER (PARTITION BY query_id ORDER BY round(hits / (hits + 1), 6) DESC, id) FROM hits SEMI JOIN inside USING (id) WHERE found = n_terms
+  UNION ALL SELECT query_id, id, 'k', 0.6, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) FROM whole SEMI JOIN inside USING (id)
   UNION ALL SELECT query_id, id, 't', 0.5, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) FROM title_hits
 ), fused AS (
   SELECT query_id, id, max(rank) FILTER (list = 'v') AS vector_rank, max(rank) FILTER (list = 'k') AS keyword_rank, max(rank) FILTER (list = 't') AS title_rank, round(sum(weight / (60 + rank)), 9) AS score
@@ -130,9 +141,9 @@ def _cross_book(version: int):
     return run
 
 
-_CROSS = f"""{WITH}, matched AS (SELECT query_id, id, least(1.0, 8.0 * hits / (hits + 1)) AS keyword FROM hits WHERE found = n_terms), pool AS (
+_CROSS = f"""{WITH}, matched AS (SELECT query_id, id, similarity AS keyword FROM whole), pool AS (
   SELECT query_id, id, coalesce(vector, 0) AS vector, keyword FROM near LEFT JOIN matched USING (query_id, id)
-  WHERE book_id IN ('en', 'de') AND (parichhed_no = 1 OR coalesce(vector, 0) > 0.60 OR keyword IS NOT NULL)
+  WHERE query_id IN (SELECT query_id FROM terms) AND book_id IN ('en', 'de') AND (parichhed_no = 1 OR coalesce(vector, 0) > 0.60 OR keyword IS NOT NULL)
 )"""
 CROSS_BOOK_V2 = f"""{_CROSS}, scored AS (SELECT query_id, id, round(CASE WHEN keyword >= 0.15 THEN 0.4::DOUBLE * vector + 0.6::DOUBLE * keyword ELSE 0.7::DOUBLE * vector END + 1e-9::DOUBLE, 6) AS similarity FROM pool)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored QUALIFY rank <= 24"""
@@ -142,7 +153,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)
 
 def _boosted(version: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = F.col("query_id")
+        q = (F.col("query_id") / 100).cast("long")
         queries = both_queries(spark, sf_dir).select(
             "query_id", "embedding", "terms", F.array(F.lit("en"), F.lit("fr"), F.lit("es")).alias("books"), F.when(q % 2 == 0, F.lit("fr")).alias("act"),
             F.when(q % 3 == 0, (q + 1).cast("int")).alias("chapter_no"), (q * 2).cast("int").alias("low"), (q * 2 + 5).cast("int").alias("high"), F.array(q.cast("int"), (q + 20).cast("int")).alias("sections"),
@@ -154,12 +165,12 @@ def _boosted(version: int):
 
 def _boosted_sql(version: int) -> str:
     pool, act, chapter, in_range, exact, keyword = search.BOOSTS[version]
-    also = "OR root IN (query_id, query_id + 20)" if version >= 3 else ""
-    return f"""{WITH}, placed AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, id) AS place FROM near WHERE vector IS NOT NULL AND book_id IN ('en', 'fr', 'es') QUALIFY place <= {pool} {also}
-), matched AS (SELECT query_id, id, least(1.0, 8.0 * hits / (hits + 1))::DOUBLE AS keyword FROM hits WHERE found = n_terms), scored AS (
-  SELECT query_id, id, round(vector + CASE WHEN query_id % 2 = 0 AND book_id = 'fr' THEN {act}::DOUBLE ELSE 0 END + CASE WHEN query_id % 3 = 0 AND parichhed_no = query_id + 1 THEN {chapter}::DOUBLE ELSE 0 END
-    + CASE WHEN root BETWEEN query_id * 2 AND query_id * 2 + 5 THEN {in_range}::DOUBLE ELSE 0 END + CASE WHEN root IN (query_id, query_id + 20) THEN {exact}::DOUBLE ELSE 0 END
+    also = "OR root IN (q, q + 20)" if version >= 3 else ""
+    return f"""{WITH}, asked AS (SELECT *, query_id // 100 AS q FROM near SEMI JOIN terms USING (query_id)), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, id) AS place FROM asked WHERE vector IS NOT NULL AND book_id IN ('en', 'fr', 'es') QUALIFY place <= {pool} {also}
+), matched AS (SELECT query_id, id, similarity AS keyword FROM whole), scored AS (
+  SELECT query_id, id, round(vector + CASE WHEN q % 2 = 0 AND book_id = 'fr' THEN {act}::DOUBLE ELSE 0 END + CASE WHEN q % 3 = 0 AND parichhed_no = q + 1 THEN {chapter}::DOUBLE ELSE 0 END
+    + CASE WHEN root BETWEEN q * 2 AND q * 2 + 5 THEN {in_range}::DOUBLE ELSE 0 END + CASE WHEN root IN (q, q + 20) THEN {exact}::DOUBLE ELSE 0 END
     + {keyword}::DOUBLE * coalesce(keyword, 0) + 1e-9::DOUBLE, 6) AS similarity FROM placed LEFT JOIN matched USING (query_id, id)
 ) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored QUALIFY rank <= 24"""
 
@@ -174,5 +185,6 @@ QUERIES = {
     "cross_book_v1": (_cross_book(1), CROSS_BOOK_V1),
     "cross_book_v2": (_cross_book(2), CROSS_BOOK_V2),
     "boosted_hybrid_v1": (_boosted(1), _boosted_sql(1)),
+    "boosted_hybrid_v2": (_boosted(2), _boosted_sql(2)),
     "boosted_hybrid_v3": (_boosted(3), _boosted_sql(3)),
 }

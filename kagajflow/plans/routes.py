@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import outline, routing, search
 from ..sources.tables import CHUNKS_SQL, fixture_chunks, table
+from .retrieval import SPLIT_SQL, covers_sql
 from .sections import TOP, long, near
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as queries: some name a section, some are the beginning of a title, the others are free text."""
-    kind = F.col("item_id") % 4
-    titles = fixture_chunks(spark, sf_dir).select(F.col("id").alias("item_id"), F.substring("section_title", 1, 20).alias("title"))
-    items = table(spark, sf_dir, "benchmark").where("item_id < 24").join(titles, "item_id")
-    said = F.when(kind == 0, F.concat(F.lit("What says section "), (F.col("item_id") + 1).cast("string"), F.lit("?"))).when(kind == 1, F.col("title")).otherwise(F.col("text"))
-    return items.select(F.col("item_id").alias("query_id"), said.alias("text"))
+    """Every document whose id is divisible by 100 asks: some name a section, some are the beginning of a title, the others are free text."""
+    n = F.floor(F.col("id") / 100)
+    chunks = fixture_chunks(spark, sf_dir).where("id % 100 = 0")
+    said = F.when(n % 4 == 0, F.concat(F.lit("What says section "), (n + 1).cast("string"), F.lit("?"))).when(n % 4 == 1, F.substring("section_title", 1, 20)).otherwise(F.col("content"))
+    return chunks.select(F.col("id").alias("query_id"), said.alias("text"))
 
 
-ASKED_SQL = """asked AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'What says section ' || (item_id + 1) || '?' WHEN 1 THEN substring(section_title, 1, 20) ELSE b.text END AS text
-  FROM benchmark b JOIN chunks ON id = item_id WHERE item_id < 24)"""
+ASKED_SQL = """asked AS (SELECT id AS query_id, CASE id // 100 % 4 WHEN 0 THEN 'What says section ' || (id // 100 + 1) || '?' WHEN 1 THEN substring(section_title, 1, 20) ELSE content END AS text FROM chunks WHERE id % 100 = 0)"""
 
 
 def router(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +34,11 @@ ROUTER = f"""WITH {CHUNKS_SQL}, {ASKED_SQL}, named AS (SELECT query_id, nullif(r
 ), s1 AS (SELECT query_id, id, 1.0::DOUBLE AS similarity FROM named JOIN chunks USING (root)
 ), titles AS (SELECT id, lower(trim(regexp_replace(section_title, '\\s+', ' ', 'g'))) AS t FROM chunks), heads AS (SELECT query_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM asked
 ), s2 AS (SELECT query_id, id, round(0.9::DOUBLE + 0.1::DOUBLE * length(q) / length(t), 6) AS similarity FROM heads JOIN titles ON starts_with(replace(replace(t, ':', ''), '।', ''), replace(replace(q, ':', ''), '।', '')) WHERE length(q) >= 8
-), split AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') AS w FROM asked
+), split AS (SELECT query_id, {SPLIT_SQL.format("text")} AS w FROM asked
 ), terms AS (SELECT query_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:2]) AS term FROM split
-), words AS (SELECT id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM chunks
-), hits AS (SELECT query_id, id, count(DISTINCT term) = any_value(n) AS whole, round(count(*) / (count(*) + 1), 6) AS similarity FROM words JOIN terms USING (term) JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY 1) USING (query_id) GROUP BY 1, 2
-), best AS (SELECT * FROM hits QUALIFY whole OR NOT bool_or(whole) OVER (PARTITION BY query_id)), s3 AS (SELECT query_id, id, similarity FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 8
+), words AS (SELECT id, unnest({SPLIT_SQL.format("content")}) AS term, generate_subscripts({SPLIT_SQL.format("content")}, 1) AS pos FROM chunks
+), {covers_sql("terms", "words", "whole")}, any_term AS (SELECT query_id, id, round(least(1.0::DOUBLE, 8 * (0.1::DOUBLE * count(*)) / (0.1::DOUBLE * count(*) + 1)) + 1e-9::DOUBLE, 6) AS similarity FROM words JOIN terms USING (term) WHERE length(term) > 1 GROUP BY 1, 2
+), best AS (SELECT * FROM whole UNION ALL SELECT * FROM any_term WHERE query_id NOT IN (SELECT query_id FROM whole)), s3 AS (SELECT query_id, id, similarity FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 8
 ), every AS (SELECT *, 1::BIGINT AS stage FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3)
 SELECT query_id, id, similarity, stage FROM every QUALIFY stage = min(stage) OVER (PARTITION BY query_id)"""
 
@@ -53,22 +52,22 @@ EXCLUDED = f"""{TOP} SELECT query_id, id FROM rows WHERE (query_id, root) NOT IN
 
 
 def hinted_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hints = near(spark, sf_dir).where("query_id < 4 and rank in (3, 6)").select("query_id", "book_id", "root")
+    hints = near(spark, sf_dir).where("query_id % 200 = 0 and rank in (3, 6)").select("query_id", "book_id", "root")
     return routing.only_hinted(near(spark, sf_dir), hints).select("query_id", "id")
 
 
-HINTED_ONLY = f"""{TOP}, hints AS (SELECT DISTINCT query_id, book_id, root FROM rows WHERE query_id < 4 AND rank IN (3, 6)), marked AS (SELECT *, (query_id, book_id, root) IN (SELECT query_id, book_id, root FROM hints) AS hit FROM rows)
+HINTED_ONLY = f"""{TOP}, hints AS (SELECT DISTINCT query_id, book_id, root FROM rows WHERE query_id % 200 = 0 AND rank IN (3, 6)), marked AS (SELECT *, (query_id, book_id, root) IN (SELECT query_id, book_id, root FROM hints) AS hit FROM rows)
 SELECT query_id, id FROM marked QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY query_id)"""
 
 
 def chapter_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near(spark, sf_dir)
-    chapters = rows.where("rank <= 2 and query_id < 5").select("query_id", "filename", "parichhed_no")
+    chapters = rows.where("rank <= 2 and query_id % 300 = 0").select("query_id", "filename", "parichhed_no")
     pins = rows.where("rank = 9").select("query_id", "root")
     return routing.in_chapters(rows, chapters, pins).select("query_id", "id")
 
 
-CHAPTER_SCOPE = f"""{TOP}, chapters AS (SELECT query_id, filename, parichhed_no FROM rows WHERE rank <= 2 AND query_id < 5)
+CHAPTER_SCOPE = f"""{TOP}, chapters AS (SELECT query_id, filename, parichhed_no FROM rows WHERE rank <= 2 AND query_id % 300 = 0)
 SELECT query_id, id FROM rows WHERE (query_id, filename, parichhed_no) IN (SELECT * FROM chapters) OR (query_id, root) IN (SELECT query_id, root FROM rows WHERE rank = 9) OR query_id NOT IN (SELECT query_id FROM chapters)"""
 
 
@@ -96,12 +95,12 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over pairs of sections that occur together in the results of the first queries; even ones are strong."""
     rows = near(spark, sf_dir)
     pairs = rows.where("rank = 1").select("query_id", F.col("root").alias("keep_root")).join(rows.where("rank = 4").select("query_id", F.col("root").alias("drop_root")), "query_id")
-    rules = pairs.select(F.col("query_id").alias("priority"), F.lit("the").alias("pattern"), "keep_root", "drop_root", (F.col("query_id") % 2 == 0).alias("strong")).where("keep_root <> drop_root")
+    rules = pairs.select(F.col("query_id").alias("priority"), F.lit("the").alias("pattern"), "keep_root", "drop_root", (F.col("query_id") % 200 == 0).alias("strong")).where("keep_root <> drop_root")
     queries = rows.select("query_id").distinct().withColumn("text", F.lit("the question"))
     return long(routing.settle_conflicts(rows.select("query_id", "id", "root", "similarity"), queries, rules).select("query_id", "id", "place"), "place")
 
 
-CONFLICTS = f"""{TOP}, rules AS (SELECT a.query_id AS priority, a.root AS keep_root, b.root AS drop_root, a.query_id % 2 = 0 AS strong FROM rows a JOIN rows b USING (query_id) WHERE a.rank = 1 AND b.rank = 4 AND a.root != b.root
+CONFLICTS = f"""{TOP}, rules AS (SELECT a.query_id AS priority, a.root AS keep_root, b.root AS drop_root, a.query_id % 200 = 0 AS strong FROM rows a JOIN rows b USING (query_id) WHERE a.rank = 1 AND b.rank = 4 AND a.root != b.root
 ), has AS (SELECT DISTINCT query_id, root FROM rows), met AS (SELECT query_id, drop_root, strong FROM (SELECT DISTINCT query_id FROM rows), rules WHERE (query_id, keep_root) IN (SELECT * FROM has) AND (query_id, drop_root) IN (SELECT * FROM has)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY priority) = 1
 ), marked AS (SELECT r.*, coalesce(root = drop_root, false) AS other, coalesce(strong, false) AS strong FROM rows r LEFT JOIN met USING (query_id))
@@ -110,11 +109,11 @@ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY other, si
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near(spark, sf_dir)
-    queries = rows.select("query_id").distinct().withColumn("text", F.when(F.col("query_id") % 2 == 0, "What is law?").otherwise("How much?"))
+    queries = rows.select("query_id").distinct().withColumn("text", F.when(F.col("query_id") % 200 == 0, "What is law?").otherwise("How much?"))
     return long(routing.pin_first_section(rows, queries, fixture_chunks(spark, sf_dir)), "rank")
 
 
-DEFINITIONS = f"""{TOP}, counts AS (SELECT query_id, book_id, parichhed_no, count(*) AS n, min(rank) AS seen FROM rows WHERE query_id % 2 = 0 GROUP BY 1, 2, 3
+DEFINITIONS = f"""{TOP}, counts AS (SELECT query_id, book_id, parichhed_no, count(*) AS n, min(rank) AS seen FROM rows WHERE query_id % 200 = 0 GROUP BY 1, 2, 3
 ), chapter AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, seen) = 1
 ), firsts AS (SELECT book_id, parichhed_no, id FROM chunks QUALIFY row_number() OVER (PARTITION BY book_id, parichhed_no ORDER BY root, id) = 1
 ), every AS (SELECT query_id, id, similarity FROM rows UNION ALL SELECT query_id, id, 0.96::DOUBLE FROM chapter JOIN firsts USING (book_id, parichhed_no)), best AS (SELECT query_id, id, max(similarity) AS similarity FROM every GROUP BY 1, 2)

@@ -25,7 +25,7 @@ TOP = f"""{WITH}, top AS (
   SELECT query_id, id, vector AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, id) AS rank FROM near WHERE vector IS NOT NULL QUALIFY rank <= 24
 ), rows AS (SELECT top.*, filename, book_id, parichhed_no, chapter, section_label, root, section_title, content FROM top JOIN chunks USING (id)
 ), listed AS (
-  SELECT query_id, id, round(hits / (hits + 1), 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(hits / (hits + 1), 6) DESC, id) AS rank FROM hits WHERE found = n_terms QUALIFY rank <= 24
+  SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM whole QUALIFY rank <= 24
 )"""
 
 
