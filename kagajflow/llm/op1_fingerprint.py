@@ -46,111 +46,88 @@ def checked(digest: Column) -> Column:
     return high.bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK) - 1)))
 
 
-def cell(at: Column, n: Column, key: Column) -> Column:
-    return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"), key.cast("long").alias("key"))
+# The arithmetic of cells is SQL text: nested lambdas built of Column objects are planned and evaluated much slower.
 
 
-def cells_of(n: Column, digest: Column, width: Column) -> Column:
+def cells_of(n: str, digest: str, width: str) -> str:
     """The cells of one digest, one in each table; every width hashes them afresh."""
-    return F.array(*(cell(F.pmod(F.xxhash64(digest, width, F.lit(t)), width) + F.lit(t) * width, n, digest) for t in range(TABLES)))
+    each = (f"named_struct('at', cast(pmod(xxhash64({digest}, {width}, {t}), {width}) AS int) + {t} * {width}, 'n', {n}, 'key', {digest})" for t in range(TABLES))
+    return f"array({', '.join(each)})"
 
 
-def added(cells: Column) -> Column:
+def added(cells: str) -> str:
     """Cells at the same place added up; empty ones left out."""
+    many = "aggregate(slice(s, i + 2, coalesce(get(t, j + 1), size(s)) - i - 1), s[i], (a, c) -> named_struct('at', a.at, 'n', a.n + c.n, 'key', a.key ^ c.key))"
+    sums = f"transform(t, (i, j) -> CASE WHEN coalesce(get(t, j + 1), size(s)) - i = 1 THEN s[i] ELSE {many} END)"
+    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i].at <> s[i - 1].at)"
+    runs = f"transform(array({starts}), t -> filter({sums}, c -> c.n <> 0 OR c.key <> 0))[0]"
+    return f"transform(array(sort_array({cells})), s -> CASE WHEN size(s) = 0 THEN s ELSE {runs} END)[0]"
 
-    def sums(sorted_cells: Column, starts: Column) -> Column:
-        def total(i: Column, j: Column) -> Column:
-            more = F.coalesce(F.get(starts, j + 1), F.size(sorted_cells)) - i - 1
-            first = F.get(sorted_cells, i)
-            both = F.aggregate(F.slice(sorted_cells, i + 2, more), first, lambda a, c: cell(a["at"], a["n"] + c["n"], a["key"].bitwiseXOR(c["key"])))
-            return F.when(more == 0, first).otherwise(both)
 
-        return F.filter(F.transform(starts, total), lambda c: (c["n"] != 0) | (c["key"] != 0))
-
-    def runs(sorted_cells: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_cells) - 1), lambda i: (i == 0) | (F.get(sorted_cells, i)["at"] != F.get(sorted_cells, i - 1)["at"]))
-        return F.get(F.transform(F.array(starts), lambda s: sums(sorted_cells, s)), F.lit(0))
-
-    return F.when(F.size(cells) == 0, F.array().cast(CELLS)).otherwise(F.get(F.transform(F.array(F.sort_array(cells)), runs), F.lit(0)))
-
-
-def sketch(values: Column, width: Column) -> Column:
+def sketch(values: str, width: str) -> str:
     """The filled cells of digests, in order."""
-    return added(F.flatten(F.transform(values, lambda d: cells_of(F.lit(1), d, width))))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.when(F.size(b) == 0, a).otherwise(added(F.concat(a, F.transform(b, lambda c: cell(c["at"], -c["n"], c["key"])))))
+    return added(f"flatten(transform({values}, d -> {cells_of('1', 'd', width)}))")
 
 
-def peel(cells: Column, width: Column) -> Column:
-    """How many digests the cells hold, found by peeling; null if they are too full."""
+def subtract(a: str, b: str) -> str:
+    return added(f"concat({a}, transform({b}, c -> named_struct('at', c.at, 'n', -c.n, 'key', c.key)))")
 
-    def pure(left: Column) -> Column:
-        single = F.filter(left, lambda c: (F.abs(c["n"]) == 1) & (checked(c["key"]) == c["key"]))
-        return F.array_distinct(F.transform(single, lambda c: F.struct(c["n"], c["key"])))
 
-    def without(state: Column, gone: Column) -> Column:
-        rest = F.concat(state["cells"], F.flatten(F.transform(gone, lambda e: cells_of(-e["n"], e["key"], width))))
-        found = F.concat(state["found"], F.transform(gone, lambda e: e["key"]))
-        return F.struct(added(rest).alias("cells"), found.alias("found"), (F.size(gone) == 0).alias("done"))
+def peel(cells: str, width: str) -> str:
+    """How many digests the cells hold, found by peeling; null if they are too full.
 
-    def step(state: Column, _: Column) -> Column:
-        return F.when(state["done"] | (F.size(state["cells"]) == 0), state).otherwise(F.get(F.transform(F.array(pure(state["cells"])), lambda gone: without(state, gone)), F.lit(0)))
-
-    def whole(state: Column) -> Column:
-        """What isn't a digest but passed for one had to be taken back, so it was found twice."""
-        return F.when((F.size(state["cells"]) == 0) & (F.size(F.array_distinct(state["found"])) == F.size(state["found"])), F.size(state["found"]))
-
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, whole)
+    What isn't a digest but passed for one had to be taken back, so it was found twice.
+    """
+    high = f"shiftleft(shiftright(c.key, {CHECK}), {CHECK})"
+    is_digest = f"abs(c.n) = 1 AND {high} | (xxhash64({high}) & {(1 << CHECK) - 1}) = c.key"
+    pure = f"array_distinct(transform(filter(p.cells, c -> {is_digest}), c -> named_struct('n', c.n, 'key', c.key)))"
+    rest = added(f"concat(p.cells, flatten(transform(g, e -> {cells_of('-e.n', 'e.key', width)})))")
+    step = f"transform(array({pure}), g -> named_struct('cells', {rest}, 'found', concat(p.found, transform(g, e -> e.key)), 'done', size(g) = 0))[0]"
+    start = f"named_struct('cells', {cells}, 'found', cast(array() AS array<bigint>), 'done', false)"
+    whole = "CASE WHEN size(p.cells) = 0 AND size(array_distinct(p.found)) = size(p.found) THEN size(p.found) END"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (p, k) -> CASE WHEN p.done OR size(p.cells) = 0 THEN p ELSE {step} END, p -> {whole})"
 
 
 def peeled(rows: DataFrame) -> DataFrame:
     """rows (left, right: digests of a shard in two versions; likely: how many differ) with width and cells of the first sketches whose difference can be peeled, and found, how many digests differ."""
     first = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("likely"), F.lit(1)) / 2))).cast("int"))
-    rows = rows.withColumns({"found": F.lit(None).cast("int"), "cells": F.array().cast(CELLS), "width": first / 2})
-    for _ in range(ATTEMPTS):
-        due = F.col("found").isNull()
-        rows = rows.withColumn("width", F.when(due, F.col("width") * 2).otherwise(F.col("width")).cast("int"))
-        tables = subtract(sketch(F.col("left"), F.col("width")), sketch(F.col("right"), F.col("width")))
-        rows = rows.withColumn("cells", F.when(due, tables).otherwise(F.col("cells")))
-        rows = rows.withColumn("found", F.when(due, peel(F.col("cells"), F.col("width"))).otherwise(F.col("found")))
+    rows = rows.withColumns({"found": F.lit(None).cast("int"), "cells": F.array().cast(CELLS), "width": first})
+    for attempt in range(ATTEMPTS):
+        if attempt:
+            rows = rows.withColumn("width", F.when(F.col("found").isNull(), F.col("width") * 2).otherwise(F.col("width")))
+        difference = f"CASE WHEN size(right) = 0 THEN {sketch('left', 'width')} ELSE {subtract(sketch('left', 'width'), sketch('right', 'width'))} END"
+        rows = rows.withColumn("cells", F.expr(f"CASE WHEN found IS NULL THEN {difference} ELSE cells END"))
+        rows = rows.withColumn("found", F.expr(f"CASE WHEN found IS NULL THEN {peel('cells', 'width')} ELSE found END"))
     either = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
-    listed = F.transform(either, lambda d, i: cell(i, F.lit(1), d))
     known = F.col("found").isNotNull()
-    return rows.withColumns({"cells": F.when(known, F.col("cells")).otherwise(listed), "width": F.when(known, F.col("width")).otherwise(0), "found": F.coalesce("found", F.size(either))})
+    rows = rows.withColumn("either", F.when(known, F.array().cast("array<bigint>")).otherwise(either))
+    listed = F.expr("transform(either, (d, i) -> named_struct('at', i, 'n', 1, 'key', d))")
+    return rows.withColumns({"cells": F.when(known, F.col("cells")).otherwise(listed), "width": F.when(known, F.col("width")).otherwise(0), "found": F.coalesce("found", F.size("either"))}).drop("either")
 
 
 def shards_for(values: Column) -> Column:
     return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)) / SHARD)))).cast("int")
 
 
-def split(values: Column, shards: Column) -> Column:
+def split(values: str, shards: str) -> str:
     """The digests by shard, in two levels of LEVEL and more: work stays in proportion to their number."""
-    shard = lambda d: F.pmod(F.xxhash64(d, F.lit("shard")), shards)
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(shards / LEVEL), F.lit(1)).cast("int") - 1), lambda g: F.filter(values, lambda d: F.floor(shard(d) / LEVEL) == g))
-    inside = F.sequence(F.lit(0), F.least(shards, F.lit(LEVEL)) - 1)
-    return F.flatten(F.transform(groups, lambda group: F.transform(inside, lambda s: F.filter(group, lambda d: F.pmod(shard(d), F.lit(LEVEL)) == s))))
+    shard = f"pmod(xxhash64(d, 'shard'), {shards})"
+    groups = f"transform(sequence(0, greatest({shards} div {LEVEL}, 1) - 1), g -> filter({values}, d -> {shard} div {LEVEL} = g))"
+    inside = f"transform(sequence(0, least({shards}, {LEVEL}) - 1), s -> filter(x, d -> pmod({shard}, {LEVEL}) = s))"
+    return f"CASE WHEN {shards} = 1 THEN array({values}) ELSE flatten(transform({groups}, x -> {inside})) END"
 
 
-def sharded(kind: str, left: str, right: str | None) -> Column:
+def sharded(kind: str, left: str, right: str | None, shards: str) -> str:
     """The shards of one or two columns of digests, as (kind, shard, left, right, likely). An edit is likely to change half, a next document shares nothing as a rule."""
-    shards = F.greatest(shards_for(F.col(left)), shards_for(F.col(right))) if right else shards_for(F.col(left))
-    other = split(F.col(right), shards) if right else F.array_repeat(F.array().cast("array<bigint>"), shards)
-    pairs = F.zip_with(split(F.col(left), shards), other, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-
-    def row(p: Column, i: Column) -> Column:
-        of_left, of_right = F.size(p["left"]), F.size(p["right"])
-        likely = of_left + of_right if kind == "next" else F.greatest(of_left, of_right)
-        return F.struct(F.lit(kind).alias("kind"), i.alias("shard"), p["left"].alias("left"), p["right"].alias("right"), likely.alias("likely"))
-
-    return F.transform(pairs, row)
+    other = split(right, shards) if right else f"array_repeat(cast(array() AS array<bigint>), {shards})"
+    pairs = f"zip_with({split(left, shards)}, {other}, (a, b) -> named_struct('left', a, 'right', b))"
+    likely = "size(p.left) + size(p.right)" if kind == "next" else "greatest(size(p.left), size(p.right))"
+    return f"transform({pairs}, (p, i) -> named_struct('kind', '{kind}', 'shard', i, 'left', p.left, 'right', p.right, 'likely', {likely}))"
 
 
 def encoded(n: str, kind: str) -> Column:
-    one = lambda c: F.concat_ws(".", c["at"].cast("string"), c["n"].cast("string"), F.base64(F.unhex(F.lpad(F.hex(c["key"]), 16, "0"))))
-    shard = F.concat(F.col("width").cast("string"), F.lit("="), F.array_join(F.transform("cells", one), ","))
+    cells = F.expr("transform(cells, c -> concat(c.at, '.', c.n, '.', base64(unhex(lpad(hex(c.key), 16, '0')))))")
+    shard = F.concat(F.col("width").cast("string"), F.lit("="), F.array_join(cells, ","))
     each = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("shard", shard.alias("text")))))
     return F.concat_ws(":", F.first(n).cast("string"), F.array_join(F.transform(each, lambda s: s["text"]), ";"))
 
@@ -206,7 +183,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kinds = (("own", "own", None), ("changed", "changed", None), ("edited", "own", "changed"), ("next", "own", "next"))
     sizes = [F.size(c).alias(f"n_{c}") for c in ("own", "changed", "next")]
     kept = ["key", "id", "n_chars", "sha", *(["copies"] if repeats else [])]
-    rows = both.select(*kept, *sizes, F.explode(F.concat(*(sharded(*k) for k in kinds))).alias("s")).select(*kept, "n_own", "n_changed", "n_next", "s.*")
+    both = both.withColumns({f"k_{c}": shards_for(F.col(c)) for c in ("own", "changed", "next")})
+    shards = [f"greatest(k_{left}, k_{right})" if right else f"k_{left}" for _, left, right in kinds]
+    jobs = ", ".join(sharded(*kind, k) for kind, k in zip(kinds, shards, strict=True))
+    rows = both.select(*kept, *sizes, F.expr(f"explode(concat({jobs}))").alias("s")).select(*kept, "n_own", "n_changed", "n_next", "s.*")
     out = (
         peeled(rows).groupBy("key")  # all rows of a key come from one row in one partition
         .agg(
