@@ -1,9 +1,12 @@
 """Each operator against a plain version of its contract."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 from itertools import pairwise
 
 import corpus_pipeline
@@ -15,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kagajflow.llm import common, near_dedup, op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op10_token_counts, registry, tokens
+from kagajflow.llm import blocks, common, near_dedup, op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts, registry, tokens
 
 
 @pytest.fixture(scope="module")
@@ -49,13 +52,74 @@ def test_fingerprints(spark, data, texts):
     assert np.mean([r["near_edited"] > r["near_next"] for r in found.values()]) > 0.95
 
 
-def test_peeling_gives_null_beyond_capacity(spark):
+def read_fingerprint(text):
+    """The digests that a fingerprint gives back by itself, peeled in plain Python."""
+    n, _, shards = text.partition(":")
+    found = set()
+    for shard in shards.split(";"):
+        width, _, cells = shard.partition("=")
+        cells = {int(at): [int(k), int.from_bytes(base64.b64decode(key))] for at, k, key in (c.split(".") for c in cells.split(",") if c)}
+        if width == "0":
+            found |= {key for _, key in cells.values()}
+            continue
+        holders = Counter()
+        while cells:
+            at, (k, key) = next((at, c) for at, c in cells.items() if c[0] == 1 and plain_check(c[1]))
+            found.add(key)
+            for place in plain_places(key, int(width)):
+                cells[place][0] -= 1
+                cells[place][1] ^= key
+                if cells[place] == [0, 0]:
+                    del cells[place]
+            holders[key] += 1
+        assert max(holders.values(), default=1) == 1
+    assert len(found) == int(n)
+    return found
+
+
+def long_hash(value, seed):
+    return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed)
+
+
+def plain_check(key):
+    high = key >> 16 << 16
+    return long_hash(high, 42) & 0xFFFF == key & 0xFFFF
+
+
+def plain_places(key, width):
+    """Spark's hash of several columns takes each with the hash so far as its seed; integers count as four bytes."""
+    for t in range(3):
+        h = long_hash(key, 42)
+        for number in (width, t):
+            h = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), h)
+        signed = h - (1 << 64) if h >> 63 else h
+        yield signed % width + t * width
+
+
+def test_likeness_follows_from_the_strings(spark, data, texts):
+    rows = {r["doc_id"]: r for r in run(spark, data, 1)}
+    own = {i: read_fingerprint(r["fingerprint"]) for i, r in rows.items()}
+    ids = sorted(rows)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        assert abs(rows[i]["near_edited"] - alike(own[i], read_fingerprint(rows[i]["edited_fingerprint"]))) < 1e-9
+        assert abs(rows[i]["near_next"] - alike(own[i], own[after])) < 1e-9
+
+
+def test_peeling(spark):
+    """Sketches of up to what their tables hold, digests that no table tells apart, and one side within the other."""
     from pyspark.sql import functions as F
 
-    sizes = spark.range(0, 60, 3).withColumn("d", F.transform(F.sequence(F.lit(1), F.col("id") + 1), lambda x: F.xxhash64(x)))
-    found = sizes.select("id", op1_fingerprint.peel(op1_fingerprint.sketch(F.col("d")), op1_fingerprint.WIDTH).alias("n")).collect()
-    assert all(r["n"] in (None, r["id"] + 1) for r in found)
-    assert found[0]["n"] == 1 and found[-1]["n"] is None
+    checked = op1_fingerprint.checked
+    numbers = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda x: checked(F.xxhash64(x)))
+    none = F.array().cast("array<bigint>")
+    one = F.array(F.lit(5).cast("bigint"))  # no digest: its check is wrong, so it can never be peeled
+    cases = [(numbers(1, 30), none, 30), (numbers(1, 300), numbers(200, 400), 299), (numbers(1, 3), numbers(3, 3), 2), (none, none, 0), (F.concat(numbers(1, 3), one), numbers(3, 3), 3)]
+    for left, right, want in cases:
+        row = spark.range(1).select(left.alias("left"), right.alias("right")).withColumn("likely", F.greatest(F.size("left"), F.size("right")))
+        assert op1_fingerprint.peeled(row).first()["found"] == want
+    full = spark.range(1).select(numbers(1, 60).alias("d")).select(F.expr(op1_fingerprint.sketch("d", "8")).alias("c"))
+    assert full.select(F.expr(op1_fingerprint.peel("c", "8")).alias("n")).first()["n"] is None
 
 
 # 2
@@ -108,6 +172,79 @@ def test_evidence_decides_where_the_text_does_not(spark):
     assert found[500]["lang"] == "de" and found[501]["lang"] == "en" and (found[502]["lang"], found[502]["accepted"]) == ("und", False)
 
 
+def plain_grams(text):
+    raw = [b | 0x20 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    return [((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)]
+
+
+def test_fusion_like_brute_force(spark):
+    """Counts, priors and likelihoods in plain Python, over hosts, domains, suffixes, declared languages and rows without evidence."""
+    from math import exp, log
+
+    rng = random.Random(8)
+    vocabulary = {"en": "the house and other words with this".split(), "de": "das haus und andere worte mit diesem".split(), "fr": "la maison et les autres mots avec".split()}
+    rows = []
+    for i in range(150):
+        lang = rng.choice(list(vocabulary))
+        text = " ".join(rng.choices(vocabulary[rng.choice([lang] * 9 + list(vocabulary))], k=rng.choice([0, 1, 2, 8, 40])))
+        host = rng.choice([None, f"{lang}.a.org", "x.a.org", "b.net"])
+        rows.append((i, text, rng.choice([None, lang, "zz"]), rng.choice([None, lang, "org"]), host, host and ".".join(host.split(".")[-2:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, domain string")
+    labelled = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60)), lang) for i, (lang, words) in enumerate((x for x in vocabulary.items() for _ in range(5)))], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in op3_language.identify(docs, op3_language.fit(labelled)).collect()}
+
+    names = sorted(vocabulary)
+    counts = {k: Counter() for k in names}
+    for r in labelled.collect():
+        counts[r["lang"]].update(plain_grams(r["text"]))
+    whole = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
+    weight = lambda k, g: log((counts[k][g] + 0.5) / whole[k])
+    usual = {k: sum(n * (log(n - 0.5) - log(whole[k] - 1)) for n in counts[k].values()) / sum(counts[k].values()) for k in names}
+    logs = {i: [sum(weight(k, g) for g in plain_grams(text)) / 3 for k in names] for i, text, *_ in rows}
+    letters = {i: any(c.isalpha() for c in text) for i, text, *_ in rows}
+    vote = {i: logs[i].index(max(logs[i])) if letters[i] else None for i in logs}
+    total = Counter(v for v in vote.values() if v is not None)
+    base = [(total[k] + 1) / (sum(total.values()) + 3) for k in range(3)]
+
+    def given(row, column, prior):
+        same = Counter(vote[r[0]] for r in rows if r[column] is not None and r[column] == row[column] and r[0] != row[0] and vote[r[0]] is not None)
+        smooth = [same[k] + 4 * prior[k] for k in range(3)]
+        return [x / sum(smooth) for x in smooth]
+
+    for row in rows:
+        host = given(row, 4, given(row, 5, base))
+        fused = [a + log(p) for a, p in zip(logs[row[0]], host, strict=True)]
+        for column in (2, 3):
+            fused = [f + log(p / q) for f, p, q in zip(fused, given(row, column, base), base, strict=True)]
+        k, n, r = fused.index(max(fused)), len(plain_grams(row[1])), found[row[0]]
+        confidence = 1 / sum(exp(f - max(fused)) for f in fused)
+        typical = usual[names[k]] * n - 3 * logs[row[0]][k] <= 2.75 * (n + 20)
+        want = (names[k], confidence, letters[row[0]] and typical and confidence >= 0.5) if letters[row[0]] else ("und", 0.0, False)
+        assert (r["lang"], r["accepted"]) == (want[0], want[2]) and abs(r["confidence"] - want[1]) < 1e-6
+
+
+def test_unlabelled_languages_and_noise_are_rejected(spark):
+    from pyspark.sql import functions as F
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op3_language.fit(documents.where("lang <> 'es'"))
+    judged = op3_language.of_documents(documents.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))), model).join(documents.select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    assert judged.where("truth = 'es' and accepted").count() <= 0.03 * judged.where("truth = 'es'").count()
+    assert judged.where("truth <> 'es' and not accepted").count() == 0
+    rng = random.Random(2)
+    noise = spark.createDataFrame([(i, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(60))) for i in range(100)], "doc_id long, text string")
+    assert op3_language.of_documents(noise, model).where("accepted").isEmpty()
+
+
+def test_more_labels_than_one_part(spark, monkeypatch):
+    monkeypatch.setattr(op3_language, "PART", 2)
+    rows = [(i, f"{word} {word} {word}", lang) for i, (lang, word) in enumerate([("a", "kilo"), ("b", "mesa"), ("c", "tutu"), ("d", "vowo"), ("e", "zyxy")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op3_language.fit(docs)
+    assert model.languages == list("abcde") and [len(p) for p in model.parts] == [2, 2, 1]
+    assert op3_language.of_documents(docs, model).join(docs.select("doc_id", docs["lang"].alias("truth")), "doc_id").where("text_lang <> truth").isEmpty()
+
+
 # 4
 PLAIN = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
@@ -162,6 +299,21 @@ def test_line_blocks_without_an_article():
     assert op5_html.main_text("<article><p>x<p>y<aside>z</aside><div class=ad>buy</div></article>") == "x\ny"
 
 
+def test_html_without_marks(spark):
+    """Where no article is marked line blocks alone find it."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    plain = [re.sub(r"(</?)article", r"\1div", r["html"]) for r in rows]
+    assert [op5_html.main_text(p) for p in plain] == [op5_html.main_text(r["html"]) for r in rows]
+    assert all(op5_html.main_text(p) for p in plain)
+
+
+@pytest.mark.parametrize("part", ["<a", "<a ", "<a b='x>' ", '<a b="x>" ', "<p>", "</p", "<script></script", "<!--", "<a b=", "<div><p>", "<", "<li>", "<b></i>", "<a href='", "a>b\"c'"])
+def test_broken_markup_is_read_in_linear_time(part):
+    began = time.process_time()
+    op5_html.main_text(part * (500_000 // len(part)) + '"')
+    assert time.process_time() - began < 5
+
+
 def test_body_beside_marked_teasers():
     cards = "".join(f"<article><h3><a href=x>card {i}</a></h3><p>read this too</p></article>" for i in range(4))
     body = "".join(f"<p>{'words of the story go on ' * 5}{i}</p>" for i in range(5))
@@ -214,6 +366,15 @@ def test_decontamination_like_brute_force(spark, data, texts):
     assert all(whole[10_000 + i] for i in range(12))
 
 
+def test_rows_are_judged_by_themselves(spark):
+    of = lambda i: " ".join(f"{w}{i}" for w in "all words of this item end with its number".split())
+    items = spark.createDataFrame([(i, of(i)) for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, of(3)), (1, "a clean text"), (1, "a clean text"), (None, f"before {of(39)} behind")], "doc_id long, text string")
+    for block_bytes in (10**6, 300):
+        found = op6_decontamination.contamination(docs, items, block_bytes=block_bytes)
+        assert sorted((r["doc_id"] or 0, r["contaminated"], tuple(r["item_ids"])) for r in found.collect()) == [(0, True, (39,)), (1, False, ()), (1, False, ()), (1, True, (3,))]
+
+
 def test_short_items_and_texts_without_blanks(spark):
     items = [(1, "Tie"), (2, "two words"), (3, "今天的天气非常好，我们去公园。"), (4, "วันนี้อากาศดีมาก"), (5, "東京"), (6, "?!"), (7, None)]
     texts = [(1, "a tie."), (2, "ties, two-words"), (3, "two other words"), (4, "他说：今天的天气非常好，我们去公园。好。"), (5, "今天天气非常好我们去公园"), (6, "เธอบอกว่าวันนี้อากาศดีมากจริงๆ"), (7, "新東京駅"), (8, "東西京")]
@@ -222,14 +383,32 @@ def test_short_items_and_texts_without_blanks(spark):
 
 
 # 7
+def faults(ours, theirs):
+    found = op7_warc_fixity.audit(op7_warc_fixity.records(ours), op7_warc_fixity.records(theirs))
+    return sorted((r["id"], r["status"]) for r in found.where("status <> 'intact'").collect())
+
+
 def test_fixity(spark, data):
-    pages = spark.read.parquet(f"{data}/pages.parquet")
     from pyspark.sql import functions as F
 
-    damaged = pages.withColumn("html", F.when(F.col("page_id") == 17, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))).where("page_id <> 49")
-    found = op7_warc_fixity.audit(op7_warc_fixity.records(pages), op7_warc_fixity.records(damaged)).where("not intact")
-    assert sorted(r["id"] for r in found.collect()) == [17, 49]
-    assert op7_warc_fixity.audit(op7_warc_fixity.records(pages), op7_warc_fixity.records(pages)).where("not intact").isEmpty()
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    changed = pages.withColumn("html", F.when(F.col("page_id") == 17, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    assert faults(pages, pages) == []
+    assert faults(pages, changed.where("page_id <> 49")) == [(17, "damaged"), (49, "lost")]
+    assert faults(pages, pages.where("page_id <> 5")) == [(5, "lost")]  # what stands behind it in the file is untouched
+    assert faults(pages, pages.unionByName(pages.where("page_id = 3").withColumn("html", F.lit("other")))) == [(3, "added")]
+    assert faults(pages.where("page_id <> 0"), pages) == [(0, "added")]
+    cut = pages.withColumn("html", F.when(F.col("page_id") == 20, F.expr("substring(html, 1, 50)")).otherwise(F.col("html")))
+    assert faults(pages, cut) == [(20, "damaged")]
+
+
+def test_fixity_of_repeated_and_missing_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (None, "v", "c"), (None, "v", "d"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert faults(pages, pages) == []
+    assert faults(pages, pages.where("html <> 'd' or html is null")) == [(-1, "lost")]
+    assert faults(pages, pages.dropDuplicates()) == [(1, "damaged"), (1, "damaged")]
+    assert faults(pages.dropDuplicates(), pages) == [(1, "added")]
 
 
 # 8
@@ -258,6 +437,22 @@ def test_simhash_classes(spark, data, texts):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in found.items()} == {i: (f"{prints[i]:016x}", find(i)) for i in prints}
 
 
+def test_large_subtrees_are_sliced(spark, monkeypatch):
+    """Fingerprints that share a run, more than a slice holds: the links are those of brute force."""
+    monkeypatch.setattr(blocks, "SLICE", 16)
+    rng = random.Random(4)
+    prints = sorted({rng.getrandbits(20) & 0x1F1F1 | (0xABCDE << 40) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = op8_simhash.classes(spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")).collect()
+    root = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
+
+
 @pytest.mark.parametrize(("words", "budget"), [(1, 2), (2, 9)])
 def test_trie_join_finds_all_pairs(words, budget):
     rng = np.random.default_rng(3)
@@ -271,14 +466,34 @@ def test_trie_join_finds_all_pairs(words, budget):
     assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == want
 
 
-def test_near_duplicates_of_five_words(spark, data, texts):
-    """One of each group stays: no two that stay are 0.9 alike, and all that go are alike to another."""
-    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
-    docs = common.table(spark, data, "documents")
-    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, data).select("doc_id").collect()}
-    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
-    assert not [(a, b) for a in kept for b in kept if a < b and alike(a, b) >= 0.9]
-    assert all(max(alike(i, j) for j in texts if j != i) > 0.55 for i in set(texts) - kept)
+def test_near_duplicates_of_five_words(spark):
+    """The rows that stay are those of brute force over all pairs, also where texts share an id or have none."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    some = [(None if r["doc_id"] % 50 == 0 else r["doc_id"] // 3, r["text"]) for r in rows]
+    sets = []
+    for _, text in some:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(some)))
+    for a in range(len(some)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if root[a] != root[b] and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.withColumn("h", common.text_hash(docs["text"])).collect()}
+    first = {}
+    for r, row in zip(root, some, strict=True):
+        key = (row[0] is None, row[0] or 0, hashes[row])
+        first[r] = min(first.get(r, (key, row)), (key, row))
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert sorted(((r["doc_id"] or -1, r["text"]) for r in kept)) == sorted((row[0] or -1, row[1]) for _, row in first.values())
+
+
+def test_unrelated_texts_with_one_id_stay(spark):
+    docs = spark.createDataFrame([(7, "one text of its own with some words"), (7, "an unrelated text that has nothing of the other"), (7, "one text of its own with some words"), (8, "a third text"), (None, "a third text")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][:3]) for r in near_dedup.one_of_each(docs).collect()) == [(7, "an "), (7, "one"), (8, "a t")]
 
 
 def test_near_duplicates_at_the_threshold(spark):
@@ -311,6 +526,37 @@ def test_near_duplicates_at_the_threshold(spark):
     assert kept == one | both
 
 
+# 9
+def test_first_occurrences_are_streamed_in_order(spark, data):
+    index = common.stored(op9_line_dedup.line_index(common.table(spark, data, "documents"), "doc_id", "text", 40), "index")
+    plan = op9_line_dedup.repeated_keys(index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(h1" in plan and re.search(r"Sort \[h1#\d+L? ASC NULLS FIRST, h2#\d+L? ASC NULLS FIRST, last#\d+L? DESC NULLS LAST, position", plan)
+
+
+# the stages of the pipeline that are other than their operator's query
+def test_stages_like_brute_force(spark, data, library):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = common.table(spark, data, "documents")
+    judged = {r["doc_id"] for r in op3_language.of_documents(docs, op3_language.fit(docs)).where("accepted").collect()}
+    kept = stages["language_id"](spark, docs, data)
+    assert {r["doc_id"] for r in kept.collect()} == judged
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    holders = {}
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    for i, text in rows.items():
+        for line in text.split("\n"):
+            if len(key(line)) >= 40:
+                holders.setdefault(key(line), set()).add(i)
+    last = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    want = {i: "\n".join(line for line in text.split("\n") if last.get(key(line), i) == i) for i, text in rows.items()}
+    assert {r["doc_id"]: r["text"] for r in stages["line_dedup"](spark, docs, data).collect()} == want
+    packed = stages["packing"](spark, docs, data).collect()
+    lengths = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
+    assert {i: sum(r["length"] for r in packed if r["doc_id"] == i) for i in rows} == lengths
+    clean = {r["doc_id"] for r in stages["decontamination"](spark, docs, data).collect()}
+    assert clean == {r["doc_id"] for r in run(spark, data, 6) if not r["contaminated"]}
+
+
 # 7 and 9
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, data, name):

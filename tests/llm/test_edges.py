@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from kagajflow.llm import common, near_dedup, registry
+from kagajflow.llm import blocks, common, near_dedup, registry
 
 LONG = "A long line of words that goes on and on. " * 6000 + "\n" + "x" * 50_000 + "\n" + "7" * 30_000
 LINE = "This line is the same in each of the documents, and long."
@@ -92,7 +92,7 @@ def test_stages_keep_columns(spark, odd):
 
 def test_large_groups_are_sliced(spark, monkeypatch):
     """A block beyond SLICE goes to several tasks and loses no link."""
-    monkeypatch.setattr(near_dedup, "SLICE", 8)
+    monkeypatch.setattr(blocks, "SLICE", 8)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*words, f"own{i}"])) for i in range(50)] + [(99, "quite another text of its own " * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
