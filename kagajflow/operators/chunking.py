@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,31 +18,35 @@ BREAKS = ("।", ". ", "? ", "! ")
 
 
 def sized_pieces(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[str]:
-    """Pieces of at most `size` characters of the text with single blanks; a piece ends behind the last break in its second half, the next begins `overlap` earlier."""
-    flat, start = " ".join(text.split()), 0
-    while start < len(flat):
-        end = start + size
-        if end < len(flat):
-            found = ((flat.rfind(mark, start, end), len(mark)) for mark in BREAKS)
-            end = next((at + n for at, n in found if at - start > size // 2), end)
-        piece = flat[start:end].strip()
-        if piece:
+    """Pieces of at most `size` characters of the text with single blanks.
+
+    A piece that isn't the last ends behind the last break in its second half, of the best kind that has one; the next piece
+    begins `overlap` characters before that end. The places of all breaks are found once, each piece looks them up.
+    """
+    flat = " ".join(text.split())
+    places = [[m.end() for m in re.finditer(re.escape(mark), flat)] for mark in BREAKS]
+    start, whole = 0, len(flat)
+    while start < whole:
+        end = min(whole, start + size)
+        if end < whole:
+            latest = (ends[k - 1] for ends, mark in zip(places, BREAKS, strict=True) if (k := bisect_right(ends, end)) and ends[k - 1] - len(mark) > start + size // 2)
+            end = next(latest, end)
+        if piece := flat[start:end].strip():
             yield piece
-        if end >= len(flat):
-            return
-        start = max(end - overlap, start + 1)
+        start = max(end - overlap, start + 1) if end < whole else whole
 
 
 def by_size(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(id, chunk_index, content): a chunk's start depends on the end of the one before, so each text is cut in one Python call."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(key, i, piece) for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True) if text for i, piece in enumerate(sized_pieces(text, size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                pieces = list(sized_pieces(text.as_py() or "", size, overlap))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(pieces), batch.column(0).type), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=[id_col, "chunk_index", "content"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, chunk_index int, content string")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, content string")
 
 
 def sentences(text: Column) -> Column:
@@ -48,12 +54,16 @@ def sentences(text: Column) -> Column:
 
 
 def by_sentences(df: DataFrame, id_col: str, text_col: str, most: int = 1200) -> DataFrame:
-    """(id, chunk_index, content): sentences in chunks of about `most` characters: sentence i goes to chunk floor(characters before it / most)."""
-    cut = df.select(id_col, F.posexplode(sentences(F.col(text_col))).alias("i", "sentence"))
-    before = F.coalesce(F.sum(F.length("sentence") + 1).over(Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("chunk_index", F.floor(before / most).cast("int"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda s: s["sentence"]), " ")
-    return cut.groupBy(id_col, "chunk_index").agg(joined.alias("content"))
+    """(id, chunk_index, content): sentences packed in order, as many in a chunk as fit in `most` characters; a longer one is a chunk alone."""
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def pack(state: Column, sentence: Column) -> Column:
+        fits = (state["open"] == "") | (F.length(state["open"]) + 1 + F.length(sentence) <= most)
+        longer = F.concat_ws(" ", F.nullif(state["open"], F.lit("")), sentence)
+        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"), F.when(fits, longer).otherwise(sentence).alias("open"))
+
+    chunks = F.aggregate(sentences(F.coalesce(F.col(text_col), F.lit(""))), empty, pack, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return df.select(id_col, F.posexplode(chunks).alias("chunk_index", "content"))
 
 
 def by_markers(df: DataFrame, id_col: str, text_col: str, marker: str, least: int = 20) -> DataFrame:
@@ -65,68 +75,56 @@ def by_markers(df: DataFrame, id_col: str, text_col: str, marker: str, least: in
 # --- Statutes -------------------------------------------------------------------------------------------------------------
 
 D, L = "[0-9०-९]", "[क-ह]"
-#: What opens a part, chapter, section, explanation, proviso, subsection and clause of a statute.
-OPENERS = {
-    "bhag": rf"^भाग\s*[–-]\s*({D}+)\s*(.*)$",
-    "parichhed": rf"^परिच्छेद\s*[–-]\s*({D}+)\s*(.*)$",
-    "dafa": rf"^({D}{{1,4}}{L}?)\.?\s+(.+)$",
-    "spastikaran": r"^(स्पष्टीकरण[ः:])\s*(.*)$",
-    "tar": r"^(तर[ः:]?)\s+(.+)$",
-    "upadafa": rf"^\(\s*({D}{{1,2}})\s*\)\s*(.*)$",
-    "khanda": rf"^\(\s*({L})\s*\)\s*(.*)$",
+#: The marks of a statute's parts, as (before the label, the label, behind it); the kinds, words and numbers are fixed values.
+GRAMMAR = {
+    "bhag": (r"भाग\s*[–-]\s*", f"{D}+", ""),
+    "parichhed": (r"परिच्छेद\s*[–-]\s*", f"{D}+", ""),
+    "dafa": ("", f"{D}{{1,4}}{L}?", r"\.?\s"),
+    "spastikaran": ("", "स्पष्टीकरण[ः:]", ""),
+    "tar": ("", "तर[ः:]?", r"\s"),
+    "upadafa": (r"\(\s*", f"{D}{{1,2}}", r"\s*\)"),
+    "khanda": (r"\(\s*", L, r"\s*\)"),
 }
-#: Noise between pages, and places at which a new line begins.
-NOISE = (r"(?m)^\s*[0-9०-९]{1,4}\s*$", r"(?m)^\s*[-–—]{2,}\s*$", r"\[PAGE:\d+\]")
-LINE_BEGINS = (
-    rf"\s+(?=भाग\s*[–-]\s*{D})",
-    r"\s+(?=परिच्छेद\s*[–-])",
-    rf"(?<=[ऀ-ॿ।\"“”])\s+(?={D}{{1,4}}{L}?\.\s)",
-    rf"(?<=[।])\s+(?={D}{{1,4}}{L}?\s+[ऀ-ॿ])",
-    rf"(?<=…)\s+(?={D}{{1,4}}{L}?\.\s+[ऀ-ॿ])",
-    rf"(?<=\.{{4}})\s+(?={D}{{1,4}}{L}?\.\s+[ऀ-ॿ])",
-    rf"\s+(?=\(\s*{D}{{1,2}}\s*\))",
-    rf"\s+(?=\(\s*{L}\s*\))",
-    r"\s+(?=स्पष्टीकरण[ः:])",
-    r"\s+(?=तर[ः:]?\s)",
-)
+OPENERS = {kind: rf"^{before}({label}){behind}\s*({'.+' if kind in ('dafa', 'tar') else '.*'})$" for kind, (before, label, behind) in GRAMMAR.items()}
+#: A mark begins a line wherever it stands; a section's number only behind the end of something, without a full stop only behind a danda.
+ANYWHERE = "|".join("".join(GRAMMAR[kind]) for kind in GRAMMAR if kind != "dafa")
+ENDED = r"[\u0900-\u097f।…\"“”]|\.{4}"
+LINE_BEGIN = rf"\s+(?={ANYWHERE})|(?<={ENDED})\s+(?={D}{{1,4}}{L}?\.\s)|(?<=।)\s+(?={D}{{1,4}}{L}?\s+[\u0900-\u097f])"
+#: What stands between pages: a number or a rule alone on its line, and page marks.
+NOISE = rf"(?m)^\s*(?:{D}{{1,4}}|[-–—]{{2,}})\s*$|\[PAGE:\d+\]"
 
 
 def logical_lines(text: Column) -> Column:
-    """The text as lines, one for each thing that a marker opens."""
-    for pattern in NOISE:
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    for pattern in LINE_BEGINS:
-        text = F.regexp_replace(text, pattern, "\n")
-    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    """The text as lines, one for each thing that a mark opens."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(text, NOISE, " "), r"\s+", " "))
+    return F.filter(F.transform(F.split(flat, LINE_BEGIN), lambda s: F.trim(s)), lambda s: s != "")
+
+
+#: A mention: a section's number, subsections or clauses of one, or both, and the word that makes it a reference.
+MARK = rf"\(\s*(?:{D}+|{L})\s*\)"
+MENTION = rf"(?:दफा\s*({D}+{L}?))?(?:\s*को\s*)?\s*((?:उपदफा|खण्ड)\s*{MARK}(?:[^।()]{{0,15}}{MARK})*)?\s*(?:बमोजिम|को\s*प्रयोजन|मा\s|।|(?<=\)))"
 
 
 def references(body: Column, dafa: Column) -> Column:
-    """The sections, subsections and clauses that a text names, each once: (section, subsection, clause) with Devanagari digits."""
-    section = rf"दफा\s*({D}+{L}?)\s*को\s*"
-
-    def of(pattern: str, tails: str | None, field: str | None) -> Column:
-        def refs(match: Column) -> Column:
-            named = F.nullif(F.regexp_extract(match, rf"दफा\s*({D}+{L}?)", 1), F.lit(""))
-            where = F.coalesce(F.when(match.startswith("दफा"), named), dafa)
-
-            def ref(tail: Column | None) -> Column:
-                none = F.lit(None).cast("string")
-                part = {f: (to_devanagari_digits(tail) if f == field else none).alias(f) for f in ("subsection", "clause")}
-                return F.struct(to_devanagari_digits(where).alias("section"), part["subsection"], part["clause"])
-
-            return F.array(ref(None)) if tails is None else F.transform(F.regexp_extract_all(F.regexp_replace(match, rf"^दफा\s*{D}+{L}?", ""), F.lit(tails), F.lit(1)), ref)
-
-        return F.flatten(F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), refs))
-
-    numbers, letters = rf"\(\s*({D}+)\s*\)", rf"\(\s*({L})\s*\)"
-    found = F.concat(
-        of(rf"{section}खण्ड\s*[^।]+?(?=बमोजिम|को\s*प्रयोजन|मा\s|।)", letters, "clause"),
-        of(rf"{section}उपदफा\s*\(\s*{D}+\s*\)", numbers, "subsection"),
-        of(rf"(?:{section})?उपदफा\s*[^।]+?\s*बमोजिम", numbers, "subsection"),
-        of(rf"(?:{section})?उपदफा\s*\(\s*{D}+\s*\)\s*को\s*प्रयोजन", numbers, "subsection"),
-        of(rf"दफा\s*{D}+{L}?\s*(?:बमोजिम|मा\s)", None, None),
-    )
+    """The sections, subsections and clauses that a text names, each once: (section, subsection, clause) with Devanagari digits.
+
+    A mention without a section means the section that the text stands in.
+    """
+    none = F.lit(None).cast("string")
+
+    def parsed(mention: Column) -> Column:
+        own = F.nullif(F.regexp_extract(mention, rf"^दफा\s*({D}+{L}?)", 1), F.lit(""))
+        section = to_devanagari_digits(F.coalesce(own, dafa))
+        labels = F.transform(F.regexp_extract_all(mention, F.lit(MARK), F.lit(0)), lambda m: to_devanagari_digits(F.regexp_replace(m, r"[()\s]", "")))
+
+        def ref(label: Column) -> Column:
+            is_number = F.regexp_like(label, F.lit("^[०-९]"))
+            return F.struct(section.alias("section"), F.when(is_number, label).alias("subsection"), F.when(~is_number, label).alias("clause"))
+
+        return F.when(F.size(labels) > 0, F.transform(labels, ref)).when(own.isNotNull(), F.array(F.struct(section.alias("section"), none.alias("subsection"), none.alias("clause"))))
+
+    mentions = F.filter(F.transform(F.regexp_extract_all(body, F.lit(MENTION), F.lit(0)), lambda m: F.trim(m)), lambda m: F.regexp_like(m, F.lit("^(?:दफा|उपदफा|खण्ड)")))
+    found = F.flatten(F.filter(F.transform(mentions, parsed), lambda refs: refs.isNotNull()))
     return F.array_distinct(F.filter(found, lambda r: r["section"].isNotNull()))
 
 
