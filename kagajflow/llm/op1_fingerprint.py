@@ -29,8 +29,8 @@ from . import common
 #: A piece: 32 characters of a line or what it has, and on to the end of the sentence, 160 more at most.
 PIECE = r"[^\n]{1,32}[^\n.!?]{0,160}[.!?]*"
 TABLES, SHARD = 3, 64
-#: Tables are powers of two wide, this at least, and half as wide as digests are likely to differ; every further attempt doubles them.
-LEAST, ATTEMPTS = 8, 3
+#: Tables are powers of two wide, this at least, and at least ROOM times as wide as digests are likely to differ; every further attempt doubles them.
+LEAST, ROOM, ATTEMPTS = 8, 1.0, 3
 ROUNDS, LEVEL = 24, 64
 CELLS = "array<struct<at:int,n:int,key:bigint>>"
 CHECK = 16  # low bits of a digest that check the others
@@ -90,7 +90,7 @@ def peel(cells: str, width: str) -> str:
 
 def peeled(rows: DataFrame) -> DataFrame:
     """rows (left, right: digests of a shard in two versions; likely: how many differ) with width and cells of the first sketches whose difference can be peeled, and found, how many digests differ."""
-    first = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("likely"), F.lit(1)) / 2))).cast("int"))
+    first = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("likely"), F.lit(1)) * ROOM))).cast("int"))
     rows = rows.withColumns({"found": F.lit(None).cast("int"), "cells": F.array().cast(CELLS), "width": first})
     for attempt in range(ATTEMPTS):
         if attempt:
@@ -171,9 +171,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs = docs.groupBy("id", "text", "h").agg(F.count("*").cast("int").alias("copies"))
     before = neighbours(single if repeats else keys).select(key_of("id", "h").alias("key"), "before")
     # The number of partitions is given, as little data means much work here.
-    docs = docs.withColumn("key", key_of("id", "h")).drop("h").repartition(partitions, "key")
+    docs = docs.select(key_of("id", "h").alias("key"), "text", *(["copies"] if repeats else [])).repartition(partitions, "key")  # one shuffle, used twice
     head = F.substring("text", F.lit(1), F.floor(F.col("before.n") / 2).cast("int")).alias("head")
-    given = docs.join(before, "key").select(key_of("before.id", "before.h").alias("key"), head, digests(F.col("text")).alias("next"))
+    given = docs.join(before, "key").select(key_of("before.id", "before.h").alias("key"), F.col("before.id").alias("id"), head, digests(F.col("text")).alias("next"))
     both = docs.join(given.repartition(partitions, "key"), "key")
     n = F.length("text")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head"))
