@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import batch_side
+from .search import batch_side, in_blocks
 
 #: Index letters of more than one character.
 CONJUNCTS = ("क्ष", "त्र", "ज्ञ")
@@ -20,25 +20,30 @@ def roman(s: Column) -> Column:
     return plain(F.replace(s, F.lit("."), F.lit("")))
 
 
-def is_subsequence(field: Column, query: Column) -> Column:
-    """Whether the query's characters occur in the field in this order."""
-    reached = F.aggregate(F.split(field, ""), F.lit(1), lambda i, ch: F.when((ch != "") & (ch == F.substring(query, i, F.lit(1))), i + 1).otherwise(i))
-    return reached > F.length(query)
+def in_order(query: Column) -> Column:
+    """A pattern for fields that have the query's characters in this order; made once for each query."""
+    return F.array_join(F.transform(F.split(query, ""), lambda ch: F.regexp_replace(ch, r"([\\^$.|?*+()\[\]{}])", r"\\$1")), ".*")
 
 
-def field_score(field: Column, query: Column, subsequence: bool = True) -> Column:
-    """100 equal, 90 begins with; then of the field's words, in order, 95 equal or 85 begins with; 70 within; 45 in order, from 3 characters."""
+def field_score(field: Column, query: Column, pattern: Column | None = None) -> Column:
+    """100 equal, 90 begins with; then of the field's words, in order, 95 equal or 85 begins with; 70 within; 45 in order, from 3 characters, where a pattern for that is given."""
     words = F.filter(F.split(field, r"[/\s,]+"), lambda w: w.startswith(query))
     first = F.get(words, F.lit(0))
     score = F.when(field == query, 100).when(field.startswith(query), 90).when(first == query, 95).when(first.isNotNull(), 85).when(field.contains(query), 70)
-    if subsequence:
-        score = score.when((F.length(query) >= 3) & is_subsequence(field, query), 45)
+    if pattern is not None:
+        score = score.when((F.length(query) >= 3) & F.regexp_like(field, pattern), 45)
     return F.when((F.coalesce(field, F.lit("")) != "") & (query != ""), score.otherwise(0)).otherwise(0)
 
 
-def label_score(term: Column, latin: Column, english: Column, query: Column) -> Column:
-    """The best of the term (case counts), the Latin spelling (dots don't) and the English label."""
-    return F.greatest(field_score(F.trim(term), F.trim(query), subsequence=False), field_score(roman(latin), roman(query)), field_score(plain(english), plain(query)))
+def prepared(queries: DataFrame) -> DataFrame:
+    """queries (query_id, query) in the spellings that fields are compared with."""
+    forms = queries.select("query_id", F.trim("query").alias("q"), roman(F.col("query")).alias("q_roman"), plain(F.col("query")).alias("q_plain"))
+    return forms.withColumns({"like_roman": in_order(F.col("q_roman")), "like_plain": in_order(F.col("q_plain"))})
+
+
+def label_score() -> Column:
+    """The best of the term (case counts), the Latin spelling (dots don't) and the English label, of an entry's and a query's prepared forms."""
+    return F.greatest(field_score(F.col("t"), F.col("q")), field_score(F.col("t_roman"), F.col("q_roman"), F.col("like_roman")), field_score(F.col("t_plain"), F.col("q_plain"), F.col("like_plain")))
 
 
 def entry_key(term: Column, latin: Column) -> Column:
@@ -47,11 +52,16 @@ def entry_key(term: Column, latin: Column) -> Column:
 
 
 def search_one(queries: DataFrame, entries: DataFrame, source: str, fetch: int) -> DataFrame:
-    """Each query's best entries of one source, with its total of matches."""
-    scored = entries.crossJoin(batch_side(queries)).withColumn("score", label_score(F.col("term"), F.col("roman"), F.col("english"), F.col("query"))).where("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "roman")
-    total = F.count("*").over(Window.partitionBy("query_id"))
-    return scored.withColumn("total", total).withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch).select("query_id", "term", "roman", "english", "score", "total", F.lit(source).alias("source"))
+    """Each query's best entries of one source, with its total of matches. A stated set of queries against all entries, in blocks."""
+    forms = entries.select("term", "roman", "english", F.trim("term").alias("t"), roman(F.col("roman")).alias("t_roman"), plain(F.col("english")).alias("t_plain"))
+
+    def block(some: DataFrame) -> DataFrame:
+        scored = forms.crossJoin(some).select("query_id", "term", "roman", "english", label_score().alias("score")).where("score > 0")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "roman")
+        best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch)
+        return best.join(scored.groupBy("query_id").agg(F.count("*").alias("total")), "query_id").select("query_id", "term", "roman", "english", "score", "total", F.lit(source).alias("source"))
+
+    return in_blocks(prepared(queries), block)
 
 
 def search(queries: DataFrame, sources: dict[str, DataFrame], limit: int = 30) -> DataFrame:

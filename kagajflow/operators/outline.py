@@ -22,12 +22,24 @@ def extents(markers: DataFrame, by: str, at: str, end: str) -> DataFrame:
 
 
 def first_pages(sections: DataFrame, pages: DataFrame, needles: tuple[int, ...] = (24, 18, 12)) -> DataFrame:
-    """(book_id, root, page): the first page of the section's book that has the section's number and title, or only so many characters of the title, the longest first."""
-    pairs = sections.join(pages, "book_id")  # within a book: its sections against its pages
-    has = lambda n: F.contains("text", F.substring("title", 1, n)) & (F.length("title") >= n)
-    numbered = F.contains("text", F.concat(F.col("root").cast("string"), F.lit(". "), F.substring("title", 1, needles[-1])))
+    """(book_id, root, page): the first page of the section's book that has the section's number and title, or only so many characters of the title, the longest first.
+
+    Titles (book_id, root, title) meet pages (book_id, page, text) by their first characters at word starts: an equi-join on book and
+    those characters, of which each page has as many as it has words. White space counts as one blank.
+    """
+    least = needles[-1]
+    flat = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
+    wanted = sections.select("book_id", "root", flat(F.col("title")).alias("title")).withColumn("head", F.substring("title", 1, least))
+    words = F.filter(F.sequence(F.lit(1), F.length("flat")), lambda i: (i == 1) | (F.substring(F.col("flat"), i - 1, F.lit(1)) == " "))
+    placed = pages.select("book_id", "page", flat(F.col("text")).alias("flat")).where("flat <> ''").select("book_id", "page", "flat", F.explode(words).alias("at"))
+    before = F.substring(F.col("flat"), F.greatest(F.lit(1), F.col("at") - 12), F.least(F.lit(12), F.col("at") - 1))
+    placed = placed.select("book_id", "page", F.substring(F.col("flat"), F.col("at"), F.lit(needles[0])).alias("here"), before.alias("before")).withColumn("head", F.substring("here", 1, least))
+    pairs = placed.join(wanted, ["book_id", "head"])
+    has = lambda n: F.col("here").startswith(F.substring("title", 1, n)) & (F.length("title") >= n)
+    numbered = F.concat(F.lit(" "), F.col("before")).endswith(F.concat(F.lit(" "), F.col("root").cast("string"), F.lit(". ")))
     rules = [F.min(F.when(test, F.col("page"))) for test in (numbered, *map(has, needles))]
-    return pairs.groupBy("book_id", "root").agg(F.coalesce(*rules).alias("page"))
+    found = pairs.groupBy("book_id", "root").agg(F.coalesce(*rules).alias("page"))
+    return sections.select("book_id", "root").distinct().join(found, ["book_id", "root"], "left")
 
 
 def marker_kind(path_end: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import title_match
-from ..functions.text import CLAUSES, normal_title, to_ascii_digits
-from .search import ranked
+from ..functions.text import CLAUSES, normal_title, title_tokens, to_ascii_digits
+from .search import batch_side, ranked
 
 NUMBER = "([0-9०-९]+)"
 
@@ -78,7 +78,7 @@ def needs_title_search(queries: DataFrame, rows: DataFrame, low: int = 10, weak:
 
 def topics(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """The first rule (pattern, priority, book_id, root) that each query's text matches."""
-    met = queries.join(F.broadcast(rules), F.expr("regexp_like(text, pattern)"))
+    met = queries.join(batch_side(rules), F.expr("regexp_like(text, pattern)"))
     return met.groupBy("query_id").agg(F.min_by(F.struct("priority", "book_id", "root"), "priority").alias("r")).select("query_id", "r.*")
 
 
@@ -87,7 +87,7 @@ def settle_conflicts(rows: DataFrame, queries: DataFrame, rules: DataFrame) -> D
 
     A strong rule drops the other section's rows; a weak one only moves them behind: place tells the new order.
     """
-    met = queries.select("query_id", "text").join(F.broadcast(rules), F.expr("regexp_like(text, pattern)")).drop("text", "pattern")
+    met = queries.select("query_id", "text").join(batch_side(rules), F.expr("regexp_like(text, pattern)")).drop("text", "pattern")
     has = rows.select("query_id", "root").distinct()
     both = met.join(has.withColumnRenamed("root", "keep_root"), ["query_id", "keep_root"], "left_semi").join(has.withColumnRenamed("root", "drop_root"), ["query_id", "drop_root"], "left_semi")
     first = both.groupBy("query_id").agg(F.min_by(F.struct("drop_root", "strong"), "priority").alias("rule"))
@@ -108,20 +108,29 @@ def pin_first_section(rows: DataFrame, queries: DataFrame, corpus: DataFrame, sc
     return ranked(every.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), "similarity")
 
 
+def title_keys(s: Column) -> Column:
+    """What titles are joined by: their words and their first four characters."""
+    return F.array_append(title_tokens(s), F.concat(F.lit("^"), F.substring(normal_title(s), 1, 4)))
+
+
 def reconcile(names: DataFrame, taxonomy: DataFrame, least: float = 0.45) -> DataFrame:
-    """Each name (query_id, name, book_id) with the title (book_id, root, title) of its book that it matches best, if well enough.
+    """Each name (query_id, place, name, book_id) with the title (book_id, root, title) of its book that it matches best, if well enough.
 
-    A number in the name that is the section's adds 0.3. The match is within a book; titles without a book aren't looked at.
+    A number in the name that is the section's adds 0.3. A name is compared with the titles that share a word or the first four
+    characters with it: an equi-join on book and key.
     """
     number = F.nullif(F.regexp_extract(to_ascii_digits(F.col("name")), "([0-9]+)", 1), F.lit("")).cast("int")
-    pairs = names.join(taxonomy, "book_id").withColumn("score", F.round(title_match(F.col("name"), F.col("title")) + F.when(number == F.col("root"), 0.3).otherwise(0.0) + 1e-9, 6))
-    best = pairs.where(F.col("score") >= least).groupBy("query_id", "name").agg(F.max_by(F.struct("book_id", "root", "title", "score"), F.struct("score", -F.col("root"), "title")).alias("m"))
-    return best.select("query_id", "name", "m.*")
+    asked = names.withColumn("key", F.explode(F.array_distinct(title_keys(F.col("name")))))
+    known = taxonomy.withColumn("key", F.explode(F.array_distinct(title_keys(F.col("title")))))
+    pairs = asked.join(known, ["book_id", "key"]).drop("key").dropDuplicates(["query_id", "name", "book_id", "root"])
+    pairs = pairs.withColumn("score", F.round(title_match(F.col("name"), F.col("title")) + F.when(number == F.col("root"), 0.3).otherwise(0.0) + 1e-9, 6))
+    best = pairs.where(F.col("score") >= least).groupBy("query_id", "name").agg(F.min("place").alias("place"), F.max_by(F.struct("book_id", "root", "title", "score"), F.struct("score", -F.col("root"), "title")).alias("m"))
+    return best.select("query_id", "place", "name", "m.*")
 
 
 def agreed(reconciled: DataFrame) -> DataFrame:
-    """By query: the sections found, the confidence (the least score), and the book most names are in (of equal ones the first by name)."""
-    books = reconciled.groupBy("query_id", "book_id").agg(F.count("*").alias("n"))
-    usual = books.groupBy("query_id").agg(F.min_by("book_id", F.struct(-F.col("n"), "book_id")).alias("inferred_book"))
+    """By query: the sections found, the confidence (the least score), and the book most names are in, of equal ones the one named first."""
+    books = reconciled.groupBy("query_id", "book_id").agg(F.count("*").alias("n"), F.min("place").alias("seen"))
+    usual = books.groupBy("query_id").agg(F.min_by("book_id", F.struct(-F.col("n"), "seen")).alias("inferred_book"))
     found = reconciled.groupBy("query_id").agg(F.min("score").alias("confidence"), F.array_sort(F.collect_set("root")).alias("roots"))
     return found.join(usual, "query_id")

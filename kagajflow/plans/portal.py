@@ -20,10 +20,10 @@ def entries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of the first parts' and suppliers' fields, as queries."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 6")
+    """The beginnings of fields of every part and supplier whose number is divisible by 100, as queries."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
     asked = part.select((F.col("p_partkey") * 4).alias("query_id"), F.substring("p_name", 1, 6).alias("query")).union(part.select(F.col("p_partkey") * 4 + 1, F.lower(F.substring("p_type", 3, 5))))
-    return asked.union(part.select(F.col("p_partkey") * 4 + 2, F.substring("p_brand", 1, 4))).union(table(spark, sf_dir, "supplier").where("s_suppkey < 4").select(F.col("s_suppkey").cast("long") * 4 + 3, F.substring("s_name", 1, 9)))
+    return asked.union(part.select(F.col("p_partkey") * 4 + 2, F.substring("p_brand", 1, 4))).union(table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").cast("long") * 4 + 3, F.substring("s_name", 1, 9)))
 
 
 def glossary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ ENTRIES_SQL = """entries AS (
   SELECT p_partkey AS id, 0 AS place, 'parts' AS source, p_name AS term, replace(p_brand, '#', '.') AS roman, p_type AS english, CASE WHEN p_partkey % 10 = 0 THEN ' ' ELSE p_type END AS meaning FROM part
   UNION ALL SELECT s_suppkey, 1, 'suppliers', s_name, '', NULL, 'supplier' FROM supplier
 ), asked(query_id, query) AS (
-  SELECT p_partkey * 4, substring(p_name, 1, 6) FROM part WHERE p_partkey < 6 UNION ALL SELECT p_partkey * 4 + 1, lower(substring(p_type, 3, 5)) FROM part WHERE p_partkey < 6
-  UNION ALL SELECT p_partkey * 4 + 2, substring(p_brand, 1, 4) FROM part WHERE p_partkey < 6 UNION ALL SELECT s_suppkey * 4 + 3, substring(s_name, 1, 9) FROM supplier WHERE s_suppkey < 4
+  SELECT p_partkey * 4, substring(p_name, 1, 6) FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT p_partkey * 4 + 1, lower(substring(p_type, 3, 5)) FROM part WHERE p_partkey % 100 = 0
+  UNION ALL SELECT p_partkey * 4 + 2, substring(p_brand, 1, 4) FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT s_suppkey * 4 + 3, substring(s_name, 1, 9) FROM supplier WHERE s_suppkey % 100 = 0
 ), fields AS (
   SELECT *, trim(term) AS f, trim(query) AS q, false AS sub FROM entries, asked UNION ALL SELECT *, lower(trim(replace(roman, '.', ''))), lower(trim(replace(query, '.', ''))), true FROM entries, asked
   UNION ALL SELECT *, coalesce(lower(trim(english)), ''), lower(trim(query)), true FROM entries, asked
