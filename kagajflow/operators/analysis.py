@@ -124,7 +124,7 @@ def vocabulary_hints(queries: DataFrame, terms: DataFrame, most: int = 10, core:
 
 def line_parts(line: Column) -> Column:
     """(root, title) of a line `दफा N. title`."""
-    pattern = r"^\s*(?:दफा\s*)?([0-9०-९]+)\s*[.।:)]?\s*(.*)$"
+    pattern = r"^\s*(?:(?:दफा\s*)?([0-9०-९]+)\s*[.।:)]?\s*)?(.*)$"
     return F.struct(to_ascii_digits(F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))).try_cast("int").alias("root"), F.trim(F.regexp_extract(line, pattern, 2)).alias("title"))
 
 

@@ -179,3 +179,112 @@ def parse_statutes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "bhag", "parichhed", to_devanagari_digits(F.col("dafa")).alias("dafa"), "dafa_title", "upadafa", "khanda", text.alias("content"), "references",
         F.when(F.col("parichhed").isNotNull(), to_devanagari_digits(F.col("chapter_limit"))).alias("chapter_hadamyad_dafa"), F.when((F.col("kind") == "dafa") & limit.isNotNull(), "hadamyad").alias("provision_role"),
     )
+
+
+# --- Other shapes of statutes ---------------------------------------------------------------------------------------------
+
+#: What goes on with the line before it though it begins like a part: a reference that a line break cut in two.
+GOES_ON = r"^\(\s*[0-9०-९क-ह]+\s*\)\s*(?:,|र|वा|तथा|देखि)?\s*(?:\(\s*[0-9०-९क-ह]+\s*\)\s*(?:,|र|वा)?\s*)*(?:को\s*)?(?:बमोजिम|प्रयोजन)"
+OPEN_END = r"(?:उपदफा|खण्ड|दफा|को|वा|र|,)\s*$"
+DEPTHS = {"bhag": 0, "parichhed": 0, "dafa": 0, "spastikaran": 1, "tar": 1, "upadafa": 1, "khanda": 2}
+
+
+def kind_of(line: Column) -> Column:
+    kind = F.lit("rest")
+    for name in reversed(OPENERS):
+        kind = F.when(F.regexp_like(line, F.lit(OPENERS[name])), name).otherwise(kind)
+    return kind
+
+
+def goes_on(line: Column, before: Column) -> Column:
+    """Whether a line continues the one before: it opens nothing, or it is the rest of a reference that the line before has begun and not ended."""
+    unended = ~F.regexp_like(F.trim(before), F.lit("।$"))
+    return before.isNotNull() & ((kind_of(line) == "rest") | unended & F.regexp_like(line, F.lit(GOES_ON)) | F.regexp_like(F.trim(before), F.lit(OPEN_END)) & kind_of(line).isin("upadafa", "khanda"))
+
+
+def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, block, kind, depth, text): a statute's lines with their continuations joined, and how deep each block is indented."""
+    lines = df.select(F.col(id_col).alias("doc"), F.posexplode(logical_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("n", "line"))
+    order = Window.partitionBy("doc").orderBy("n")
+    lines = lines.withColumn("opens", ~F.coalesce(goes_on(F.col("line"), F.lag("line").over(order)), F.lit(False)))
+    lines = lines.withColumn("block", F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
+    out = lines.groupBy("doc", "block").agg(whole.alias("text"), F.min_by("line", "n").alias("first"))
+    kind = kind_of(F.col("first"))
+    depth = F.coalesce(F.create_map(*(F.lit(x) for pair in DEPTHS.items() for x in pair))[kind], F.lit(0))
+    return out.select(F.col("doc").alias(id_col), F.col("block").cast("int").alias("block"), kind.alias("kind"), depth.alias("depth"), "text")
+
+
+def indented(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, unclear): the statute as blocks indented by two blanks a level, and how many blocks open nothing."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("text"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", line.alias("line")))), lambda x: x["line"])
+    return blocks(df, id_col, text_col).groupBy(id_col).agg(F.array_join(ordered, "\n").alias("text"), F.count_if(F.col("kind") == "rest").alias("unclear"))
+
+
+def parse_indented(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of indented statutes, as parse_statutes gives them: a block's depth says what it is where its beginning doesn't.
+
+    A block of depth 2 without a letter goes on with the clause before it, one of depth 1 with the subsection; blank lines don't count.
+    """
+    lines = df.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "raw")).where(F.trim("raw") != "")
+    depth = F.floor(F.length(F.regexp_extract("raw", "^( *)", 1)) / 2).cast("int")
+    lines = lines.select("doc", "n", depth.alias("depth"), F.trim("raw").alias("line"))
+    # what a deeper block opens must not be taken for a shallower kind: a number in depth 2 is text
+    plain = (F.col("depth") == 2) & (kind_of(F.col("line")) != "khanda") | (F.col("depth") == 1) & kind_of(F.col("line")).isin("dafa", "khanda", "rest")
+    order = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("block", F.count_if(~plain).over(order))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
+    joined = lines.groupBy("doc", "block").agg(whole.alias("line"))
+    texts = joined.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n").alias(text_col))
+    return parse_statutes(texts.withColumnRenamed("doc", id_col), id_col, text_col)
+
+
+def structured_pieces(chunks: DataFrame, id_col: str, most: int = 1400) -> DataFrame:
+    """(id, root, level, label, content): a section whole; split into its subsections if longer than `most`, a subsection likewise into clauses.
+
+    chunks: id, root, content (a section's text). What stands before the first mark stays with the section's number.
+    """
+    piece = r"{0}(?:(?!{0})[\s\S])*"
+    sub, clause = rf"\(\s*{D}{{1,2}}\s*\)", rf"\(\s*{L}\s*\)"
+
+    def parts(text: Column, mark: str, level: str) -> Column:
+        head = F.trim(F.regexp_extract(text, rf"^((?:(?!{mark})[\s\S])*)", 1))
+        found = F.regexp_extract_all(text, F.lit(piece.format(mark)), F.lit(0))
+        named = F.transform(found, lambda p: F.struct(F.lit(level).alias("level"), F.regexp_replace(F.regexp_extract(p, f"^({mark})", 1), r"[()\s]", "").alias("label"), F.trim(p).alias("content")))
+        lead = F.array(F.struct(F.lit("head").alias("level"), F.lit("").alias("label"), head.alias("content")))
+        return F.when(F.size(found) > 0, F.filter(F.concat(lead, named), lambda p: p["content"] != ""))
+
+    whole = F.array(F.struct(F.lit("section").alias("level"), F.lit("").alias("label"), F.trim("content").alias("content")))
+    first = F.when(F.length("content") > most, F.coalesce(parts(F.col("content"), sub, "subsection"), whole)).otherwise(whole)
+    cut = chunks.select(id_col, "root", F.posexplode(first).alias("i", "p"))
+    again = F.when((F.col("p.level") == "subsection") & (F.length("p.content") > most), parts(F.col("p.content"), clause, "clause"))
+    again = F.transform(again, lambda c: F.struct(c["level"].alias("level"), F.concat_ws(".", F.col("p.label"), F.nullif(c["label"], F.lit(""))).alias("label"), c["content"].alias("content")))
+    pieces = cut.select(id_col, "root", "i", F.posexplode(F.coalesce(again, F.array("p"))).alias("j", "q"))
+    order = Window.partitionBy(id_col, "root").orderBy("i", "j")
+    return pieces.select(id_col, "root", (F.row_number().over(order) - 1).alias("place"), "q.level", "q.label", "q.content")
+
+
+def section_splits(df: DataFrame, id_col: str, text_col: str, most: int = 1200, overlap: int = 150) -> DataFrame:
+    """(id, section, piece, content): the older way for any legal text: at section marks, then at subsections, and what is still longer than `most` by size."""
+    mark = rf"(?m)^\s*{D}{{1,4}}{L}?\.\s+"
+    parts = df.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), f"(?={mark})")).alias("section", "content")).where(F.trim("content") != "")
+    subs = F.when(F.length("content") > most, F.split("content", rf"(?=\(\s*{D}{{1,2}}\s*\))")).otherwise(F.array("content"))
+    parts = parts.select(F.struct(id_col, "section").alias("key"), F.posexplode(subs).alias("sub", "content")).where(F.trim("content") != "")
+    sized = by_size(parts.select(F.struct("key", "sub").alias("at"), "content"), "at", "content", most, overlap)
+    order = Window.partitionBy("at.key").orderBy("at.sub", "chunk_index")
+    return sized.select(f"at.key.{id_col}", "at.key.section", (F.row_number().over(order) - 1).alias("piece"), "content")
+
+
+def chapters_in(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, chapter): where chapters begin in texts and what they are called."""
+    pattern = rf"(?m)^[ \t]*(परिच्छेद\s*[–-]?\s*{D}+[^\n]*)"
+    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(1))
+    return df.select(id_col, text_col, F.explode(found).alias("chapter")).select(id_col, (F.instr(text_col, F.col("chapter")) - 1).alias("at"), F.trim("chapter").alias("chapter"))
+
+
+def by_strategy(df: DataFrame, id_col: str, text_col: str, legal: Column, most: int = 1200) -> DataFrame:
+    """(id, chunk_index, content): legal texts by their sections, all others by size."""
+    order = Window.partitionBy(id_col).orderBy("section", "piece")
+    law = section_splits(df.where(legal), id_col, text_col, most).withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int")).select(id_col, "chunk_index", "content")
+    return law.unionByName(by_size(df.where(~F.coalesce(legal, F.lit(False))), id_col, text_col))

@@ -33,7 +33,7 @@ def judged(runs: DataFrame, rules: BookRules = (), books: Sequence[str] = ()) ->
     in_sources = F.transform("sources", lambda s: to_ascii_digits(F.substring_index(s["label"], ".", 1)))
     missing = F.filter("sections", lambda n: ~F.array_contains(F.concat(in_answer, in_sources), n))
     marks = F.transform(F.regexp_extract_all("answer", F.lit(r"\(\s*([0-9०-९]+)\s*\)"), F.lit(1)), to_ascii_digits)
-    of_sources = F.transform("sources", lambda s: F.get(F.split(to_ascii_digits(s["label"]), r"\."), F.lit(1)))
+    of_sources = F.transform("sources", lambda s: F.coalesce(F.get(F.split(to_ascii_digits(s["label"]), r"\."), F.lit(1)), F.lit("")))
     fits = lambda book: F.exists("sources", lambda s: in_books(s["filename"], [book], rules))
     own_book = F.lit(True)
     for book in books:

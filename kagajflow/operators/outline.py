@@ -30,13 +30,14 @@ def first_pages(sections: DataFrame, pages: DataFrame, needles: tuple[int, ...]
     least = needles[-1]
     flat = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
     wanted = sections.select("book_id", "root", flat(F.col("title")).alias("title")).withColumn("head", F.substring("title", 1, least))
-    words = F.filter(F.sequence(F.lit(1), F.length("flat")), lambda i: (i == 1) | (F.substring(F.col("flat"), i - 1, F.lit(1)) == " "))
-    placed = pages.select("book_id", "page", flat(F.col("text")).alias("flat")).where("flat <> ''").select("book_id", "page", "flat", F.explode(words).alias("at"))
-    before = F.substring(F.col("flat"), F.greatest(F.lit(1), F.col("at") - 12), F.least(F.lit(12), F.col("at") - 1))
-    placed = placed.select("book_id", "page", F.substring(F.col("flat"), F.col("at"), F.lit(needles[0])).alias("here"), before.alias("before")).withColumn("head", F.substring("here", 1, least))
+    words = F.split(flat(F.col("text")), " ")
+    reach = needles[0] // 2 + 1  # as many words as may begin within
+    window = lambda w, i: F.struct(F.substring(F.array_join(F.slice("words", i + 1, F.lit(reach)), " "), 1, needles[0]).alias("here"), F.get("words", i - 1).alias("before"))
+    placed = pages.select("book_id", "page", words.alias("words")).select("book_id", "page", F.explode(F.transform("words", window)).alias("w")).select("book_id", "page", "w.*")
+    placed = placed.where("here <> ''").withColumn("head", F.substring("here", 1, least))
     pairs = placed.join(wanted, ["book_id", "head"])
     has = lambda n: F.col("here").startswith(F.substring("title", 1, n)) & (F.length("title") >= n)
-    numbered = F.concat(F.lit(" "), F.col("before")).endswith(F.concat(F.lit(" "), F.col("root").cast("string"), F.lit(". ")))
+    numbered = F.col("before") == F.concat(F.col("root").cast("string"), F.lit("."))
     rules = [F.min(F.when(test, F.col("page"))) for test in (numbered, *map(has, needles))]
     found = pairs.groupBy("book_id", "root").agg(F.coalesce(*rules).alias("page"))
     return sections.select("book_id", "root").distinct().join(found, ["book_id", "root"], "left")
