@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,3 +84,27 @@ def lateness(df: DataFrame, starts: DataFrame, as_of: datetime.date) -> DataFram
 def formatted(year: Column, month: Column, day: Column) -> Column:
     name = F.element_at(F.array(*map(F.lit, MONTHS)), month)
     return F.concat_ws("-", year.cast("string"), name, day.cast("string"))
+
+
+def with_days(df: DataFrame, year: str, month: str, starts: DataFrame) -> DataFrame:
+    """df with days, how many the month has: 30 for a number that is no month's; a year that the table doesn't have is an error."""
+    span = starts.agg(F.min("year").alias("_first"), F.max("year").alias("_end"))
+    joined = df.join(F.broadcast(starts.select(F.col("year").alias(year), F.col("month").alias(month), "days")), [year, month], "left").crossJoin(F.broadcast(span))
+    outside = ~F.col(year).between(F.col("_first"), F.col("_end"))
+    return joined.withColumn("days", F.when(outside, F.raise_error(F.concat(F.lit("no such year in the calendar: "), F.col(year).cast("string")))).otherwise(F.coalesce("days", F.lit(30))).cast("int")).drop("_first", "_end")
+
+
+def is_date(year: Column, month: Column, day: Column, days: Column) -> Column:
+    """Whether there is such a day, given the days of the month."""
+    return F.coalesce(year.isNotNull() & month.between(1, 12) & day.between(1, days), F.lit(False))
+
+
+def compared(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """-1, 0 or 1 as the date (year, month, day) a is before, at or after b."""
+    left, right = F.struct(*(c.cast("int").alias(n) for c, n in zip(a, "ymd", strict=True))), F.struct(*(c.cast("int").alias(n) for c, n in zip(b, "ymd", strict=True)))
+    return F.when(left < right, -1).when(left > right, 1).otherwise(0)
+
+
+def clamped(year: Column, month: Column, day: Column, days: Column) -> Column:
+    """The nearest day that there is in the month: a struct of year, month and day."""
+    return F.struct(year.alias("year"), F.greatest(F.lit(1), F.least(F.lit(12), month)).alias("month"), F.greatest(F.lit(1), F.least(days, day)).alias("day"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import DIGITS
+
 
 def numbered(chunks: DataFrame, by: str, order: str, start: int = 0) -> DataFrame:
     """chunks with chunk_index from `start` within each document."""
@@ -31,3 +35,36 @@ def wipe(spark: SparkSession, path: str) -> None:
     """Empties a table, keeping its columns."""
     table = spark.read.parquet(path)
     spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
+def without_documents(documents: DataFrame, chunks: DataFrame, filenames: DataFrame, key: str = "filename") -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks without those of the given files (filename): what stays when a rule's files are replaced."""
+    gone = filenames.select(key).distinct()
+    return documents.join(gone, key, "left_anti"), chunks.join(gone, key, "left_anti")
+
+
+def load_all(parts: Mapping[str, Callable[[], DataFrame]], path: str, partition: str = "book_id", attempts: int = 3) -> dict[str, str]:
+    """Loads each rule's chunks, trying again where a load fails; the rules that failed in the end, with their last errors.
+
+    Rules are a handful of books; each load is a job of its own and replaces its own partitions only.
+    """
+    failed: dict[str, str] = {}
+    for name, chunks in parts.items():
+        for _ in range(attempts):
+            try:
+                load(chunks(), path, partition)
+            except Exception as error:  # noqa: BLE001  whatever fails is reported, the other rules go on
+                failed[name] = str(error)
+            else:
+                failed.pop(name, None)
+                break
+    return failed
+
+
+def ingest_rows(parsed: DataFrame, filename: Column, book_id: Column) -> DataFrame:
+    """Parsed statute chunks (parse_statutes) as rows of the chunks table: label, chapter, title, content and metadata as JSON."""
+    metadata = F.to_json(F.struct("chunk_id", "chunk_type", "bhag", "parichhed", F.col("dafa").alias("section_dafa"), F.col("upadafa").alias("subsection_upadafa"), F.col("khanda").alias("clause_khanda"), "references"))
+    return parsed.select(
+        "chunk_index", filename.alias("filename"), book_id.alias("book_id"), F.translate("dafa", DIGITS, "0123456789").alias("section_label"), F.col("parichhed").alias("chapter"), F.col("dafa_title").alias("section_title"),
+        F.concat(F.lit("("), "upadafa", F.lit(")")).alias("subsection"), "content", metadata.alias("metadata"),
+    )

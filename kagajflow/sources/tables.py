@@ -76,3 +76,23 @@ def section_pages(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     page = F.regexp_extract("file", r"(\d+)\.[a-z]+$", 1).cast("int")
     return pages.where(F.trim("value") != "").select("file", page.alias("page"), F.col("value").alias("text"))
+
+
+def law_texts(spark: SparkSession, raw: str, structured: str | None = None) -> DataFrame:
+    """(file, text, format) of law texts, one file each: the structured version (indented) where there is one, else the raw one (markers)."""
+
+    def read(path: str) -> DataFrame:
+        found = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.structured)?\.txt$", 1))
+        return found.select("file", F.col("value").alias("text"))
+
+    plain = read(raw).withColumn("format", F.lit("markers"))
+    if structured is None:
+        return plain
+    better = read(structured).withColumn("format", F.lit("indented"))
+    return better.unionByName(plain.join(better.select("file"), "file", "left_anti"))
+
+
+def taxonomy_file(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, root, title) of JSON taxonomies: a book and its list of sections."""
+    kind = "bookId string, items array<struct<label:string,title:string,sectionRoot:int>>"
+    return spark.read.schema(kind).json(path, multiLine=True).select(F.col("bookId").alias("book_id"), F.explode("items").alias("i")).select("book_id", F.col("i.sectionRoot").alias("root"), "i.title")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kagajflow.functions import labels, model_json
-from kagajflow.operators import analysis, assembly, chapters, chunking, evaluation
+from kagajflow.operators import analysis, assembly, calendar, chapters, chunking, evaluation, ingest
+from kagajflow.sources import tables
 
 
 @pytest.fixture
@@ -185,3 +186,48 @@ def test_splitters(spark):
     assert [r["content"] for r in chunking.by_sentences(long_text, "id", "text", 30).orderBy("chunk_index").collect()] == ["One is here. Two is here.", "x" * 50 + ".", "End."]
     chapters_at = chunking.chapters_in(spark.createDataFrame([(1, "x\nपरिच्छेद–१ सुरु\ny")], "id long, text string"), "id", "text").first()
     assert (chapters_at["at"], chapters_at["chapter"]) == (2, "परिच्छेद–१ सुरु")
+
+
+def test_calendar_days(spark, value):
+    months = calendar.month_starts(calendar.fixed_months(spark))
+    df = spark.createDataFrame([(2051, 1), (2051, 13)], "y int, m int")
+    assert sorted((r["m"], r["days"]) for r in calendar.with_days(df, "y", "m", months).collect()) == [(1, 31), (13, 30)]
+    with pytest.raises(Exception, match="no such year"):
+        calendar.with_days(spark.createDataFrame([(1900, 1)], "y int, m int"), "y", "m", months).collect()
+    day = lambda *d: [F.lit(x) for x in d]
+    assert value(calendar.compared(day(2051, 1, 31), day(2051, 2, 1))) == -1 and value(calendar.compared(day(2051, 2, 1), day(2051, 2, 1))) == 0
+    assert value(calendar.is_date(*day(2051, 1, 31, 31))) and not value(calendar.is_date(*day(2051, 1, 32, 31)))
+    assert tuple(value(calendar.clamped(*day(2051, 14, 40, 30)))) == (2051, 12, 30)
+
+
+def test_loads(spark, tmp_path):
+    documents = spark.createDataFrame([("a",), ("b",)], "filename string")
+    chunks = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "filename string, id int")
+    kept, left = ingest.without_documents(documents, chunks, spark.createDataFrame([("a",)], "filename string"))
+    assert [r[0] for r in kept.collect()] == ["b"] and [r["id"] for r in left.collect()] == [3]
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 2:
+            raise ValueError("not yet")
+        return spark.createDataFrame([("one", 1)], "book_id string, id int")
+
+    def broken():
+        raise ValueError("never")
+
+    path = str(tmp_path / "chunks")
+    assert ingest.load_all({"flaky": flaky, "broken": broken}, path) == {"broken": "never"}
+    assert spark.read.parquet(path).count() == 1
+    rows = ingest.ingest_rows(chunking.parse_statutes(spark.createDataFrame([(1, LAW)], "doc_id long, text string")), F.lit("f.txt"), F.lit("b")).orderBy("chunk_index")
+    assert [r["section_label"] for r in rows.collect()][:2] == ["12", "12"]
+
+
+def test_law_files(spark, tmp_path):
+    for folder, name, text in (("raw", "a.txt", "A"), ("raw", "b.txt", "B"), ("structured", "a.structured.txt", "  A")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    found = tables.law_texts(spark, str(tmp_path / "raw"), str(tmp_path / "structured"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "  A", "indented"), ("b", "B", "markers")]
+    (tmp_path / "t.json").write_text('{"bookId": "x", "items": [{"label": "1", "title": "T", "sectionRoot": 1}]}')
+    assert [tuple(r) for r in tables.taxonomy_file(spark, str(tmp_path / "t.json")).collect()] == [("x", 1, "T")]
