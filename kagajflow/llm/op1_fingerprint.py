@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraph digests.
 
-A text is cut at line ends and, within long lines, behind sentences. The pieces' 64-bit digests (each once) are dealt by hash into
+A text is cut at line ends and, within long lines, behind sentences. The pieces' digests (each once) are dealt by hash into
 shards of at most about SHARD, a power of two of them (most texts are one), and each shard is a sketch: cells in three tables, each
-with a count and the xor of its digests, of which 16 bits check the other 48. Only filled cells are kept, so a fingerprint grows in proportion to
+the xor of its digests, of which some bits check the others. Only filled cells are kept, so a fingerprint grows in proportion to
 its text and work does too, whatever the tables' width.
 
 Sketches of two versions subtract cell by cell, and peeling recovers the digests in which they differ: a cell with one digest gives
@@ -13,7 +13,7 @@ fingerprint by itself gives back its digests, any two of them can be brought to
 follows from the two strings alone: (|A| + |B| - d) / (|A| + |B| + d) for d recovered digests, the share of the digests that both
 have; 1 for two texts without any.
 
-The string has the number of digests, then each shard's table width and cells (place, count, and xor in base 64); a shard that no size could hold has width 0 and a cell for each digest. DataFrame functions only.
+The string has the number of digests, then each shard's table width and cells (place and xor in hex); a shard that no size could hold has width 0 and a cell for each digest. DataFrame functions only.
 
 Null text is empty. Documents follow each other by id, then by text hash; a repeated row is one document and returned as often as
 it occurs. Null ids come first. An empty table gives no rows; a single document is its own next. Other columns aren't read.
@@ -32,45 +32,49 @@ TABLES, SHARD = 3, 64
 #: Tables are powers of two wide, this at least, and at least ROOM times as wide as digests are likely to differ; every further attempt doubles them.
 LEAST, ROOM, ATTEMPTS = 8, 1.0, 3
 ROUNDS, LEVEL = 24, 64
-CELLS = "array<struct<at:int,n:int,key:bigint>>"
-CHECK = 16  # low bits of a digest that check the others
+#: A digest has HASH bits of hash and CHECK bits that check them; a cell is its place above them and the xor of its digests.
+HASH, CHECK = 37, 16
+BITS = HASH + CHECK
+MASK = (1 << BITS) - 1
+CELLS = "array<bigint>"
 
 
 def digests(text: Column) -> Column:
-    """The pieces' digests: 48 bits of hash, and 16 of a hash of those."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: checked(F.xxhash64(p))))
 
 
-def checked(digest: Column) -> Column:
-    high = F.shiftleft(F.shiftright(digest, CHECK), CHECK)
+def checked(hashed: Column) -> Column:
+    """The digest of a hash."""
+    high = F.shiftleft(hashed.bitwiseAND(F.lit((1 << HASH) - 1)), CHECK)
     return high.bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK) - 1)))
 
 
 # The arithmetic of cells is SQL text: nested lambdas built of Column objects are planned and evaluated much slower.
 
 
-def cells_of(n: str, digest: str, width: str) -> str:
+def cells_of(digest: str, width: str) -> str:
     """The cells of one digest, one in each table; every width hashes them afresh."""
-    each = (f"named_struct('at', cast(pmod(xxhash64({digest}, {width}, {t}), {width}) AS int) + {t} * {width}, 'n', {n}, 'key', {digest})" for t in range(TABLES))
-    return f"array({', '.join(each)})"
+    return f"array({', '.join(f'shiftleft(pmod(xxhash64({digest}, {width}, {t}), {width}) + {t} * {width}, {BITS}) | {digest}' for t in range(TABLES))})"
 
 
 def added(cells: str) -> str:
-    """Cells at the same place added up; empty ones left out."""
-    many = "aggregate(slice(s, i + 2, coalesce(get(t, j + 1), size(s)) - i - 1), s[i], (a, c) -> named_struct('at', a.at, 'n', a.n + c.n, 'key', a.key ^ c.key))"
+    """Cells at the same place xored; empty ones left out."""
+    place = lambda c: f"shiftrightunsigned({c}, {BITS})"
+    many = f"aggregate(slice(s, i + 2, coalesce(get(t, j + 1), size(s)) - i - 1), s[i], (a, c) -> a ^ (c & {MASK}))"
     sums = f"transform(t, (i, j) -> CASE WHEN coalesce(get(t, j + 1), size(s)) - i = 1 THEN s[i] ELSE {many} END)"
-    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i].at <> s[i - 1].at)"
-    runs = f"transform(array({starts}), t -> filter({sums}, c -> c.n <> 0 OR c.key <> 0))[0]"
+    starts = f"filter(sequence(0, size(s) - 1), i -> i = 0 OR {place('s[i]')} <> {place('s[i - 1]')})"
+    runs = f"transform(array({starts}), t -> filter({sums}, c -> c & {MASK} <> 0))[0]"
     return f"transform(array(sort_array({cells})), s -> CASE WHEN size(s) = 0 THEN s ELSE {runs} END)[0]"
 
 
 def sketch(values: str, width: str) -> str:
     """The filled cells of digests, in order."""
-    return added(f"flatten(transform({values}, d -> {cells_of('1', 'd', width)}))")
+    return added(f"flatten(transform({values}, d -> {cells_of('d', width)}))")
 
 
 def subtract(a: str, b: str) -> str:
-    return added(f"concat({a}, transform({b}, c -> named_struct('at', c.at, 'n', -c.n, 'key', c.key)))")
+    """The cells of what is in one of two sketches only: xor takes away what is in both."""
+    return added(f"concat({a}, {b})")
 
 
 def peel(cells: str, width: str) -> str:
@@ -78,11 +82,12 @@ def peel(cells: str, width: str) -> str:
 
     What isn't a digest but passed for one had to be taken back, so it was found twice.
     """
-    high = f"shiftleft(shiftright(c.key, {CHECK}), {CHECK})"
-    is_digest = f"abs(c.n) = 1 AND {high} | (xxhash64({high}) & {(1 << CHECK) - 1}) = c.key"
-    pure = f"array_distinct(transform(filter(p.cells, c -> {is_digest}), c -> named_struct('n', c.n, 'key', c.key)))"
-    rest = added(f"concat(p.cells, flatten(transform(g, e -> {cells_of('-e.n', 'e.key', width)})))")
-    step = f"transform(array({pure}), g -> named_struct('cells', {rest}, 'found', concat(p.found, transform(g, e -> e.key)), 'done', size(g) = 0))[0]"
+    key = f"(c & {MASK})"
+    high = f"shiftleft(shiftright({key}, {CHECK}), {CHECK})"
+    is_digest = f"({high} | (xxhash64({high}) & {(1 << CHECK) - 1})) = {key} AND array_contains({cells_of(key, width)}, c)"
+    pure = f"array_distinct(transform(filter(p.cells, c -> {is_digest}), c -> {key}))"
+    rest = added(f"concat(p.cells, flatten(transform(g, e -> {cells_of('e', width)})))")
+    step = f"transform(array({pure}), g -> named_struct('cells', {rest}, 'found', concat(p.found, g), 'done', size(g) = 0))[0]"
     start = f"named_struct('cells', {cells}, 'found', cast(array() AS array<bigint>), 'done', false)"
     whole = "CASE WHEN size(p.cells) = 0 AND size(array_distinct(p.found)) = size(p.found) THEN size(p.found) END"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (p, k) -> CASE WHEN p.done OR size(p.cells) = 0 THEN p ELSE {step} END, p -> {whole})"
@@ -100,9 +105,8 @@ def peeled(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("found", F.expr(f"CASE WHEN found IS NULL THEN {peel('cells', 'width')} ELSE found END"))
     either = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
     known = F.col("found").isNotNull()
-    rows = rows.withColumn("either", F.when(known, F.array().cast("array<bigint>")).otherwise(either))
-    listed = F.expr("transform(either, (d, i) -> named_struct('at', i, 'n', 1, 'key', d))")
-    return rows.withColumns({"cells": F.when(known, F.col("cells")).otherwise(listed), "width": F.when(known, F.col("width")).otherwise(0), "found": F.coalesce("found", F.size("either"))}).drop("either")
+    rows = rows.withColumn("either", F.when(known, F.array().cast(CELLS)).otherwise(either))
+    return rows.withColumns({"cells": F.when(known, F.col("cells")).otherwise(F.col("either")), "width": F.when(known, F.col("width")).otherwise(0), "found": F.coalesce("found", F.size("either"))}).drop("either")
 
 
 def shards_for(values: Column) -> Column:
@@ -126,7 +130,7 @@ def sharded(kind: str, left: str, right: str | None, shards: str) -> str:
 
 
 def encoded(n: str, kind: str) -> Column:
-    cells = F.expr("transform(cells, c -> concat(c.at, '.', c.n, '.', base64(unhex(lpad(hex(c.key), 16, '0')))))")
+    cells = F.expr(f"transform(cells, c -> concat(shiftrightunsigned(c, {BITS}), '.', lower(hex(c & {MASK}))))")
     shard = F.concat(F.col("width").cast("string"), F.lit("="), F.array_join(cells, ","))
     each = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("shard", shard.alias("text")))))
     return F.concat_ws(":", F.first(n).cast("string"), F.array_join(F.transform(each, lambda s: s["text"]), ";"))
