@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kagajflow.functions import labels, model_json
-from kagajflow.operators import analysis, assembly, calendar, chapters, chunking, evaluation, ingest
+from kagajflow.operators import analysis, assembly, calendar, chapters, chunking, evaluation, ingest, pipelines
 from kagajflow.sources import tables
 
 
@@ -231,3 +231,18 @@ def test_law_files(spark, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == [("a", "  A", "indented"), ("b", "B", "markers")]
     (tmp_path / "t.json").write_text('{"bookId": "x", "items": [{"label": "1", "title": "T", "sectionRoot": 1}]}')
     assert [tuple(r) for r in tables.taxonomy_file(spark, str(tmp_path / "t.json")).collect()] == [("x", 1, "T")]
+
+
+def test_whole_searches(spark):
+    corpus = spark.createDataFrame(
+        [(1, "f", "b", 1, "ch", "12.1", 12, "the title of twelve", "head\nfirst part", [1.0, 0.0]), (2, "f", "b", 1, "ch", "12.2", 12, "more", "head\nsecond part", [0.0, 1.0]), (3, "g", "c", 1, "ch", "12.1", 12, "same number", "head\nother book", [0.9, 0.1]), (4, "f", "b", 2, "ch", "20", 20, "later", "head\nwords to find", [0.1, 0.9])],
+        "id long, filename string, book_id string, parichhed_no int, chapter string, section_label string, root int, section_title string, content string, embedding array<double>",
+    )
+    queries = spark.createDataFrame([(1, "the title of twelve", [1.0, 0.0], ["none"]), (2, "find", [0.0, 1.0], ["find"])], "query_id long, text string, embedding array<double>, terms array<string>")
+    found = {r["query_id"]: r["context"] for r in pipelines.quoted(queries, corpus, 2, 1).collect()}
+    assert found[1] == "[1] b · ch · दफा १२.१\nhead\nfirst part\n\nsecond part" and "words to find" in found[2]
+    asked = queries.select("query_id", "embedding", "terms", F.array().cast("array<string>").alias("books"), F.lit("b").alias("act"), F.lit(None).cast("int").alias("chapter_no"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.array(F.lit(20)).alias("sections"))
+    hints = spark.createDataFrame([(1, "b", 20)], "query_id long, book_id string, root int")
+    excluded = spark.createDataFrame([(2, 12)], "query_id long, root int")
+    rows = sorted((r["query_id"], r["filename"], r["root"], r["n_parts"]) for r in pipelines.advised(asked, corpus, hints, excluded).collect())
+    assert rows == [(1, "f", 12, 2), (1, "f", 20, 1), (2, "f", 20, 1)]
