@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import batch_side, in_blocks
+from .search import in_blocks
 
 #: Index letters of more than one character.
 CONJUNCTS = ("क्ष", "त्र", "ज्ञ")
@@ -21,8 +21,10 @@ def roman(s: Column) -> Column:
 
 
 def in_order(query: Column) -> Column:
-    """A pattern for fields that have the query's characters in this order; made once for each query."""
-    return F.array_join(F.transform(F.split(query, ""), lambda ch: F.regexp_replace(ch, r"([\\^$.|?*+()\[\]{}])", r"\\$1")), ".*")
+    """A pattern for fields that have the query's characters in this order; made once for each query. Each is sought from where the one before was first found, so matching is linear."""
+    escaped = lambda ch: F.regexp_replace(ch, r"([^\p{L}\p{M}\p{N}])", r"\\$1")
+    characters = F.filter(F.split(query, ""), lambda ch: ch != "")
+    return F.array_join(F.transform(characters, lambda ch: F.concat(F.lit("[^"), escaped(ch), F.lit("]*+"), escaped(ch))), "")
 
 
 def field_score(field: Column, query: Column, pattern: Column | None = None) -> Column:
@@ -46,6 +48,18 @@ def label_score() -> Column:
     return F.greatest(field_score(F.col("t"), F.col("q")), field_score(F.col("t_roman"), F.col("q_roman"), F.col("like_roman")), field_score(F.col("t_plain"), F.col("q_plain"), F.col("like_plain")))
 
 
+def matches() -> Column:
+    """Whether the label score is above zero: what equals, begins or has the query holds it, and its characters in order."""
+
+    def held(field: Column, query: Column, pattern: Column | None = None) -> Column:
+        found = field.contains(query)
+        if pattern is not None:
+            found = F.when(F.length(query) >= 3, F.regexp_like(field, pattern)).otherwise(found)
+        return F.coalesce((query != "") & (field != "") & found, F.lit(False))
+
+    return held(F.col("t"), F.col("q")) | held(F.col("t_roman"), F.col("q_roman"), F.col("like_roman")) | held(F.col("t_plain"), F.col("q_plain"), F.col("like_plain"))
+
+
 def entry_key(term: Column, latin: Column) -> Column:
     """What makes two entries the same: the Latin spelling, or the term without one."""
     return F.when(F.coalesce(roman(latin), F.lit("")) != "", roman(latin)).otherwise(F.trim(term))
@@ -54,9 +68,11 @@ def entry_key(term: Column, latin: Column) -> Column:
 def search_one(queries: DataFrame, entries: DataFrame, source: str, fetch: int) -> DataFrame:
     """Each query's best entries of one source, with its total of matches. A stated set of queries against all entries, in blocks."""
     forms = entries.select("term", "roman", "english", F.trim("term").alias("t"), roman(F.col("roman")).alias("t_roman"), plain(F.col("english")).alias("t_plain"))
+    forms = forms.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small table, but much work for each row
 
     def block(some: DataFrame) -> DataFrame:
-        scored = forms.crossJoin(some).select("query_id", "term", "roman", "english", label_score().alias("score")).where("score > 0")
+        met = forms.crossJoin(some).where(matches())
+        scored = met.select("query_id", "term", "roman", "english", label_score().alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "roman")
         best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch)
         return best.join(scored.groupBy("query_id").agg(F.count("*").alias("total")), "query_id").select("query_id", "term", "roman", "english", "score", "total", F.lit(source).alias("source"))
@@ -71,13 +87,13 @@ def search(queries: DataFrame, sources: dict[str, DataFrame], limit: int = 30) -
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    totals = every.select("query_id", "source", "total").distinct().groupBy("query_id").agg(F.sum("total").alias("total"))
+    each = F.collect_set(F.struct("source", "total")).over(Window.partitionBy("query_id"))  # a few fetched rows a query
+    every = every.withColumn("total", F.aggregate(each, F.lit(0).cast("long"), lambda n, s: n + s["total"]))
     places = F.create_map(*(F.lit(x) for i, name in enumerate(sources) for x in (name, i)))
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), places[F.col("source")], "term")
-    once = every.drop("total").withColumn("key", entry_key(F.col("term"), F.col("roman"))).withColumn("n", F.row_number().over(best)).where("n = 1")
+    once = every.withColumn("key", entry_key(F.col("term"), F.col("roman"))).withColumn("n", F.row_number().over(best)).where("n = 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "key")
-    placed = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("n", "key")
-    return placed.join(batch_side(totals), "query_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("n", "key")
 
 
 def index_letter(term: Column) -> Column:
