@@ -27,13 +27,13 @@ def in_order(query: Column) -> Column:
     return F.array_join(F.transform(characters, lambda ch: F.concat(F.lit("[^"), escaped(ch), F.lit("]*+"), escaped(ch))), "")
 
 
-def field_score(field: Column, query: Column, pattern: Column | None = None) -> Column:
-    """100 equal, 90 begins with; then of the field's words, in order, 95 equal or 85 begins with; 70 within; 45 in order, from 3 characters, where a pattern for that is given."""
+def field_score(field: Column, query: Column, subsequence: bool = True, pattern: Column | None = None) -> Column:
+    """100 equal, 90 begins with; then of the field's words, in order, 95 equal or 85 begins with; 70 within; 45 in order, from 3 characters (by in_order's pattern, if that is at hand)."""
     words = F.filter(F.split(field, r"[/\s,]+"), lambda w: w.startswith(query))
     first = F.get(words, F.lit(0))
     score = F.when(field == query, 100).when(field.startswith(query), 90).when(first == query, 95).when(first.isNotNull(), 85).when(field.contains(query), 70)
-    if pattern is not None:
-        score = score.when((F.length(query) >= 3) & F.regexp_like(field, pattern), 45)
+    if subsequence:
+        score = score.when((F.length(query) >= 3) & F.regexp_like(field, in_order(query) if pattern is None else pattern), 45)
     return F.when((F.coalesce(field, F.lit("")) != "") & (query != ""), score.otherwise(0)).otherwise(0)
 
 
@@ -45,7 +45,7 @@ def prepared(queries: DataFrame) -> DataFrame:
 
 def label_score() -> Column:
     """The best of the term (case counts), the Latin spelling (dots don't) and the English label, of an entry's and a query's prepared forms."""
-    return F.greatest(field_score(F.col("t"), F.col("q")), field_score(F.col("t_roman"), F.col("q_roman"), F.col("like_roman")), field_score(F.col("t_plain"), F.col("q_plain"), F.col("like_plain")))
+    return F.greatest(field_score(F.col("t"), F.col("q"), subsequence=False), field_score(F.col("t_roman"), F.col("q_roman"), pattern=F.col("like_roman")), field_score(F.col("t_plain"), F.col("q_plain"), pattern=F.col("like_plain")))
 
 
 def matches() -> Column:

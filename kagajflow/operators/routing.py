@@ -114,12 +114,13 @@ def title_keys(s: Column) -> Column:
 
 
 def reconcile(names: DataFrame, taxonomy: DataFrame, least: float = 0.45) -> DataFrame:
-    """Each name (query_id, place, name, book_id) with the title (book_id, root, title) of its book that it matches best, if well enough.
+    """Each name (query_id, name, book_id, and place where their order counts) with the title (book_id, root, title) of its book that it matches best, if well enough.
 
     A number in the name that is the section's adds 0.3. A name is compared with the titles that share a word or the first four
     characters with it: an equi-join on book and key.
     """
     number = F.nullif(F.regexp_extract(to_ascii_digits(F.col("name")), "([0-9]+)", 1), F.lit("")).cast("int")
+    names = names if "place" in names.columns else names.withColumn("place", F.lit(0))
     asked = names.withColumn("key", F.explode(F.array_distinct(title_keys(F.col("name")))))
     known = taxonomy.withColumn("key", F.explode(F.array_distinct(title_keys(F.col("title")))))
     pairs = asked.join(known, ["book_id", "key"]).drop("key").dropDuplicates(["query_id", "name", "book_id", "root"])
