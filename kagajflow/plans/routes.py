@@ -169,7 +169,7 @@ def page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.first_pages(sections, docs)
 
 
-PAGE_MAP = """WITH pages AS (SELECT source AS book_id, doc_id AS page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, trim(regexp_replace(substring(text, 1, 40), '\s+', ' ', 'g')) AS title FROM documents
+PAGE_MAP = """WITH pages AS (SELECT source AS book_id, doc_id AS page, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, trim(regexp_replace(substring(text, 1, 40), '\\s+', ' ', 'g')) AS title FROM documents
 ), placed AS (SELECT book_id, page, flat, unnest(list_filter(range(1, length(flat) + 1), lambda i: i = 1 OR substring(flat, i - 1, 1) = ' ')) AS at_ FROM pages
 ), heads AS (SELECT book_id, page, substring(flat, at_, 24) AS here, substring(flat, at_, 12) AS head, ' ' || substring(flat, greatest(1, at_ - 12), least(12, at_ - 1)) AS before FROM placed
 ), pairs AS (SELECT p.book_id, p.page AS root, h.page, h.here, h.before, p.title FROM pages p JOIN heads h ON p.book_id = h.book_id AND substring(p.title, 1, 12) = h.head
