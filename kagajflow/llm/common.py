@@ -36,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_parts(frames: Iterator[DataFrame], name: str) -> DataFrame:
+    """The rows of all frames (one at least), written to the shared folder one frame after the other and read back as one."""
+    path = ""
+    for df in frames:
+        path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

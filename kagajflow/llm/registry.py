@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts
+from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts, op11_exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash.query,
         "op9_line_dedup": op9_line_dedup.query,
         "op10_token_counts": op10_token_counts.query,
+        "op11_exact_dedup": op11_exact_dedup.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_fixity": op7_warc_fixity.ORACLE_SQL, "op9_line_dedup": op9_line_dedup.ORACLE_SQL}
+    return {"op7_warc_fixity": op7_warc_fixity.ORACLE_SQL, "op9_line_dedup": op9_line_dedup.ORACLE_SQL, "op11_exact_dedup": op11_exact_dedup.ORACLE_SQL}

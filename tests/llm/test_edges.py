@@ -43,7 +43,7 @@ def empty(spark, tmp_path_factory):
     return folder
 
 
-PER_DOCUMENT = [q for q in registry.queries() if q.split("_")[0] in ("op1", "op4", "op6", "op8", "op9", "op10")]
+PER_DOCUMENT = [q for q in registry.queries() if q.split("_")[0] in ("op1", "op4", "op6", "op8", "op9", "op10", "op11")]
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -75,6 +75,9 @@ def test_defined_results(spark, odd):
     assert classes[0]["fingerprint"] == "0" * 16 and classes[2]["component_id"] == 0 and classes[4]["component_id"] == 3
     prints = by_id(spark, odd, "op1_document_fingerprints")
     assert prints[3]["fingerprint"] == prints[4]["fingerprint"] and prints[3]["near_next"] == 1.0
+    exact = registry.queries()["op11_exact_dedup"](spark, odd).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in exact if r["doc_id"] in (0, 1, 10)) == [(0, False), (1, True), (10, False), (10, True)]
+    assert {(r["keep_id"], r["group_size"]) for r in exact if r["doc_id"] in (3, 4)} == {(4, 2)}
     assert by_id(spark, odd, "op6_decontamination")[6]["item_ids"] == [3]
 
 
