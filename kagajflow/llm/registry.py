@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts, op11_exact_dedup
+from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts, op11_exact_dedup, op13_periodic_runs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup.query,
         "op10_token_counts": op10_token_counts.query,
         "op11_exact_dedup": op11_exact_dedup.query,
+        "op13_periodic_runs": op13_periodic_runs.query,
         "pipeline": corpus_pipeline.run,
     }
 

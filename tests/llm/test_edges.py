@@ -43,7 +43,7 @@ def empty(spark, tmp_path_factory):
     return folder
 
 
-PER_DOCUMENT = [q for q in registry.queries() if q.split("_")[0] in ("op1", "op4", "op6", "op8", "op9", "op10", "op11")]
+PER_DOCUMENT = [q for q in registry.queries() if q.split("_")[0] in ("op1", "op4", "op6", "op8", "op9", "op10", "op11", "op13")]
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
