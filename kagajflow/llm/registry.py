@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts, op11_exact_dedup, op13_periodic_runs
+from . import op1_fingerprint, op2_packing, op3_language, op4_pii, op5_html, op6_decontamination, op7_warc_fixity, op8_simhash, op9_line_dedup, op10_token_counts, op11_exact_dedup, op12_source_divergence, op13_periodic_runs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,10 +23,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup.query,
         "op10_token_counts": op10_token_counts.query,
         "op11_exact_dedup": op11_exact_dedup.query,
+        "op12_source_divergence": op12_source_divergence.query,
         "op13_periodic_runs": op13_periodic_runs.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_fixity": op7_warc_fixity.ORACLE_SQL, "op9_line_dedup": op9_line_dedup.ORACLE_SQL, "op11_exact_dedup": op11_exact_dedup.ORACLE_SQL}
+    return {
+        "op7_warc_fixity": op7_warc_fixity.ORACLE_SQL,
+        "op9_line_dedup": op9_line_dedup.ORACLE_SQL,
+        "op11_exact_dedup": op11_exact_dedup.ORACLE_SQL,
+        "op12_source_divergence": op12_source_divergence.ORACLE_SQL,
+    }
