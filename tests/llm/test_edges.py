@@ -49,7 +49,7 @@ PER_DOCUMENT = [q for q in registry.queries() if q.split("_")[0] in ("op1", "op4
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_odd_rows(spark, odd, name):
     found = registry.queries()[name](spark, odd).collect()
-    assert found
+    assert found or name == "op12_source_divergence"  # each language has one source here, so there is no pair, and too few documents for terms
     if name in PER_DOCUMENT:
         assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in found) == sorted(i if i is not None else -1 for i, _ in TEXTS)
 
