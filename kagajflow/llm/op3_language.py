@@ -6,10 +6,15 @@ say: the language that the markup declares, the address suffix, and the host's p
 towards the whole corpus'. A row's own vote is taken out of the counts that it is judged by.
 
 A row is accepted if its text has letters, one language is at least as probable as MIN_CONFIDENCE, and the text is typical of that
-language: its mean log likelihood per trigram, with TYPICAL_OF more trigrams of the usual likelihood, is not more than FAR below what
-labelled texts of the language have. So texts in a language that nothing is labelled with, and noise, are rejected, and short texts
-aren't for a rare word. Without letters the language is 'und'. Without any labelled text there are no languages: all rows are 'und'
-and those with letters are accepted. All labels are fitted, whatever their number; a worker holds 256 KB for each.
+language: its mean log likelihood per trigram, with TYPICAL_OF more trigrams of the usual likelihood, is not further below the usual one
+than what labelled texts kept out of the fit have, but for the share ODD of them, and SLACK nats more. So texts in a language that
+nothing is labelled with, and noise, are rejected, and short texts aren't for a rare word. In the fit each labelled text counts once for
+each trigram that it has, and once in the usual likelihood (their median), so that no long or repetitive text makes itself the norm.
+
+A label is a language if MIN_TEXTS rows have it; of more than LANGUAGES such labels the most frequent are (a worker holds 256 KB for
+each: 64 MB). A row that declares any other label can't be judged by it: it is accepted if it has letters, under its label where its text
+isn't typical of a language. A language with fewer than MIN_HELD texts kept out of the fit takes all texts for typical. Without letters
+the language is 'und'. Without any language all rows are 'und' and those with letters are accepted.
 
 Null and empty texts are 'und'. Null evidence says nothing. Repeated rows are judged alike, an empty table gives no rows, other
 columns aren't read. Texts are scored whole. Counts are combined before they are shuffled; a host with a third of all rows is one
@@ -23,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +41,11 @@ OVERLAP, MOST = 3.0, 3000
 #: Rows that a prior from above counts as.
 SMOOTH = 4.0
 MIN_CONFIDENCE = 0.5
-#: In nats; labelled texts stay within 2.5, texts of another language are 3 to 5 below, random letters 8.
-FAR, TYPICAL_OF = 2.75, 20
-#: Languages that one array of weights holds.
-PART = 256
+#: What texts may be less likely than those kept out of the fit, in nats.
+ODD, SLACK, TYPICAL_OF = 0.02, 1.25, 20
+#: Labelled rows that make a language, and texts kept out of its fit by which others are judged.
+MIN_TEXTS, MIN_HELD = 20, 5
+LANGUAGES = 256
 BLOCK = 1 << 20
 
 
@@ -65,55 +70,63 @@ def grams(data: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    parts: list[np.ndarray]  # log probability of each trigram, by language, PART languages each
-    usual: list[float]  # the mean log probability of a trigram in texts of the language
+    weights: np.ndarray  # log probability of each trigram, by language
+    usual: list[float]  # the median over texts of the mean log probability of a trigram
+    far: list[float]  # how far below that a text may be
 
 
-def weights_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probabilities, their usual mean) of trigram counts by language; for the mean each trigram is judged by the others."""
-    total = sums.sum(1, keepdims=True) + 0.5 * GRAMS
-    without = np.log(np.maximum(sums - 1, 0) + 0.5) - np.log(total - 1)
-    usual = (sums * without).sum(1) / np.maximum(sums.sum(1), 1)
-    return np.log((sums + 0.5) / total).astype(np.float32), usual
+def held_out(key: Column) -> Column:
+    """Whether a labelled text judges the fit instead of being in it: half of them, by a hash of the id."""
+    return F.shiftright(F.xxhash64(key), 40).bitwiseAND(F.lit(1)) == 1
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, min_texts: int = MIN_TEXTS) -> Model:
     """A model of the languages that label rows; of each, about `sample` rows are chosen by a hash of their id."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    sizes = common.stored(rows.groupBy("label").agg(F.count("*").alias("n")), "labels")
-    languages = [r["label"] for r in sizes.orderBy("label").collect()]
-    chosen = rows.join(sizes, "label").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.least(F.lit(1.0), sample / F.col("n")) * (1 << 20))
-    model = Model(languages, [], [])
-    for at in range(0, len(languages), PART):
-        some = languages[at : at + PART]
-
-        def count(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(some), GRAMS), np.int32)
-            for batch in batches:
-                data, at = common.utf8_of(batch.column(0))
-                label = pc.index_in(batch.column(1), pa.array(some)).to_pylist()
-                for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), label, strict=True):
-                    if k is not None and b - a >= 3:
-                        sums[k] += np.bincount(grams(data[a:b]), minlength=GRAMS).astype(np.int32)
-            k, gram = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(sums[k, gram].astype(np.int64))], names=["k", "gram", "n"])
-
-        counts = chosen.select("text", "label").mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()  # PART * GRAMS rows at most
-        sums = np.zeros((len(some), GRAMS))
-        sums[counts["k"], counts["gram"]] = counts["n"]
-        weights, usual = weights_of(sums)
-        model.parts.append(weights)
-        model.usual += usual.tolist()
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and octet_length(text) >= 3")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
+    sizes = sorted((r["label"], r["n"]) for r in sizes)
+    model = Model([label for label, _ in sizes], np.full((len(sizes), GRAMS), -np.log(GRAMS), np.float32), [0.0] * len(sizes), [1e9] * len(sizes))
+    if not sizes:
+        return model
+    named = rows.sparkSession.createDataFrame([(label, n, k) for k, (label, n) in enumerate(sizes)], "label string, n long, k int")
+    chosen = rows.join(F.broadcast(named), "label").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.least(F.lit(1.0), sample / F.col("n")) * (1 << 20))
+    chosen = chosen.select("k", "text", held_out(F.col("id")).alias("held"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(sizes), GRAMS), np.int32)
+        for batch in batches:
+            data, at = common.utf8_of(batch.column(0))
+            for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), strict=True):
+                sums[k, np.unique(grams(data[a:b]))] += 1
+        for k in np.flatnonzero(sums.any(1)).tolist():
+            gram = np.flatnonzero(sums[k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.astype(np.int32)), pa.array(sums[k, gram].astype(np.int64))], names=["k", "gram", "n"])
+
+    def weigh(group: pa.Table) -> pa.Table:
+        sums = np.zeros(GRAMS)
+        sums[group.column("gram").to_numpy()] = group.column("n").to_numpy()
+        weights = np.log((sums + 0.5) / (sums.sum() + 0.5 * GRAMS)).astype(np.float32)
+        return pa.table({"k": group.column("k")[:1], "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    counts = chosen.where("not held").select("text", "k").mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    for r in counts.groupBy("k").applyInArrow(weigh, "k int, weights binary").collect():  # LANGUAGES rows at most
+        model.weights[r["k"]] = np.frombuffer(r["weights"], np.float32)
+    own = scores(chosen.where("held").select("text", "k"), model).where("letters and grams > 0")
+    own = common.stored(own.select("k", "grams", (F.get("logs", "k") * OVERLAP / F.col("grams")).alias("mean")), "held")
+    usual = own.groupBy("k").agg(F.percentile("mean", 0.5).alias("usual"), F.count("*").alias("n")).where(F.col("n") >= MIN_HELD)
+    behind = (F.col("usual") - F.col("mean")) * F.col("grams") / (F.col("grams") + TYPICAL_OF)
+    for r in own.join(usual, "k").groupBy("k", "usual").agg(F.percentile(behind, 1 - ODD).alias("far")).collect():  # LANGUAGES rows at most
+        model.usual[r["k"]], model.far[r["k"]] = r["usual"], r["far"] + SLACK
     return model
 
 
 def scores(df: DataFrame, model: Model) -> DataFrame:
     """df (text, other columns) with letters, whether the text has any, logs, its tempered log likelihoods, and grams, of how many trigrams, in place of the text."""
     others = [c for c in df.columns if c != "text"]
-    shared = [df.sparkSession.sparkContext.broadcast(part) for part in model.parts]  # 64 MB each at most
+    shared = df.sparkSession.sparkContext.broadcast(model.weights)  # 64 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = [row for part in shared for row in part.value]
+        weights = shared.value
         for batch in batches:
             data, at = common.utf8_of(batch.column(0))
             logs, letters, counted = np.zeros((len(batch), len(weights))), np.zeros(len(batch), bool), np.zeros(len(batch))
@@ -150,16 +163,16 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
     if not languages:
         return scored.select("*", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.col("letters").alias("accepted")).drop("logs", "grams")
     names = F.array(*map(F.lit, languages))
-    zero = F.array(*(F.lit(0.0) for _ in languages))
     vote = F.when(F.col("letters"), F.array_position("logs", F.array_max("logs")).cast("int") - 1)
     rows = scored.withColumn("vote", vote)
 
     def counted(key: str) -> DataFrame:
-        each = [F.sum((F.col("vote") == k).cast("double")) for k in range(len(languages))]
-        return rows.where(f"vote is not null and `{key}` is not null").groupBy(key).agg(F.array(*each).alias(f"n_{key}"))
+        """Votes by key: a map of LANGUAGES entries at most."""
+        by_vote = rows.where(f"vote is not null and `{key}` is not null").groupBy(key, "vote").count()
+        return by_vote.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("vote", F.col("count").cast("double")))).alias(f"n_{key}"))
 
     for key in ("declared", "suffix", "host", "domain"):
-        rows = rows.join(counted(key), key, "left").withColumn(f"n_{key}", F.coalesce(f"n_{key}", zero))
+        rows = rows.join(counted(key), key, "left")
     whole = scored.withColumn("vote", vote).where("vote is not null").groupBy("vote").count().collect()  # a row for each language
     total = sum(r["count"] for r in whole) + len(languages)
     share = {r["vote"]: r["count"] for r in whole}
@@ -167,8 +180,8 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
 
     def given(key: str, prior: Column) -> Column:
         """The languages' shares among rows with the same key, this row left out, smoothed towards the prior."""
-        own = F.transform(f"n_{key}", lambda n, k: F.greatest(F.lit(0.0), n - F.when(F.col("vote") == k, 1.0).otherwise(0.0)))
-        return normal(F.zip_with(own, prior, lambda n, p: n + SMOOTH * p))
+        own = lambda k: F.coalesce(F.col(f"n_{key}")[k], F.lit(0.0)) - F.when(F.col("vote") == k, 1.0).otherwise(0.0)
+        return normal(F.transform(prior, lambda p, k: F.greatest(F.lit(0.0), own(k)) + SMOOTH * p))
 
     host = given("host", given("domain", base))
     tilt = [F.zip_with(given(key, base), base, lambda p, q: F.log(p / q)) for key in ("declared", "suffix")]
@@ -178,12 +191,16 @@ def fuse(scored: DataFrame, model: Model) -> DataFrame:
     rows = rows.withColumn("fused", logs).withColumn("top", F.array_max("fused"))
     confidence = 1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     place = (F.array_position("fused", F.col("top")) - 1).cast("int")
-    best, usual = F.get(names, place), F.get(F.array(*map(F.lit, model.usual)), place)
+    best, usual, far = (F.get(F.array(*map(F.lit, x)), place) for x in (languages, model.usual, model.far))
     behind = usual * F.col("grams") - F.get("logs", place) * OVERLAP
-    known, typical = F.col("letters"), behind <= FAR * (F.col("grams") + TYPICAL_OF)
-    out = rows.withColumn("lang", F.when(known, best).otherwise("und")).withColumn("confidence", F.when(known, confidence).otherwise(0.0))
-    out = out.withColumn("text_lang", F.coalesce(F.get(names, F.col("vote")), F.lit("und"))).withColumn("accepted", known & typical & (F.col("confidence") >= MIN_CONFIDENCE))
-    return out.drop("logs", "grams", "fused", "top", "vote", *(f"n_{k}" for k in ("declared", "suffix", "host", "domain")))
+    sure = (behind <= far * (F.col("grams") + TYPICAL_OF)) & (confidence >= MIN_CONFIDENCE)
+    other = F.coalesce(~F.array_contains(names, F.col("declared")), F.lit(False))
+    judged = rows.withColumns({"_sure": sure, "_best": best, "_confidence": confidence, "_other": other})
+    lang = F.when(~F.col("letters"), "und").when(F.col("_other") & ~F.col("_sure"), F.col("declared")).otherwise(F.col("_best"))
+    out = judged.withColumn("lang", lang)
+    certain = F.when(F.col("letters") & (F.col("lang") == F.col("_best")), F.col("_confidence")).otherwise(0.0)
+    out = out.withColumn("confidence", certain).withColumn("text_lang", F.coalesce(F.get(names, F.col("vote")), F.lit("und"))).withColumn("accepted", F.col("letters") & (F.col("_sure") | F.col("_other")))
+    return out.drop("logs", "grams", "fused", "top", "vote", "_sure", "_best", "_confidence", "_other", *(f"n_{k}" for k in ("declared", "suffix", "host", "domain")))
 
 
 def domain_of(host: Column) -> Column:
