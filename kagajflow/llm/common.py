@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,19 +29,46 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Days after which what a session has stored is removed by the next one that stores something.
+LEASE_DAYS = 7
+RUN = uuid.uuid4().hex
+SWEPT: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This session's part of the shared folder. Parts that nothing was written to for LEASE_DAYS are removed when it is first asked for."""
+    top = f"{shared_dir(spark).rstrip('/')}/kagajflow-llm"
+    if top not in SWEPT:
+        SWEPT.add(top)
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            for old in files.listStatus(path):
+                if old.getModificationTime() < (time.time() - LEASE_DAYS * 86400) * 1000:
+                    files.delete(old.getPath(), True)
+    return f"{top}/{spark.sparkContext.applicationId}-{RUN}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this session has stored: for when its results are written."""
+    remove(spark, run_folder(spark))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder once and read back: later uses neither recompute it nor depend on its executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_parts(iter([df]), name)
 
 
 def stored_parts(frames: Iterator[DataFrame], name: str) -> DataFrame:
     """The rows of all frames (one at least), written to the shared folder one frame after the other and read back as one."""
     path = ""
     for df in frames:
-        path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = path or f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
         df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -27,4 +27,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("s")).select("s.a", "s.b")
-        links = common.stored(small.where("a < b").distinct(), "links")
+        last, links = links, common.stored(small.where("a < b").distinct(), "links")
+        common.remove(links.sparkSession, last.inputFiles()[0].rpartition("/")[0])  # nothing reads the round before any more

@@ -29,12 +29,14 @@ from . import common
 #: A piece: 32 characters of a line or what it has, and on to the end of the sentence, 160 more at most.
 PIECE = r"[^\n]{1,32}[^\n.!?]{0,160}[.!?]*"
 TABLES, SHARD = 3, 64
-#: Tables are powers of two wide, this at least, and at least ROOM times as wide as digests are likely to differ; every further attempt doubles them.
+#: Tables are powers of two wide, this at least, and at least ROOM times as wide as digests are likely to differ; every further attempt doubles them, up to WIDEST.
 LEAST, ROOM, ATTEMPTS = 8, 1.0, 3
 ROUNDS, LEVEL = 24, 64
 #: A digest has HASH bits of hash and CHECK bits that check them; a cell is its place above them and the xor of its digests.
 HASH, CHECK = 37, 16
 BITS = HASH + CHECK
+#: The widest table: the places of all tables fit above BITS.
+WIDEST = 512
 MASK = (1 << BITS) - 1
 CELLS = "array<bigint>"
 
@@ -96,10 +98,10 @@ def peel(cells: str, width: str) -> str:
 def peeled(rows: DataFrame) -> DataFrame:
     """rows (left, right: digests of a shard in two versions; likely: how many differ) with width and cells of the first sketches whose difference can be peeled, and found, how many digests differ."""
     first = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("likely"), F.lit(1)) * ROOM))).cast("int"))
-    rows = rows.withColumns({"found": F.lit(None).cast("int"), "cells": F.array().cast(CELLS), "width": first})
+    rows = rows.withColumns({"found": F.lit(None).cast("int"), "cells": F.array().cast(CELLS), "width": F.least(first, F.lit(WIDEST))})
     for attempt in range(ATTEMPTS):
         if attempt:
-            rows = rows.withColumn("width", F.when(F.col("found").isNull(), F.col("width") * 2).otherwise(F.col("width")))
+            rows = rows.withColumn("width", F.when(F.col("found").isNull(), F.least(F.col("width") * 2, F.lit(WIDEST))).otherwise(F.col("width")))
         difference = f"CASE WHEN size(right) = 0 THEN {sketch('left', 'width')} ELSE {subtract(sketch('left', 'width'), sketch('right', 'width'))} END"
         rows = rows.withColumn("cells", F.expr(f"CASE WHEN found IS NULL THEN {difference} ELSE cells END"))
         rows = rows.withColumn("found", F.expr(f"CASE WHEN found IS NULL THEN {peel('cells', 'width')} ELSE found END"))

@@ -5,7 +5,8 @@ and reader comments count as empty, and so do those that are links for the most
 summed; at a line with text where the sum surges the main text begins, where the sums dive to nothing it ends, and all lines between
 are kept. This decides on every page. Where a page marks an article, the mark weighs the lines: if the largest line block stands
 inside, each marked line surges by itself and lines outside count as empty; if it stands outside (teasers marked as articles beside
-an unmarked body), the mark weighs nothing. A page without any surge gives all lines that count.
+an unmarked body), the mark weighs nothing. Comments are known by words in class or id, or by their structure in any language: an article
+within an article, and siblings of the same tag and class of which two or more hold both a time and a link or picture of who wrote them. A page without any surge gives all lines that count.
 
 Null and empty html give an empty text. Repeated rows are kept, an empty table gives none, only the named columns are read.
 Broken markup is read as browsers do in the main: unclosed tags end with their parents, a raw element without end takes the rest,
@@ -18,6 +19,8 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +38,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar toolbar "
-    "share sharing social related recommended comments comment commentlist respond reply replies disqus discussion pagination pager copyright".split()
+    "share sharing social related recommended comments comment commentlist respond reply replies disqus discussion pagination pager copyright "
+    "kommentar kommentare commentaire commentaires comentario comentarios commenti reacties kommentarer komentarze feedback".split()
 )
 MAIN_WORDS = frozenset("article content entry post story main body text page".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]+))?""", re.I)
+CLASS = re.compile(r"""(?<![\w-])class\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]+)""", re.I)
 BLANK = re.compile(r"\s+")
 CLOSES = {k: frozenset((k,)) for k in ("li", "option", "p", "dd", "dt", "tr", "td", "th")} | {"dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 
@@ -64,13 +69,27 @@ def is_aside(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+@dataclass
+class Opened:
+    """An open tag: whether it starts what isn't main text, its first line, what it looks like, and what of a comment it has seen."""
+
+    name: str
+    aside: bool
+    first: int
+    look: str
+    timed: bool = False
+    signed: bool = False
+    posts: dict[str, list[tuple[int, int]]] = field(default_factory=dict)  # by look, the lines of the children that may be comments
+
+
 class Lines:
     """The blocks of a page: (text, aside, in an article, length outside links) of each line."""
 
     def __init__(self) -> None:
         self.out: list[tuple[str, bool, bool, int]] = []
-        self.open_tags: list[tuple[str, bool]] = []  # with whether it starts what isn't main text
+        self.open_tags: list[Opened] = []
         self.opened: Counter[str] = Counter()
+        self.comments: list[tuple[int, int]] = []  # their lines
         self.asides = self.linked = 0
         self.parts: list[str] = []
 
@@ -91,21 +110,29 @@ class Lines:
         self.linked = 0
 
     def pop(self) -> str:
-        name, aside = self.open_tags.pop()
-        self.asides -= aside
-        self.opened[name] -= 1
-        return name
+        tag = self.open_tags.pop()
+        self.asides -= tag.aside
+        self.opened[tag.name] -= 1
+        self.comments += [p for posts in tag.posts.values() if len(posts) > 1 for p in posts]
+        if self.open_tags:
+            up = self.open_tags[-1]
+            up.timed |= tag.timed or tag.name == "time"
+            up.signed |= tag.signed or tag.name == "a"
+            if tag.timed and tag.signed and tag.name not in INLINE and tag.name not in ("p", "header", "footer"):
+                up.posts.setdefault(tag.look, []).append((tag.first, len(self.out)))
+        return tag.name
 
     def open(self, name: str, attributes: str) -> None:
         tags = self.open_tags
-        if name in CLOSES and tags and tags[-1][0] in CLOSES[name]:
+        if name in CLOSES and tags and tags[-1].name in CLOSES[name]:
             self.pop()
         elif name not in INLINE:  # a block ends the paragraph that it stands in
-            nearest = next((x for x, _ in reversed(tags[-4:]) if x not in INLINE), None)
+            nearest = next((x.name for x in reversed(tags[-4:]) if x.name not in INLINE), None)
             while nearest == "p" and self.pop() != "p":
                 pass
-        aside = is_aside(name, attributes, self.in_main)
-        tags.append((name, aside))
+        aside = is_aside(name, attributes, self.in_main) or name == "article" and self.opened["article"] > 0
+        look = CLASS.search(attributes)
+        tags.append(Opened(name, aside, len(self.out), f"{name} {look[1] if look else ''}"))
         self.asides += aside
         self.opened[name] += 1
 
@@ -162,8 +189,16 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             at = raw_end(page, name, at)
         elif name not in VOID:
             lines.open(name, m[3])
+        elif name == "img" and lines.open_tags:
+            lines.open_tags[-1].signed = True
     lines.end_line()
-    return lines.out
+    while lines.open_tags:
+        lines.pop()
+    depth = [0] * (len(lines.out) + 1)
+    for a, b in lines.comments:
+        depth[a] += 1
+        depth[b] -= 1
+    return [(line, aside or n > 0, main, free) for (line, aside, main, free), n in zip(lines.out, accumulate(depth), strict=False)]
 
 
 def blocks_of(lengths: list[int]) -> list[tuple[int, int]]:
@@ -191,12 +226,12 @@ def largest(lengths: list[int]) -> int:
 def main_text(page: str) -> str:
     lines = lines_of(page)
     lengths = [free if not aside and 2 * free >= len(line) else 0 for line, aside, _, free in lines]
-    marked = [main and not aside for _, aside, main, _ in lines]
+    marked, heeded = [main and not aside for _, aside, main, _ in lines], False
     if any(marked):
         inside, outside = ([n if main == side else 0 for n, main in zip(lengths, marked, strict=True)] for side in (True, False))
         if largest(inside) >= largest(outside):
-            lengths = [(SURGE + len(line)) * main for (line, *_), main in zip(lines, marked, strict=True)]
-    kept = [i for a, b in blocks_of(lengths) for i in range(a, b)] or [i for i, n in enumerate(lengths) if n]
+            lengths, heeded = [(SURGE + len(line)) * main for (line, *_), main in zip(lines, marked, strict=True)], True
+    kept = [i for a, b in blocks_of(lengths) for i in range(a, b) if lengths[i] or not heeded] or [i for i, n in enumerate(lengths) if n]
     return "\n".join(lines[i][0] for i in kept if not lines[i][1])
 
 

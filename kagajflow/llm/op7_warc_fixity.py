@@ -8,7 +8,7 @@ that is lost or added anywhere in a file is located alone: what stands behind it
 
 A record is intact if the replica has as many equal ones under its id; damaged if the replica has others under it; lost if it has
 none. What only the replica has is added where all of ours under its id are intact, else it is what ours were damaged into. Leaves are combined by sums before they are shuffled and no node has more than FAN_OUT
-children, so no task depends on a large group; offsets are sums over one file, which holds `per_file` ids.
+children, so no task depends on a large group; places in a file are sums over slices of its leaves, then within slices.
 
 Null url and html are empty. Records without id (returned as -1) are dealt by their digest to leaves of their own below zero. Equal rows are
 equal records one after the other. Tables without rows give no records. Only the named columns are read.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_FILE, FAN_OUT = 256, 16
+#: Digits of a digest that name a slice of a leaf, and equal records that one row stands for before they are dealt out.
+SLICE_DIGITS, COPIES = 3, 1 << 16
 #: Leaves for records without id: so many hexadecimal digits of the digest name one.
 NULL_DIGITS = 7
 
@@ -43,11 +45,23 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", body_c
 
 
 def placed(found: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """records with file, position and offset: files hold the records of `per_file` leaves in order."""
-    order = Window.partitionBy("file").orderBy("leaf", "digest")
-    offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    found = found.withColumn("file", F.floor(F.col("leaf") / per_file).cast("long"))
-    return found.withColumns({"position": (F.row_number().over(order) - 1).cast("long"), "offset": offset})
+    """records (id, leaf, digest, length) with file, position and offset: files hold the records of `per_file` leaves in order.
+
+    Equal records are one row until they are placed. Places are summed over the slices of a file's leaves (by the first digits of the
+    digest: per_file * 4096 at most), then within each slice, so a leaf of any number of records is no task's alone.
+    """
+    before = lambda order, x: F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(x)
+    kinds = found.groupBy("leaf", "digest").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("length").alias("length"))
+    kinds = kinds.withColumns({"file": F.floor(F.col("leaf") / per_file).cast("long"), "slice": F.substring("digest", 1, SLICE_DIGITS), "bytes": F.col("n") * F.col("length")})
+    slices = kinds.groupBy("file", "leaf", "slice").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    in_file, in_slice = Window.partitionBy("file").orderBy("leaf", "slice"), Window.partitionBy("leaf", "slice").orderBy("digest")
+    slices = slices.select("leaf", "slice", before(in_file, "n").alias("n_before"), before(in_file, "bytes").alias("bytes_before"))
+    rows = kinds.withColumns({"own_n": before(in_slice, "n"), "own_bytes": before(in_slice, "bytes")}).join(slices, ["leaf", "slice"])
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).hint("rebalance")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES, F.col("n")) - 1)))
+    return rows.select(
+        "id", "leaf", "length", "digest", "file", (F.col("n_before") + F.col("own_n") + F.col("k")).alias("position"), (F.col("bytes_before") + F.col("own_bytes") + F.col("k") * F.col("length")).alias("offset")
+    )
 
 
 def leaves(found: DataFrame, first: int) -> DataFrame:

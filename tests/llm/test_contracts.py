@@ -120,6 +120,9 @@ def test_peeling(spark):
         assert op1_fingerprint.peeled(row).first()["found"] == want
     full = spark.range(1).select(numbers(1, 60).alias("d")).select(F.expr(op1_fingerprint.sketch("d", "8")).alias("c"))
     assert full.select(F.expr(op1_fingerprint.peel("c", "8")).alias("n")).first()["n"] is None
+    assert op1_fingerprint.TABLES * op1_fingerprint.WIDEST <= 1 << (64 - op1_fingerprint.BITS)  # no two tables share a place
+    wide = spark.range(1).select(numbers(1, 1500).alias("left"), none.alias("right")).withColumn("likely", F.lit(1500))
+    assert op1_fingerprint.peeled(wide).select("found", "width").first() == (1500, 0)  # more than the widest tables hold: compared as they are
 
 
 # 2
@@ -324,6 +327,22 @@ def test_line_blocks_without_an_article():
     assert op5_html.main_text("<article><p>x<p>y<aside>z</aside><div class=ad>buy</div></article>") == "x\ny"
 
 
+def test_what_stands_between_articles_is_left_out():
+    story = [f"Part {k} of the story goes on for some while, and then it ends. " * 3 for k in range(4)]
+    page = f"<body><article><p>{story[0]}</p><p>{story[1]}</p></article><p>Related reading today</p><p>Subscribe to our letter</p><article><p>{story[2]}</p><p>{story[3]}</p></article></body>"
+    assert op5_html.main_text(page).split("\n") == [s.strip() for s in story]
+
+
+def test_comments_in_any_language():
+    """Known by their structure: a time and an author in each of several blocks alike, or articles within the article."""
+    story = "".join(f"<p>{'Die Geschichte geht noch eine Weile so weiter. ' * 4}{k}</p>" for k in range(3))
+    said = "".join(f"<div class='beitrag'><a href='/u/{k}'>Leser {k}</a> <time>12:0{k}</time><p>{'Das sehe ich ganz genauso, danke. ' * 6}</p></div>" for k in range(3))
+    nested = "".join(f"<article><p>{'Ich auch, und zwar schon lange. ' * 6}</p></article>" for k in range(2))
+    for more in (f"<section class='meinungen'>{said}</section>", nested, f"<div class='kommentare'><p>{'Ja. ' * 90}</p></div>"):
+        found = op5_html.main_text(f"<body><article><h1>Titel</h1><p>Von <a href='/a'>A</a>, <time>heute</time></p>{story}{more}</article></body>")
+        assert found.count("Geschichte") == 12 and "genauso" not in found and "lange" not in found and "Ja." not in found
+
+
 def test_html_without_marks(spark):
     """Where no article is marked line blocks alone find it."""
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
@@ -436,6 +455,21 @@ def test_fixity_of_repeated_and_missing_ids(spark):
     assert faults(pages.dropDuplicates(), pages) == [(1, "added")]
 
 
+def test_places_of_an_id_with_many_records(spark):
+    """Records of one id, many of them equal, are placed in slices as in one order."""
+    rows = [(k % 3 if k % 2 else 7, "u", f"body {k % 400}" if k % 5 else "same") for k in range(3000)]
+    found = op7_warc_fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    placed = op7_warc_fixity.placed(found, per_file=4).collect()
+    at = {}
+    for file, order in ((0, (0, 1, 2)), (1, (7,))):
+        own = sorted((r for r in found.collect() if r["leaf"] in order), key=lambda r: (r["leaf"], r["digest"]))
+        n = 0
+        for position, r in enumerate(own):
+            at[file, position] = (r["id"], r["digest"], n)
+            n += r["length"]
+    assert {(r["file"], r["position"]): (r["id"], r["digest"], r["offset"]) for r in placed} == at and len(placed) == 3000
+
+
 # 8
 def plain_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
