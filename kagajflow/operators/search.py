@@ -1,19 +1,20 @@
 """Retrieval for batches of queries: exact nearest neighbours, full-text matches, and rank fusion.
 
 Ranks are per query and totally ordered: similarity rounded to DIGITS, then id. A stated set of queries is taken against all rows in
-blocks of at most BATCH queries, each broadcast; every row of the corpus is scored where it is. Words meet query terms by equi-joins.
+blocks of at most BATCH queries, each broadcast; every row of the corpus is scored where it is. Full text works on postings (term, id,
+positions): those of a stored index (`postings.read`), of which it reads the queries' terms, or of a corpus (id, content) as it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..functions.vectors import cosine
+from ..sources.shared import stored
+from . import postings
 
 DIGITS, BATCH = 6, 1000
 #: Added before sums are rounded, so that a half rounds up whatever its last binary digit.
@@ -27,12 +28,15 @@ def batch_side(queries: DataFrame) -> DataFrame:
 
 
 def in_blocks(queries: DataFrame, per_block: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What per_block gives for the queries (query_id, ...), at most about BATCH of them at a time, broadcast."""
+    """What per_block gives for the queries (query_id, ...), at most about BATCH of them at a time, broadcast.
+
+    Several blocks are jobs one after the other whose results are written: a plan holds one block, whatever their number.
+    """
     n = -(-queries.count() // BATCH)
     if n <= 1:
         return per_block(F.broadcast(queries))
-    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == k) for k in range(2 * n)]  # half full, so that none is too large
-    return reduce(DataFrame.unionByName, (per_block(F.broadcast(part)) for part in parts))
+    parts = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == k) for k in range(2 * n))  # half full, so that none is too large
+    return stored((per_block(F.broadcast(part)) for part in parts), "blocks")
 
 
 def ranked(df: DataFrame, score: str, ties: tuple[str, ...] = ("id",), by: str = "query_id", most: int | None = None) -> DataFrame:
@@ -52,17 +56,22 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return in_blocks(queries.select("query_id", F.col("embedding").alias("_query")), block)
 
 
-def term_places(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, id, term, pos, n_terms): where the words of a corpus row (id, content) are terms of a query."""
-    terms = queries.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
-    words = corpus.select("id", F.posexplode(tokens(F.col("content"))).alias("pos", "term"))
-    return words.join(batch_side(terms), "term")
+def term_matches(queries: DataFrame, corpus: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, n_terms, found): which terms of a query (query_id, terms) a row has (no, positions), for rows that have any.
+
+    corpus: postings, or rows (id, content). named: queries that have all these terms and are cheap to ask for them, if queries aren't.
+    """
+    terms = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.posexplode("terms").alias("no", "term"), F.size("terms").alias("n_terms"))
+    names = terms if named is None else named.select(F.explode("terms").alias("term"))
+    words = postings.of_terms(corpus if "positions" in corpus.columns else postings.of(corpus), names)
+    met = words.join(batch_side(terms), "term")
+    return met.groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.collect_list(F.struct("no", "positions")).alias("found"))  # as many as the query has terms
 
 
-def term_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, id, n_terms, found, hits): how many different terms of a query a row of corpus (id, content) has, and how often."""
-    places = term_places(queries, corpus)
-    return places.groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count_distinct("term").alias("found"), F.count("*").alias("hits"))
+def term_hits(queries: DataFrame, corpus: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, n_terms, found, hits): how many different terms of a query a row of corpus has, and how often."""
+    hits = F.aggregate("found", F.lit(0).cast("long"), lambda n, f: n + F.size(f["positions"]))
+    return term_matches(queries, corpus, named).select("query_id", "id", "n_terms", F.size("found").alias("found"), hits.alias("hits"))
 
 
 def rank_of(weight: Column) -> Column:
@@ -74,26 +83,29 @@ def covers(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, id, similarity) of the rows that have all terms, by cover density.
 
     A cover is a stretch of words with all terms and none shorter within; it weighs 0.1, divided by one more than the words in it
-    that are no terms. Each occurrence is where a stretch may end: it begins at the earliest of the terms' last occurrences.
+    that are no terms. Each occurrence is where a stretch may end: it begins at the earliest of the terms' last occurrences, which
+    one window over a row's places gives. Rows that lack a term are left out before their places are looked at.
     """
-    places = term_places(queries, corpus)
-    row = Window.partitionBy("query_id", "id")
-    places = places.withColumn("k", F.row_number().over(row.orderBy("pos")))
-    each = places.join(batch_side(queries.select("query_id", F.explode("terms").alias("wanted"))), "query_id")
-    so_far = Window.partitionBy("query_id", "id", "wanted").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("wanted") == F.col("term"), F.struct("pos", "k"))).over(so_far)
-    ends = each.withColumn("last", last).groupBy("query_id", "id", "pos", "k").agg(F.min("last").alias("begin"), F.count("last").alias("seen"), F.first("n_terms").alias("n_terms"))
-    shortest = ends.where("seen = n_terms").groupBy("query_id", "id", "begin").agg(F.min(F.struct("pos", "k")).alias("end"))
+    whole = term_matches(queries, corpus).where(F.size("found") == F.col("n_terms"))
+    each = F.flatten(F.transform("found", lambda f: F.transform(f["positions"], lambda p: F.struct(p.alias("pos"), f["no"].alias("no")))))
+    row = Window.partitionBy("query_id", "id").orderBy("pos")
+    places = whole.select("query_id", "id", "n_terms", F.explode(each).alias("x")).select("query_id", "id", "n_terms", "x.*").withColumn("k", F.row_number().over(row))
+    most = queries.agg(F.max(F.size("terms"))).first()[0] or 1
+    so_far = row.rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("no") == t, F.struct("pos", "k")), ignorenulls=True).over(so_far) for t in range(most)]
+    ends = places.withColumn("lasts", F.array(*last))
+    ends = ends.select("query_id", "id", "pos", "k", "n_terms", F.filter("lasts", lambda x: x.isNotNull()).alias("lasts")).where(F.size("lasts") == F.col("n_terms"))
+    shortest = ends.groupBy("query_id", "id", F.array_min("lasts").alias("begin")).agg(F.min(F.struct("pos", "k")).alias("end"))
     noise = (F.col("end.pos") - F.col("begin.pos")) - (F.col("end.k") - F.col("begin.k"))
     return shortest.groupBy("query_id", "id").agg(F.sum(0.1 / (1 + noise)).alias("weight")).select("query_id", "id", rank_of(F.col("weight")).alias("similarity"))
 
 
-def full_text(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "and") -> DataFrame:
+def full_text(queries: DataFrame, corpus: DataFrame, k: int, mode: str = "and", named: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity, rank) of rows that have all terms (and) or any (or: each hit is a cover), by cover density."""
     if mode == "and":
         found = covers(queries, corpus)
     else:
-        found = term_hits(queries, corpus).select("query_id", "id", rank_of(0.1 * F.col("hits")).alias("similarity"))
+        found = term_hits(queries, corpus, named).select("query_id", "id", rank_of(0.1 * F.col("hits")).alias("similarity"))
     return ranked(found, "similarity", most=k)
 
 
@@ -101,7 +113,7 @@ def full_text_or_fallback(queries: DataFrame, corpus: DataFrame, k: int) -> Data
     """Rows with all terms; for a query without any, rows with one of its terms of two or more letters. One plan for the batch."""
     whole = covers(queries, corpus).withColumn("stage", F.lit(1))
     rest = queries.join(whole.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.filter("terms", lambda t: F.length(t) > 1).alias("terms"))
-    return whole.transform(lambda df: ranked(df, "similarity", most=k)).unionByName(full_text(rest, corpus, k, mode="or").withColumn("stage", F.lit(2)))
+    return whole.transform(lambda df: ranked(df, "similarity", most=k)).unionByName(full_text(rest, corpus, k, mode="or", named=queries).withColumn("stage", F.lit(2)))
 
 
 def fuse_ranks(lists: Mapping[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
@@ -123,43 +135,48 @@ def best_of(lists: list[DataFrame]) -> DataFrame:
     return ranked(every.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), "similarity")
 
 
-def hybrid(vector_queries: DataFrame, term_queries: DataFrame, corpus: DataFrame, k: int = 8, pool: int = 24, weights: tuple[float, float] = (0.4, 0.6)) -> DataFrame:
-    """The k best of vector and keyword lists of `pool` rows each, fused by rank."""
-    lists = {"vector": (nearest(vector_queries, corpus, pool), weights[0]), "keyword": (full_text(term_queries, corpus, pool), weights[1])}
+def hybrid(vector_queries: DataFrame, term_queries: DataFrame, corpus: DataFrame, k: int = 8, pool: int = 24, weights: tuple[float, float] = (0.4, 0.6), words: DataFrame | None = None) -> DataFrame:
+    """The k best of vector and keyword lists of `pool` rows each, fused by rank. words: the corpus' postings, if they are stored."""
+    lists = {"vector": (nearest(vector_queries, corpus, pool), weights[0]), "keyword": (full_text(term_queries, corpus if words is None else words, pool), weights[1])}
     return fuse_ranks(lists).where(F.col("rank") <= k)
 
 
-def cross_book(queries: DataFrame, corpus: DataFrame, books: list[str], k: int, version: int = 2) -> DataFrame:
+def cross_book(queries: DataFrame, corpus: DataFrame, books: list[str], k: int, version: int = 2, words: DataFrame | None = None) -> DataFrame:
     """Scored search in some books (none: in all): rows near the query, matching its terms, or of a first chapter.
 
     Version 2 weighs vector 0.4 and keyword 0.6 where keywords match well, else vector 0.7; version 1 takes the greater of the two.
-    A query without an embedding has vector similarity 0 everywhere.
+    A query without an embedding has vector similarity 0 everywhere. Pairs are filtered where they are scored; rows that match by
+    words are looked up by id. words: the corpus' postings, if they are stored.
     """
     scoped = corpus.where(F.col("book_id").isin(books)) if books else corpus
-    hits = covers(queries, scoped).withColumnRenamed("similarity", "keyword")
+    text = scoped if words is None else words.join(scoped.select("id"), "id", "left_semi") if books else words
+    asked = queries.select("query_id", F.col("embedding").alias("_query"))
+    vector = F.coalesce(cosine(F.col("embedding"), F.col("_query"), DIGITS), F.lit(0.0)).alias("vector")
 
     def block(some: DataFrame) -> DataFrame:
-        pairs = scoped.select("id", "parichhed_no", "embedding").crossJoin(some)
-        near = pairs.select("query_id", "id", "parichhed_no", F.coalesce(cosine(F.col("embedding"), F.col("_query"), DIGITS), F.lit(0.0)).alias("vector"))
-        both = near.join(hits, ["query_id", "id"], "left")
-        kept = both.where((F.col("parichhed_no") == 1) | (F.col("vector") > 0.60) | F.col("keyword").isNotNull())
-        if version == 1:
-            score = F.greatest("vector", F.coalesce("keyword", F.lit(0.0)))
-        else:
-            score = F.when(F.col("keyword") >= 0.15, 0.4 * F.col("vector") + 0.6 * F.col("keyword")).otherwise(0.7 * F.col("vector"))
-        return ranked(kept.select("query_id", "id", F.round(score + NUDGE, DIGITS).alias("similarity")), "similarity", most=k)
-
-    return in_blocks(queries.select("query_id", F.col("embedding").alias("_query")), block)
+        pairs = scoped.select("id", "parichhed_no", "embedding").crossJoin(some).select("query_id", "id", "parichhed_no", vector)
+        return pairs.where((F.col("parichhed_no") == 1) | (F.col("vector") > 0.60)).select("query_id", "id", "vector")
+
+    near = in_blocks(asked, block).withColumn("keyword", F.lit(None).cast("double"))
+    hits = covers(queries, text).withColumnRenamed("similarity", "keyword")
+    matched = hits.join(scoped.select("id", "embedding"), "id").join(batch_side(asked), "query_id").select("query_id", "id", vector, "keyword")
+    both = near.unionByName(matched).groupBy("query_id", "id").agg(F.max("vector").alias("vector"), F.max("keyword").alias("keyword"))
+    if version == 1:
+        score = F.greatest("vector", F.coalesce("keyword", F.lit(0.0)))
+    else:
+        score = F.when(F.col("keyword") >= 0.15, 0.4 * F.col("vector") + 0.6 * F.col("keyword")).otherwise(0.7 * F.col("vector"))
+    return ranked(both.select("query_id", "id", F.round(score + NUDGE, DIGITS).alias("similarity")), "similarity", most=k)
 
 
 #: Boosts of the scored hybrid search by version: pool, act, chapter, range, exact section, keyword.
 BOOSTS = {1: (50, 3.0, 1.5, 2.0, 2.5, 1.0), 2: (120, 2.5, 0.8, 0.5, 1.0, 1.5), 3: (120, 2.5, 0.8, 0.5, 1.0, 1.5)}
 
 
-def boosted(queries: DataFrame, corpus: DataFrame, k: int, version: int = 3) -> DataFrame:
+def boosted(queries: DataFrame, corpus: DataFrame, k: int, version: int = 3, words: DataFrame | None = None) -> DataFrame:
     """Two phases: each query's pool of nearest rows in its books (and, from version 3, its exact sections), then added boosts.
 
     queries: query_id, embedding, terms, books (array; empty: all), act, chapter_no, low, high, sections (array; null or empty: none).
+    words: the corpus' postings, if they are stored.
     """
     pool, act, chapter, in_range, exact, keyword = BOOSTS[version]
     in_scope = (F.size("books") == 0) | F.array_contains("books", F.col("book_id"))
@@ -176,7 +193,7 @@ def boosted(queries: DataFrame, corpus: DataFrame, k: int, version: int = 3) ->
         named = wanted.withColumn("root", F.explode("sections")).join(vectors, "root").where(in_scope)
         named = named.withColumn("vector", cosine(F.col("embedding"), F.col("_query"), DIGITS)).drop("embedding", "_query")
         placed = placed.unionByName(named.select(placed.columns)).dropDuplicates(["query_id", "id"])
-    hits = covers(queries, corpus).withColumnRenamed("similarity", "keyword")
+    hits = covers(queries, corpus if words is None else words).withColumnRenamed("similarity", "keyword")
     boost = lambda test, by: F.when(test, F.lit(float(by))).otherwise(0.0)
     total = (
         F.col("vector")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,23 @@ def fixture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal_chunks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
+#: The folders of the word indexes that this process has built, by application, folder of tables and their files.
+INDEXES: dict[tuple[str, ...], str] = {}
+
+
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the chunks' contents: an index in the shared folder, built when it is first asked for."""
+    from ..operators import postings
+
+    documents = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(documents.inputFiles()))
+    if key not in INDEXES:
+        path = new_path(spark, "words")
+        postings.write_batch(path, 0, documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+        INDEXES[key] = path
+    return postings.read(spark, INDEXES[key])
+
+
 #: The same relation for DuckDB, as the first of a query's WITH clauses.
 CHUNKS_SQL = """chunks AS (
   SELECT doc_id AS id, text AS content, source AS filename, lang AS book_id, (doc_id % 10 + 1)::INT AS parichhed_no,
