@@ -194,10 +194,24 @@ def contains_any(words: Column, content: Column, label: Column) -> Column:
     return F.exists(words, lambda w: F.lower(content).contains(F.lower(w)) | F.lower(label).contains(F.lower(w)))
 
 
-def retrieval_policy(titled: Column, hinted: Column, books: Column, classes: Column) -> Column:
-    """How a query is searched: strict where its title or sections are known, by chapter first where one book and no section is, over all books where none is."""
-    strict = titled | hinted
-    return F.struct(strict.alias("strict"), ((F.size(books) == 1) & ~strict).alias("chapter_first"), (F.size(books) == 0).alias("all_books"), F.when(strict, 1).otherwise(3).alias("most_sections"), classes.alias("classes"))
+def section_keys(hints: Column) -> Column:
+    """The keys book|number of section hints (structs act, section) whose act is known."""
+    known = F.filter(hints, lambda h: h["act"].isNotNull())
+    return F.array_distinct(F.transform(known, lambda h: F.concat_ws("|", h["act"], to_ascii_digits(h["section"].cast("string")))))
+
+
+def retrieval_policy(scope: Column, sections: Column, chapters: Column, pinned: Column) -> Column:
+    """How a query is searched, from its focus scope (null or auto: none), its hints (arrays of structs act, section and act, chapter) and whether a topic pins it.
+
+    chapter_scoped: hints are looked for in chapters only. restrict_multi: no search over all books. strict_keys: the sections that may
+    stay in the end; null where anything may.
+    """
+    focus = focus_scope(scope)
+    hinted, acts = F.size(sections) > 0, F.size(F.array_distinct(F.filter(F.transform(sections, lambda h: h["act"]), lambda a: a.isNotNull())))
+    return F.struct(
+        focus.alias("focus_scope"), (hinted | (F.size(chapters) > 0) | focus.isNotNull()).alias("chapter_scoped"), (pinned | hinted & (acts == 1) & focus.isNotNull()).alias("restrict_multi"),
+        F.when(hinted & focus.isNotNull(), section_keys(sections)).alias("strict_keys"),
+    )
 
 
 def heuristic_analysis(query: Column, act: Column, sections: Column, titles: Column, extra: Column) -> Column:

@@ -7,6 +7,8 @@ a section has as many parts as its law gives it, and each is deduplicated before
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,18 +17,54 @@ from ..functions.labels import breadcrumb_key, filled, part_key
 from ..functions.text import body_of, header_field, header_of, section_number, to_ascii_digits
 from .search import ranked
 
-#: What forms and scanning noise look like.
-FORM_WORDS = r"फिराद.*\.{3,}|बमोिजम\s*यो\s*मुद्दा|फिराददाबी\s*पूर्ण|फैसलाको\s*संक्षिप्त\s*विवरण|सरकारी\s*जग्गा\s*दपोट|गर्दछु\s*/\s*गर्द"
-NOISE_WORDS = "म्झनु|छर्न|धार्र|नामनि\\s*धार"
+#: What a form to fill in, or what scanning has made of one, looks like.
+FORM_SIGNS = (
+    r"\.{4,}", r"पाउने\s+पाउने", r"जवाफ\s*\.{3,}", r"तपाईँ?\s*को\s*उमेर", r"[a-zA-Z\[\]{}'\"\\/]{5,}", r"फिराद.*\.{3,}", r"बमोिजम\s*यो\s*मुद्दा", r"फिराददाबी\s*पूर्ण", r"फैसलाको\s*संक्षिप्त\s*विवरण",
+    r"सरकारी\s*जग्गा\s*दपोट", r"गर्दछु\s*/\s*गर्द",
+)
+#: The fields that a chunk's head has, each on a line of its own.
+FIELDS = "पुस्तक|भाग|परिच्छेद|दफा|उपदफा|खण्ड|प्रकार|पृष्ठ"
+NUMBERED = r"दफा\s*[:：]?\s*{0}\s*—"
+
+
+@dataclass(frozen=True)
+class Sign:
+    """Points for what a chunk shows in its head, body or prose (the body without page marks and kinds), or for how its label or page suits the section that is asked for."""
+
+    points: int
+    where: str
+    pattern: str = ""
+
+
+#: The signs of a section's provision.
+PROVISION_SIGNS = (
+    Sign(4, "head", NUMBERED.format(r"[0-9०-९]+(?:\.[0-9०-९]+)?")), Sign(1, "head", "परिच्छेद"), Sign(2, "named"), Sign(5, "label is section"), Sign(-1, "label in section"),
+    Sign(2, "body", r"[“\"][ऀ-ॿ]+[”\"]\s*भन्नाले"), Sign(3, "body", r"\([ङचछजझञटठडढणतथ]\)"), Sign(-4, "body", r"म्झनु|छर्न|धार्र|नामनि\s*धार"), Sign(-10, "form"), Sign(-5, "prose", r"[a-zA-Z\[\]{}]{3,}"),
+    Sign(3, "early section, early page"), Sign(-8, "early section, late page"),
+)
 
 
 def has(s: Column, pattern: str) -> Column:
     return F.regexp_like(s, F.lit(pattern))
 
 
-def is_form(body: Column, more: str = r"\.{8,}|_{5,}") -> Column:
-    """Whether a body is a form to fill in: rows of dots or lines, or a form's phrases."""
-    return has(F.regexp_replace(body, r"\[PAGE:\d+\]", ""), f"{FORM_WORDS}|{more}")
+def without_lines(s: Column, pattern: str) -> Column:
+    """A text without the lines that begin so."""
+    return F.array_join(F.filter(F.split(s, "\n"), lambda line: ~has(F.trim(line), f"^(?:{pattern})")), "\n")
+
+
+def without_marks(s: Column) -> Column:
+    return F.regexp_replace(s, r"\[PAGE:\d+\]", " ")
+
+
+def provision_body(content: Column) -> Column:
+    """A chunk's body without the lines of its fields."""
+    return without_lines(body_of(content), rf"(?:{FIELDS})\s*:")
+
+
+def is_form(body: Column, signs: Sequence[str] = FORM_SIGNS) -> Column:
+    """Whether a body, all its lines but those of fields, is a form to fill in: it shows one of the signs."""
+    return has(without_marks(without_lines(body, rf"(?:{FIELDS})\s*:")), "|".join(signs))
 
 
 def is_contaminated(title: Column, body: Column, titles: str, words: str) -> Column:
@@ -40,28 +78,25 @@ def is_preamble(label: Column, body: Column, amended: str = "शोिन|सं
     return has(ascii_, r"^0\d+(\.|$)") | (ascii_ == "6") & has(body, amended)
 
 
-def provision_quality(content: Column, section: Column, page: Column, label: Column) -> Column:
-    """How much a chunk looks like the provision of a section that is asked for; section, page and label may be null.
+def provision_quality(content: Column, section: Column, page: Column, label: Column, signs: Sequence[Sign] = PROVISION_SIGNS) -> Column:
+    """How much a chunk looks like the provision of a section that is asked for: the points of all signs that it shows; section, page and label may be null.
 
-    Heads that name a section, the section itself, definitions and clauses speak for it; scanning noise, forms, Latin letters and
-    an early section's number on a late page against it.
+    A section is early up to number 30, a page up to 5, and late beyond 50.
     """
-    head, body = header_of(content), body_of(content)
-    own = to_ascii_digits(F.regexp_extract(head, r"दफा\s*[:：]?\s*([0-9०-९]+(?:\.[0-9०-९]+)?)\s*—", 1))
-    own = F.coalesce(label, F.nullif(own, F.lit("")))
-    asked = section.cast("string")
-    early = section.try_cast("int") <= 30
-    without_kind = F.regexp_replace(F.regexp_replace(body, r"\[PAGE:\d+\]", ""), r"(?m)^\s*प्रकार\s*:.*$", "")
-    named = F.concat(F.lit(r"दफा\s*:?\s*"), asked, F.lit(r"\s*—"))
-    rules = (
-        (has(head, r"दफा\s*[:：]?\s*[0-9०-९]+(?:\.[0-9०-९]+)?\s*—"), 4), (F.regexp_like(to_ascii_digits(head), named), 2), (own == asked, 5),
-        (own.startswith(F.concat(asked, F.lit("."))), -1), (has(head, "परिच्छेद"), 1), (has(body, r"[“\"][ऀ-ॿ]+[”\"]\s*भन्नाले"), 2), (has(body, r"\([ङचछजझञटठडढणतथ]\)"), 3),
-        (has(body, NOISE_WORDS), -4), (is_form(body), -10), (has(without_kind, r"[a-zA-Z\[\]{}]{3,}"), -5), (early & (page <= 5), 3), (early & (page > 50), -8),
-    )
-    total = F.lit(0)
-    for test, points in rules:
-        total = total + F.when(test, points).otherwise(0)
-    return total
+    head, body, asked = header_of(content), provision_body(content), section.cast("string")
+    told = F.nullif(to_ascii_digits(F.regexp_extract(head, NUMBERED.format(r"([0-9०-९]+(?:\.[0-9०-९]+)?)"), 1)), F.lit(""))
+    own, early = F.coalesce(label, told), section.try_cast("int") <= 30
+    shown = {
+        "named": F.regexp_like(to_ascii_digits(head), F.concat(F.lit(r"दफा\s*:?\s*"), asked, F.lit(r"\s*—"))),
+        "label is section": own == asked,
+        "label in section": own.startswith(F.concat(asked, F.lit("."))),
+        "form": is_form(body),
+        "early section, early page": early & (page <= 5),
+        "early section, late page": early & (page > 50),
+    }
+    texts = {"head": head, "body": body, "prose": without_lines(without_marks(body), r"प्रकार\s*:")}
+    points = (F.when(has(texts[s.where], s.pattern) if s.where in texts else shown[s.where], s.points).otherwise(0) for s in signs)
+    return reduce(Column.__add__, points, F.lit(0))
 
 
 def quality_ranked(rows: DataFrame, section: Column, page: Column, least: int = -3) -> DataFrame:
@@ -70,15 +105,18 @@ def quality_ranked(rows: DataFrame, section: Column, page: Column, least: int =
     return ranked(scored.where(F.col("quality") > least), "quality")
 
 
-def extraction_quality(pages: DataFrame, by: str, first: int = 30) -> DataFrame:
-    """(by, score): how well a file's text was read, from 0 to 1, over its first pages (by, page, text): Devanagari, section marks and few odd signs."""
-    some = pages.where(F.col("page") <= first)
-    letters = F.sum(F.regexp_count("text", F.lit(r"\p{L}")))
-    share = F.sum(F.regexp_count("text", F.lit(r"\p{IsDevanagari}"))) / F.greatest(letters, F.lit(1))
-    marks = F.sum(F.regexp_count("text", F.lit(r"दफा|परिच्छेद|[0-9०-९]+\.\s")))
-    odd = F.sum(F.regexp_count("text", F.lit(r"[^\p{L}\p{M}\p{N}\p{P}\s]"))) / F.greatest(F.sum(F.length("text")), F.lit(1))
-    score = 0.6 * F.least(share, F.lit(1.0)) + 0.3 * F.least(marks / 10, F.lit(1.0)) + 0.1 * (1 - F.least(10 * odd, F.lit(1.0)))
-    return some.groupBy(by).agg(F.round(score, 6).alias("score"))
+def extraction_quality(pages: DataFrame, by: str, first: int = 30, least: int = 200) -> DataFrame:
+    """(by, score): how well a file's text was read, from 0 to 1, over its first pages (by, page, text), one blank between them.
+
+    0.35 goes where no chapter or part is named, 0.25 where no number has a full stop, and 0.4 where more than one in forty characters
+    is white space between two Devanagari letters; below `least` characters nothing can be said: 0.
+    """
+    some = pages.where(F.col("page") <= first).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))  # `first` pages
+    text = F.array_join(F.transform("p", lambda p: p["text"]), " ")
+    some = some.select(by, text.alias("text"))
+    broken = F.regexp_count("text", F.lit(r"[\u0900-\u097F]\s+[\u0900-\u097F]")) > F.length("text") / 40
+    lost = F.when(~has(F.col("text"), "परिच्छेद|परिरच्छेद|भाग"), 0.35).otherwise(0.0) + F.when(~has(F.col("text"), r"[0-9०-९]{1,3}\."), 0.25).otherwise(0.0) + F.when(broken, 0.4).otherwise(0.0)
+    return some.select(by, F.when(F.length("text") < least, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - lost), 6)).alias("score"))
 
 
 def enriched(rows: DataFrame) -> DataFrame:
@@ -113,18 +151,22 @@ def best_parts(rows: DataFrame, score: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+#: What tells that a text isn't its part by itself.
+BARE, TAIL, REFERS = r"^उपदफा\s*$", "^बमोजिम", r"उपदफा\s*\("
+
+
 def part_score(subsection: Column, path: Column, text: Column, wanted: Sequence[tuple[str, int]] = ()) -> Column:
-    """How well a chunk's text stands for its part: its first mark is the subsection's (4), it has two marks (2), refers to another (1), is a bare word (-10) or a fragment (-3); and the points of each wanted pattern."""
-    mark, sub = to_ascii_digits(F.regexp_replace(F.get(path, F.lit(0)), "[()\\s]", "")), to_ascii_digits(F.regexp_replace(subsection, "[^0-9०-९]", ""))
-    body = F.trim(text)
-    rules = [
-        ((sub != "") & (mark == sub), 4), (F.size(path) >= 2, 2), (has(body, r"उपदफा\s*\("), 1), (has(body, r"^उपदफा\s*$"), -10), (has(body, "^बमोजिम") & (F.length(body) < 180), -3),
-        *((has(body, pattern), points) for pattern, points in wanted),
-    ]
-    total = F.lit(0)
-    for test, points in rules:
-        total = total + F.when(test, points).otherwise(0)
-    return total
+    """How well a chunk's text stands for its part: what speaks for it, the points of each wanted pattern, less what speaks against it.
+
+    For it: its first mark is the subsection's (4), it has a second (2), it names another subsection (1). Against: it is the bare word
+    (10), or the tail of a reference in less than 180 characters (3).
+    """
+    digits_of = lambda s: to_ascii_digits(F.regexp_replace(s, "[^0-9०-९]", ""))
+    own, body = digits_of(subsection), F.trim(text)
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    good = points((own != "") & (digits_of(F.get(path, F.lit(0))) == own), 4) + points(F.size(path) > 1, 2) + points(has(body, REFERS), 1)
+    bad = points(has(body, BARE), 10) + points(has(body, TAIL) & (F.length(body) < 180), 3)
+    return reduce(Column.__add__, (points(has(body, pattern), n) for pattern, n in wanted), good) - bad
 
 
 def is_continuation(label: Column, section: Column, excluded: Column) -> Column:

@@ -163,19 +163,23 @@ def seeds_of(sections: DataFrame, phrases: DataFrame, corpus: DataFrame, floor:
 
 
 def by_reference(references: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The chunk that a reference (query_id, chunk_id, root, subsection, clause) names: by its id, else clause, else subsection, else section; null means any.
+    """The chunks that a reference (query_id, chunk_id, root, subsection, clause) names, by the first stage that finds any.
 
-    corpus: id, chunk_id, root, subsection, clause. A stage that a reference doesn't name finds nothing.
+    A clause without a subsection: its whole section (1), else the section's clauses of that letter (2). By the chunk's id (3). Clause
+    and subsection (4). A subsection alone: the part without a clause, not the clauses below it (5). A section alone: all its parts (6).
+    corpus: id, chunk_id, root, subsection, clause.
     """
     keys = corpus.select("id", "chunk_id", "root", "subsection", "clause")
 
-    def stage(*on: str) -> DataFrame:
-        asked = references.select("query_id", *on).where(" and ".join(f"{c} is not null" for c in on))
-        return asked.join(keys.select("id", *on), list(on)).select("query_id", "id", F.lit(1.0).alias("similarity"))
+    def stage(asked: str, *on: str, among: DataFrame = keys) -> DataFrame:
+        named = references.where(asked).select("query_id", *on).where(" and ".join(f"{c} is not null" for c in on))
+        return named.join(among.select("id", *on), list(on)).select("query_id", "id", F.lit(1.0).alias("similarity"))
 
-    whole = references.where("subsection is null and clause is null").select("query_id", "root").where("root is not null")
-    sections = whole.join(keys.select("id", "root"), "root").select("query_id", "id", F.lit(1.0).alias("similarity"))
-    return cascade(stage("chunk_id"), stage("root", "subsection", "clause"), stage("root", "clause"), stage("root", "subsection"), sections, stage("root"))
+    only_clause, only_section = "clause is not null and subsection is null", "clause is null and subsection is null"
+    return cascade(
+        stage(only_clause, "root"), stage(only_clause, "root", "clause"), stage("true", "chunk_id"), stage("true", "root", "subsection", "clause"),
+        stage("clause is null", "root", "subsection", among=keys.where("clause is null")), stage(only_section, "root"),
+    )
 
 
 def thin_filled(primary: DataFrame, *pools: DataFrame, least: int = 3) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import analysis, assembly, chapters, evaluation, search
-from ..sources.tables import CHUNKS_SQL, fixture_chunks, table
+from ..functions.text import body_of
+from ..sources.tables import CHUNKS_SQL, STATUTES_SQL, fixture_chunks, statute_chunks, table
 from .retrieval import term_queries
 from .sections import TOP, long, near
+from .texts import BODY_SQL, PARTS_SQL, _FORM, quality_points
 
 BOOKS = (("even", "[02468]$", "^a"), ("odd", "[13579]$", None), ("named", "[a-z]", None))
 
@@ -70,14 +72,27 @@ SELECT query_id, id, part FROM keyed QUALIFY row_number() OVER (PARTITION BY que
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture_chunks(spark, sf_dir)
-    return rows.select("id", assembly.provision_quality(F.col("content"), F.col("root"), F.col("id") % 60, F.col("section_label")).cast("long").alias("quality"))
+    rows = statute_chunks(spark, sf_dir)
+    return rows.select(
+        "id", assembly.provision_quality(F.col("content"), F.col("root"), F.col("page"), F.col("section_label")).cast("long").alias("quality"), assembly.is_form(body_of(F.col("content"))).alias("is_form")
+    )
 
 
-QUALITY_CASES = r"""(CASE WHEN root <= 30 AND id % 60 <= 5 THEN 3 ELSE 0 END + CASE WHEN root <= 30 AND id % 60 > 50 THEN -8 ELSE 0 END - 1
-  + CASE WHEN regexp_matches(regexp_replace(body, '(?m)^\s*प्रकार\s*:.*$', '', 'g'), '[a-zA-Z\[\]{}]{3,}') THEN -5 ELSE 0 END + CASE WHEN regexp_matches(body, '\.{8,}|_{5,}') THEN -10 ELSE 0 END)::BIGINT"""
-BODY_SQL = "trim(CASE WHEN contains(content, chr(10) || chr(10)) THEN substring(content, instr(content, chr(10) || chr(10)) + 2) ELSE regexp_replace(content, '^[^\\n]*\\n?', '') END, ' ')"
-QUALITY = f"WITH {CHUNKS_SQL}, bodies AS (SELECT *, {BODY_SQL} AS body FROM chunks) SELECT id, {QUALITY_CASES} AS quality FROM bodies"
+QUALITY = f"WITH {CHUNKS_SQL}, {STATUTES_SQL}, {PARTS_SQL} SELECT id, ({quality_points('root', 'page')})::BIGINT AS quality, {_FORM} AS is_form FROM shown"
+
+
+def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are neither forms nor preambles, of every file one row: how many, labelled, sections and marks."""
+    rows = statute_chunks(spark, sf_dir).withColumn("section_label", F.when(F.col("id") % 8 == 1, F.concat(F.lit("0"), "section_label")).otherwise(F.col("section_label")))
+    some = assembly.usable_chunks(rows)
+    kinds = some.groupBy(F.col("book_id").alias("book")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return assembly.chunk_summary(some).withColumns({"book": F.lit(None).cast("string"), "n": F.col("chunks"), "ids": F.lit(None).cast("long")}).unionByName(kinds, allowMissingColumns=True)
+
+
+USABLE = f"""WITH {CHUNKS_SQL}, {STATUTES_SQL}, {PARTS_SQL}, kept AS (SELECT * FROM shown WHERE length({BODY_SQL}) >= 15 AND NOT {_FORM} AND NOT coalesce(regexp_matches(CASE WHEN id % 8 = 1 THEN '0' ELSE '' END || section_label, '^0[0-9]+(\\.|$)'), false)
+  AND NOT coalesce(section_label = '6' AND id % 8 != 1 AND regexp_matches({BODY_SQL}, 'शोिन|संशोधन'), false))
+SELECT count(*) AS chunks, count(section_label) AS labelled, count(DISTINCT (filename, root)) AS sections, sum(len(regexp_extract_all(content, '\\([0-9०-९क-ह]{{1,2}}\\)')))::BIGINT AS marks, NULL AS book, count(*) AS n, NULL AS ids FROM kept
+UNION ALL SELECT NULL, NULL, NULL, NULL, book_id, count(*), sum(id)::BIGINT FROM kept GROUP BY book_id"""
 
 
 def multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,21 +146,22 @@ SELECT query_id, id, greatest(similarity, 0.738::DOUBLE) AS similarity FROM insi
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References by chunk id, clause, subsection or section: the first that finds anything."""
+    """References by chunk id, section, subsection, clause, or subsection and clause."""
     chunks = fixture_chunks(spark, sf_dir)
     corpus = chunks.select("id", F.concat(F.lit("c"), "id").alias("chunk_id"), "root", (F.col("id") % 3).cast("int").alias("subsection"), F.when(F.col("id") % 2 == 0, "क").alias("clause"))
     asked = chunks.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.floor(F.col("id") / 100).cast("int").alias("n"))
     none = F.lit(None)
     wanted = asked.select(
-        "query_id", F.when(F.col("n") % 4 == 0, F.concat(F.lit("c"), F.col("n").cast("string"))).alias("chunk_id"), F.when(F.col("n") % 4 > 0, F.col("n")).cast("int").alias("root"),
-        F.when(F.col("n") % 4 == 2, 1).otherwise(none).cast("int").alias("subsection"), F.when(F.col("n") % 4 == 3, "क").alias("clause"),
+        "query_id", F.when(F.col("n") % 5 == 0, F.concat(F.lit("c"), F.col("n").cast("string"))).alias("chunk_id"), F.when(F.col("n") % 5 > 0, F.col("n")).cast("int").alias("root"),
+        F.when(F.col("n") % 5 % 2 == 0, 1).otherwise(none).cast("int").alias("subsection"), F.when(F.col("n") % 5 > 2, "क").alias("clause"),
     )
     return long(chapters.by_reference(wanted, corpus).select("query_id", "id", "stage"), "stage")
 
 
 REFERENCES = f"""WITH {CHUNKS_SQL}, asked AS (SELECT id AS query_id, (id // 100)::INT AS n FROM chunks WHERE id % 100 = 0)
-SELECT query_id, c.id, 1::BIGINT AS stage FROM asked JOIN chunks c ON c.id = n WHERE n % 4 = 0
-UNION ALL SELECT query_id, c.id, CASE n % 4 WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 3 END FROM asked JOIN chunks c ON c.root = n WHERE n % 4 = 1 OR n % 4 = 2 AND c.id % 3 = 1 OR n % 4 = 3 AND c.id % 2 = 0"""
+SELECT query_id, c.id, 3::BIGINT AS stage FROM asked JOIN chunks c ON c.id = n WHERE n % 5 = 0
+UNION ALL SELECT query_id, c.id, CASE n % 5 WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 1 ELSE 4 END FROM asked JOIN chunks c ON c.root = n
+WHERE n % 5 = 1 OR n % 5 = 2 AND c.id % 3 = 1 AND c.id % 2 = 1 OR n % 5 = 3 OR n % 5 = 4 AND c.id % 3 = 1 AND c.id % 2 = 0"""
 
 
 def hint_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +260,7 @@ QUERIES = {
     "label_best": (best_labels, BEST_LABELS),
     "part_best": (best_parts, BEST_PARTS),
     "provision_quality": (quality, QUALITY),
+    "usable_chunks": (usable, USABLE),
     "multi_query": (multi_query, MULTI_QUERY),
     "target_chapters": (targets, TARGETS),
     "chapter_keyword_leg": (leg, LEG),

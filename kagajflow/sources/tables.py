@@ -34,6 +34,34 @@ def fixture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal_chunks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
+LATIN, LETTERS = "abcdefghijklmnopqrstuvwxyz", "कखगघचछजझटठडढणतथदधनपफबभमयरल"
+#: Beginnings of bodies by which statute_chunks differ: plain, definitions, clauses, what forms and scanning noise look like.
+BODIES = (
+    "सामान्य व्यवस्था: ", "“नागरिक” भन्नाले ", "(ङ) पहिलो कुरा, (च) दोस्रो कुरा। ", "सो म्झनु पर्छ। ", "नाम .... उमेर ", "तपाईँको उमेर ", "abc ", "Latin ", "फिराद पत्र ... ", "[PAGE:7] उपदफा (१) बमोजिम सजाय हुनेछ। ",
+)
+
+
+def statute_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks dressed as statutes: their texts in Devanagari letters behind one of BODIES, two in three below a head that names chapter and section; and a page."""
+    chunks = fixture_chunks(spark, sf_dir)
+    number = F.translate("section_label", "0123456789", "०१२३४५६७८९")
+    shown = F.when(F.col("id") % 2 == 0, F.substring_index(number, ".", 1)).otherwise(number)
+    chapter = F.when(F.col("id") % 4 == 0, F.concat(F.lit("परिच्छेद: "), F.col("chapter"), F.lit("\n"))).otherwise("")
+    head = F.concat(chapter, F.lit("दफा: "), shown, F.lit(" — व्यवस्था\nप्रकार: dafa\n\n"))
+    body = F.concat(F.get(F.array(*map(F.lit, BODIES)), (F.col("id") % len(BODIES)).cast("int")), F.when(F.col("id") % 7 == 0, "\nप्रकार : upadafa\n").otherwise(""), F.translate(F.lower("content"), LATIN, LETTERS))
+    label = F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 3 == 0, F.col("root").cast("string")).otherwise(F.col("section_label")))
+    return chunks.withColumns({"content": F.concat(F.when(F.col("id") % 3 < 2, head).otherwise("शीर्षक\n"), body), "section_label": label, "page": (F.col("id") % 60).cast("int")})
+
+
+STATUTES_SQL = f"""statutes AS (
+  SELECT * REPLACE (
+    CASE WHEN id % 3 < 2 THEN CASE WHEN id % 4 = 0 THEN 'परिच्छेद: ' || chapter || chr(10) ELSE '' END || 'दफा: ' || translate(CASE WHEN id % 2 = 0 THEN root::VARCHAR ELSE section_label END, '0123456789', '०१२३४५६७८९')
+      || ' — व्यवस्था' || chr(10) || 'प्रकार: dafa' || chr(10) || chr(10) ELSE 'शीर्षक' || chr(10) END || {list(BODIES)}[id % {len(BODIES)} + 1]
+      || CASE WHEN id % 7 = 0 THEN chr(10) || 'प्रकार : upadafa' || chr(10) ELSE '' END || translate(lower(content), '{LATIN}', '{LETTERS}') AS content,
+    CASE WHEN id % 5 > 0 THEN CASE WHEN id % 3 = 0 THEN root::VARCHAR ELSE section_label END END AS section_label
+  ), (id % 60)::INT AS page FROM chunks)"""
+
+
 #: The folders of the word indexes that this process has built, by application, folder of tables and their files.
 INDEXES: dict[tuple[str, ...], str] = {}
 
