@@ -62,14 +62,6 @@ def part_order(path: Column) -> Column:
     return F.when(n.isNull() & k.isNull(), F.lit(999_999)).otherwise(F.coalesce(n, F.lit(0)) * 10_000 + F.coalesce(k, F.lit(0)))
 
 
-def excerpt(content: Column, terms: Column, before: int = 200, most: int = 500) -> Column:
-    """The part of a content around its first term; its beginning if it has none."""
-    low = F.lower(content)
-    first = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda at: at > 0))
-    start = F.greatest(F.lit(1), F.coalesce(first, F.lit(1)) - before)
-    return F.substring(content, start, F.lit(most))
-
-
 def trimmed(bodies: DataFrame, id_col: str, parts: Column, terms: Column, anchors: int = 2, best: int = 3) -> DataFrame:
     """Each body's first parts and of the others the ones that the terms weigh most in, in their order."""
     cut = bodies.select(id_col, F.posexplode(parts).alias("i", "part"), terms.alias("_terms"))

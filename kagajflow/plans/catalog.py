@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, documents, finance, portal, retrieval, routes, sections, texts
+from . import composites, display, documents, finance, portal, retrieval, routes, sections, texts
 
-MODULES = (retrieval, sections, routes, composites, finance, portal, texts, documents)
+MODULES = (retrieval, sections, routes, composites, display, finance, portal, texts, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -180,15 +180,6 @@ SELECT p.book_id, p.page AS root, f.page FROM pages p LEFT JOIN found f ON f.boo
 TERMS = ("estion", "thion", "erst", "que")
 
 
-def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fixture_chunks(spark, sf_dir)
-    return chunks.select("id", F.md5(outline.excerpt(F.col("content"), F.array(*map(F.lit, TERMS)))).alias("excerpt"))
-
-
-EXCERPTS = f"""WITH {CHUNKS_SQL}, found AS (SELECT id, content, list_min(list_filter(list_transform({list(TERMS)}, lambda t: instr(lower(content), t)), lambda p: p > 0)) AS first FROM chunks)
-SELECT id, md5(substring(content, greatest(1, coalesce(first, 1) - 200)::BIGINT, 500)) AS excerpt FROM found"""
-
-
 def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' first two lines and the three others that the terms weigh most in."""
     docs = table(spark, sf_dir, "documents")
@@ -214,6 +205,5 @@ QUERIES = {
     "enclosing_marker": (as_of, AS_OF),
     "marker_extents": (extents, EXTENTS),
     "page_map": (page_map, PAGE_MAP),
-    "excerpt": (excerpts, EXCERPTS),
     "trimmed_body": (trimmed, TRIMMED),
 }
