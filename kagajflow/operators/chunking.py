@@ -41,29 +41,46 @@ def by_size(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                pieces = list(sized_pieces(text.as_py() or "", size, overlap))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(pieces), batch.column(0).type), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=[id_col, "chunk_index", "content"])
+            yield pieces_batch(batch, [list(sized_pieces(text or "", size, overlap)) for text in batch.column(1).to_pylist()], id_col)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, content string")
 
 
+def pieces_batch(batch: pa.RecordBatch, pieces: list[list[str]], id_col: str) -> pa.RecordBatch:
+    """(id, chunk_index, content) of each row's pieces."""
+    rows = pa.array([k for k, own in enumerate(pieces) for _ in own], pa.int64())
+    index = pa.array([i for own in pieces for i in range(len(own))], pa.int32())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(rows), index, pa.array([p for own in pieces for p in own], pa.string())], names=[id_col, "chunk_index", "content"])
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?।])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def packed(parts: list[str], most: int) -> Iterator[str]:
+    """Parts joined by blanks, as many as fit in `most` characters."""
+    open_: list[str] = []
+    size = -1
+    for part in parts:
+        if open_ and size + 1 + len(part) > most:
+            yield " ".join(open_)
+            open_, size = [], -1
+        open_.append(part)
+        size += 1 + len(part)
+    if open_:
+        yield " ".join(open_)
+
+
 def by_sentences(df: DataFrame, id_col: str, text_col: str, most: int = 1200) -> DataFrame:
     """(id, chunk_index, content): sentences packed in order, as many in a chunk as fit in `most` characters; a longer one is a chunk alone."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def pack(state: Column, sentence: Column) -> Column:
-        fits = (state["open"] == "") | (F.length(state["open"]) + 1 + F.length(sentence) <= most)
-        longer = F.concat_ws(" ", F.nullif(state["open"], F.lit("")), sentence)
-        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"), F.when(fits, longer).otherwise(sentence).alias("open"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pieces_batch(batch, [list(packed(parts, most)) for parts in batch.column(1).to_pylist()], id_col)
 
-    chunks = F.aggregate(sentences(F.coalesce(F.col(text_col), F.lit(""))), empty, pack, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
-    return df.select(id_col, F.posexplode(chunks).alias("chunk_index", "content"))
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("parts")).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, content string")
 
 
 def by_markers(df: DataFrame, id_col: str, text_col: str, marker: str, least: int = 20) -> DataFrame:
@@ -86,10 +103,18 @@ GRAMMAR = {
     "khanda": (r"\(\s*", L, r"\s*\)"),
 }
 OPENERS = {kind: rf"^{before}({label}){behind}\s*({'.+' if kind in ('dafa', 'tar') else '.*'})$" for kind, (before, label, behind) in GRAMMAR.items()}
-#: A mark begins a line wherever it stands; a section's number only behind the end of something, without a full stop only behind a danda.
 ANYWHERE = "|".join("".join(GRAMMAR[kind]) for kind in GRAMMAR if kind != "dafa")
-ENDED = r"[\u0900-\u097f।…\"“”]|\.{4}"
-LINE_BEGIN = rf"\s+(?={ANYWHERE})|(?<={ENDED})\s+(?={D}{{1,4}}{L}?\.\s)|(?<=।)\s+(?={D}{{1,4}}{L}?\s+[\u0900-\u097f])"
+#: What a section's number may stand behind, and what ends a sentence for good.
+ENDED, STOP = r"[\u0900-\u097f।…\"“”]|\.{4}", "।"
+
+
+def line_begin(ended: str = ENDED, stop: str = STOP) -> str:
+    """The white space before a line: any mark begins one, and a section's number where something has ended; without its full stop only behind a stop and before a Devanagari word."""
+    number = f"{D}{{1,4}}{L}?"
+    behind = {ended: rf"{number}\.\s", stop: rf"{number}\s+[\u0900-\u097f]"}
+    return "|".join([rf"\s+(?={ANYWHERE})", *(rf"(?<={end})\s+(?={begin})" for end, begin in behind.items())])
+
+
 #: What stands between pages: a number or a rule alone on its line, and page marks.
 NOISE = rf"(?m)^\s*(?:{D}{{1,4}}|[-–—]{{2,}})\s*$|\[PAGE:\d+\]"
 
@@ -97,7 +122,7 @@ NOISE = rf"(?m)^\s*(?:{D}{{1,4}}|[-–—]{{2,}})\s*$|\[PAGE:\d+\]"
 def logical_lines(text: Column) -> Column:
     """The text as lines, one for each thing that a mark opens."""
     flat = F.trim(F.regexp_replace(F.regexp_replace(text, NOISE, " "), r"\s+", " "))
-    return F.filter(F.transform(F.split(flat, LINE_BEGIN), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(flat, line_begin()), lambda s: F.trim(s)), lambda s: s != "")
 
 
 #: A mention: a section's number, subsections or clauses of one, or both, and the word that makes it a reference.
@@ -183,12 +208,6 @@ def parse_statutes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # --- Other shapes of statutes ---------------------------------------------------------------------------------------------
 
-#: What goes on with the line before it though it begins like a part: a reference that a line break cut in two.
-GOES_ON = r"^\(\s*[0-9०-९क-ह]+\s*\)\s*(?:,|र|वा|तथा|देखि)?\s*(?:\(\s*[0-9०-९क-ह]+\s*\)\s*(?:,|र|वा)?\s*)*(?:को\s*)?(?:बमोजिम|प्रयोजन)"
-OPEN_END = r"(?:उपदफा|खण्ड|दफा|को|वा|र|,)\s*$"
-DEPTHS = {"bhag": 0, "parichhed": 0, "dafa": 0, "spastikaran": 1, "tar": 1, "upadafa": 1, "khanda": 2}
-
-
 def kind_of(line: Column) -> Column:
     kind = F.lit("rest")
     for name in reversed(OPENERS):
@@ -196,32 +215,6 @@ def kind_of(line: Column) -> Column:
     return kind
 
 
-def goes_on(line: Column, before: Column) -> Column:
-    """Whether a line continues the one before: it opens nothing, or it is the rest of a reference that the line before has begun and not ended."""
-    unended = ~F.regexp_like(F.trim(before), F.lit("।$"))
-    return before.isNotNull() & ((kind_of(line) == "rest") | unended & F.regexp_like(line, F.lit(GOES_ON)) | F.regexp_like(F.trim(before), F.lit(OPEN_END)) & kind_of(line).isin("upadafa", "khanda"))
-
-
-def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, block, kind, depth, text): a statute's lines with their continuations joined, and how deep each block is indented."""
-    lines = df.select(F.col(id_col).alias("doc"), F.posexplode(logical_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("n", "line"))
-    order = Window.partitionBy("doc").orderBy("n")
-    lines = lines.withColumn("opens", ~F.coalesce(goes_on(F.col("line"), F.lag("line").over(order)), F.lit(False)))
-    lines = lines.withColumn("block", F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
-    out = lines.groupBy("doc", "block").agg(whole.alias("text"), F.min_by("line", "n").alias("first"))
-    kind = kind_of(F.col("first"))
-    depth = F.coalesce(F.create_map(*(F.lit(x) for pair in DEPTHS.items() for x in pair))[kind], F.lit(0))
-    return out.select(F.col("doc").alias(id_col), F.col("block").cast("int").alias("block"), kind.alias("kind"), depth.alias("depth"), "text")
-
-
-def indented(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, unclear): the statute as blocks indented by two blanks a level, and how many blocks open nothing."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("text"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", line.alias("line")))), lambda x: x["line"])
-    return blocks(df, id_col, text_col).groupBy(id_col).agg(F.array_join(ordered, "\n").alias("text"), F.count_if(F.col("kind") == "rest").alias("unclear"))
-
-
 def parse_indented(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of indented statutes, as parse_statutes gives them: a block's depth says what it is where its beginning doesn't.
 
@@ -277,10 +270,19 @@ def section_splits(df: DataFrame, id_col: str, text_col: str, most: int = 1200,
 
 
 def chapters_in(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, chapter): where chapters begin in texts and what they are called."""
-    pattern = rf"(?m)^[ \t]*(परिच्छेद\s*[–-]?\s*{D}+[^\n]*)"
-    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), F.lit(1))
-    return df.select(id_col, text_col, F.explode(found).alias("chapter")).select(id_col, (F.instr(text_col, F.col("chapter")) - 1).alias("at"), F.trim("chapter").alias("chapter"))
+    """(id, at, chapter): where chapters begin in texts, from 0, and what they are called; a heading that repeats has each of its places."""
+    heading = rf"[ \t]*परिच्छेद\s*[–-]?\s*{D}+"
+    rows = df.select(F.struct(id_col).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    cut = rows.select("key", "row", F.posexplode(F.split("text", rf"(?m)^(?={heading})")).alias("n", "piece"))
+    before = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.withColumn("at", (F.sum(F.length("piece")).over(before) - F.length("piece")).cast("int")).where(F.regexp_like("piece", F.lit(f"^{heading}")))
+    return placed.select(f"key.{id_col}", "at", F.trim(F.substring_index("piece", "\n", 1)).alias("chapter"))
+
+
+def parse_laws(laws: DataFrame, id_col: str = "file", text_col: str = "text") -> DataFrame:
+    """Chunks of law texts (file, text, format), indented ones by their depth, others by their marks."""
+    indented = F.col("format") == "indented"
+    return parse_indented(laws.where(indented), id_col, text_col).unionByName(parse_statutes(laws.where(~F.coalesce(indented, F.lit(False))), id_col, text_col))
 
 
 def by_strategy(df: DataFrame, id_col: str, text_col: str, legal: Column, most: int = 1200) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, ingest
+from ..operators import chunking, continuation, ingest
 from ..sources.tables import CHUNKS_SQL, fixture_chunks, table
 from ..streaming import usage
 
@@ -27,14 +27,26 @@ SIZED = """WITH RECURSIVE flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s
 
 
 def by_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.by_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).cast("long").alias("longest"))
+    return chunking.by_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", 400).withColumn("content", F.md5("content"))
+
+
+#: A chunk holds what fits behind the one before: a recursion over each text's sentences.
+BY_SENTENCES = """WITH RECURSIVE split AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?।])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda s: trim(s, ' ')), lambda s: s != '') AS s FROM documents
+), steps AS (
+  SELECT doc_id, s, 1 AS i, 0 AS c, s[1] AS open_ FROM split WHERE len(s) > 0
+  UNION ALL SELECT doc_id, s, i + 1, CASE WHEN fits THEN c ELSE c + 1 END, CASE WHEN fits THEN open_ || ' ' || s[i + 1] ELSE s[i + 1] END FROM (SELECT *, length(open_) + 1 + length(s[i + 1]) <= 400 AS fits FROM steps WHERE i < len(s))
+) SELECT doc_id, c AS chunk_index, md5(arg_max(open_, i)) AS content FROM steps GROUP BY 1, 2"""
 
 
 def by_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut before lines that begin with The or In."""
     parts = chunking.by_markers(table(spark, sf_dir, "documents"), "doc_id", "text", r"\n(?:The|In) ")
-    return parts.groupBy("doc_id").agg(F.count("*").alias("parts"))
+    return parts.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).cast("long").alias("n"), F.md5("content").alias("content"))
+
+
+BY_MARKERS = """WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '\\n(The|In) ', chr(1) || chr(10) || '\\1 ', 'g'), chr(1)) AS p FROM documents
+), parts AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS i FROM cut), kept AS (SELECT doc_id, i, trim(raw, ' ') AS t FROM parts WHERE length(trim(raw, ' ')) > 20 OR regexp_matches(trim(raw, ' '), '^\\n(The|In) '))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(t) AS content FROM kept"""
 
 
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +55,27 @@ def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace("text", "[0-9.()]", ""), "\n").alias("lines"))
     text = F.concat(F.lit("भाग–१ परिच्छेद–"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" प्रारम्भिक"), F.array_join(F.transform("lines", dressed), ""))
     chunks = chunking.parse_statutes(docs.select("doc_id", text.alias("text")))
-    return chunks.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n"), F.max("chapter_hadamyad_dafa").alias("limit_section"), F.sum(F.size("references")).alias("n_references"))
+    return chunks.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n"), F.max("chapter_hadamyad_dafa").alias("limit_section"), F.sum(F.size("references")).alias("n_references"), F.count_distinct("chunk_id").alias("ids"), F.max(F.length("dafa_title")).cast("long").alias("title"))
+
+
+#: What statutes are made of, by their making: a section, subsection, clause and proviso for each line.
+STATUTES = """WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, t AS chunk_type, k AS n, CASE WHEN k > 2 THEN '३' END AS limit_section, CASE WHEN t = 'upadafa' THEN k ELSE 0 END::BIGINT AS n_references, k AS ids, CASE WHEN k > 2 THEN 8 ELSE 7 END::BIGINT AS title FROM n, (VALUES ('dafa'), ('upadafa'), ('khanda'), ('tar')) x(t)"""
+
+
+def continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as statutes with references cut by line ends: blocks by kind and depth, and how many lines each rule joined."""
+    line = lambda s, i: F.concat(F.lit(" । "), (i + 1).cast("string"), F.lit(". शीर्षकः "), s, F.lit(" । (१) उपदफा (२), (३) र (४) बमोजिम काम । (२) दफा २ को खण्ड (क), (ख) वा (ग) बमोजिम । (क) खण्ड, तर देहायकोः– (१) एक (२) दुई (ख) अर्को ।"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace("text", "[0-9.()]", ""), "\n").alias("lines"))
+    found = continuation.blocks(docs.select("doc_id", F.array_join(F.transform("lines", line), "").alias("text")))
+    rules = found.select("doc_id", F.explode("joined").alias("j")).groupBy("doc_id", F.col("j.rule").alias("kind")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(None).cast("int"))
+    return found.groupBy("doc_id", "kind", "depth").agg(F.count("*").alias("n")).unionByName(rules).withColumn("depth", F.col("depth").cast("long"))
+
+
+#: What the dressed lines hold, by their making: so many blocks of each kind, and so many lines joined by each rule.
+CONTINUED = """WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, kind, depth::BIGINT AS depth, k * times AS n FROM n, (VALUES ('dafa', 0, 1), ('upadafa', 1, 2), ('khanda', 2, 2), ('filled stub', NULL, 1), ('listing', NULL, 1), ('tail of a reference', NULL, 1), ('bare clause', NULL, 2),
+  ('clause in a listing', NULL, 1), ('exception in a clause', NULL, 1), ('item of a list', NULL, 2)) x(kind, depth, times) UNION ALL SELECT doc_id, 'rest', 1, 1 FROM n"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +108,10 @@ SELECT id, 'new' AS why FROM n WHERE filename NOT IN (SELECT filename FROM loade
 
 QUERIES = {
     "fixed_size_chunks": (sized, SIZED),
-    "sentence_chunks": (by_sentences, None),
-    "marker_split": (by_markers, None),
-    "statute_parser": (statutes, None),
+    "sentence_chunks": (by_sentences, BY_SENTENCES),
+    "marker_split": (by_markers, BY_MARKERS),
+    "statute_parser": (statutes, STATUTES),
+    "continued_lines": (continued, CONTINUED),
     "usage_windows": (windows, WINDOWS),
     "usage_sessions": (sessions, SESSIONS),
     "pending_chunks": (pending, PENDING),

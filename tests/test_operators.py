@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kagajflow.functions import labels, model_json
-from kagajflow.operators import analysis, assembly, calendar, chapters, chunking, evaluation, ingest, pipelines
+from kagajflow.operators import analysis, assembly, calendar, chapters, chunking, continuation, evaluation, ingest, pipelines
 from kagajflow.sources import tables
 
 
@@ -164,12 +164,15 @@ LAW = "परिच्छेद–१ सुरु\n१२. करारः (१
 
 def test_statute_shapes(spark):
     df = spark.createDataFrame([(1, LAW)], "doc_id long, text string")
-    found = [(r["kind"], r["depth"], r["text"]) for r in chunking.blocks(df).orderBy("block").collect()]
+    found = [(r["kind"], r["depth"], r["text"]) for r in continuation.blocks(df).orderBy("block").collect()]
     assert [f[:2] for f in found] == [("parichhed", 0), ("dafa", 0), ("upadafa", 1), ("upadafa", 1), ("khanda", 2), ("khanda", 2)]
     assert found[3][2] == "(२) दफा ५ को उपदफा (३) बमोजिम हुन्छ ।"
-    text = chunking.indented(df).first()
-    assert text["unclear"] == 0 and text["text"].split("\n")[2:5] == ["  (१) यो करार हो ।", "  (२) दफा ५ को उपदफा (३) बमोजिम हुन्छ ।", "    (क) पहिलो"]
-    ids = [r["chunk_id"] for r in chunking.parse_indented(chunking.indented(df).select("doc_id", "text")).orderBy("chunk_index").collect()]
+    text = continuation.indented(df).first()
+    assert [tuple(r)[2:] for r in continuation.unclear(df).collect()] == [(3 + 1, "filled stub")] and text["text"].split("\n")[2:5] == ["  (१) यो करार हो ।", "  (२) दफा ५ को उपदफा (३) बमोजिम हुन्छ ।", "    (क) पहिलो"]
+    laws = df.select(F.lit('f').alias('file'), 'text', F.lit('markers').alias('format')).union(continuation.indented(df).select(F.lit('g'), 'text', F.lit('indented')))
+    parsed = chunking.parse_laws(laws)
+    assert parsed.where("file = 'g'").count() == chunking.parse_indented(continuation.indented(df)).count() and parsed.where("file = 'f'").count() == chunking.parse_statutes(df).count()
+    ids = [r["chunk_id"] for r in chunking.parse_indented(continuation.indented(df).select("doc_id", "text")).orderBy("chunk_index").collect()]
     assert ids[:2] == ["dafa_12", "dafa_12_upadafa_1"] and ids[-1].endswith("_kha")
 
 
