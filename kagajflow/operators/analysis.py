@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import title_match
 from ..functions.text import normal_title, title_tokens, to_ascii_digits
+from .routing import gram_keys
 
 TEXTS = "array<string>"
 
@@ -110,11 +111,12 @@ def term_score(term: Column, tokens: Column) -> Column:
 def vocabulary_hints(queries: DataFrame, terms: DataFrame, most: int = 10, core: Sequence[str] = (), enough: int = 12) -> DataFrame:
     """(query_id, hints): the terms that score best for a query's tokens (query_id, tokens), shorter ones first, filled up with core terms where there are fewer than `enough`.
 
-    Terms meet queries by their words and by the query's: a term is scored if it shares a whole word with the query.
+    Terms meet queries by keys that a term shares with every token that it holds or that holds it.
     """
-    words = terms.select("term", F.explode(F.array_distinct(F.split(F.lower("term"), r"[\s,]+"))).alias("word"))
-    asked = queries.select("query_id", "tokens", F.explode(F.transform("tokens", lambda t: F.lower(t))).alias("word"))
-    pairs = asked.join(words, "word").dropDuplicates(["query_id", "term"]).withColumn("score", term_score(F.col("term"), F.col("tokens")))
+    words = lambda s: F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")  # noqa: E731  a token has no blanks
+    known = terms.select("term", F.explode(gram_keys(words(F.col("term")), False)).alias("key"))
+    asked = queries.select("query_id", "tokens", F.explode(gram_keys(F.transform("tokens", lambda t: F.lower(t)), True)).alias("key"))
+    pairs = asked.join(known, "key").dropDuplicates(["query_id", "term"]).withColumn("score", term_score(F.col("term"), F.col("tokens"))).where("score > 0")
     best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("term"), "term"))).where(F.col("n") <= most)
     picked = queries.select("query_id").join(best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("p")), "query_id", "left")
     own = F.coalesce(F.transform("p", lambda p: p["term"]), F.array().cast(TEXTS))

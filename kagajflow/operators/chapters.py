@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import title_match
 from ..functions.text import chapter_name
 from .analysis import chapter_title_score, hint_boost
-from .routing import cascade
+from .routing import cascade, title_keys
 from .search import NUDGE, batch_side, best_of, full_text, fuse_ranks, ranked
 from .sections import budget, collapse
 
@@ -46,11 +46,11 @@ def chapters_of_sections(sections: DataFrame, corpus: DataFrame) -> DataFrame:
 def chapters_by_name(queries: DataFrame, corpus: DataFrame, least: float = 0.12, most: int = 6) -> DataFrame:
     """(query_id, book_id, chapter, score): the chapters whose names fit a query's text (query_id, text) best.
 
-    There are far fewer chapters than chunks; they meet the queries by their words.
+    There are far fewer chapters than chunks; they meet the queries by keys that every two of any score share.
     """
     chapters = corpus.select("book_id", "chapter").distinct().withColumn("name", chapter_name(F.col("chapter")))
-    words = lambda s: F.explode(F.array_distinct(F.split(F.lower(s), r"[^\p{L}\p{M}\p{N}]+"))).alias("word")
-    met = batch_side(queries.select("query_id", "text", words(F.col("text")))).join(chapters.select("*", words(F.col("chapter"))), "word").where("word <> ''").drop("word").distinct()
+    known = chapters.select("*", F.explode(F.array_distinct(F.concat(title_keys(F.col("chapter"), False), title_keys(F.col("name"), False)))).alias("key"))
+    met = queries.select("query_id", "text", F.explode(title_keys(F.col("text"), True)).alias("key")).join(known, "key").drop("key").distinct()
     scored = met.withColumn("score", F.round(chapter_title_score(F.col("text"), F.col("chapter"), F.col("name")) + NUDGE, 6)).where(F.col("score") >= least)
     return ranked(scored, "score", ties=("book_id", "chapter"), most=most).select("query_id", "book_id", "chapter", "score", "rank")
 
@@ -113,8 +113,8 @@ def hinted_sections(hints: DataFrame, corpus: DataFrame, excluded: DataFrame | N
     return wanted.join(corpus.select("id", "book_id", "root"), ["book_id", "root"]).select("query_id", "id", F.lit(similarity).alias("similarity"))
 
 
-def by_phrases(phrases: DataFrame, corpus: DataFrame, floor: float = 0.90, head: int = 8) -> DataFrame:
-    """The chunks whose titles begin with a phrase (query_id, phrase), at least at the floor: joined by their first characters."""
+def by_phrases(phrases: DataFrame, corpus: DataFrame, floor: float = 0.90, head: int = 3) -> DataFrame:
+    """The chunks whose titles begin with a phrase of three characters and more (query_id, phrase), at least at the floor: joined by their first characters."""
     asked = phrases.where(F.length("phrase") >= head).select("query_id", F.lower("phrase").alias("p"), F.lower(F.substring("phrase", 1, head)).alias("head"))
     titles = corpus.select("id", F.lower("section_title").alias("t"), F.lower(F.substring("section_title", 1, head)).alias("head"))
     found = asked.join(titles, "head").where(F.col("t").startswith(F.col("p")))

@@ -21,26 +21,52 @@ def extents(markers: DataFrame, by: str, at: str, end: str) -> DataFrame:
     return markers.withColumn("until", F.coalesce(F.lead(at).over(Window.partitionBy(by).orderBy(at)), F.col(end)))
 
 
-def first_pages(sections: DataFrame, pages: DataFrame, needles: tuple[int, ...] = (24, 18, 12)) -> DataFrame:
-    """(book_id, root, page): the first page of the section's book that has the section's number and title, or only so many characters of the title, the longest first.
+#: Titles that say nothing of their section, and how long a title must be to say something.
+GENERIC, TELLING = r"^हदम्याद\s*[:ः]?$|^हदम्याद\s*[:ः]?\s*यस परिच्छेद", 14
+#: How a page mentions a section: its number behind a blank or the end of a sentence and before a full stop, blank or visarga, or behind the word for section.
+MENTIONED, NAMED = r"(?:^|[\s।|])([0-9०-९]+)(?=\s*\.|[.\sः])", r"दफा\s*([0-9०-९]+)"
 
-    Titles (book_id, root, title) meet pages (book_id, page, text) by their first characters at word starts: an equi-join on book and
-    those characters, of which each page has as many as it has words. White space counts as one blank.
+
+#: What doesn't count in a title: white space, marks, and letters that scanning confuses.
+UNCOUNTED = r"[\s।|,.:ः]+|[mनयखलउ]"
+
+
+def compact(s: Column) -> Column:
+    return F.lower(F.regexp_replace(s, UNCOUNTED, ""))
+
+
+def is_generic(title: Column) -> Column:
+    return F.regexp_like(F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(GENERIC)) | (F.length(compact(title)) < TELLING)
+
+
+def mentions(pages: DataFrame) -> DataFrame:
+    """(book_id, page, root): the numbers that each page mentions. Behind the word for section a number's first digits count as well."""
+    flat = F.regexp_replace("text", r"\s+", " ")
+    named = F.regexp_extract_all(flat, F.lit(NAMED), F.lit(1))
+    begun = F.flatten(F.transform(named, lambda n: F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.substring(n, F.lit(1), k))))
+    every = F.array_distinct(F.transform(F.concat(F.regexp_extract_all(flat, F.lit(MENTIONED), F.lit(1)), begun), to_ascii_digits))
+    return pages.select("book_id", "page", F.explode(every).alias("n")).select("book_id", "page", F.col("n").try_cast("int").alias("root")).where("root is not null").distinct()
+
+
+def first_pages(sections: DataFrame, pages: DataFrame, head: int = 16, needles: tuple[int, ...] = (24, 18, 12), least: int = 10) -> DataFrame:
+    """(book_id, root, page): the first page of the section's book that mentions the section's number and has its title's first `head` characters, else mentions the number, else has the title's first characters, as many as one finds.
+
+    sections: book_id, root, title; pages: book_id, page, text. White space and marks don't count in titles. A generic title, or a short one,
+    isn't asked for. Numbers and beginnings of titles meet pages by equi-joins; only sections whose number no page mentions are looked
+    for by title, in pages of their books alone.
     """
-    least = needles[-1]
-    flat = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
-    wanted = sections.select("book_id", "root", flat(F.col("title")).alias("title")).withColumn("head", F.substring("title", 1, least))
-    words = F.split(flat(F.col("text")), " ")
-    reach = needles[0] // 2 + 1  # as many words as may begin within
-    window = lambda w, i: F.struct(F.substring(F.array_join(F.slice("words", i + 1, F.lit(reach)), " "), 1, needles[0]).alias("here"), F.get("words", i - 1).alias("before"))
-    placed = pages.select("book_id", "page", words.alias("words")).select("book_id", "page", F.explode(F.transform("words", window)).alias("w")).select("book_id", "page", "w.*")
-    placed = placed.where("here <> ''").withColumn("head", F.substring("here", 1, least))
-    pairs = placed.join(wanted, ["book_id", "head"])
-    has = lambda n: F.col("here").startswith(F.substring("title", 1, n)) & (F.length("title") >= n)
-    numbered = F.col("before") == F.concat(F.col("root").cast("string"), F.lit("."))
-    rules = [F.min(F.when(test, F.col("page"))) for test in (numbered, *map(has, needles))]
-    found = pairs.groupBy("book_id", "root").agg(F.coalesce(*rules).alias("page"))
-    return sections.select("book_id", "root").distinct().join(found, ["book_id", "root"], "left")
+    wanted = sections.select("book_id", F.col("root").cast("int").alias("root"), compact(F.col("title")).alias("title"), is_generic(F.col("title")).alias("generic"))
+    met = mentions(pages).join(wanted, ["book_id", "root"]).join(pages.select("book_id", "page", compact(F.col("text")).alias("text")), ["book_id", "page"])
+    titled = F.col("generic") | F.contains("text", F.substring("title", 1, head))
+    by_number = met.groupBy("book_id", "root").agg(F.coalesce(F.min(F.when(titled, F.col("page"))), F.min("page")).alias("page"))
+    rest = wanted.where("not generic").where(F.length("title") >= least).join(by_number, ["book_id", "root"], "left_anti").withColumn("key", F.substring("title", 1, least))
+    some = pages.join(rest.select("book_id").distinct(), "book_id", "left_semi").select("book_id", "page", compact(F.col("text")).alias("text"))
+    here = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - least + 1)), lambda i: F.substring(F.col("text"), i, F.lit(needles[0])))
+    placed = some.select("book_id", "page", F.explode(F.array_distinct(here)).alias("here")).withColumn("key", F.substring("here", 1, least))
+    found = placed.join(rest, ["book_id", "key"])
+    stages = [F.min(F.when(F.startswith("here", F.substring("title", 1, n)), F.col("page"))) for n in needles]
+    by_title = found.groupBy("book_id", "root").agg(F.coalesce(*stages).alias("page")).where("page is not null")
+    return wanted.select("book_id", "root").distinct().join(by_number.unionByName(by_title), ["book_id", "root"], "left")
 
 
 def marker_kind(path_end: Column) -> Column:

@@ -42,7 +42,7 @@ def by_section(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return named.join(corpus.select("id", "root"), "root").select("query_id", "id", F.lit(1.0).alias("similarity"))
 
 
-def by_title(queries: DataFrame, corpus: DataFrame, least: int = 8) -> DataFrame:
+def by_title(queries: DataFrame, corpus: DataFrame, least: int = 3) -> DataFrame:
     """The chunks whose normalised title is the query's text, or begins with it (from `least` characters on): joined by their first characters."""
     asked = queries.select("query_id", F.lower(normal_title(F.col("text"))).alias("q")).where(F.length("q") >= least).withColumn("head", F.substring("q", 1, least))
     titles = corpus.select("id", F.lower(normal_title(F.col("section_title"))).alias("t")).withColumn("head", F.substring("t", 1, least))
@@ -108,22 +108,41 @@ def pin_first_section(rows: DataFrame, queries: DataFrame, corpus: DataFrame, sc
     return ranked(every.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), "similarity")
 
 
-def title_keys(s: Column) -> Column:
-    """What titles are joined by: their words and their first four characters."""
-    return F.array_append(title_tokens(s), F.concat(F.lit("^"), F.substring(normal_title(s), 1, 4)))
+GRAM = 3
+
+
+def gram_keys(words: Column, asked: bool, every: Column | None = None) -> Column:
+    """Keys that two lists of words share wherever a word of one holds a word of the other: the first GRAM characters of the one within, all runs of up to GRAM characters of the other. asked tells the two sides apart.
+
+    every: all words that may hold one, if words are only those that may be held.
+    """
+    own, other = ("<", ">") if asked else (">", "<")
+    heads = F.transform(words, lambda w: F.concat(F.lit(own), F.substring(w, 1, GRAM)))
+    runs = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(w) - i + 1)), lambda n: F.concat(F.lit(other), F.substring(w, i, n)))))
+    return F.array_distinct(F.concat(heads, F.flatten(F.transform(F.filter(words if every is None else every, lambda w: w != ""), runs))))
+
+
+def title_keys(s: Column, asked: bool) -> Column:
+    """What titles are joined by: wherever one scores in another by its words, its beginning or as a whole (not for its own length alone), the two share a key."""
+    every = F.filter(F.split(normal_title(s), r"[\s,]+"), lambda w: w != "")
+    words = F.when(F.size(title_tokens(s)) > 0, title_tokens(s)).otherwise(every)
+    return F.array_append(gram_keys(words, asked, every), F.concat(F.lit("^"), F.substring(normal_title(s), 1, 8)))
 
 
 def reconcile(names: DataFrame, taxonomy: DataFrame, least: float = 0.45) -> DataFrame:
     """Each name (query_id, name, book_id, and place where their order counts) with the title (book_id, root, title) of its book that it matches best, if well enough.
 
-    A number in the name that is the section's adds 0.3. A name is compared with the titles that share a word or the first four
-    characters with it: an equi-join on book and key.
+    A number in the name that is the section's adds 0.3. Names meet titles by keys that every two of any score share: equi-joins on
+    book and key; where a number alone would do, on book and number.
     """
     number = F.nullif(F.regexp_extract(to_ascii_digits(F.col("name")), "([0-9]+)", 1), F.lit("")).cast("int")
     names = names if "place" in names.columns else names.withColumn("place", F.lit(0))
-    asked = names.withColumn("key", F.explode(F.array_distinct(title_keys(F.col("name")))))
-    known = taxonomy.withColumn("key", F.explode(F.array_distinct(title_keys(F.col("title")))))
-    pairs = asked.join(known, ["book_id", "key"]).drop("key").dropDuplicates(["query_id", "name", "book_id", "root"])
+    asked = names.withColumn("key", F.explode(title_keys(F.col("name"), True)))
+    known = taxonomy.withColumn("key", F.explode(title_keys(F.col("title"), False)))
+    pairs = asked.join(known, ["book_id", "key"]).drop("key")
+    if least <= 0.3:
+        pairs = pairs.unionByName(names.withColumn("root", number).join(taxonomy, ["book_id", "root"]).select(pairs.columns))
+    pairs = pairs.dropDuplicates(["query_id", "name", "book_id", "root"])
     pairs = pairs.withColumn("score", F.round(title_match(F.col("name"), F.col("title")) + F.when(number == F.col("root"), 0.3).otherwise(0.0) + 1e-9, 6))
     best = pairs.where(F.col("score") >= least).groupBy("query_id", "name").agg(F.min("place").alias("place"), F.max_by(F.struct("book_id", "root", "title", "score"), F.struct("score", -F.col("root"), "title")).alias("m"))
     return best.select("query_id", "place", "name", "m.*")

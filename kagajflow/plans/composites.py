@@ -231,9 +231,9 @@ def hints_by_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HINTS_BY_VOCABULARY = """WITH asked AS (SELECT p_partkey AS query_id, list_transform(string_split(p_name, ' '), lambda w: lower(w)) AS tokens FROM part WHERE p_partkey % 100 = 0
-), terms AS (SELECT DISTINCT p_name AS term, list_filter(regexp_split_to_array(lower(p_name), '[\\s,]+'), lambda w: true) AS words FROM part
-), pairs AS (SELECT query_id, term, list_sum(list_transform(tokens, lambda t: CASE WHEN contains(term, t) OR contains(t, term) THEN 3 ELSE 0 END + CASE WHEN contains(lower(term), t) THEN 2 ELSE 0 END)) AS score FROM asked, terms WHERE list_has_any(tokens, words)
-), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(term), term) AS n FROM pairs QUALIFY n <= 5
+), terms AS (SELECT DISTINCT p_name AS term FROM part
+), pairs AS (SELECT query_id, term, list_sum(list_transform(tokens, lambda t: CASE WHEN contains(term, t) OR contains(t, term) THEN 3 ELSE 0 END + CASE WHEN contains(lower(term), t) THEN 2 ELSE 0 END)) AS score FROM asked, terms
+), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(term), term) AS n FROM pairs WHERE score > 0 QUALIFY n <= 5
 ), picked AS (SELECT query_id, list(term ORDER BY n) AS own FROM best GROUP BY 1)
 SELECT query_id, array_to_string(CASE WHEN len(own) < 5 THEN list_append(own, 'core') ELSE own END, '|') AS hints FROM picked"""
 

@@ -10,6 +10,7 @@ from ..operators import outline, routing, search
 from ..sources.tables import CHUNKS_SQL, fixture_chunks, table
 from .retrieval import SPLIT_SQL, covers_sql
 from .sections import TOP, long, near
+from .texts import title_score_sql
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +131,8 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECONCILED = f"""WITH {CHUNKS_SQL}, titles AS (SELECT book_id, id::INT AS root, trim(regexp_replace(replace(replace(substring(section_title, 1, 30), ':', ''), '।', ''), '\\s+', ' ', 'g')) AS t FROM chunks
 ), names AS (SELECT id // 300 AS query_id, id AS place, substring(section_title, 1, 14) AS name, trim(regexp_replace(replace(replace(substring(section_title, 1, 14), ':', ''), '।', ''), '\\s+', ' ', 'g')) AS q, book_id FROM chunks WHERE id % 100 = 0
-), keyed AS (SELECT *, list_append(list_filter(regexp_split_to_array(q, '[\\s,]+'), lambda w: length(w) > 1), '^' || substring(q, 1, 4)) AS keys FROM names
-), heads AS (SELECT *, list_append(list_filter(regexp_split_to_array(t, '[\\s,]+'), lambda w: length(w) > 1), '^' || substring(t, 1, 4)) AS keys FROM titles
-), pairs AS (SELECT n.*, h.root, h.t, least(length(q), length(t)) AS short, greatest(length(q), length(t)) AS long, n.keys[1:-2] AS qw, h.keys[1:-2] AS tw FROM keyed n JOIN heads h ON n.book_id = h.book_id AND list_has_any(n.keys, h.keys)
-), counted AS (SELECT *, coalesce(list_max(list_filter(range(0, short + 1), lambda n: substring(q, 1, n) = substring(t, 1, n))), 0) AS shared, len(list_filter(qw, lambda w: len(list_filter(tw, lambda x: contains(x, w) OR contains(w, x))) > 0)) AS matched FROM pairs
-), graded AS (SELECT *, CASE WHEN q = '' OR t = '' THEN 0 WHEN contains(t, q) OR contains(q, t) THEN 0.75 + short / long * 0.25 WHEN shared >= least(8, short) THEN 0.55 + shared / short * 0.35 ELSE 0 END AS overlap FROM counted
-), scored AS (SELECT *, round(CASE WHEN len(qw) = 0 THEN overlap ELSE greatest(overlap, matched / greatest(len(qw), 1) * 0.92 + CASE WHEN len(qw) >= 4 THEN 0.05 ELSE 0 END) END::DOUBLE + CASE WHEN nullif(regexp_extract(name, '([0-9]+)', 1), '')::INT = root THEN 0.3::DOUBLE ELSE 0 END + 1e-9::DOUBLE, 6) AS score FROM graded
+), pairs AS (SELECT n.*, h.root, h.t FROM names n JOIN titles h ON n.book_id = h.book_id), {title_score_sql("pairs", "matched")}, scored AS (
+  SELECT * REPLACE (round(score + CASE WHEN nullif(regexp_extract(name, '([0-9]+)', 1), '')::INT = root THEN 0.3::DOUBLE ELSE 0 END + 1e-9::DOUBLE, 6) AS score) FROM matched
 ), best AS (SELECT * FROM scored WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC, root, t DESC) = 1
 ), books AS (SELECT query_id, book_id, count(*) AS n, min(place) AS seen FROM best GROUP BY 1, 2), usual AS (SELECT query_id, book_id FROM books QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, seen) = 1)
 SELECT query_id, min(score) AS confidence, any_value(u.book_id) AS inferred_book, array_to_string(list_sort(list(DISTINCT root)), ',') AS roots FROM best JOIN usual u USING (query_id) GROUP BY 1"""
@@ -163,19 +160,22 @@ EXTENTS = """WITH marks AS (SELECT DISTINCT l_orderkey, l_linenumber * 10 AS at_
 
 
 def page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of their source's book, each one's title as a section to find."""
+    """Documents as pages of their source's book, and their titles, some short, as sections to find."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page"), "text")
-    sections = docs.select("book_id", F.col("page").alias("root"), F.substring("text", 1, 40).alias("title"))
+    title = F.when(F.col("page") % 5 == 0, F.substring("text", 1, 9)).otherwise(F.substring("text", 1, 40))
+    sections = docs.select("book_id", (F.col("page") % 97).cast("int").alias("root"), title.alias("title")).groupBy("book_id", "root").agg(F.min("title").alias("title"))
     return outline.first_pages(sections, docs)
 
 
-PAGE_MAP = """WITH pages AS (SELECT source AS book_id, doc_id AS page, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, trim(regexp_replace(substring(text, 1, 40), '\\s+', ' ', 'g')) AS title FROM documents
-), placed AS (SELECT book_id, page, flat, unnest(list_filter(range(1, length(flat) + 1), lambda i: i = 1 OR substring(flat, i - 1, 1) = ' ')) AS at_ FROM pages
-), heads AS (SELECT book_id, page, substring(flat, at_, 24) AS here, substring(flat, at_, 12) AS head, ' ' || substring(flat, greatest(1, at_ - 12), least(12, at_ - 1)) AS before FROM placed
-), pairs AS (SELECT p.book_id, p.page AS root, h.page, h.here, h.before, p.title FROM pages p JOIN heads h ON p.book_id = h.book_id AND substring(p.title, 1, 12) = h.head
-), found AS (SELECT book_id, root, coalesce(min(page) FILTER (ends_with(before, ' ' || root || '. ')), min(page) FILTER (starts_with(here, substring(title, 1, 24)) AND length(title) >= 24),
-  min(page) FILTER (starts_with(here, substring(title, 1, 18)) AND length(title) >= 18), min(page) FILTER (length(title) >= 12)) AS page FROM pairs GROUP BY 1, 2)
-SELECT p.book_id, p.page AS root, f.page FROM pages p LEFT JOIN found f ON f.book_id = p.book_id AND f.root = p.page"""
+_FLAT = "lower(regexp_replace({0}, '[\\s।|,.:ः]+|[mनयखलउ]', '', 'g'))"
+#: All sections against all pages of their books.
+PAGE_MAP = f"""WITH pages AS (SELECT source AS book_id, doc_id AS page, {_FLAT.format("text")} AS flat, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM documents
+), sections AS (SELECT source AS book_id, (doc_id % 97)::INT AS root, substring(text, 1, CASE WHEN doc_id % 5 = 0 THEN 9 ELSE 40 END) AS raw, doc_id FROM documents
+), wanted AS (SELECT book_id, root, {_FLAT.format("raw")} AS t, length({_FLAT.format("raw")}) < 14 AS generic FROM (SELECT book_id, root, min(raw) AS raw FROM sections GROUP BY 1, 2)
+), pairs AS (SELECT w.*, page, flat, regexp_matches(text, '(?:^|[ ।|])' || root || '(?:\\s*\\.|[.\\sः])|दफा\\s*' || root) AS named FROM wanted w JOIN pages p USING (book_id)
+), found AS (SELECT book_id, root, coalesce(min(page) FILTER (named AND (generic OR contains(flat, substring(t, 1, 16)))), min(page) FILTER (named), min(page) FILTER (NOT generic AND contains(flat, substring(t, 1, 24))),
+  min(page) FILTER (NOT generic AND contains(flat, substring(t, 1, 18))), min(page) FILTER (NOT generic AND contains(flat, substring(t, 1, 12)))) AS page FROM pairs GROUP BY 1, 2)
+SELECT * FROM found"""
 
 TERMS = ("estion", "thion", "erst", "que")
 
