@@ -15,6 +15,30 @@ JOINED = ("दिन भित्र",)
 ENDING = "पर्नेछ"
 
 
+#: Latin words of a reference, and what they are called.
+REFERENCE_WORDS = {"dafa": "दफा", "section": "दफा", "sec": "दफा", "upadafa": "उपदफा", "parichhed": "परिच्छेद", "bhag": "भाग", "ko": "को", "ma": "मा", "khanda": "खण्ड", "ka": "क", "kha": "ख", "ga": "ग"}
+
+
+def reference_words(text: Column, words: Mapping[str, str] = REFERENCE_WORDS) -> Column:
+    """A query with the Latin words of references, whatever their case, in Devanagari; all else as it is."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+"), F.lit(0))
+    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(known[F.lower(p)], p)), "")
+
+
+def with_devanagari_numbers(content: Column) -> Column:
+    """A chunk whose head (its first line) has the numbers of chapters, sections and pages in Devanagari digits, and its body the number that it begins with."""
+    head, rest = F.substring_index(content, "\n", 1), F.when(F.contains(content, F.lit("\n")), F.substring(content, F.instr(content, "\n") + 1, F.length(content)))
+    number = r"[0-9०-९]+"
+    pieces = F.regexp_extract_all(head, F.lit(rf"परिच्छेद\s*{number}|दफा\s+{number}(?:\.{number})?|p\.{number}|[\s\S]"), F.lit(0))
+    marked = lambda p: F.regexp_like(p, F.lit(r"^(?:परिच्छेद|दफा|p\.)"))
+    told = lambda p: F.translate(F.regexp_replace(p, r"^(परिच्छेद|दफा)\s*", "$1 "), "0123456789", "०१२३४५६७८९")
+    first = F.array_join(F.transform(pieces, lambda p: F.when(marked(p), told(p)).otherwise(p)), "")
+    begun = F.regexp_extract(rest, rf"^({number}(?:\.{number})?)\.", 1)
+    body = F.concat(F.translate(begun, "0123456789", "०१२३४५६७८९"), F.substring(rest, F.length(begun) + 1, F.length(rest)))
+    return F.when(rest.isNull(), first).otherwise(F.concat_ws("\n", first, F.when(begun != "", body).otherwise(rest)))
+
+
 def longest_first(table: Mapping[str, str]) -> str:
     """A pattern that matches the longest entry which begins at a word, its blanks any white space."""
     entries = sorted(table, key=lambda k: (-len(k), k))

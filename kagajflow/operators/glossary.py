@@ -108,8 +108,12 @@ def letter_counts(entries: DataFrame) -> DataFrame:
     return entries.where("trim(meaning) <> ''").groupBy(index_letter(F.col("term")).alias("letter")).agg(F.count("*").alias("n"))
 
 
-def browse(entries: DataFrame, letter: str | None, page: int, limit: int) -> DataFrame:
-    """One page of the entries with a meaning, in term order; a page beyond the last is the last."""
+#: The order of terms: ICU's for Nepali, in which conjuncts stand with their first letter.
+COLLATION = "ne"
+
+
+def browse(entries: DataFrame, letter: str | None, page: int, limit: int, collation: str = COLLATION) -> DataFrame:
+    """One page of the entries with a meaning, in the order of a language; of equal terms in that order by their characters. A page beyond the last is the last."""
     limit = min(max(limit, 1), 100)
     kept = entries.where("trim(meaning) <> ''")
     if letter is not None:
@@ -117,7 +121,7 @@ def browse(entries: DataFrame, letter: str | None, page: int, limit: int) -> Dat
     total = kept.count()
     pages = max(1, -(-total // limit))
     page = min(max(page, 1), pages)
-    return kept.orderBy("term", "roman").offset((page - 1) * limit).limit(limit).select("term", "roman", "english", "meaning", F.lit(page).alias("page"), F.lit(pages).alias("pages"), F.lit(total).alias("total"))
+    return kept.orderBy(F.collate("term", collation), "term", "roman").offset((page - 1) * limit).limit(limit).select("term", "roman", "english", "meaning", F.lit(page).alias("page"), F.lit(pages).alias("pages"), F.lit(total).alias("total"))
 
 
 def distinct_terms(sources: list[DataFrame]) -> DataFrame:

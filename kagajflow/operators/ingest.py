@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import DIGITS
 
@@ -31,6 +35,64 @@ def load(chunks: DataFrame, path: str, partition: str = "book_id") -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def adapted(chunks: DataFrame, target: StructType) -> tuple[DataFrame, list[str], list[str]]:
+    """chunks with the target's columns, cast to its types and null where chunks have none, and the names of the columns that are dropped and of those that are added."""
+    known = {f.name: f.dataType for f in target.fields}
+    columns = [(F.col(f"`{name}`") if name in chunks.columns else F.lit(None)).cast(kind).alias(name) for name, kind in known.items()]
+    return chunks.select(columns), [c for c in chunks.columns if c not in known], [c for c in known if c not in chunks.columns]
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """What a load did: how often it was tried, and which columns the table doesn't have or lacked."""
+
+    tries: int
+    dropped: tuple[str, ...] = ()
+    added: tuple[str, ...] = ()
+    widened: tuple[str, ...] = ()
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that batches were loaded into; columns that a batch lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("load_batch")
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return loaded(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def load_batch(chunks: DataFrame, path: str, batch: str, widen: bool = False, tries: int = 5, wait: float = 2.0, most: float = 30.0, write: Callable[[DataFrame, str], None] | None = None) -> Loaded:
+    """Adds a batch of chunks to a table, whose schema decides: unknown columns go, missing ones are null; with `widen` unknown columns are added to the table.
+
+    The batch's name makes a repeat harmless: its rows replace those of an earlier try. A failed try is repeated after a pause that doubles
+    from `wait` seconds up to `most`; the schema is read anew each time, so columns that the table has got meanwhile count.
+    """
+    spark = chunks.sparkSession
+    for n in range(1, tries + 1):
+        try:
+            table = existing(spark, path)
+            rows, dropped, added = (chunks, [], []) if table is None else adapted(chunks, table.schema)
+            widened = dropped if widen else []
+            if widened:
+                rows, dropped, _ = adapted(chunks, StructType([*table.schema.fields, *(chunks.schema[c] for c in widened)]))
+            named = rows.withColumn("load_batch", F.lit(batch))
+            if write is None:
+                named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_batch").parquet(path)
+            else:
+                write(named, path)
+            return Loaded(n, tuple(dropped), tuple(added), tuple(widened))
+        except Exception:
+            if n == tries:
+                raise
+            time.sleep(min(most, wait * 2 ** (n - 1)))
+    raise ValueError("a load needs one try at least")
+
+
 def wipe(spark: SparkSession, path: str) -> None:
     """Empties a table, keeping its columns."""
     table = spark.read.parquet(path)

@@ -154,3 +154,38 @@ def agreed(reconciled: DataFrame) -> DataFrame:
     usual = books.groupBy("query_id").agg(F.min_by("book_id", F.struct(-F.col("n"), "seen")).alias("inferred_book"))
     found = reconciled.groupBy("query_id").agg(F.min("score").alias("confidence"), F.array_sort(F.collect_set("root")).alias("roots"))
     return found.join(usual, "query_id")
+
+
+def reconciled_hints(names: DataFrame, guesses: DataFrame, claims: DataFrame, taxonomy: DataFrame, least: float = 0.45, most: int = 3) -> DataFrame:
+    """(query_id, book_id, roots, confidence, dropped): what a query's names, guessed numbers and claimed book agree on.
+
+    names: query_id, place, name (the first `most` count); guesses: query_id, place, root; claims: query_id, book_id (null: none); taxonomy:
+    book_id, root, title. A name is the title of the claimed book that it matches best, if well enough, else of any book. The book is
+    the one most names are found in, of equally many the one named first; without any the claimed one. The sections are those of the
+    names found in that book, else the guessed ones that the book has, at most so many, each once. confidence is the least match of the
+    names found, 0 without any; dropped are the guessed sections that didn't stay.
+    """
+    number = F.nullif(F.regexp_extract(to_ascii_digits(F.col("name")), "([0-9]+)", 1), F.lit("")).cast("int")
+    asked = names.where(F.col("place") <= most).join(claims.select("query_id", F.col("book_id").alias("claimed")), "query_id", "left")
+    keyed = asked.withColumn("key", F.explode(title_keys(F.col("name"), True)))
+    met = keyed.join(taxonomy.withColumn("key", F.explode(title_keys(F.col("title"), False))), "key").drop("key").dropDuplicates(["query_id", "place", "book_id", "root"])
+    met = met.withColumn("score", F.round(title_match(F.col("name"), F.col("title")) + F.when(number == F.col("root"), 0.3).otherwise(0.0) + 1e-9, 6)).where(F.col("score") >= least)
+    best = F.row_number().over(Window.partitionBy("query_id", "place").orderBy(F.desc(F.coalesce((F.col("book_id") == F.col("claimed")).cast("int"), F.lit(0))), F.desc("score"), "book_id", "root"))
+    found = met.withColumn("_n", best).where("_n = 1").select("query_id", "place", "book_id", "root", "score")
+    books = found.groupBy("query_id", "book_id").agg(F.count("*").alias("n"), F.min("place").alias("seen"))
+    inferred = books.groupBy("query_id").agg(F.min_by("book_id", F.struct(-F.col("n"), "seen")).alias("inferred"))
+    queries = names.select("query_id").unionByName(guesses.select("query_id")).unionByName(claims.select("query_id")).distinct()
+    book = queries.join(inferred, "query_id", "left").join(claims.select("query_id", F.col("book_id").alias("claimed")), "query_id", "left").select("query_id", F.coalesce("inferred", "claimed").alias("book_id"))
+
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda x: x["root"]))
+        return rows.groupBy("query_id").agg(F.slice(ordered, 1, most).alias(name))
+
+    named = first(found.join(book, ["query_id", "book_id"], "left_semi"), "named")
+    owned = guesses.join(book, "query_id").join(taxonomy.select("book_id", "root").distinct(), ["book_id", "root"], "left_semi")
+    every = guesses.groupBy("query_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda x: x["root"])).alias("every"))
+    sure = found.groupBy("query_id").agg(F.min("score").alias("confidence"))
+    none = F.array().cast("array<int>")
+    out = book.join(named, "query_id", "left").join(first(owned, "owned"), "query_id", "left").join(every, "query_id", "left").join(sure, "query_id", "left")
+    out = out.withColumn("roots", F.coalesce("named", "owned", none))
+    return out.select("query_id", "book_id", "roots", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.array_except(F.coalesce("every", none), "roots").alias("dropped"))

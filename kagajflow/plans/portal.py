@@ -60,12 +60,20 @@ LETTERS = f"""WITH {ENTRIES_SQL} SELECT substring(trim(term), 1, 1) AS letter, c
 
 
 def browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page far beyond the last: the last page."""
-    return glossary.browse(entries(spark, sf_dir)["suppliers"], "S", 1000, 30).select("term", F.col("page").cast("long").alias("page"), F.col("pages").cast("long").alias("pages"), F.col("total").cast("long").alias("total"))
-
-
-BROWSE = """WITH named AS (SELECT s_name AS term, row_number() OVER (ORDER BY s_name) - 1 AS i, count(*) OVER () AS total FROM supplier WHERE starts_with(s_name, 'S')), paged AS (SELECT *, (total + 29) // 30 AS pages FROM named)
-SELECT term, pages AS page, pages, total FROM paged WHERE i >= (pages - 1) * 30"""
+    """The names of parts and suppliers in Devanagari letters with signs and conjuncts, as one glossary: its last page but one for every letter, and a page far beyond the last."""
+    every = [e.select("term", "roman", "english", "meaning") for e in entries(spark, sf_dir).values()]
+    every = every[0].unionByName(every[1]).withColumn("term", F.concat(F.lit("क"), F.translate(F.lower("term"), LATIN, SIGNS))).distinct()
+    columns = ["term", *(F.col(c).cast("long").alias(c) for c in ("page", "pages", "total"))]
+    return glossary.browse(every, None, 1000, 30).select(columns).unionByName(glossary.browse(every, "क", 3, 30).select(columns))
+
+
+#: Letters, vowel signs and the sign that makes conjuncts, for Latin letters.
+LATIN, SIGNS = "abcdefghijklmnopqrstuvwxyz#", "ाबचद्फगहिजकलमनंपखरसतुवथषयझट"
+BROWSE = f"""WITH {{ENTRIES_SQL}}, named AS (SELECT DISTINCT 'क' || translate(lower(term), '{LATIN}', '{SIGNS}') AS term, roman, english, meaning FROM entries WHERE trim(meaning) != ''
+), placed AS (SELECT term, row_number() OVER (ORDER BY term COLLATE ne, term, roman) - 1 AS i, count(*) OVER () AS total FROM named
+), letters AS (SELECT term, row_number() OVER (ORDER BY term COLLATE ne, term, roman) - 1 AS i, count(*) OVER () AS total FROM named WHERE NOT starts_with(term, 'क्ष')
+), paged AS (SELECT *, (total + 29) // 30 AS pages FROM placed), first_letter AS (SELECT *, (total + 29) // 30 AS pages FROM letters)
+SELECT term, pages AS page, pages, total FROM paged WHERE i >= (pages - 1) * 30 UNION ALL SELECT term, least(3, pages), pages, total FROM first_letter WHERE i // 30 + 1 = least(3, pages)""".format(ENTRIES_SQL=ENTRIES_SQL)
 
 
 def term_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,11 @@ def legal_chunks(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     return chunks.join(vectors, "id", "left")
 
 
+def chunks_of(chunks: DataFrame, documents: DataFrame, rules: Sequence[str], key: str = "filename") -> DataFrame:
+    """The chunks of documents (key, rule, ...) that one of the rules has loaded, with the documents' fields: the filter reaches the documents' scan, chunks of no such document go."""
+    return chunks.join(documents.where(F.col("rule").isin(list(rules))), key)
+
+
 def fixture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal_chunks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
