@@ -34,7 +34,7 @@ def router(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUTER = f"""WITH {CHUNKS_SQL}, {ASKED_SQL}, named AS (SELECT query_id, nullif(regexp_extract(text, 'section ([0-9]+)', 1), '')::INT AS root FROM asked
 ), s1 AS (SELECT query_id, id, 1.0::DOUBLE AS similarity FROM named JOIN chunks USING (root)
 ), titles AS (SELECT id, lower(trim(regexp_replace(section_title, '\\s+', ' ', 'g'))) AS t FROM chunks), heads AS (SELECT query_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM asked
-), s2 AS (SELECT query_id, id, round(0.9::DOUBLE + 0.1::DOUBLE * length(q) / length(t), 6) AS similarity FROM heads JOIN titles ON starts_with(replace(replace(t, ':', ''), '।', ''), replace(replace(q, ':', ''), '।', '')) WHERE length(q) >= 8
+), s2 AS (SELECT query_id, id, round(0.9::DOUBLE + 0.1::DOUBLE * length(q) / length(t), 6) AS similarity FROM heads JOIN titles ON starts_with(replace(replace(t, ':', ''), '।', ''), replace(replace(q, ':', ''), '।', '')) WHERE length(q) >= 3
 ), split AS (SELECT query_id, {SPLIT_SQL.format("text")} AS w FROM asked
 ), terms AS (SELECT query_id, unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:2]) AS term FROM split
 ), words AS (SELECT id, unnest({SPLIT_SQL.format("content")}) AS term, generate_subscripts({SPLIT_SQL.format("content")}, 1) AS pos FROM chunks
