@@ -66,7 +66,7 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def load_batch(chunks: DataFrame, path: str, batch: str, widen: bool = False, tries: int = 5, wait: float = 2.0, most: float = 30.0, write: Callable[[DataFrame, str], None] | None = None) -> Loaded:
+def load_batch(chunks: DataFrame, path: str, batch: str, widen: bool = False, tries: int = 5, wait: float = 2.0, most: float = 30.0, write: Callable[[DataFrame, str], None] | None = None, pause: Callable[[float], None] = time.sleep) -> Loaded:
     """Adds a batch of chunks to a table, whose schema decides: unknown columns go, missing ones are null; with `widen` unknown columns are added to the table.
 
     The batch's name makes a repeat harmless: its rows replace those of an earlier try. A failed try is repeated after a pause that doubles
@@ -89,7 +89,7 @@ def load_batch(chunks: DataFrame, path: str, batch: str, widen: bool = False, tr
         except Exception:
             if n == tries:
                 raise
-            time.sleep(min(most, wait * 2 ** (n - 1)))
+            pause(min(most, wait * 2 ** (n - 1)))
     raise ValueError("a load needs one try at least")
 
 

@@ -61,8 +61,9 @@ def first_pages(sections: DataFrame, pages: DataFrame, head: int = 16, needles:
     by_number = met.groupBy("book_id", "root").agg(F.coalesce(F.min(F.when(titled, F.col("page"))), F.min("page")).alias("page"))
     rest = wanted.where("not generic").where(F.length("title") >= least).join(by_number, ["book_id", "root"], "left_anti").withColumn("key", F.substring("title", 1, least))
     some = pages.join(rest.select("book_id").distinct(), "book_id", "left_semi").select("book_id", "page", compact(F.col("text")).alias("text"))
-    here = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - least + 1)), lambda i: F.substring(F.col("text"), i, F.lit(needles[0])))
-    placed = some.select("book_id", "page", F.explode(F.array_distinct(here)).alias("here")).withColumn("key", F.substring("here", 1, least))
+    some = some.select("book_id", "page", F.split("text", "").alias("letters"))
+    here = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("letters") - least + 1)), lambda i: F.array_join(F.slice("letters", i, F.lit(needles[0])), ""))
+    placed = some.select("book_id", "page", F.explode(here).alias("here")).withColumn("key", F.substring("here", 1, least))
     found = placed.join(rest, ["book_id", "key"])
     stages = [F.min(F.when(F.startswith("here", F.substring("title", 1, n)), F.col("page"))) for n in needles]
     by_title = found.groupBy("book_id", "root").agg(F.coalesce(*stages).alias("page")).where("page is not null")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, display, documents, finance, portal, retrieval, routes, searches, sections, texts
+from . import composites, details, display, documents, finance, portal, retrieval, routes, searches, sections, texts
 
-MODULES = (retrieval, sections, routes, composites, display, searches, finance, portal, texts, documents)
+MODULES = (retrieval, sections, routes, composites, display, searches, details, finance, portal, texts, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
