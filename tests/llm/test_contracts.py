@@ -180,61 +180,81 @@ def plain_grams(text):
     return [((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)]
 
 
-def test_fusion_like_brute_force(spark):
-    """Counts, priors and likelihoods in plain Python, over hosts, domains, suffixes, declared languages and rows without evidence."""
+def plain_languages(rows, labelled):
+    """Language, confidence and acceptance of rows (id, text, declared, suffix, host, domain) in plain Python; labelled: (text, label, held out)."""
     from math import exp, log
 
-    rng = random.Random(8)
-    vocabulary = {"en": "the house and other words with this".split(), "de": "das haus und andere worte mit diesem".split(), "fr": "la maison et les autres mots avec".split()}
-    rows = []
-    for i in range(150):
-        lang = rng.choice(list(vocabulary))
-        text = " ".join(rng.choices(vocabulary[rng.choice([lang] * 9 + list(vocabulary))], k=rng.choice([0, 1, 2, 8, 40])))
-        host = rng.choice([None, f"{lang}.a.org", "x.a.org", "b.net"])
-        rows.append((i, text, rng.choice([None, lang, "zz"]), rng.choice([None, lang, "org"]), host, host and ".".join(host.split(".")[-2:])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, domain string")
-    labelled = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60)), lang) for i, (lang, words) in enumerate((x for x in vocabulary.items() for _ in range(24)))], "doc_id long, text string, lang string")
-    found = {r["doc_id"]: r for r in op3_language.identify(docs, op3_language.fit(labelled)).collect()}
-
-    names = sorted(vocabulary)
+    names = sorted(k for k, n in Counter(label for _, label, _ in labelled).items() if n >= 20)
     counts, kept_out = {k: Counter() for k in names}, {k: [] for k in names}
-    for r in labelled.select("*", op3_language.held_out(labelled["doc_id"]).alias("held")).collect():
-        if r["held"]:
-            kept_out[r["lang"]].append(plain_grams(r["text"]))
-        else:
-            counts[r["lang"]].update(set(plain_grams(r["text"])))
+    for text, label, held in labelled:
+        if label in names and len(text.encode()) >= 3:
+            if held:
+                kept_out[label].append(plain_grams(text))
+            else:
+                counts[label].update(set(plain_grams(text)))
     whole = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
-    weight = lambda k, g: log((counts[k][g] + 0.5) / whole[k])
-    usual, far = {}, {}
-    for k in names:
-        assert len(kept_out[k]) >= 5
-        means = [(len(g), sum(weight(k, x) for x in g) / len(g)) for g in kept_out[k]]
-        usual[k] = np.percentile([m for _, m in means], 50)
-        far[k] = np.percentile([(usual[k] - m) * n / (n + 20) for n, m in means], 98) + 1.25
-    logs = {i: [sum(weight(k, g) for g in plain_grams(text)) / 3 for k in names] for i, text, *_ in rows}
-    letters = {i: any(c.isalpha() for c in text) for i, text, *_ in rows}
-    vote = {i: logs[i].index(max(logs[i])) if letters[i] else None for i in logs}
-    total = Counter(v for v in vote.values() if v is not None)
-    base = [(total[k] + 1) / (sum(total.values()) + 3) for k in range(3)]
+    weights = [{g: log((n + 0.5) / whole[k]) for g, n in counts[k].items()} for k in names]
+    unseen = [log(0.5 / whole[k]) for k in names]
+    total = lambda k, grams: sum(weights[k].get(g, unseen[k]) for g in grams)
+    usual, far = [], []
+    for k, name in enumerate(names):
+        means = [(len(g), total(k, g) / len(g)) for g in kept_out[name]]
+        assert len(means) >= 5
+        usual.append(np.percentile([m for _, m in means], 50))
+        far.append(np.percentile([(usual[k] - m) * n / (n + 20) for n, m in means], 98) + 1.25)
+    logs, vote, size = {}, {}, {}
+    for i, text, *_ in rows:
+        grams = plain_grams(text or "")
+        size[i] = min(len(grams), 3000)
+        logs[i] = [total(k, grams) * size[i] / max(len(grams), 1) / 3 for k in range(len(names))]
+        vote[i] = logs[i].index(max(logs[i])) if any(c.isalpha() for c in text or "") else None
+    votes = Counter(v for v in vote.values() if v is not None)
+    base = [(votes[k] + 1) / (sum(votes.values()) + len(names)) for k in range(len(names))]
+    by = {c: {} for c in (2, 3, 4, 5)}
+    for row in rows:
+        for c in by:
+            if row[c] is not None and vote[row[0]] is not None:
+                by[c].setdefault(row[c], Counter())[vote[row[0]]] += 1
 
     def given(row, column, prior):
-        same = Counter(vote[r[0]] for r in rows if r[column] is not None and r[column] == row[column] and r[0] != row[0] and vote[r[0]] is not None)
-        smooth = [same[k] + 4 * prior[k] for k in range(3)]
+        same = by[column].get(row[column], {}) if row[column] is not None else {}
+        smooth = [max(0, same.get(k, 0) - (vote[row[0]] == k)) + 4 * prior[k] for k in range(len(names))]
         return [x / sum(smooth) for x in smooth]
 
+    out = {}
     for row in rows:
+        i = row[0]
+        if vote[i] is None:
+            out[i] = ("und", 0.0, False)
+            continue
         host = given(row, 4, given(row, 5, base))
-        fused = [a + log(p) for a, p in zip(logs[row[0]], host, strict=True)]
+        fused = [a + log(p) for a, p in zip(logs[i], host, strict=True)]
         for column in (2, 3):
             fused = [f + log(p / q) for f, p, q in zip(fused, given(row, column, base), base, strict=True)]
-        k, n, r = fused.index(max(fused)), len(plain_grams(row[1])), found[row[0]]
+        k = fused.index(max(fused))
         confidence = 1 / sum(exp(f - max(fused)) for f in fused)
-        sure = usual[names[k]] * n - 3 * logs[row[0]][k] <= far[names[k]] * (n + 20) and confidence >= 0.5
-        want = (names[k], confidence, sure) if letters[row[0]] else ("und", 0.0, False)
-        if letters[row[0]] and row[2] == "zz":  # a label that nothing is fitted for
-            want = want if sure else ("zz", 0.0, True)
-            want = (*want[:2], True)
-        assert (r["lang"], r["accepted"]) == (want[0], want[2]) and abs(r["confidence"] - want[1]) < 1e-6
+        sure = usual[k] * size[i] - 3 * logs[i][k] <= far[k] * (size[i] + 20) and confidence >= 0.5
+        other = row[2] is not None and row[2] not in names  # a label that nothing is fitted for
+        out[i] = (row[2], 0.0, True) if other and not sure else (names[k], confidence, sure)
+    return out
+
+
+def test_fusion_like_brute_force(spark):
+    """Counts, priors and likelihoods over hosts, domains, suffixes, declared languages and rows without evidence."""
+    rng = random.Random(8)
+    vocabulary = {"en": "the house and other words with this".split(), "de": "das haus und andere worte mit diesem".split(), "fr": "la maison et les autres mots avec".split()}
+    rows = []
+    for i in range(150):
+        lang = rng.choice(list(vocabulary))
+        text = " ".join(rng.choices(vocabulary[rng.choice([lang] * 9 + list(vocabulary))], k=rng.choice([0, 1, 2, 8, 40])))
+        host = rng.choice([None, f"{lang}.a.org", "x.a.org", "b.net"])
+        rows.append((i, text, rng.choice([None, lang, "zz"]), rng.choice([None, lang, "org"]), host, host and ".".join(host.split(".")[-2:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, domain string")
+    labelled = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60)), lang) for i, (lang, words) in enumerate((x for x in vocabulary.items() for _ in range(24)))], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in op3_language.identify(docs, op3_language.fit(labelled)).collect()}
+    want = plain_languages(rows, [(r["text"], r["lang"], r["held"]) for r in labelled.select("*", op3_language.held_out(labelled["doc_id"]).alias("held")).collect()])
+    for i, (lang, confidence, accepted) in want.items():
+        assert (found[i]["lang"], found[i]["accepted"]) == (lang, accepted) and abs(found[i]["confidence"] - confidence) < 1e-6
 
 
 def test_unlabelled_languages_and_noise_are_rejected(spark):
@@ -596,9 +616,10 @@ def test_first_occurrences_are_streamed_in_order(spark, data):
 def test_stages_like_brute_force(spark, data, library):
     stages = dict(corpus_pipeline.STAGES)
     docs = common.table(spark, data, "documents")
-    judged = {r["doc_id"] for r in op3_language.of_documents(docs, op3_language.fit(docs)).where("accepted").collect()}
+    told = docs.select("*", op3_language.held_out(docs["doc_id"]).alias("held")).collect()
+    judged = plain_languages([(r["doc_id"], r["text"], r["lang"], None, r["source"], r["source"]) for r in told], [(r["text"], r["lang"], r["held"]) for r in told if r["text"] is not None and r["lang"] is not None])
     kept = stages["language_id"](spark, docs, data)
-    assert {r["doc_id"] for r in kept.collect()} == judged
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, _, accepted) in judged.items() if accepted}
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     holders = {}
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
@@ -613,7 +634,9 @@ def test_stages_like_brute_force(spark, data, library):
     lengths = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
     assert {i: sum(r["length"] for r in packed if r["doc_id"] == i) for i in rows} == lengths
     clean = {r["doc_id"] for r in stages["decontamination"](spark, docs, data).collect()}
-    assert clean == {r["doc_id"] for r in run(spark, data, 6) if not r["contaminated"]}
+    patterns = [op6_decontamination.words_of(r["text"] or "").split() for r in common.table(spark, data, "benchmark").collect()]
+    holds = lambda words, p: bool(p) and op6_decontamination.least_distance(p, words) <= (int(0.2 * len(p)) if len(p) >= 5 else 0)  # noqa: E731  every item against every text
+    assert clean == {i for i, t in rows.items() if not any(holds(op6_decontamination.words_of(t).split(), p) for p in patterns)}
 
 
 # 7 and 9
