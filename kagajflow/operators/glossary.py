@@ -27,6 +27,12 @@ def in_order(query: Column) -> Column:
     return F.array_join(F.transform(characters, lambda ch: F.concat(F.lit("[^"), escaped(ch), F.lit("]*+"), escaped(ch))), "")
 
 
+def letters_of(s: Column) -> Column:
+    """The characters of a text as bits of a number: what a text holds in any order has no bit that the text lacks."""
+    bits = F.transform(F.split(F.coalesce(s, F.lit("")), ""), lambda ch: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(ch) + F.length(F.hex(ch)), F.lit(63))))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
 def field_score(field: Column, query: Column, subsequence: bool = True, pattern: Column | None = None) -> Column:
     """100 equal, 90 begins with; then of the field's words, in order, 95 equal or 85 begins with; 70 within; 45 in order, from 3 characters (by in_order's pattern, if that is at hand)."""
     words = F.filter(F.split(field, r"[/\s,]+"), lambda w: w.startswith(query))
@@ -40,7 +46,8 @@ def field_score(field: Column, query: Column, subsequence: bool = True, pattern:
 def prepared(queries: DataFrame) -> DataFrame:
     """queries (query_id, query) in the spellings that fields are compared with."""
     forms = queries.select("query_id", F.trim("query").alias("q"), roman(F.col("query")).alias("q_roman"), plain(F.col("query")).alias("q_plain"))
-    return forms.withColumns({"like_roman": in_order(F.col("q_roman")), "like_plain": in_order(F.col("q_plain"))})
+    forms = forms.withColumns({"like_roman": in_order(F.col("q_roman")), "like_plain": in_order(F.col("q_plain"))})
+    return forms.withColumns({f"{q}_has": letters_of(F.col(q)) for q in ("q", "q_roman", "q_plain")})
 
 
 def label_score() -> Column:
@@ -49,15 +56,19 @@ def label_score() -> Column:
 
 
 def matches() -> Column:
-    """Whether the label score is above zero: what equals, begins or has the query holds it, and its characters in order."""
+    """Whether the label score is above zero: what equals, begins or has the query holds it, and its characters in order.
+
+    Pairs whose field lacks a character of the query, most of them, are told by one comparison of numbers.
+    """
 
-    def held(field: Column, query: Column, pattern: Column | None = None) -> Column:
+    def held(t: str, q: str, pattern: Column | None = None) -> Column:
+        field, query, has = F.col(t), F.col(q), F.col(f"{q}_has")
         found = field.contains(query)
         if pattern is not None:
             found = F.when(F.length(query) >= 3, F.regexp_like(field, pattern)).otherwise(found)
-        return F.coalesce((query != "") & (field != "") & found, F.lit(False))
+        return F.coalesce((F.col(f"{t}_has").bitwiseAND(has) == has) & (query != "") & (field != "") & found, F.lit(False))
 
-    return held(F.col("t"), F.col("q")) | held(F.col("t_roman"), F.col("q_roman"), F.col("like_roman")) | held(F.col("t_plain"), F.col("q_plain"), F.col("like_plain"))
+    return held("t", "q") | held("t_roman", "q_roman", F.col("like_roman")) | held("t_plain", "q_plain", F.col("like_plain"))
 
 
 def entry_key(term: Column, latin: Column) -> Column:
@@ -68,6 +79,7 @@ def entry_key(term: Column, latin: Column) -> Column:
 def search_one(queries: DataFrame, entries: DataFrame, source: str, fetch: int) -> DataFrame:
     """Each query's best entries of one source, with its total of matches. A stated set of queries against all entries, in blocks."""
     forms = entries.select("term", "roman", "english", F.trim("term").alias("t"), roman(F.col("roman")).alias("t_roman"), plain(F.col("english")).alias("t_plain"))
+    forms = forms.withColumns({f"{t}_has": letters_of(F.col(t)) for t in ("t", "t_roman", "t_plain")})
     forms = forms.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small table, but much work for each row
 
     def block(some: DataFrame) -> DataFrame:
