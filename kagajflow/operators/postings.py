@@ -71,11 +71,10 @@ NAMED = 1000
 
 def of_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """postings (with their bucket, if stored) of the given terms (term, ...) alone: only their folders and row groups are read."""
-    names = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
-    if len(names) > NAMED:
+    found = terms.select("term", bucket_of(F.col("term")).alias("b")).distinct().limit(NAMED + 1).collect()
+    if len(found) > NAMED:
         return postings
-    some = postings.where(F.col("term").isin(names))
-    if "bucket" in postings.columns and names:
-        buckets = [r["b"] for r in terms.select(bucket_of(F.col("term")).alias("b")).distinct().collect()]
-        some = some.where(F.col("bucket").isin(buckets))
+    some = postings.where(F.col("term").isin([r["term"] for r in found]))
+    if "bucket" in postings.columns and found:
+        some = some.where(F.col("bucket").isin(sorted({r["b"] for r in found})))
     return some
