@@ -24,6 +24,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kagajflow/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored(frames: Iterable[DataFrame], name: str) -> DataFrame:
     """The rows of all frames (one at least), each written by a job of its own and read back as one: plans don't grow with their number."""
     path = ""

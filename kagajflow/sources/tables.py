@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import new_path
+from .shared import exists, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +79,7 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     key = (spark.sparkContext.applicationId, sf_dir, *sorted(documents.inputFiles()))
-    if key not in INDEXES:
+    if key not in INDEXES or not exists(spark, f"{INDEXES[key]}/rows"):  # the shared folder may have been cleared
         path = new_path(spark, "words")
         postings.write_batch(path, 0, documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
         INDEXES[key] = path

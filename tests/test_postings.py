@@ -86,3 +86,11 @@ def test_terms_beyond_those_named(spark, data, monkeypatch):
     monkeypatch.setattr(postings, "NAMED", 1)
     assert rows(search.full_text(retrieval.term_queries(spark, data), retrieval.chunk_words(spark, data), 24)) == want
     assert table(spark, data, "documents").count() == 200
+
+
+def test_an_index_that_is_gone_is_built_again(spark, data, tmp_path, monkeypatch):
+    from kagajflow.sources import tables
+
+    want = tables.chunk_words(spark, data).count()
+    monkeypatch.setattr(tables, "INDEXES", {key: str(tmp_path / "gone") for key in tables.INDEXES})
+    assert tables.chunk_words(spark, data).count() == want and not any(p.endswith("gone") for p in tables.INDEXES.values())
