@@ -83,7 +83,7 @@ def advised(queries: DataFrame, corpus: DataFrame, hints: DataFrame, excluded: D
     (topics: query_id, book_id, root) at the floor. Then fused with hinted sections (query_id, book_id, root), without excluded ones
     (query_id, root) and homonyms of the act's sections in other books, within the budget, each section whole.
     """
-    stages: list[Stage] = [lambda left: search.boosted(left.where("embedding is not null"), corpus, k, words=words), lambda left: by_words(left, corpus, k, words)]
+    stages: list[Stage] = [lambda left: search.boosted(left.where("embedding is not null"), corpus, k), lambda left: by_words(left, corpus, k, words)]
     if topics is not None:
         stages.append(lambda left: chapters.hinted_sections(topics.join(left.select("query_id"), "query_id", "left_semi"), corpus, similarity=floor))
     pool = search.ranked(staged(queries, *stages), "similarity", most=k)
