@@ -249,7 +249,7 @@ def context_blocks(rows: DataFrame, label: Column, body: Column, most: int = 12)
 
 def extractive_answers(rows: DataFrame, label: Column, excerpt: Column, most: int = 3, nothing: str = "") -> DataFrame:
     """(query_id, answer): excerpts of the best rows under their labels, without a model; `nothing` for a query whose rows say nothing."""
-    return context_blocks(rows, label, excerpt, most).select("query_id", F.coalesce(filled(F.col("context")), F.lit(nothing)).alias("answer"))
+    return context_blocks(rows, label, excerpt, most).select("query_id", F.when(filled(F.col("context")).isNotNull(), F.col("context")).otherwise(F.lit(nothing)).alias("answer"))
 
 
 def part_keys(rows: DataFrame) -> DataFrame:
