@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Postpositions that are written with the word before them, and words that are one.
@@ -64,23 +65,24 @@ def repaired(texts: DataFrame, table: Mapping[str, str], id_col: str = "id", tex
     """(id, text): texts without the Latin words that scanning made of Devanagari ones.
 
     A word of two letters and more with a Devanagari character within `reach` characters is what the table (lower case) says; if that
-    has no entry, it has at most `short` letters and a clause ends behind it (| । or a comma), the ending. Words are rows with their
-    places, and windows give each the nearest Devanagari character on either side, so work is in proportion to the text.
+    has no entry, it has at most `short` letters and a clause ends behind it (| । or a comma), the ending. Each text is read by itself
+    where it is, a slice of twice `reach` for a word, so work is in proportion to the text.
     """
-    rows = texts.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[a-zA-Z]+|[^a-zA-Z]+"), F.lit(0))).alias("n", "piece"))
-    order = Window.partitionBy(id_col).orderBy("n")
-    rows = rows.withColumn("at", F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece"))
-    deva = r"[ऀ-ॿ]"
-    first = F.when(F.regexp_like("piece", F.lit(deva)), F.length(F.regexp_extract("piece", rf"^((?:(?!{deva})[\s\S])*)", 1)))
-    last = F.when(F.regexp_like("piece", F.lit(deva)), F.length("piece") - 1 - F.length(F.regexp_extract("piece", rf"((?:(?!{deva})[\s\S])*)$", 1)))
-    before = F.max(F.col("at") + last).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.col("at") + first).over(order.rowsBetween(1, Window.unboundedFollowing))
-    near = F.coalesce(before >= F.col("at") - reach, F.lit(False)) | F.coalesce(after < F.col("at") + reach, F.lit(False))
-    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.lower("piece")]
-    ends = (F.length("piece") <= short) & F.coalesce(F.regexp_like(F.lead("piece").over(order), F.lit(r"^\s*[|।,]")), F.lit(False))
-    latin = F.regexp_like("piece", F.lit("^[a-zA-Z]{2,}$"))
-    fixed = rows.withColumn("fixed", F.when(latin & near, F.coalesce(known, F.when(ends, ending), F.col("piece"))).otherwise(F.col("piece")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "fixed"))), lambda x: x["fixed"]), "")
-    tidy = F.regexp_replace(F.regexp_replace("text", r"[ \t]{2,}", " "), r"\s+([|।])", " $1")
-    found = fixed.groupBy(id_col).agg(whole.alias("text")).withColumn("text", tidy)
-    return texts.select(id_col).join(found, id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    kind = texts.schema[id_col].dataType.simpleString()
+    word, deva = re.compile("[a-zA-Z]{2,}"), re.compile("[ऀ-ॿ]")
+    end, blanks, mark = re.compile(r"\s*[|।,]", re.ASCII), re.compile(r"[ \t]{2,}"), re.compile(r"\s+([|।])", re.ASCII)
+
+    def one(text: str) -> str:
+        def said(m: re.Match) -> str:
+            if not deva.search(text, max(0, m.start() - reach), min(len(text), m.start() + reach)):
+                return m[0]
+            other = table.get(m[0].lower())
+            return other if other is not None else ending if len(m[0]) <= short and end.match(text, m.end()) else m[0]
+
+        return mark.sub(r" \1", blanks.sub(" ", word.sub(said, text)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array((one(t.as_py() or "") for t in batch[1]), pa.string())], [id_col, "text"])
+
+    return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, text string")
