@@ -19,7 +19,7 @@ Stage = Callable[[DataFrame], DataFrame]
 
 
 def with_fields(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    return rows.join(corpus.drop("embedding"), "id")
+    return rows.join(corpus.drop("embedding"), "id")  # a corpus without embeddings does as well
 
 
 def staged(queries: DataFrame, *stages: Stage, least: int = 1) -> DataFrame:
@@ -39,15 +39,16 @@ def staged(queries: DataFrame, *stages: Stage, least: int = 1) -> DataFrame:
     return found
 
 
-def quoted(queries: DataFrame, corpus: DataFrame, k: int = 8, most: int = 3, words: DataFrame | None = None) -> DataFrame:
+def quoted(queries: DataFrame, corpus: DataFrame, k: int = 8, most: int = 3, words: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, context): the provisions that a query (query_id, text, embedding, terms) names, by section, else by title, else by fused search.
 
     Of fused results introductions go where later sections of the same file are found; the first `most` sections are given whole. A query
-    without an embedding is searched by its terms alone. words: the corpus' postings, if they are stored.
+    without an embedding is searched by its terms alone. words: the corpus' postings, if they are stored; texts: the corpus without embeddings.
     """
+    vectors, corpus = corpus, corpus if texts is None else texts
 
     def fused(left: DataFrame) -> DataFrame:
-        return search.hybrid(left.where("embedding is not null"), left, corpus, k, words=words).select("query_id", "id", F.col("score").alias("similarity"))
+        return search.hybrid(left.where("embedding is not null"), left, vectors, k, words=words).select("query_id", "id", F.col("score").alias("similarity"))
 
     found = staged(queries, lambda left: routing.by_section(left, corpus), lambda left: routing.by_title(left, corpus), fused)
     rows = search.ranked(with_fields(found, corpus), "similarity")
@@ -75,15 +76,16 @@ def by_words(queries: DataFrame, corpus: DataFrame, k: int, words: DataFrame | N
     return search.ranked(every.select("query_id", "id", F.round(total + search.NUDGE, search.DIGITS).alias("similarity")), "similarity", most=k)
 
 
-def advised(queries: DataFrame, corpus: DataFrame, hints: DataFrame, excluded: DataFrame, k: int = 24, most: int = 16, topics: DataFrame | None = None, words: DataFrame | None = None, floor: float = 0.9) -> DataFrame:
+def advised(queries: DataFrame, corpus: DataFrame, hints: DataFrame, excluded: DataFrame, k: int = 24, most: int = 16, topics: DataFrame | None = None, words: DataFrame | None = None, floor: float = 0.9, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, id, filename, root, similarity, n_parts, content): the sections that an answer is written from, by similarity.
 
     queries: as search.boosted takes them, with the preferred act. Boosted search; for queries that it finds nothing for (without an
     embedding, or without a row in their books) the same boosts by words; for those that have nothing still their topics' sections
     (topics: query_id, book_id, root) at the floor. Then fused with hinted sections (query_id, book_id, root), without excluded ones
-    (query_id, root) and homonyms of the act's sections in other books, within the budget, each section whole.
+    (query_id, root) and homonyms of the act's sections in other books, within the budget, each section whole. texts: the corpus without embeddings.
     """
-    stages: list[Stage] = [lambda left: search.boosted(left.where("embedding is not null"), corpus, k), lambda left: by_words(left, corpus, k, words)]
+    vectors, corpus = corpus, corpus if texts is None else texts
+    stages: list[Stage] = [lambda left: search.boosted(left.where("embedding is not null"), vectors, k, texts=texts), lambda left: by_words(left, corpus, k, words)]
     if topics is not None:
         stages.append(lambda left: chapters.hinted_sections(topics.join(left.select("query_id"), "query_id", "left_semi"), corpus, similarity=floor))
     pool = search.ranked(staged(queries, *stages), "similarity", most=k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pipelines
-from ..sources.tables import fixture_chunks
+from ..sources.tables import fixture_chunks, fixture_texts
 from .retrieval import _LISTS, WITH, _boosted_sql, both_queries, term_queries, vector_queries, words
 from .routes import ASKED_SQL, asked
 from .sections import near
@@ -16,7 +16,7 @@ def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the router's queries quote; every fifth has no embedding."""
     vectors = vector_queries(spark, sf_dir).withColumn("embedding", F.when(F.col("query_id") / 100 % 5 != 4, F.col("embedding")))
     queries = asked(spark, sf_dir).join(vectors, "query_id", "left").join(term_queries(spark, sf_dir), "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    found = pipelines.quoted(queries, fixture_chunks(spark, sf_dir), words=words(spark, sf_dir))
+    found = pipelines.quoted(queries, fixture_chunks(spark, sf_dir), words=words(spark, sf_dir), texts=fixture_texts(spark, sf_dir))
     return found.select("query_id", F.md5("context").alias("context"))
 
 
@@ -57,7 +57,7 @@ def advised(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints = rows.where("rank in (2, 5)").select("query_id", "book_id", (F.col("root") + 1).alias("root"))
     excluded = rows.where("rank in (3, 4)").select("query_id", "root")
     topics = queries.select("query_id", F.lit("en").alias("book_id"), (q % 5).cast("int").alias("root"))
-    found = pipelines.advised(queries, fixture_chunks(spark, sf_dir), hints, excluded, topics=topics, words=words(spark, sf_dir))
+    found = pipelines.advised(queries, fixture_chunks(spark, sf_dir), hints, excluded, topics=topics, words=words(spark, sf_dir), texts=fixture_texts(spark, sf_dir))
     return found.select("query_id", "filename", "root", "id", "similarity", "n_parts", F.md5("content").alias("content"))
 
 
