@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, labels, spelling, text
 from ..operators import analysis, assembly, calendar, chapters, chunking, continuation, evaluation, ingest, outline, routing, search
 from ..sources import tables
-from ..sources.tables import CHUNKS_SQL, STATUTES_SQL, fixture_chunks, statute_chunks, table
+from ..sources.tables import CHUNKS_SQL, STATUTES_SQL, fixture_chunks, fixture_texts, statute_chunks, table
 from .sections import TOP, long, near
 from .texts import title_score_sql
 
@@ -138,7 +138,7 @@ EXTRACTS = f"""{TOP} SELECT query_id, md5(string_agg('[' || rank || '] ' || book
 
 def chapter_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening sections of target books, sections of target chapters whose titles fit, and titles that override hints."""
-    rows, chunks = near(spark, sf_dir, 6), fixture_chunks(spark, sf_dir)
+    rows, chunks = near(spark, sf_dir, 6), fixture_texts(spark, sf_dir)
     targets = rows.where("rank <= 2").select("query_id", "book_id", "chapter").distinct()
     queries = rows.where("rank = 1").select("query_id", F.substring("section_title", 1, 16).alias("text"))
     opening = chapters.opening_sections(targets, chunks)
@@ -163,7 +163,7 @@ UNION ALL SELECT a.query_id, arg_max(a.id, (a.similarity, -a.id)), 'prepared', g
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a law's list of sections, and the sections that names, lines and guesses mean."""
-    chunks = fixture_chunks(spark, sf_dir)
+    chunks = fixture_texts(spark, sf_dir)
     lines = chunks.select("book_id", F.concat(F.when(F.col("id") % 7 > 0, F.concat(F.col("id").cast("string"), F.lit(". "))).otherwise(""), F.regexp_replace(F.substring("content", 1, 130), r"[\n0-9]", " "), F.when(F.col("id") % 3 == 0, "ः पाठ").otherwise("")).alias("line"))
     known = analysis.taxonomy_lines(lines)
     some = chunks.where("id % 20 = 1").select(F.floor(F.col("id") / 60).alias("query_id"), F.col("id").alias("place"), "book_id", F.col("id").cast("int").alias("root"))
@@ -191,7 +191,7 @@ UNION ALL SELECT query_id, string_agg(root, ',' ORDER BY place), 'guesses' FROM
 
 def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, guessed numbers and claimed books of queries made from every twentieth document's title, on one answer."""
-    chunks = fixture_chunks(spark, sf_dir)
+    chunks = fixture_texts(spark, sf_dir)
     known = chunks.select("book_id", F.col("id").cast("int").alias("root"), F.substring("section_title", 1, 30).alias("title"))
     some = chunks.where("id % 20 = 3").withColumns({"query_id": F.floor(F.col("id") / 60), "place": (F.col("id") / 20 % 3 + 1).cast("int")})
     names = some.select("query_id", "place", F.when(F.col("query_id") % 4 == 3, "zz qq").otherwise(F.substring("section_title", 1, 18)).alias("name"))
