@@ -133,7 +133,14 @@ def browse(entries: DataFrame, letter: str | None, page: int, limit: int, collat
     total = kept.count()
     pages = max(1, -(-total // limit))
     page = min(max(page, 1), pages)
-    return kept.orderBy(F.collate("term", collation), "term", "roman").offset((page - 1) * limit).limit(limit).select("term", "roman", "english", "meaning", F.lit(page).alias("page"), F.lit(pages).alias("pages"), F.lit(total).alias("total"))
+    first = (page - 1) * limit
+    size = min(limit, max(total - first, 0))
+    keys = [F.collate("term", collation), F.col("term"), F.col("roman"), F.col("english"), F.col("meaning")]
+    if 2 * first > total:  # from the end, if that is nearer
+        kept = kept.orderBy(*(k.desc() for k in keys)).offset(total - first - size).limit(size)
+    else:
+        kept = kept.orderBy(*keys).offset(first).limit(size)
+    return kept.orderBy(*keys).select("term", "roman", "english", "meaning", F.lit(page).alias("page"), F.lit(pages).alias("pages"), F.lit(total).alias("total"))
 
 
 def distinct_terms(sources: list[DataFrame]) -> DataFrame:

@@ -64,9 +64,11 @@ def browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = [e.select("term", "roman", "english", "meaning") for e in entries(spark, sf_dir).values()]
     every = every[0].unionByName(every[1]).withColumn("term", F.concat(F.lit("क"), F.translate(F.lower("term"), LATIN, SIGNS))).distinct()
     columns = ["term", *(F.col(c).cast("long").alias(c) for c in ("page", "pages", "total"))]
-    return glossary.browse(every, None, 1000, 30).select(columns).unionByName(glossary.browse(every, "क", 3, 30).select(columns))
+    return glossary.browse(every, None, FAR, 30).select(columns).unionByName(glossary.browse(every, "क", 3, 30).select(columns))
 
 
+#: A page beyond the last of any glossary.
+FAR = 1 << 40
 #: Letters, vowel signs and the sign that makes conjuncts, for Latin letters.
 LATIN, SIGNS = "abcdefghijklmnopqrstuvwxyz#", "ाबचद्फगहिजकलमनंपखरसतुवथषयझट"
 BROWSE = f"""WITH {{ENTRIES_SQL}}, named AS (SELECT DISTINCT 'क' || translate(lower(term), '{LATIN}', '{SIGNS}') AS term, roman, english, meaning FROM entries WHERE trim(meaning) != ''
