@@ -77,25 +77,29 @@ def entry_key(term: Column, latin: Column) -> Column:
 
 
 def search_one(queries: DataFrame, entries: DataFrame, source: str, fetch: int) -> DataFrame:
-    """Each query's best entries of one source, with its total of matches. A stated set of queries against all entries, in blocks."""
-    forms = entries.select("term", "roman", "english", F.trim("term").alias("t"), roman(F.col("roman")).alias("t_roman"), plain(F.col("english")).alias("t_plain"))
+    """Each query's best entries of one source, with its total of matches. A stated set of queries against all different entries, in blocks; a copy of an entry counts in the total and takes a place among the best."""
+    entries = entries.groupBy("term", "roman", "english").agg(F.count("*").alias("copies"))
+    forms = entries.select("term", "roman", "english", "copies", F.trim("term").alias("t"), roman(F.col("roman")).alias("t_roman"), plain(F.col("english")).alias("t_plain"))
     forms = forms.withColumns({f"{t}_has": letters_of(F.col(t)) for t in ("t", "t_roman", "t_plain")})
     forms = forms.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small table, but much work for each row
 
     def block(some: DataFrame) -> DataFrame:
         met = forms.crossJoin(some).where(matches())
-        scored = met.select("query_id", "term", "roman", "english", label_score().alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "roman")
+        scored = met.select("query_id", "term", "roman", "english", "copies", label_score().alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "roman", "english")
         best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fetch)
-        return best.join(scored.groupBy("query_id").agg(F.count("*").alias("total")), "query_id").select("query_id", "term", "roman", "english", "score", "total", F.lit(source).alias("source"))
+        before = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        best = best.withColumn("before", before).where(F.col("before") < fetch)
+        return best.join(scored.groupBy("query_id").agg(F.sum("copies").alias("total")), "query_id").select("query_id", "term", "roman", "english", "score", "total", F.lit(source).alias("source"))
 
     return in_blocks(prepared(queries), block)
 
 
 def search(queries: DataFrame, sources: dict[str, DataFrame], limit: int = 30) -> DataFrame:
-    """Each query's best entries over all sources, one per key; total sums the sources' totals (an entry in both counts twice)."""
+    """Each query's best entries over all sources, one per key; total sums the sources' totals (an entry in both counts twice). Queries of one text are looked for once."""
     fetch = max(3 * limit, 50)
-    parts = [search_one(queries, entries, name, fetch) for name, entries in sources.items()]
+    asked = queries.select(F.col("query").alias("query_id"), "query").where("query is not null").distinct()
+    parts = [search_one(asked, entries, name, fetch) for name, entries in sources.items()]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -105,7 +109,8 @@ def search(queries: DataFrame, sources: dict[str, DataFrame], limit: int = 30) -
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), places[F.col("source")], "term")
     once = every.withColumn("key", entry_key(F.col("term"), F.col("roman"))).withColumn("n", F.row_number().over(best)).where("n = 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term", "key")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("n", "key")
+    found = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("n", "key", "before", "copies").withColumnRenamed("query_id", "query")
+    return queries.select("query_id", "query").join(found, "query").drop("query")
 
 
 def index_letter(term: Column) -> Column:
