@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pipelines
 from ..sources.tables import fixture_chunks, fixture_texts
-from .retrieval import _LISTS, WITH, _boosted_sql, both_queries, term_queries, vector_queries, words
+from .retrieval import _LISTS, WITH, _boosted_sql, term_queries, vector_queries, words
 from .routes import ASKED_SQL, asked
 from .sections import near
 
@@ -45,18 +45,19 @@ SELECT query_id, md5(string_agg('[' || rank || '] ' || label || chr(10) || text,
 
 
 def advised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted search with hints and exclusions; every fourth query has no embedding, every eighth no term and no section that there is, but a topic."""
+    """Boosted search with hints and exclusions; every fourth query has no embedding, every eighth no term and no section that there is, but a topic. Of documents without a vector the former are asked as well, but have no topic."""
     q = (F.col("query_id") / 100).cast("long")
     bare = q % 8 == 7
-    queries = both_queries(spark, sf_dir).select(
+    both = term_queries(spark, sf_dir).where(F.size("terms") > 0).join(vector_queries(spark, sf_dir).withColumn("placed", F.lit(True)), "query_id", "left")
+    queries = both.where(F.col("placed").isNotNull() | ((q % 4 == 3) & ~bare)).select(
         "query_id", F.when(q % 4 != 3, F.col("embedding")).alias("embedding"), F.when(bare, F.array(F.lit("no such word"))).otherwise(F.col("terms")).alias("terms"), F.array(F.lit("en"), F.lit("fr"), F.lit("es")).alias("books"),
         F.when(q % 2 == 0, F.lit("fr")).alias("act"), F.when(q % 3 == 0, (q + 1).cast("int")).alias("chapter_no"), (q * 2).cast("int").alias("low"), (q * 2 + 5).cast("int").alias("high"),
-        F.when(bare, F.array(F.lit(-1))).otherwise(F.array(q.cast("int"), (q + 20).cast("int"))).alias("sections"),
+        F.when(bare, F.array(F.lit(-1))).otherwise(F.array(q.cast("int"), (q + 20).cast("int"))).alias("sections"), "placed",
     )
     rows = near(spark, sf_dir, 12)
     hints = rows.where("rank in (2, 5)").select("query_id", "book_id", (F.col("root") + 1).alias("root"))
     excluded = rows.where("rank in (3, 4)").select("query_id", "root")
-    topics = queries.select("query_id", F.lit("en").alias("book_id"), (q % 5).cast("int").alias("root"))
+    topics = queries.where("placed").select("query_id", F.lit("en").alias("book_id"), (q % 5).cast("int").alias("root"))
     found = pipelines.advised(queries, fixture_chunks(spark, sf_dir), hints, excluded, topics=topics, words=words(spark, sf_dir), texts=fixture_texts(spark, sf_dir))
     return found.select("query_id", "filename", "root", "id", "similarity", "n_parts", F.md5("content").alias("content"))
 
