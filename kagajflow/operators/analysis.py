@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import title_match
-from ..functions.text import normal_title, title_tokens, to_ascii_digits
+from ..functions.text import normal_title, shortened, title_tokens, to_ascii_digits
 from .routing import gram_keys
 
 TEXTS = "array<string>"
@@ -131,10 +131,10 @@ def line_parts(line: Column) -> Column:
 
 
 def taxonomy_lines(lines: DataFrame, most: int = 117, mark: int = 160) -> DataFrame:
-    """(book_id, root, title) of lines `N. title` (book_id, line): the title up to a visarga in its first `mark` characters, else cut at `most`."""
+    """(book_id, root, title) of lines `N. title` (book_id, line): the title up to a visarga in its first `mark` characters, else shortened to `most` with the mark of that."""
     top = lines.where(F.regexp_like("line", F.lit(r"^[0-9०-९]+\.\s+\S"))).select("book_id", line_parts(F.col("line")).alias("p")).select("book_id", "p.*")
     at = F.instr("title", "ः")
-    cut = F.when((at > 1) & (at < mark), F.substring(F.col("title"), F.lit(1), at)).when(F.length("title") > most, F.concat(F.substring("title", 1, most), F.lit("…"))).otherwise(F.col("title"))
+    cut = F.when((at > 1) & (at < mark), F.substring(F.col("title"), F.lit(1), at)).otherwise(shortened(F.col("title"), most))
     return top.select("book_id", "root", F.trim(cut).alias("title"))
 
 
