@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clause_order, to_ascii_digits
+from .matching import in_blocks
 
 
 def enclosing(rows: DataFrame, markers: DataFrame, by: str, at: str, value: str) -> DataFrame:
@@ -39,35 +44,111 @@ def is_generic(title: Column) -> Column:
     return F.regexp_like(F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(GENERIC)) | (F.length(compact(title)) < TELLING)
 
 
-def mentions(pages: DataFrame) -> DataFrame:
-    """(book_id, page, root): the numbers that each page mentions. Behind the word for section a number's first digits count as well."""
-    flat = F.regexp_replace("text", r"\s+", " ")
+def mentioned(text: Column) -> Column:
+    """The numbers that a page mentions, each once. Behind the word for section a number's first digits count as well."""
+    flat = F.regexp_replace(text, r"\s+", " ")
     named = F.regexp_extract_all(flat, F.lit(NAMED), F.lit(1))
     begun = F.flatten(F.transform(named, lambda n: F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.substring(n, F.lit(1), k))))
-    every = F.array_distinct(F.transform(F.concat(F.regexp_extract_all(flat, F.lit(MENTIONED), F.lit(1)), begun), to_ascii_digits))
-    return pages.select("book_id", "page", F.explode(every).alias("n")).select("book_id", "page", F.col("n").try_cast("int").alias("root")).where("root is not null").distinct()
+    every = F.transform(F.concat(F.regexp_extract_all(flat, F.lit(MENTIONED), F.lit(1)), begun), lambda n: to_ascii_digits(n).try_cast("int"))
+    return F.array_distinct(F.filter(every, lambda n: n.isNotNull()))
+
+
+#: Sections that are sent to the pages at once, characters that are hashed at once, and bits of a hash.
+SECTIONS, CHARS, BITS = 50_000, 1 << 18, 20
+
+
+def windows(chars: np.ndarray, n: int) -> np.ndarray:
+    """BITS of a hash of every n characters in a row."""
+    h = np.zeros(max(0, len(chars) - n + 1), np.uint32)
+    for j in range(n):
+        h *= np.uint32(0x9E3779B1)
+        h += chars[j : j + len(h)]
+    return h >> np.uint32(32 - BITS)
+
+
+def chars_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Sought:
+    """A block's sections, and the least page so far of each (book, root) by how it is found: number and title, number, a beginning of the title each."""
+
+    def __init__(self, sections: pa.Table, head: int, needles: tuple[int, ...], least: int):
+        self.least, self.needles = least, needles
+        self.slots: dict[tuple[str, int], int] = {}
+        self.by_number: dict[tuple[str, int], list[tuple[bool, str | None]]] = {}
+        self.by_key: dict[tuple[str, str], list[tuple[int, str]]] = {}
+        self.seen = np.zeros(1 << BITS, bool)
+        for s in sections.to_pylist():
+            book, root, title, generic = s["book_id"], s["root"], s["title"], s["generic"]
+            slot = self.slots.setdefault((book, root), len(self.slots))
+            self.by_number.setdefault((book, root), []).append((bool(generic), None if title is None else title[:head]))
+            if generic is False and len(title) >= least:
+                self.by_key.setdefault((book, title[:least]), []).append((slot, title))
+                self.seen[windows(chars_of(title[:least]), least)] = True
+        self.pages: list[list[int | None]] = [[None] * len(self.slots) for _ in range(2 + len(needles))]
+
+    def found(self, how: int, slot: int, page: int) -> None:
+        known = self.pages[how][slot]
+        if known is None or page < known:
+            self.pages[how][slot] = page
+
+    def look(self, books: list[str], pages: list[int], texts: list[str], numbers: list[list[int]]) -> None:
+        for book, page, text, own in zip(books, pages, texts, numbers, strict=True):
+            for n in own or ():
+                for generic, title in self.by_number.get((book, n), ()):
+                    slot = self.slots[book, n]
+                    self.found(1, slot, page)
+                    known = self.pages[0][slot]
+                    if (known is None or page < known) and (generic or title is not None and title in text):
+                        self.found(0, slot, page)
+        ends = np.cumsum([len(t) for t in texts])
+        at = 0
+        while at < len(texts):
+            begin = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, begin + CHARS, "right")))
+            places = np.flatnonzero(self.seen[windows(chars_of("".join(texts[at:to])), self.least)]) + begin
+            for row, place in zip(np.searchsorted(ends, places, "right").tolist(), places.tolist(), strict=True):
+                here = place - (int(ends[row - 1]) if row else 0)
+                for slot, title in self.by_key.get((books[row], texts[row][here : here + self.least]), ()):
+                    for how, n in enumerate(self.needles, 2):
+                        if texts[row].startswith(title[:n], here):
+                            self.found(how, slot, pages[row])
+            at = to
+
+    def rows(self) -> list[tuple]:
+        return [(*key, *(own[slot] for own in self.pages)) for key, slot in self.slots.items() if any(own[slot] is not None for own in self.pages)]
 
 
 def first_pages(sections: DataFrame, pages: DataFrame, head: int = 16, needles: tuple[int, ...] = (24, 18, 12), least: int = 10) -> DataFrame:
     """(book_id, root, page): the first page of the section's book that mentions the section's number and has its title's first `head` characters, else mentions the number, else has the title's first characters, as many as one finds.
 
     sections: book_id, root, title; pages: book_id, page, text. White space and marks don't count in titles. A generic title, or a short one,
-    isn't asked for. Numbers and beginnings of titles meet pages by equi-joins; only sections whose number no page mentions are looked
-    for by title, in pages of their books alone.
+    isn't asked for. Sections go to the pages in blocks; pages are read where they are, and a task sends the least pages of a section alone.
     """
     wanted = sections.select("book_id", F.col("root").cast("int").alias("root"), compact(F.col("title")).alias("title"), is_generic(F.col("title")).alias("generic"))
-    met = mentions(pages).join(wanted, ["book_id", "root"]).join(pages.select("book_id", "page", compact(F.col("text")).alias("text")), ["book_id", "page"])
-    titled = F.col("generic") | F.contains("text", F.substring("title", 1, head))
-    by_number = met.groupBy("book_id", "root").agg(F.coalesce(F.min(F.when(titled, F.col("page"))), F.min("page")).alias("page"))
-    rest = wanted.where("not generic").where(F.length("title") >= least).join(by_number, ["book_id", "root"], "left_anti").withColumn("key", F.substring("title", 1, least))
-    some = pages.join(rest.select("book_id").distinct(), "book_id", "left_semi").select("book_id", "page", compact(F.col("text")).alias("text"))
-    some = some.select("book_id", "page", F.split("text", "").alias("letters"))
-    here = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("letters") - least + 1)), lambda i: F.array_join(F.slice("letters", i, F.lit(needles[0])), ""))
-    placed = some.select("book_id", "page", F.explode(here).alias("here")).withColumn("key", F.substring("here", 1, least))
-    found = placed.join(rest, ["book_id", "key"])
-    stages = [F.min(F.when(F.startswith("here", F.substring("title", 1, n)), F.col("page"))) for n in needles]
-    by_title = found.groupBy("book_id", "root").agg(F.coalesce(*stages).alias("page")).where("page is not null")
-    return wanted.select("book_id", "root").distinct().join(by_number.unionByName(by_title), ["book_id", "root"], "left")
+    short = wanted.where("book_id is not null and root is not null").withColumn("title", F.substring("title", 1, max(head, *needles))).withColumn("key", F.struct("book_id", "root"))
+    read = pages.where("book_id is not null and page is not null and text is not null").select("book_id", "page", mentioned(F.col("text")).alias("numbers"), compact(F.col("text")).alias("text"))
+    kind = pages.schema["page"].dataType.simpleString()
+    ways = [f"p{i}" for i in range(2 + len(needles))]
+    out = f"book_id string, root int, {', '.join(f'{w} {kind}' for w in ways)}"
+
+    def block(some: DataFrame) -> DataFrame:
+        asked = some.select("book_id", "root", "title", "generic").toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sought, page = Sought(asked, head, needles, least), None
+            for batch in batches:
+                page = batch["page"].type
+                sought.look(*(batch[c].to_pylist() for c in ("book_id", "page", "text", "numbers")))
+            if rows := sought.rows():
+                kinds = [pa.string(), pa.int32(), *[page] * len(ways)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["book_id", "root", *ways])
+
+        return read.mapInArrow(run, out)
+
+    found = in_blocks(short, block, "key", SECTIONS).groupBy("book_id", "root").agg(F.coalesce(*(F.min(w) for w in ways)).alias("page"))
+    return wanted.select("book_id", "root").distinct().join(found, ["book_id", "root"], "left")
 
 
 def marker_kind(path_end: Column) -> Column:

@@ -1,6 +1,7 @@
 """Joins by keys lose no pair that scores, and sections are found on their pages."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,27 @@ def test_pages(spark):
     sections = [("b", 7, "छोटो"), ("b", 12, "करार सम्बन्धी व्यवस्था गरिएको"), ("b", 99, "शीर्षक सम्बन्धी सम्पूर्ण व्यवस्था"), ("b", 98, "कतै नभएको शीर्षक यहाँ छैन"), ("b", 97, "शीर्षक"), ("b", 1, "हदम्याद")]
     found = outline.first_pages(spark.createDataFrame(sections, "book_id string, root int, title string"), spark.createDataFrame(pages, "book_id string, page int, text string"))
     assert {r["root"]: r["page"] for r in found.collect()} == {7: 2, 12: 4, 99: 5, 98: None, 97: None, 1: 3}  # behind the word for section 125 begins with 1
+
+
+def test_pages_are_read_where_they_are_in_blocks_of_sections(spark, monkeypatch):
+    """Of many pages no text is shuffled and no place of a text is a row; blocks of sections and small pieces change nothing."""
+    monkeypatch.setattr(outline, "SECTIONS", 3)
+    monkeypatch.setattr(outline, "CHARS", 7)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(5))
+    pages = [(rng.choice("bc"), i, " ".join([word() for _ in range(rng.randint(0, 90))] + rng.choices(["7.", "12 ", "दफा 34", ""], k=1))) for i in range(300)] + [("b", 301, None)]
+    flat = lambda t: re.sub(r"[\s।|,.:ः]+|[mनयखलउ]", "", t).lower()
+    sections = [(book, root, " ".join(word() for _ in range(rng.choice([1, 3, 3, 6])))) for book in "bc" for root in (3, 7, 12, 34, 56)]
+    sections += [("b", 90 + k, t[3 * k : 3 * k + 14 + 6 * k] + "zz") for k, (b, _, t) in enumerate(p for p in pages[:250] if p[0] == "b" and len(p[2]) > 60) if k < 6]
+    sections += [("c", 80, next(t for b, i, t in pages if b == "c" and len(t) > 100 and i > 100)[50:80])]
+    met = outline.first_pages(spark.createDataFrame(sections, "book_id string, root int, title string"), spark.createDataFrame(pages, "book_id string, page int, text string"))
+    want = {}
+    for book, root, title in sections:
+        t = flat(title)
+        own = [(i, flat(x), re.search(rf"(?:^|[ ।|]){root}(?:\s*\.|[.\sः])|दफा\s*{root}", re.sub(r"\s+", " ", x))) for b, i, x in pages if b == book and x is not None]
+        tests = [lambda x, n: n and (len(t) < 14 or t[:16] in x), lambda x, n: n, *(lambda x, n, k=k: len(t) >= 14 and t[:k] in x for k in (24, 18, 12))]  # noqa: B023
+        want[book, root] = next((min(hits) for test in tests if (hits := [i for i, x, n in own if test(x, n)])), None)
+    assert {(r["book_id"], r["root"]): r["page"] for r in met.collect()} == want and len({p for p in want.values() if p is not None}) > 6
+    monkeypatch.setattr(outline, "SECTIONS", 50_000)
+    one = outline.first_pages(spark.createDataFrame(sections, "book_id string, root int, title string"), spark.createDataFrame(pages, "book_id string, page int, text string"))
+    assert not any("text" in line for line in one._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line or "Generate" in line)
