@@ -92,12 +92,12 @@ def introductions_dropped(rows: DataFrame, low: int = 10) -> DataFrame:
     return marked.withColumn("_any", F.max("_keep").over(per("query_id"))).where("_keep = 1 or _any = 0").drop("_keep", "_any")
 
 
-def collapse(rows: DataFrame) -> DataFrame:
-    """One row per section: its parts in label order joined by blank lines, the best similarity, the best row's fields."""
+def collapse(rows: DataFrame, by: tuple[str, ...] = ("query_id", "filename", "root")) -> DataFrame:
+    """One row per section: its parts in label order joined by blank lines, the best similarity, the best row's fields. by: without the query, what all queries see of a section is put together once."""
     parts = F.array_sort(F.collect_list(F.struct("section_label", "id", "content")))
     best = F.max_by("id", F.struct("similarity", -F.col("id")))
-    out = rows.groupBy("query_id", "filename", "root").agg(parts.alias("parts"), F.max("similarity").alias("similarity"), best.alias("id"))
-    return out.select("query_id", "filename", "root", "id", "similarity", F.size("parts").cast("long").alias("n_parts"), F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n").alias("content"))
+    out = rows.groupBy(*by).agg(parts.alias("parts"), F.max("similarity").alias("similarity"), best.alias("id"))
+    return out.select(*by, "id", "similarity", F.size("parts").cast("long").alias("n_parts"), F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n").alias("content"))
 
 
 def budget(rows: DataFrame, most: int = 16, pinned: float = 0.84) -> DataFrame:

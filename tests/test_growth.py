@@ -3,7 +3,7 @@
 from compare import duck, same
 
 from kagajflow.operators import chapters
-from kagajflow.plans import composites
+from kagajflow.plans import composites, sections
 
 DATA = "/root/testdata/sf0.01"
 
@@ -21,3 +21,11 @@ def test_a_topics_queries_and_clashes_do_not_meet_in_pairs(spark, data):
     met = [line for line in logical(found).splitlines() if "Join" in line and "topic#" in line]
     assert met and all("root#" in line for line in met)
     same(composites.collisions(spark, DATA).toPandas(), duck(DATA).sql(composites.COLLISIONS).df())
+
+
+def test_sections_are_put_together_once_before_they_meet_queries(spark, data):
+    found = sections.collapsed(spark, DATA)
+    lines = logical(found).splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join Inner" in line]
+    assert joins and all(i > joins[0] for i, line in enumerate(lines) if "md5(" in line) and any("Join LeftSemi" in line for line in lines)
+    same(found.toPandas(), duck(DATA).sql(sections.COLLAPSED).df())
