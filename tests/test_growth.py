@@ -1,8 +1,9 @@
 """What must not grow faster than the tables: plans and how rows are dealt."""
 
 from compare import duck, same
+from pyspark.sql import functions as F
 
-from kagajflow.operators import chapters
+from kagajflow.operators import chapters, matching, search
 from kagajflow.plans import composites, sections
 
 DATA = "/root/testdata/sf0.01"
@@ -29,3 +30,13 @@ def test_sections_are_put_together_once_before_they_meet_queries(spark, data):
     joins = [i for i, line in enumerate(lines) if "Join Inner" in line]
     assert joins and all(i > joins[0] for i, line in enumerate(lines) if "md5(" in line) and any("Join LeftSemi" in line for line in lines)
     same(found.toPandas(), duck(DATA).sql(sections.COLLAPSED).df())
+
+
+def test_vectors_of_one_partition_are_scored_by_all_cores(spark, data, monkeypatch):
+    rows = spark.range(4000).select("id", F.array(F.lit(1.0), F.col("id").cast("double"), F.lit(0.0)).alias("embedding"), F.lit("text").alias("content")).coalesce(1)
+    queries = spark.createDataFrame([(7, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    scored, whole = [], matching.nearest
+    monkeypatch.setattr(matching, "nearest", lambda queries, corpus, *a, **b: scored.append(corpus) or whole(queries, corpus, *a, **b))
+    assert [r["id"] for r in search.nearest(queries, rows, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
+    sizes = [r["count"] for r in scored[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert scored[0].columns == ["id", "embedding"] and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2000
