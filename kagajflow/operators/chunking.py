@@ -125,6 +125,35 @@ def logical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(flat, line_begin()), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: Line ends in Java's expressions, as Spark has them.
+ENDS = "\n\r\u0085\u2028\u2029"
+#: The same in Python, where white space is ASCII's as in Java: noise at a text's beginning, on a later line, page marks, and the blank before a line of a text with single blanks.
+_ALONE = rf"\s*(?:{D}{{1,4}}|[-–—]{{2,}})\s*(?=[{ENDS}]|\Z)"
+FIRST_NOISE, LATER_NOISE, PAGE_MARK = re.compile(_ALONE, re.A), re.compile(rf"([{ENDS}]){_ALONE}", re.A), re.compile(r"\[PAGE:\d+\]", re.A)
+_NUMBER = f"{D}{{1,4}}{L}?"
+CUT = re.compile(
+    rf" (?=[भपसत({D[1:-1]}])(?:(?={ANYWHERE})|(?:(?<=[\u0900-\u097f।…\"“”] )|(?<=\.\.\.\. ))(?={_NUMBER}\.\s)|(?<={STOP} )(?={_NUMBER}\s+[\u0900-\u097f]))", re.A
+)
+#: Texts that a task works on at once.
+TEXTS = 256
+
+
+def lines_of(text: str) -> list[str]:
+    """logical_lines of a text, in Python."""
+    if begun := FIRST_NOISE.match(text):
+        text = " " + text[begun.end() :]
+    text = PAGE_MARK.sub(" ", LATER_NOISE.sub(r"\1 ", text))
+    flat = b" ".join(text.encode().split()).decode()  # bytes are split at ASCII's white space
+    return CUT.split(flat) if flat else []
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """TEXTS rows of a batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 #: A mention: a section's number, subsections or clauses of one, or both, and the word that makes it a reference.
 MARK = rf"\(\s*(?:{D}+|{L})\s*\)"
 MENTION = rf"(?:दफा\s*({D}+{L}?))?(?:\s*को\s*)?\s*((?:उपदफा|खण्ड)\s*{MARK}(?:[^।()]{{0,15}}{MARK})*)?\s*(?:बमोजिम|को\s*प्रयोजन|मा\s|।|(?<=\)))"

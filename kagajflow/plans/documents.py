@@ -67,9 +67,8 @@ def continued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as statutes with references cut by line ends: blocks by kind and depth, and how many lines each rule joined."""
     line = lambda s, i: F.concat(F.lit(" । "), (i + 1).cast("string"), F.lit(". शीर्षकः "), s, F.lit(" । (१) उपदफा (२), (३) र (४) बमोजिम काम । (२) दफा २ को खण्ड (क), (ख) वा (ग) बमोजिम । (क) खण्ड, तर देहायकोः– (१) एक (२) दुई (ख) अर्को ।"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace("text", "[0-9.()]", ""), "\n").alias("lines"))
-    found = continuation.blocks(docs.select("doc_id", F.array_join(F.transform("lines", line), "").alias("text")))
-    rules = found.select("doc_id", F.explode("joined").alias("j")).groupBy("doc_id", F.col("j.rule").alias("kind")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(None).cast("int"))
-    return found.groupBy("doc_id", "kind", "depth").agg(F.count("*").alias("n")).unionByName(rules).withColumn("depth", F.col("depth").cast("long"))
+    found = continuation.tally(docs.select("doc_id", F.array_join(F.transform("lines", line), "").alias("text")))
+    return found.groupBy("doc_id", "kind", F.col("depth").cast("long").alias("depth")).agg(F.sum("n").alias("n"))
 
 
 #: What the dressed lines hold, by their making: so many blocks of each kind, and so many lines joined by each rule.

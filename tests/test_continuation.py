@@ -1,6 +1,9 @@
 """The continuation automaton: exact blocks for every rule, and what each rule must leave alone."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from kagajflow.operators import chunking, continuation
 
@@ -68,3 +71,19 @@ def test_places_of_repeated_chapters(spark):
     text = "परिच्छेद–१ क\nपाठ\n परिच्छेद–१ क\nपरिच्छेद २ ख"
     rows = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "id long, text string")
     assert sorted((r["at"], r["chapter"]) for r in chunking.chapters_in(rows, "id", "text").collect()) == [(0, "परिच्छेद–१ क"), (text.index(" परिच्छेद"), "परिच्छेद–१ क"), (text.rindex("परिच्छेद"), "परिच्छेद २ ख")]
+
+
+def test_lines_in_python_are_those_of_spark(spark):
+    pick = random.Random(5)
+    bits = [*"२१12कखabc()–-:ः,.।\"“ \n\r\t\f\u0085  \x1c", "भाग", "परिच्छेद", "स्पष्टीकरणः", "तर", "। ", "\r\n", "....", "…", "[PAGE:7]", "[PAGE:", "१२३४५", "--", ". ", "१. ", "34\n", "\n12\n", "(२) ", "(क)", " दफा"]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randint(0, 40))) for _ in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert all(chunking.lines_of(texts[r["id"]]) == r["lines"] for r in rows.select("id", chunking.logical_lines(F.col("text")).alias("lines")).collect())
+
+
+def test_blocks_are_counted_where_texts_are(spark):
+    rows = spark.createDataFrame([(1, "१. शीर्षक । (१) उपदफा\n(२) बमोजिम । (क) कुरा"), (2, None), (None, "(१) एक")], "doc_id long, text string")
+    found = continuation.tally(rows)
+    assert {tuple(r) for r in found.collect()} == {(1, "dafa", 0, 1), (1, "upadafa", 1, 1), (1, "khanda", 2, 1), (1, "filled stub", None, 1), (None, "upadafa", 1, 1)}
+    for df in (found, continuation.indented(rows)):
+        assert not any(word in df._jdf.queryExecution().executedPlan().toString() for word in ("Exchange", "Aggregate", "Generate"))
