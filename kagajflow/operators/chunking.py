@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -179,45 +180,112 @@ def references(body: Column, dafa: Column) -> Column:
 
     mentions = F.filter(F.transform(F.regexp_extract_all(body, F.lit(MENTION), F.lit(0)), lambda m: F.trim(m)), lambda m: F.regexp_like(m, F.lit("^(?:दफा|उपदफा|खण्ड)")))
     found = F.flatten(F.filter(F.transform(mentions, parsed), lambda refs: refs.isNotNull()))
-    return F.array_distinct(F.filter(found, lambda r: r["section"].isNotNull()))
-
-
-def parse_statutes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    none_named = ~F.contains(body, F.lit("दफा")) & ~F.contains(body, F.lit("खण्ड"))  # every mention has one of these words
+    return F.when(none_named, F.array().cast("array<struct<section:string,subsection:string,clause:string>>")).otherwise(F.array_distinct(F.filter(found, lambda r: r["section"].isNotNull())))
+
+
+#: OPENERS in Python, by the characters that a line of the kind begins with.
+KINDS = {kind: re.compile(f"{pattern[:-4]}[^{ENDS}]{pattern[-3]})(?=[{ENDS}]?\\Z)", re.A) for kind, pattern in OPENERS.items()}
+BEGINS = {"भ": ("bhag",), "प": ("parichhed",), "स": ("spastikaran",), "त": ("tar",), "(": ("upadafa", "khanda")} | dict.fromkeys("0123456789०१२३४५६७८९", ("dafa",))
+OPENING, DEVANAGARI = ("dafa", "upadafa", "khanda", "spastikaran", "tar"), str.maketrans("0123456789", "०१२३४५६७८९")
+
+
+def opened(line: str) -> tuple[str, str | None, str]:
+    """(kind, label, body) of a line."""
+    for kind in BEGINS.get(line[:1], ()):
+        if m := KINDS[kind].match(line):
+            return kind, m[1], m[2].strip(" ")
+    return "rest", None, line
+
+
+#: How many short lines a task remembers, and what is short.
+KEPT, SHORT = 16_384, 200
+opened_short = lru_cache(KEPT)(opened)
+
+
+def repeated(values: list[str | None]) -> pa.Array:
+    """Strings of which many are the same, each made once."""
+    known: dict[str | None, int] = {}
+    codes = [known.setdefault(v, len(known)) for v in values]
+    return pa.array(list(known), pa.string()).take(pa.array(codes, pa.int32()))
+
+
+#: What a statute's text tells of each chunk (`parsed`); the rest follows from that by expressions.
+PARSED = {"kind": "string", "label": "string", "bhag": "string", "parichhed": "string", "dafa": "string", "dafa_title": "string", "upadafa": "string", "index": "int", "body": "string", "chapter_limit": "string"}
+
+
+def title_in(body: str, before: int = 120, most: int = 80) -> str:
+    """functions.text.title_of_body, in Python."""
+    at = body.find("ः") + 1
+    return (body[:at] if 1 < at <= before else body[:most]).strip(" ")
+
+
+def parsed(text: str) -> list[list]:
+    """A statute's chunks (PARSED): a state machine over its lines. What a line opens holds until the next of its kind or a larger one; a line that opens nothing goes on with the chunk before it."""
+    out: list[list] = []
+    bhag = parichhed = dafa = title = upadafa = None
+    count = {"spastikaran": 0, "tar": 0}
+    parts: list[str] | None = None
+    limits: dict[str | None, str] = {}
+    for line in lines_of(text):
+        kind, label, body = opened_short(line) if len(line) <= SHORT else opened(line)
+        if kind == "bhag":
+            bhag = f"भाग {label.translate(DEVANAGARI)}"
+        elif kind == "parichhed":
+            parichhed = f"परिच्छेद {label.translate(DEVANAGARI)}{' — ' if body else ''}{body}"
+        elif kind == "dafa":
+            dafa, title, upadafa = label, title_in(body), None
+            count = {"spastikaran": 0, "tar": 0}
+        if dafa is None:
+            continue
+        if kind == "upadafa":
+            upadafa = label
+        elif kind in count:
+            count[kind] += 1
+        if kind in OPENING and body:
+            parts = []
+            out.append([kind, label, bhag, parichhed, dafa, title, upadafa, count.get(kind, 0), parts, None])
+            if "हदम्याद" in title:
+                limits[parichhed] = dafa
+        said = line if kind in count else "" if kind == "parichhed" else body
+        if parts is not None and said:
+            parts.append(said)
+    for chunk in out:
+        chunk[8], chunk[9] = " ".join(chunk[8]), limits.get(chunk[3])
+    return out
+
+
+def unindented(text: str) -> str:
+    """An indented statute as plain lines: a block's depth says what it is where its beginning doesn't."""
+    out: list[list[str]] = []
+    for raw in text.split("\n"):
+        if not (line := raw.strip(" ")):
+            continue
+        depth = (len(raw) - len(raw.lstrip(" "))) // 2
+        kind = (opened_short(line) if len(line) <= SHORT else opened(line))[0]
+        # what a deeper block opens must not be taken for a shallower kind: a number in depth 2 is text
+        if out and (depth == 2 and kind != "khanda" or depth == 1 and kind in ("dafa", "khanda", "rest")):
+            out[-1].append(line)
+        else:
+            out.append([line])
+    return "\n".join(" ".join(block) for block in out)
+
+
+def parse_statutes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", plain: Callable[[str], str] | None = None) -> DataFrame:
     """Chunks of statutes: sections, subsections, clauses, explanations and provisos with their place, references and the chapter's limitation section.
 
-    A state machine over lines, as windows over a document's lines: what a line opens holds until the next of its kind or a
-    larger one; a line that opens nothing goes on with the chunk before it.
+    Each text is gone through once, where it is. plain: what makes plain lines of a text of another shape.
     """
-    lines = df.select(F.col(id_col).alias("doc"), F.posexplode(logical_lines(F.coalesce(F.col(text_col), F.lit("")))).alias("n", "line"))
-    kind = F.lit("rest")
-    for name in reversed(OPENERS):
-        kind = F.when(F.regexp_like("line", F.lit(OPENERS[name])), name).otherwise(kind)
-    lines = lines.withColumn("kind", kind)
-    label, body = F.lit(None).cast("string"), F.col("line")
-    for name, pattern in OPENERS.items():
-        label = F.when(F.col("kind") == name, F.regexp_extract("line", pattern, 1)).otherwise(label)
-        body = F.when(F.col("kind") == name, F.trim(F.regexp_extract("line", pattern, 2))).otherwise(body)
-    lines = lines.withColumn("label", label).withColumn("body", body)
-    order = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    held = lambda name, value: F.last(F.when(F.col("kind") == name, value), ignorenulls=True)
-    named = F.concat_ws(" — ", F.concat(F.lit("परिच्छेद "), to_devanagari_digits(F.col("label"))), F.nullif(F.col("body"), F.lit("")))
-    lines = lines.withColumns(
-        {
-            "bhag": held("bhag", F.concat(F.lit("भाग "), to_devanagari_digits(F.col("label")))).over(order),
-            "parichhed": held("parichhed", named).over(order),
-            "dafa": held("dafa", F.col("label")).over(order),
-            "dafa_title": held("dafa", title_of_body(F.col("body"))).over(order),
-            "section": F.count_if(F.col("kind") == "dafa").over(order),
-        }
-    ).where("section > 0")
-    opens = F.col("kind").isin("dafa", "upadafa", "khanda", "spastikaran", "tar") & (F.col("body") != "")
-    within = Window.partitionBy("doc", "section").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("upadafa", held("upadafa", F.col("label")).over(within)).withColumn("chunk", F.count_if(opens).over(order))
-    lines = lines.withColumn("index", F.when(F.col("kind") == "spastikaran", F.count_if(F.col("kind") == "spastikaran").over(within)).when(F.col("kind") == "tar", F.count_if(F.col("kind") == "tar").over(within)).otherwise(0))
-    said = F.when(F.col("kind").isin("spastikaran", "tar"), F.col("line")).when(F.col("kind") == "parichhed", "").otherwise(F.col("body"))
-    first = lambda name: F.min_by(name, "n").alias(name)
-    parts = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("said")))), lambda x: x["said"]), lambda s: s != ""), " ")
-    chunks = lines.where("chunk > 0").groupBy("doc", "chunk").agg(*map(first, ("kind", "label", "bhag", "parichhed", "dafa", "dafa_title", "upadafa", "index", "section")), F.min("n").alias("at"), parts.alias("body"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            found = [parsed(plain(text or "") if plain else text or "") for text in some.column(1).to_pylist()]
+            every = list(zip(*(chunk for own in found for chunk in own), strict=True)) or [()] * len(PARSED)
+            columns = [pa.array(c, pa.int32()) if kind == "int" else pa.array(c, pa.string()) if name == "body" else repeated(c) for c, (name, kind) in zip(every, PARSED.items(), strict=True)]
+            doc = some.column(0).take(pa.array([t for t, own in enumerate(found) for _ in own], pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc, pa.array([n for own in found for n in range(1, len(own) + 1)], pa.int32()), *columns], names=["doc", "chunk", *PARSED])
+
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in ({"doc": df.schema[id_col].dataType.simpleString(), "chunk": "int"} | PARSED).items())
+    chunks = df.select(id_col, text_col).mapInArrow(run, fields)
     khanda = F.when(F.col("kind") == "khanda", F.col("label"))
     upadafa = F.when(F.col("kind").isin("upadafa", "khanda"), F.coalesce("upadafa", F.lit("1")))
     chunks = chunks.withColumns({"khanda": khanda, "upadafa": upadafa}).withColumn("references", references(F.col("body"), F.col("dafa")))
@@ -226,8 +294,6 @@ def parse_statutes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = F.concat_ws(" -> ", F.nullif(F.col("dafa_title"), F.lit("")), mark(to_devanagari_digits(F.col("upadafa"))), mark(F.col("khanda")))
     text = F.concat(F.lit("["), place, F.lit("]: "), path, F.when(F.contains(path, F.lit(" -> ")), " ").otherwise(": "), F.col("body"))
     limit = F.when(F.contains("dafa_title", F.lit("हदम्याद")), F.col("dafa"))
-    chapter = Window.partitionBy("doc", "parichhed")
-    chunks = chunks.withColumn("chapter_limit", F.max_by(limit, F.when(limit.isNotNull(), F.col("at"))).over(chapter))
     return chunks.select(
         F.col("doc").alias(id_col), F.col("chunk").cast("int").alias("chunk_index"), chunk_id(F.col("dafa"), F.col("kind"), F.col("upadafa"), F.col("khanda"), F.col("index")).alias("chunk_id"), F.col("kind").alias("chunk_type"),
         "bhag", "parichhed", to_devanagari_digits(F.col("dafa")).alias("dafa"), "dafa_title", "upadafa", "khanda", text.alias("content"), "references",
@@ -237,29 +303,12 @@ def parse_statutes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # --- Other shapes of statutes ---------------------------------------------------------------------------------------------
 
-def kind_of(line: Column) -> Column:
-    kind = F.lit("rest")
-    for name in reversed(OPENERS):
-        kind = F.when(F.regexp_like(line, F.lit(OPENERS[name])), name).otherwise(kind)
-    return kind
-
-
 def parse_indented(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks of indented statutes, as parse_statutes gives them: a block's depth says what it is where its beginning doesn't.
+    """Chunks of indented statutes, as parse_statutes gives them.
 
     A block of depth 2 without a letter goes on with the clause before it, one of depth 1 with the subsection; blank lines don't count.
     """
-    lines = df.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "raw")).where(F.trim("raw") != "")
-    depth = F.floor(F.length(F.regexp_extract("raw", "^( *)", 1)) / 2).cast("int")
-    lines = lines.select("doc", "n", depth.alias("depth"), F.trim("raw").alias("line"))
-    # what a deeper block opens must not be taken for a shallower kind: a number in depth 2 is text
-    plain = (F.col("depth") == 2) & (kind_of(F.col("line")) != "khanda") | (F.col("depth") == 1) & kind_of(F.col("line")).isin("dafa", "khanda", "rest")
-    order = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("block", F.count_if(~plain).over(order))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
-    joined = lines.groupBy("doc", "block").agg(whole.alias("line"))
-    texts = joined.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n").alias(text_col))
-    return parse_statutes(texts.withColumnRenamed("doc", id_col), id_col, text_col)
+    return parse_statutes(df, id_col, text_col, unindented)
 
 
 def structured_pieces(chunks: DataFrame, id_col: str, most: int = 1400) -> DataFrame:

@@ -87,3 +87,16 @@ def test_blocks_are_counted_where_texts_are(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "dafa", 0, 1), (1, "upadafa", 1, 1), (1, "khanda", 2, 1), (1, "filled stub", None, 1), (None, "upadafa", 1, 1)}
     for df in (found, continuation.indented(rows)):
         assert not any(word in df._jdf.queryExecution().executedPlan().toString() for word in ("Exchange", "Aggregate", "Generate"))
+
+
+def test_statutes_are_parsed_where_their_texts_are(spark):
+    text = "परिच्छेद–२ नाम १. हदम्याद कुराः बाँकी । (१) पहिलो । (क) दफा २ बमोजिम । तर यो । तर त्यो । २. अर्को ।"
+    rows = spark.createDataFrame([(1, text), (1, "३. एक ।\n    (क) खण्ड\n  १२ पाठ ।"), (2, None)], "doc_id long, text string")
+    found = chunking.parse_statutes(rows)
+    want = [("dafa_1", "१"), ("dafa_1_upadafa_1", "१"), ("dafa_1_upadafa_1_ka", "१"), ("dafa_1_tar_1", "१"), ("dafa_1_tar_2", "१"), ("dafa_2", "१")]
+    assert [(r["chunk_id"], r["chapter_hadamyad_dafa"]) for r in found.orderBy("chunk_index").collect() if r["parichhed"]] == want
+    assert [(r["section"], r["subsection"]) for r in found.where("chunk_id = 'dafa_1_upadafa_1_ka'").first()["references"]] == [("२", None)]
+    shaped = chunking.parse_indented(rows.where("text like '३%'"))
+    assert [(r["chunk_id"], r["content"]) for r in shaped.orderBy("chunk_index").collect()] == [("dafa_3", "[दफा ३]: एक ।: एक ।"), ("dafa_3_upadafa_1_ka", "[दफा ३]: एक । -> (१) -> (क) खण्ड १२ पाठ ।")]
+    for df in (found, shaped):
+        assert not any(word in df._jdf.queryExecution().executedPlan().toString() for word in ("Exchange", "Window", "Aggregate"))
