@@ -40,3 +40,11 @@ def test_vectors_of_one_partition_are_scored_by_all_cores(spark, data, monkeypat
     assert [r["id"] for r in search.nearest(queries, rows, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
     sizes = [r["count"] for r in scored[0].groupBy(F.spark_partition_id()).count().collect()]
     assert scored[0].columns == ["id", "embedding"] and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2000
+
+
+def test_a_querys_chapters_are_not_put_together_with_all_their_chunks(spark, data):
+    found = composites.leg(spark, DATA)
+    lines = [line for line in logical(found).splitlines() if "Join" in line]
+    met = [i for i, line in enumerate(lines) if "book_id#" in line and "chapter#" in line]
+    assert len(met) == 1 and "Join LeftSemi" in lines[met[0]] and "query_id#" in lines[met[0]]  # of the targets only, by query
+    same(found.toPandas(), duck(DATA).sql(composites.LEG).df())
